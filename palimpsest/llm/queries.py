@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing, quality_rules
 
 QUERIES = {
     "op2_mixing_sources": mixing.query,
+    "op3_quality_rules": quality_rules.query,
+    "op9_chat_formatting": chat.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_chat_formatting": chat.SQL}

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality_rules
+from . import chat, decontaminate, fm_classifier, mixing, pii, quality_rules, token_store
 
 QUERIES = {
     "op2_mixing_sources": mixing.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_quality_classifier": fm_classifier.query,
+    "op6_decontamination": decontaminate.query,
+    "op8_token_store": token_store.query,
     "op9_chat_formatting": chat.query,
+    "op10_pii": pii.query,
 }
 
-SQL: dict[str, str] = {"op9_chat_formatting": chat.SQL}
+SQL: dict[str, str] = {
+    "op6_decontamination": decontaminate.SQL,
+    "op9_chat_formatting": chat.SQL,
+}

@@ -48,6 +48,7 @@ def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Keeps Arrow batches of texts small: rows can be long, and Spark's default takes 10,000 of them."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

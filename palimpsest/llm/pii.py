@@ -35,13 +35,11 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?\b")
 DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{3,4}(?![0-9.])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
-SECRET = re.compile(r"(?i)\b(?:password|passwd|secret|api[_-]?key|token)\s?[=:]\s?([^\s\"',;]{8,})")
 #: Context words and the characters around a span that are searched for them.
 FOR = {
     "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
     "card": re.compile(r"(?i)\b(?:card|visa|credit|karte|carte|tarjeta)\b"),
     "phone": re.compile(r"(?i)\b(?:tel|phone|call|mobile|fax|telefon|t[ée]l[ée]phone|tel[ée]fono)\b"),
-    "secret": re.compile(r"(?i)\b(?:login|secret|key|auth|credentials?)\b"),
 }
 AGAINST = re.compile(r"(?i)\b(?:example|isbn|order|invoice|version|page)\b")
 NEAR = 40
@@ -93,8 +91,6 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if luhn(_NOT_DIGIT.sub("", m[0])):
             found.append((m.start(), m.end(), "card", 1, True))
     found += [(m.start(), m.end(), "phone", 1, False) for m in LOCAL_PHONE.finditer(text)]
-    if "=" in text or ":" in text:
-        found += [(m.start(1), m.end(1), "secret", 1, any(c.isdigit() for c in m[1])) for m in SECRET.finditer(text)]
     taken, out = sorted(base), []
     for a, b, kind, weight, checked in sorted(found):
         if _score(kind, text, a, b, weight, checked) >= LEAST and not any(x < b and a < y for x, y, _ in taken) and (not out or out[-1][1] <= a):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fm_classifier, mixing, pii, quality_rules, token_store
+from . import chat, decontaminate, fm_classifier, mixing, ngram_join, pii, quality_rules, token_store
 
 QUERIES = {
     "op2_mixing_sources": mixing.query,
     "op3_quality_rules": quality_rules.query,
     "op4_quality_classifier": fm_classifier.query,
     "op6_decontamination": decontaminate.query,
+    "op7_ngram_jaccard_join": ngram_join.query,
     "op8_token_store": token_store.query,
     "op9_chat_formatting": chat.query,
     "op10_pii": pii.query,

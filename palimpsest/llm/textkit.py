@@ -154,3 +154,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = Tr
 
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+class Ranges:
+    """64-bit hashes of any ranges of a symbol sequence, from running sums of a polynomial."""
+
+    def __init__(self, symbols: np.ndarray, base: int = _BASE) -> None:
+        n = len(symbols)
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum((symbols.astype(U64) + U64(1)) * _power(base, max(n, 1))[:n], out=self.sums[1:])
+        self.inverse = _power(pow(base, -1, 1 << 64), n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+
+
+def range_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Ranges(symbols)(starts, ends)
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each ``width`` neighbours, one for each start; two running minima over blocks."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return np.zeros(0, x.dtype)
+    full = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
+    full[: len(x)] = x
+    grid = full.reshape(-1, width)
+    forward = np.minimum.accumulate(grid, axis=1).ravel()
+    backward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])

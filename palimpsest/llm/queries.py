@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fm_classifier, mixing, ngram_join, pii, quality_rules, token_store
+from . import chat, decontaminate, fm_classifier, mixing, ngram_join, pii, quality_rules, recompression, suffix_dedup, token_store
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix_dedup.query,
     "op2_mixing_sources": mixing.query,
     "op3_quality_rules": quality_rules.query,
     "op4_quality_classifier": fm_classifier.query,
+    "op5_substring_dedup": recompression.query,
     "op6_decontamination": decontaminate.query,
     "op7_ngram_jaccard_join": ngram_join.query,
     "op8_token_store": token_store.query,

@@ -22,9 +22,12 @@ def matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 def windows(s: Column, least: int, most: int) -> Column:
     """All substrings of ``least`` to ``most`` characters."""
-    one = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, n))
-    out = F.flatten(F.array(*[F.filter(one(F.lit(n)), lambda x, n=n: F.length(x) == n) for n in range(least, most + 1)]))
-    return out
+
+    def of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
+        return F.filter(cut, lambda x: F.length(x) == n)
+
+    return F.flatten(F.array(*[of(n) for n in range(least, most + 1)]))
 
 
 def cjk_joined(c: Column) -> Column:

@@ -14,12 +14,15 @@ KEYS = ["subject", "relation", "object"]
 def extract(docs: DataFrame, subject: str = "subject") -> DataFrame:
     """(msg_id, subject, relation, object) by the relation patterns, duplicates kept, blank entities dropped."""
     clean = text.clean_entity
-    rows = []
-    for pattern, relation in lexicon.ONE_GROUP:
-        rows.append(F.transform(text.matches(F.col("text"), "(?U)" + pattern, 1), lambda x, r=relation: F.struct(F.lit(subject).alias("subject"), F.lit(r).alias("relation"), clean(x).alias("object"))))
-    for pattern, relation in lexicon.TWO_GROUPS:
+
+    def one(pattern: str, relation: str):
+        return F.transform(text.matches(F.col("text"), "(?U)" + pattern, 1), lambda x: F.struct(F.lit(subject).alias("subject"), F.lit(relation).alias("relation"), clean(x).alias("object")))
+
+    def two(pattern: str, relation: str):
         a, b = (text.matches(F.col("text"), "(?U)" + pattern, g) for g in (1, 2))
-        rows.append(F.zip_with(a, b, lambda x, y, r=relation: F.struct(clean(x).alias("subject"), F.lit(r).alias("relation"), clean(y).alias("object"))))
+        return F.zip_with(a, b, lambda x, y: F.struct(clean(x).alias("subject"), F.lit(relation).alias("relation"), clean(y).alias("object")))
+
+    rows = [one(*x) for x in lexicon.ONE_GROUP] + [two(*x) for x in lexicon.TWO_GROUPS]
     return docs.select("msg_id", F.inline(F.flatten(F.array(*rows)))).where("subject is not null and object is not null")
 
 

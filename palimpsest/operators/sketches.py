@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -16,25 +18,26 @@ BITS = 1 << 20
 HASHES = 7
 
 
-@F.pandas_udf("string")
-def simhash(tokens: pd.Series) -> pd.Series:
-    """128-bit SimHash of a token list as 32 hex digits, null for an empty list.
+def simhash(tokens: list[str] | None) -> str | None:
+    """128-bit SimHash of a token list as 32 hex digits, null for an empty list."""
+    if tokens is None or not len(tokens):
+        return None
+    raw = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest() for t in tokens), np.uint8).reshape(-1, 16)
+    ones = np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(raw)).tobytes().hex()
 
-    Bits are counted over MD5 digests, which Spark's expressions could only do nibble by nibble.
-    """
 
-    def one(ts) -> str | None:
-        if ts is None or not len(ts):
-            return None
-        raw = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest() for t in ts), np.uint8).reshape(-1, 16)
-        ones = np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
-        return np.packbits(2 * ones > len(raw)).tobytes().hex()
-
-    return tokens.map(one)
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``simhash``, over Arrow batches: bits are counted over MD5 digests of whole texts' tokens."""
+    tokens = docs.withColumn("_tokens", text.simhash_tokens(F.col("text")))
+    schema = T.StructType([*docs.schema.fields, T.StructField("simhash", T.StringType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = pa.array([simhash(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], prints], schema.names)
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("simhash", simhash(text.simhash_tokens(F.col("text"))))
+    return tokens.mapInArrow(run, schema)
 
 
 def limbs(c: Column) -> list[Column]:

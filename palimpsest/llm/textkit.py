@@ -98,8 +98,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of some rows, and each row's first word (n + 1 offsets)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of some rows, and each row's first word (n + 1 offsets).
+
+    ``breaks`` marks bytes, none of them a separator, that begin a word of their own.
+    """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
@@ -108,6 +111,9 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     first, last = ~space, ~space
     first[1:] &= space[:-1]
     last[:-1] &= space[1:]
+    if breaks is not None:
+        first |= breaks
+        last[:-1] |= breaks[1:]
     cut = offsets[(offsets > 0) & (offsets < n)]
     first[cut] = ~space[cut]
     last[cut - 1] = ~space[cut - 1]

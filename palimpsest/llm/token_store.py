@@ -5,8 +5,9 @@ about ``SHARD_TOKENS`` ids, and a shard is one row of a Parquet table in the sha
 documents' ids and lengths, and one byte string with the wavelet matrix of all their tokens. The
 files are then read back: every id that leaves this module was decoded from them.
 
-The vocabulary's pre-tokeniser never joins across ASCII white space, so a word's ids don't depend on
-its neighbours: each distinct word of a batch is encoded once.
+The vocabulary's normaliser drops case, and its pre-tokeniser never joins across ASCII white space nor
+an ASCII letter and a stop after it, so such a part's ids don't depend on its neighbours: each distinct
+part is encoded once by a worker, which remembers a bounded number of them from task to task.
 
 Defined cases: a null or empty text is the end id alone; a null id sorts first and is kept; repeated
 rows are encoded one by one; an empty table gives no shards. One document is never cut, so a shard
@@ -33,8 +34,20 @@ from .wavelet import WaveletMatrix
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-#: Distinct words that a worker remembers; then it starts anew.
-CACHE_WORDS = 300_000
+#: Distinct parts that a worker remembers; then it starts anew.
+CACHE_WORDS = 2_000_000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,!?;:"]] = True
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a vocabulary."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Encoder:
@@ -45,6 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark_id, token = max(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark = token.content.encode()
         self.forget()
 
     def forget(self) -> None:
@@ -52,9 +67,32 @@ class Encoder:
         self.slot = np.zeros(0, np.int64)
         self.flat, self.at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
+    def _fresh(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some parts, one after the other, and how many each has.
+
+        All go through the tokeniser as one text, set apart by a control string of the vocabulary;
+        parts that may hold control strings themselves go alone.
+        """
+        alone = [k for k, p in enumerate(parts) if b"<|" in p]
+        text = self.mark.join(b"" if b"<|" in p else p for p in parts).decode("utf-8", "replace")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        cut = np.flatnonzero(ids == self.mark_id)
+        sizes = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+        flat = ids[ids != self.mark_id]
+        if alone:
+            pieces = np.split(flat, np.cumsum(sizes)[:-1])
+            for k in alone:
+                pieces[k] = np.array(self.tokenizer.encode(parts[k].decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
+            flat, sizes = np.concatenate(pieces), np.array([len(x) for x in pieces])
+        return flat.astype(np.uint16), sizes
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows with the end id after each row, and the rows' offsets in them."""
-        starts, ends, h, row = words(data, offsets)
+        breaks = np.zeros(len(data), bool)
+        breaks[1:] = _STOP[data[1:]] & _LETTER[data[:-1]]
+        raw = data.tobytes()
+        # control strings of the vocabulary are told by case; they hold "<|"
+        starts, ends, h, row = words(data, offsets, lower=b"<|" not in raw, breaks=breaks)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(uniq) > CACHE_WORDS:
             self.forget()
@@ -63,15 +101,13 @@ class Encoder:
         have = at < len(self.known)
         new[have] = self.known[at[have]] != uniq[have]
         if new.any():
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            parts = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            flat, sizes = self._fresh(parts)
             n = len(self.at) - 1
-            self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint16, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
             self.known = np.insert(self.known, at[new], uniq[new])
-            self.slot = np.insert(self.slot, at[new], np.arange(n, n + len(ids)))
+            self.slot = np.insert(self.slot, at[new], np.arange(n, n + len(parts)))
             at = np.searchsorted(self.known, uniq)
         slot = self.slot[at][inverse] if len(h) else np.zeros(0, np.int64)
         size = self.at[slot + 1] - self.at[slot]
@@ -102,13 +138,13 @@ def write(docs: DataFrame, path: str, vocabulary: str) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, k = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        mine, part, k = encoder(vocabulary), TaskContext.get().partitionId(), 0
         ids, lengths, tokens, n = [], [], [], 0
         for batch in batches:
             names = batch.column(0).cast(pa.int64()).to_pylist()
             raw, offsets = buffers(batch.column(1))
             for lo, hi, data, off in slices(raw, offsets):
-                out, at = encoder.encode(data, off)
+                out, at = mine.encode(data, off)
                 for i in range(hi - lo):
                     ids.append(names[lo + i])
                     lengths.append(int(at[i + 1] - at[i]))

@@ -29,12 +29,14 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int = 16) -> WaveletMatrix:
-        now, planes, zeros = np.asarray(ids, np.uint32), [], []
+        kind = np.uint16 if bits <= 16 else np.uint32
+        now, planes, zeros = np.asarray(ids, kind), [], []
         for level in range(bits - 1, -1, -1):
-            bit = ((now >> np.uint32(level)) & np.uint32(1)).astype(bool)
+            bit = (now & kind(1 << level)) != 0
             planes.append(np.packbits(bit))
-            zeros.append(int(len(bit) - bit.sum()))
-            now = np.concatenate([now[~bit], now[bit]])
+            ones = now[bit]
+            zeros.append(len(bit) - len(ones))
+            now = np.concatenate([now[~bit], ones]) if len(ones) else now
         return cls(len(ids), planes, zeros)
 
     def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -68,15 +70,18 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids: the stable splits undone from the last plane to the first, in linear time."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
-            back = np.empty(self.n, np.uint32)
             z = self.zeros[level]
+            if z == self.n:  # all zeros: nothing moves, nothing is set
+                continue
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            back = np.empty(self.n, kind)
             back[~bit] = out[:z]
-            back[bit] = out[z:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            back[bit] = out[z:] | kind(1 << (len(self.planes) - 1 - level))
             out = back
-        return out
+        return out.astype(np.uint32)
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
         top = len(self.planes)

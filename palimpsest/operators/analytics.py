@@ -66,7 +66,7 @@ def entropy(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Shannon entropy (natural logarithm) of a column under the keys, to four places."""
     c = rows.groupBy(*keys, column).agg(F.count("*").alias("_c"))
     p = F.col("_c") / F.sum("_c").over(W.partitionBy(*keys))
-    return c.withColumn("_p", p).groupBy(*keys).agg(F.sum("_c").alias("n"), F.round(-F.sum(F.col("_p") * F.log("_p")), 4).alias("entropy"))
+    return c.withColumn("_p", p).groupBy(*keys).agg(F.sum("_c").alias("n"), (F.round(-F.sum(F.col("_p") * F.log("_p")), 4) + 0.0).alias("entropy"))
 
 
 def wind(moods: DataFrame, key: str = "user_id", n: int = 80) -> DataFrame:

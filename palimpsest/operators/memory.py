@@ -49,7 +49,7 @@ def activate(memories: DataFrame, queries: DataFrame, most: int = 30, strong: fl
     """For each query vector of a stated set: weight plus a twentieth of the cosine, 1 at most, the best ``most``."""
     sim = F.round(cosine(F.col("embedding"), F.col("query")), 6)
     got = memories.crossJoin(F.broadcast(queries)).withColumn("similarity", sim).where("similarity > 0")
-    got = got.withColumn("activation", F.round(F.least(F.lit(1.0), F.col("weight") + 0.05 * F.col("similarity")), 6)).withColumn("strong", F.col("similarity") >= strong)
+    got = got.withColumn("activation", F.round(F.least(F.lit(1.0), F.col("weight") + 0.05 * F.col("similarity")), 8)).withColumn("strong", F.col("similarity") >= strong)
     w = W.partitionBy("query_id").orderBy(F.desc("activation"), "memory_id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 

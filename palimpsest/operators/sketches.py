@@ -84,7 +84,7 @@ def sightings(log: DataFrame, tokens: Column, keep: int = 50) -> DataFrame:
 
 
 def sense(log: DataFrame, tokens: Column, bits: DataFrame) -> DataFrame:
-    """Share of each message's distinct tokens that the filter has seen, to two places."""
+    """Share of each message's distinct tokens that the filter has seen, to six places."""
     asked = log.select("msg_id", F.explode(F.array_distinct(tokens)).alias("token"))
     got = probe(asked, "token", bits)
-    return got.groupBy("msg_id").agg(F.count("*").alias("tokens"), F.count_if("seen").alias("known"), F.round(F.count_if("seen") / F.count("*"), 2).alias("familiar"))
+    return got.groupBy("msg_id").agg(F.count("*").alias("tokens"), F.count_if("seen").alias("known"), F.round(F.count_if("seen") / F.count("*"), 6).alias("familiar"))

@@ -136,8 +136,8 @@ def _(s, d):
 @query(
     "mem_activate",
     f"""WITH {v.MEMORIES}, {_VQ}, x AS (SELECT query_id, memory_id, weight, round(list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]), 6) AS similarity FROM memories, vq)
-SELECT query_id, memory_id, similarity, round(least(1.0::DOUBLE, weight + 0.05::DOUBLE * similarity), 6) AS activation, similarity >= 0.8 AS strong FROM x WHERE similarity > 0
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(least(1.0::DOUBLE, weight + 0.05::DOUBLE * similarity), 6) DESC, memory_id) <= 30""",
+SELECT query_id, memory_id, similarity, round(least(1.0::DOUBLE, weight + 0.05::DOUBLE * similarity), 8) AS activation, similarity >= 0.8 AS strong FROM x WHERE similarity > 0
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(least(1.0::DOUBLE, weight + 0.05::DOUBLE * similarity), 8) DESC, memory_id) <= 30""",
 )
 def _(s, d):
     return memory.activate(v.memories(s, d), _vq(s, d)).select("query_id", "memory_id", "similarity", "activation", "strong")
@@ -277,7 +277,7 @@ def _(s, d):
     f"""WITH {v.MESSAGES}, held AS (SELECT DISTINCT unnest({_WORDS_SQL}) AS token FROM messages WHERE sender = 'agent'), bits AS (SELECT DISTINCT {_SEED.format('token')} AS bit FROM held),
 a AS (SELECT DISTINCT msg_id, unnest({_WORDS_SQL}) AS token FROM messages WHERE sender = 'user'), pos AS (SELECT DISTINCT token, {_SEED.format('token')} AS bit FROM (SELECT DISTINCT token FROM a)),
 seen AS (SELECT token, bool_and(bit IN (SELECT bit FROM bits)) AS seen FROM pos GROUP BY token)
-SELECT msg_id, count(*) AS tokens, count(*) FILTER (WHERE seen) AS known, round(count(*) FILTER (WHERE seen) / count(*), 2) AS familiar FROM a JOIN seen USING (token) GROUP BY msg_id""",
+SELECT msg_id, count(*) AS tokens, count(*) FILTER (WHERE seen) AS known, round(count(*) FILTER (WHERE seen) / count(*), 6) AS familiar FROM a JOIN seen USING (token) GROUP BY msg_id""",
 )
 def _(s, d):
     m = v.messages(s, d)
@@ -361,7 +361,7 @@ def _(s, d):
     return analytics.switch_flag(v.decisions(s, d))
 
 
-@query("mood_entropy", f"WITH {v.MOODS}, c AS (SELECT user_id, mood, count(*) AS c FROM moods GROUP BY ALL), p AS (SELECT user_id, c, c / sum(c) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, sum(c)::BIGINT AS n, round(-sum(p * ln(p)), 4) AS entropy FROM p GROUP BY user_id")
+@query("mood_entropy", f"WITH {v.MOODS}, c AS (SELECT user_id, mood, count(*) AS c FROM moods GROUP BY ALL), p AS (SELECT user_id, c, c / sum(c) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, sum(c)::BIGINT AS n, round(-sum(p * ln(p)), 4) + 0.0 AS entropy FROM p GROUP BY user_id")
 def _(s, d):
     return analytics.entropy(v.moods(s, d), ["user_id"], "mood")
 
@@ -460,7 +460,7 @@ def _(s, d):
     return analytics.sessions(e, "user_id", 120).select("user_id", "session", "events", stamp("started").alias("started"), stamp("ended").alias("ended"))
 
 
-@query("tumbling_entropy", f"WITH {v.MOODS}, c AS (SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS w, mood, count(*) AS c FROM moods GROUP BY ALL), p AS (SELECT w, c, c / sum(c) OVER (PARTITION BY w) AS p FROM c) SELECT {_STAMP.format('w')} AS opened, sum(c)::BIGINT AS n, round(-sum(p * ln(p)), 4) AS entropy FROM p GROUP BY w")
+@query("tumbling_entropy", f"WITH {v.MOODS}, c AS (SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS w, mood, count(*) AS c FROM moods GROUP BY ALL), p AS (SELECT w, c, c / sum(c) OVER (PARTITION BY w) AS p FROM c) SELECT {_STAMP.format('w')} AS opened, sum(c)::BIGINT AS n, round(-sum(p * ln(p)), 4) + 0.0 AS entropy FROM p GROUP BY w")
 def _(s, d):
     m = v.moods(s, d).select(F.window("ts", "6 hours")["start"].alias("opened"), "mood")
     return analytics.entropy(m, ["opened"], "mood").select(F.date_format("opened", "yyyy-MM-dd HH:mm:ss").alias("opened"), "n", "entropy")

@@ -1,0 +1,236 @@
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from compare import same
+from corpus import empty, frame, texts
+
+from palimpsest.llm import chat, fm_classifier, mixing, pii, quality_rules, token_store
+from palimpsest.llm.wavelet import WaveletMatrix
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# ---- mixing
+
+
+def water(sizes):
+    """Targets by the rule as it is told: stop at three times the size, share the excess again, until none is above."""
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        rest, w = total - sum(fixed.values()), sum(weight[s] for s in free)
+        now = {s: rest * weight[s] / w for s in free}
+        over = [s for s in free if now[s] > 3 * sizes[s] + 1e-9]
+        if not over:
+            return fixed | now
+        fixed |= {s: 3 * sizes[s] for s in over}
+
+
+def test_targets_and_copies(spark):
+    ts = texts(1, 60)
+    docs = frame(spark, ts)
+    got = mixing.mix(docs).collect()
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    want = water(dict(sizes))
+    for r in got:
+        assert r["size"] == len(WORD.findall(ts[r.doc_id] or ""))
+        assert r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(want[r.source])
+        rate = r.target / r.source_size
+        assert int(rate) <= r.copies <= min(3, int(rate) + 1)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    emitted = mixing.emit(docs)
+    assert emitted.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in emitted.collect()) == {r.doc_id: r.copies for r in got if r.copies}
+
+
+def test_a_small_source_stops_at_three_times_its_size(spark):
+    rows = [(1, "w " * 10, "a"), (2, "w " * 1000, "b"), (3, "", "c")]
+    got = {r.source: (r.target, r.copies) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got["a"] == (30.0, 3) and got["b"][0] == pytest.approx(980) and got["c"] == (0.0, 0)
+
+
+def test_bernoulli_copies_come_near_the_target(spark):
+    df = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', cast(id % 20 as int) + 1) as text", "concat('s', id % 4) as source")
+    got = mixing.mix(df).groupBy("source", "target").agg({"source_size": "first"}).count()
+    assert got == 4
+    for r in mixing.mix(df).selectExpr("source", "target", "copies * size as taken").groupBy("source", "target").sum("taken").collect():
+        assert r["sum(taken)"] == pytest.approx(r.target, rel=0.05)
+
+
+def test_mixing_without_ids_or_rows(spark):
+    assert mixing.mix(frame(spark, ["a b", None, ""], [None, None, 1])).count() == 3
+    assert mixing.emit(frame(spark, ["a b", "c d"], [None, None])).columns[0] == "doc_id"
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.emit(empty(spark)).count() == 0
+
+
+# ---- quality rules
+
+
+def counts(t):
+    ws, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
+    c = collections.Counter(zip(ws, ws[1:], ws[2:], strict=False))
+    hit = {j for i in range(len(ws) - 2) if c[tuple(ws[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit)
+
+
+def test_counts_and_base_rule(spark):
+    ts = [*texts(1), "a\nb\na\n\nb", "x| y# <z>", "a b c a b c", "a a a a", "w " * 49, "w%d " * 3]
+    for r in quality_rules.judge(frame(spark, ts)).collect():
+        want = counts(ts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept)
+    assert quality_rules.judge(empty(spark)).count() == 0
+
+
+def test_sketch_is_close_and_merges(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    values = [rng.choice([0, rng.randint(0, 40), rng.randint(0, 10**6)]) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v long").select(quality_rules.bin_of(F.col("v")).alias("b"), "v").withColumn("top", quality_rules.bin_top(F.col("b")))
+    for r in df.collect():
+        assert r.v <= r.top <= r.v * (1 + 1 / 16)
+
+
+def test_limits_follow_the_group(spark):
+    plain, odd = "word%d " * 60, "we|rd%d " * 60
+    rows = [(i, (odd if s == "odd" else plain) % tuple(range(i, i + 60)), "en", s) for s in ("odd", "plain") for i in range(0 if s == "odd" else 1000, 300 if s == "odd" else 1300)]
+    rows.append((5000, odd % tuple(range(60)), "en", "plain"))
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in (0, 100, 1000, 1299)) and not got[5000]
+
+
+# ---- classifier
+
+
+def test_machine_sums_all_pairs():
+    rng = np.random.default_rng(0)
+    m = fm_classifier.Machine(0.3, rng.normal(size=fm_classifier.SIZE), rng.normal(size=(fm_classifier.SIZE, 8)))
+    ids, x = rng.integers(0, fm_classifier.SIZE, 12), rng.random(12)
+    want = 0.3 + (m.w[ids] * x).sum() + sum((m.v[ids[i]] @ m.v[ids[j]]) * x[i] * x[j] for i in range(12) for j in range(i))
+    assert m.raw(ids, x, np.array([0, 12]))[0] == pytest.approx(want)
+
+
+def test_held_out_accuracy(spark):
+    got = fm_classifier.query(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = got.join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 80
+    assert sum(r.predicted == r.quality for r in rows) >= 0.93 * len(rows)
+    for r in got.collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+
+
+def test_classifier_on_awkward_rows(spark):
+    docs, labels = frame(spark, texts(1)), spark.createDataFrame([(0, 1), (None, 0), (3, None)], "doc_id long, quality int")
+    machine = fm_classifier.train(docs, labels)
+    assert all(0 <= r.score <= 1 for r in fm_classifier.score(docs, machine).collect())
+    assert fm_classifier.keep(docs, machine).columns == docs.columns
+    assert {r.score for r in fm_classifier.score(docs, fm_classifier.train(docs, labels.limit(0))).collect()} == {0.5}
+    assert fm_classifier.score(empty(spark), machine).count() == 0
+    assert fm_classifier.score(docs.drop("n_chars"), machine).count() == docs.count()
+
+
+# ---- tokens
+
+
+def test_wavelet_matrix():
+    rng = random.Random(4)
+    for n in (0, 1, 7, 600, 5000):
+        ids = np.array([rng.choice([rng.randint(0, 65535), rng.randint(0, 3)]) for _ in range(n)], np.uint32)
+        w = WaveletMatrix.from_bytes(WaveletMatrix.build(ids).to_bytes())
+        assert w.decode().tolist() == ids.tolist()
+        assert w.access(np.arange(n)).tolist() == ids.tolist()
+        for s in (0, 2, int(ids[n // 2]) if n else 5, 65000):
+            at = np.flatnonzero(ids == s)
+            assert w.count(s) == len(at) and w.occurrences(s).tolist() == at.tolist()
+            assert w.rank(s, n // 2) == int((ids[: n // 2] == s).sum())
+
+
+def test_tokens_read_back(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(token_store.VOCABULARY))
+    ts = [*texts(1), "<|endoftext|> It's <|ENDOFTEXT|>, ok. don't!", "é ̈x y…. 12.5"]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.store(frame(spark, ts)).collect()}
+    at = 0
+    for i, t in enumerate(ts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_tokens_of_repeated_missing_and_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_TOKENS", 8)
+    got = token_store.store(frame(spark, ["a b c", "a b c", None, "x"], [4, 4, None, 2])).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 2, 4, 4]
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    assert token_store.store(empty(spark)).count() == 0
+
+
+# ---- chat
+
+
+def test_chat_matches_sql(spark, duck):
+    same(chat.query(spark, SF).toPandas(), duck.sql(chat.SQL).df())
+
+
+def test_chat_round_trip(spark):
+    odd = ["<|im_end|>", "\\0 <|x|> \\1", "", None, "<", "|>", "<\\1|", "a\nb", "<|im_next|><|im_start|>assistant\nhi"]
+    rows = [(1, i, ["assistant", "assistant", "user", "us\ner", None][i % 5], t) for i, t in enumerate(odd)] + [(2, None, "user", "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y"), (None, 1, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df)
+    back = {r.conv_id: r for r in chat.read_back(out).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [(r or "", t or "") for _, _, r, t in rows[:9]]
+    assert back[1].loss_text == "".join(t or "" for _, _, r, t in rows[:9] if r == "assistant")
+    assert [(t.role, t.text) for t in back[2].turns] == [("user", "x"), ("assistant", "y"), ("assistant", "y")]
+    assert len(back) == 3
+    # adjacent turns of one role share a block
+    assert {r.conv_id: r.formatted.count(chat.START) for r in out.collect()}[2] == 2
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+# ---- personal data
+
+
+def test_base_spans():
+    t = "mail a.b+c@x-y.example.com. ip 1.2.3.4 and 1.2.3.400, card 4111 1111-1111 1111, not 4111111111111112, call +1 (555) 010-2030!"
+    got = [(k, t[a:b]) for a, b, k in sorted(pii.base_spans(t))]
+    assert got == [("email", "a.b+c@x-y.example.com"), ("ip", "1.2.3.4"), ("card", "4111 1111-1111 1111"), ("phone", "+1 (555) 010-2030")]
+
+
+def test_added_spans_need_checks_or_context():
+    t = "IBAN DE89 3704 0044 0532 0130 00; DE89 3704 0044 0532 0130 01; tel 555-123-4567"
+    kinds = [(k, t[a:b]) for a, b, k in pii.added_spans(t, pii.base_spans(t))]
+    assert kinds == [("iban", "DE89 3704 0044 0532 0130 00"), ("phone", "555-123-4567")]
+    assert pii.added_spans("see 555-123-4567 here", []) == []
+
+
+def test_emails_equal_a_plain_scan():
+    rng = random.Random(6)
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    for _ in range(3000):
+        t = "".join(rng.choice("ab.@-é %+1") for _ in range(rng.randint(0, 40)))
+        assert [(a, b) for a, b, k in pii.base_spans(t) if k == "email"] == [m.span() for m in plain.finditer(t)]
+
+
+def test_pii_rows_and_redaction(spark):
+    docs = frame(spark, ["é me@x.org", None, "", "ip 9.9.9.9 ip 9.9.9.9", "x"], [1, 2, 3, 3, None])
+    got = pii.find(docs).collect()
+    assert [(r.doc_id, r.n_email, r.n_ip, r.spans) for r in got] == [(1, 1, 0, "email:2:10"), (2, 0, 0, ""), (3, 0, 0, ""), (3, 0, 2, "ip:3:10,ip:14:21"), (None, 0, 0, "")]
+    assert got[0].base_sha256 == hashlib.sha256(b"email:2:10").hexdigest()
+    assert pii.redact("é me@x.org", got[0].spans) == "é <EMAIL>"
+    assert pii.find(empty(spark)).count() == 0

@@ -62,3 +62,40 @@ LEADING_PARTICLE = "^[了着过的和在或与已]"
 
 # Words of events' moods and their valence.
 EVENT_MOOD = {"purchase": ("happy", 1.0), "error": ("anger", -1.0), "view": ("confused", -0.3), "click": ("surprised", 0.3), "signup": ("anxious", -0.7)}
+
+# Patterns of choices (first group), of actions, and words of giving up; words that are no choice.
+CHOICES = (
+    r"(?:我?选|就|还是|决定|定了|要)(?:择|用|搞|弄)?\s*[「『\"]?(.{1,30}?)[」『\"]?(?:吧|了|的|好|行|可以)",
+    r"还是\s*(.{1,15})\s*(?:吧|好|了)",
+    r"(?:那就|就|那)\s*[「『\"]?(.{1,20}?)[」『\"]?\s*(?:吧|了)",
+    r"我?(?:决定|打算|准备)\s*(.{1,30})",
+    r"(?:最后|最终|定了|确定了|拍板)\s*(?:还?是|就|搞|选|用|要)?\s*[「『\"]?(.{1,30}?)[」『\"]?\s*(?:吧|了|的|好|行)",
+    r"(?:I'?ll\s+)?go\s+with\s+(.{1,30})",
+    r"choose\s+(.{1,30})",
+    r"(?:let'?s|I'?ll)\s+(?:do|try|use|take|pick)\s+(.{1,30})",
+    r"(?:decided|going\s+with|picking)\s+(.{1,30})",
+    r"(?:actually|scratch\s+that|on\s+second\s+thought|never\s+mind)[,.\s]*(?:let'?s\s+)?(?:do|go\s+with|try|use|take)\s+(.{1,30})",
+)
+ACTIONS = (
+    r"(?:用|装|上|搞|跑|开|关|删|加|换|切)\s*[「『\"]?(.{1,20}?)[」『\"]?\s*(?:吧|了|的|掉)",
+    r"(?:do|run|use|install|start|stop|delete|add|switch)\s+(.{1,20})",
+)
+GIVE_UP = ("不管了", "随便", "就那样", "算了", "不搞了", "放弃", "whatever", "never mind", "fine", "give up", "I'm done")
+NO_CHOICE = ("还是", "就是", "不是", "just", "not", "or", "maybe", "either")
+
+# Lines that state something, and starts of lines that ask.
+STATEMENT = "(是|住在|位于|使用|用的是|喜欢|需要|想要|计划|买了|定了|预约了|申请了)"
+QUESTION = r"^(\?|！|怎么|为什么|如何)"
+
+# Facts by three or two groups; two groups take one relation.
+FACT_THREE = (
+    r"([一-鿿A-Za-z0-9_.@+-]{2,30})的([一-鿿A-Za-z0-9]{2,12})是([^\n，。；;]{2,60})",
+    r"([一-鿿A-Za-z0-9_.@+-]{2,40})是([一-鿿A-Za-z0-9]{2,20})(?:的|的成员|的一员)([一-鿿A-Za-z0-9_.@+-]{2,40})",
+    r"([一-鿿A-Za-z0-9_.@+-]{2,20})(邮箱|电话|手机|地址|住址|生日|名字|姓名|邮编|车牌|公司|职位|网站|域名|账户|账号)(?:是|为|：|:)([^\n，。；;]{2,60})",
+)
+FACT_TWO = (
+    r"([一-鿿A-Za-z0-9_.@+-]{2,30})(?:住在|位于|使用|用的是|常用|主要用)([^\n，。；;]{2,60})",
+    r"(?m)^([一-鿿A-Za-z0-9_.@+-]{2,30})是([^\n，。；;]{2,60})$",
+)
+FACT_RELATION = "住在"
+ALIASES = {"我": "user", "本人": "user", "用户": "user", "我们": "user", "我的": "user"}

@@ -164,3 +164,68 @@ def line_hash(c: Column) -> Column:
 def clean_entity(c: Column) -> Column:
     out = F.regexp_replace(F.trim(c), lexicon.LEADING_PARTICLE, "")
     return F.when(F.length(out) >= 2, out)
+
+
+def choice_chain(c: Column) -> Column:
+    """The choices a text goes through: explicit ones by pattern and place, then actions, then words of giving up."""
+    trimmed = lambda p: F.transform(matches(c, p, 1), F.trim)
+    choices = F.flatten(F.array(*[trimmed(p) for p in lexicon.CHOICES]))
+    actions = F.flatten(F.array(*[trimmed(p) for p in lexicon.ACTIONS]))
+    given_up = F.filter(F.array(*[F.lit(w) for w in lexicon.GIVE_UP]), lambda w: F.contains(c, w))
+    return F.concat(F.filter(choices, lambda x: (F.length(x) >= 1) & ~F.lower(x).isin(*lexicon.NO_CHOICE)), F.filter(actions, lambda x: F.length(x) >= 2), given_up)
+
+
+def chain_summary(chain: Column) -> Column:
+    """The chain without adjacent repeats, joined by arrows; a return to an earlier choice is said at the end."""
+    compact = F.filter(chain, lambda x, i: (i == 0) | (x != F.get(chain, i - 1)))
+
+    def told(cs: Column) -> Column:
+        last = F.get(cs, F.size(cs) - 1)
+        back = F.array_contains(F.slice(cs, 1, F.greatest(F.size(cs) - 1, F.lit(0))), last)
+        return F.concat(F.array_join(cs, " → "), F.when((F.size(cs) > 1) & back, F.concat(F.lit("  回到"), last)).otherwise(""))
+
+    return F.coalesce(_let(compact, told), F.lit(""))
+
+
+def fact_lines(c: Column, statement: str = lexicon.STATEMENT, question: str = lexicon.QUESTION, least: int = 6, most: int = 10) -> Column:
+    """The first lines that state something and don't ask."""
+    lines = F.transform(F.split(c, "\n"), F.trim)
+    return F.slice(F.filter(lines, lambda x: x.rlike(statement) & ~x.rlike(question) & (F.length(x) >= least)), 1, most)
+
+
+def normal_entity(c: Column) -> Column:
+    """An entity without punctuation around it; words for oneself become ``user``."""
+    bare = F.regexp_replace(c, r"^[\s，。；;、]+|[\s，。；;、]+$", "")
+    out = F
+    for alias, name in lexicon.ALIASES.items():
+        out = out.when(bare == alias, name)
+    return out.otherwise(bare)
+
+
+def facts(c: Column) -> Column:
+    """Distinct (subject, relation, object) of the fact patterns, in their order."""
+
+    def three(p: str) -> Column:
+        a, b, o = (matches(c, p, g) for g in (1, 2, 3))
+        return F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), o.alias("o")), lambda x: F.struct(normal_entity(x["a"]).alias("subject"), F.trim(x["b"]).alias("relation"), normal_entity(x["o"]).alias("object")))
+
+    def two(p: str) -> Column:
+        return F.zip_with(matches(c, p, 1), matches(c, p, 2), lambda x, y: F.struct(normal_entity(x).alias("subject"), F.lit(lexicon.FACT_RELATION).alias("relation"), normal_entity(y).alias("object")))
+
+    first, second, third = (three(p) for p in lexicon.FACT_THREE)
+    near, plain = (two(p) for p in lexicon.FACT_TWO)
+    return F.array_distinct(F.flatten(F.array(first, near, second, third, plain)))
+
+
+def md_section(c: Column, name: str) -> Column:
+    """What stands under a second-level heading of a Markdown text."""
+    return F.trim(F.regexp_extract(c, rf"(?s)(?:^|\n)## \Q{name}\E[^\n]*\n(.*?)(?=\n## |\z)", 1))
+
+
+def strip_ansi(c: Column) -> Column:
+    return F.regexp_replace(c, r"\x1B(?:\[[0-?]*[ -/]*[@-~]|\][^\x07]*\x07|[@-Z\\-_])", "")
+
+
+def is_prompt(c: Column) -> Column:
+    """A short line that ends like a shell's or a tool's prompt."""
+    return (F.length(F.trim(c)) <= 20) & F.trim(c).rlike(r"[>$#%:]$")

@@ -91,3 +91,25 @@ def test_sql_of_decontamination(spark, duck):
     SF = "/root/testdata/sf0.001"
 
     same(decontaminate.query(spark, SF).toPandas(), duck.sql(decontaminate.SQL).df())
+
+
+def test_components_of_random_graphs(spark):
+    import random
+
+    from palimpsest.llm.components import components
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(30)] + [tuple(rng.sample(range(100, 160), 2)) for _ in range(45)] + [(200, 200), (201, 202), (202, 201)]
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: root(n) for n in parent if n != 200}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fm_classifier, mixing, ngram_join, pii, quality_rules, recompression, suffix_dedup, token_store
+from . import chat, decontaminate, fm_classifier, mixing, ngram_join, oracles, pii, quality_rules, recompression, suffix_dedup, token_store
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_quality_rules": oracles.QUALITY_RULES,
+    "op5_substring_dedup": oracles.SUBSTRINGS,
     "op6_decontamination": decontaminate.SQL,
+    "op7_ngram_jaccard_join": oracles.JOIN,
     "op9_chat_formatting": chat.SQL,
 }

@@ -234,3 +234,16 @@ def test_pii_rows_and_redaction(spark):
     assert got[0].base_sha256 == hashlib.sha256(b"email:2:10").hexdigest()
     assert pii.redact("é me@x.org", got[0].spans) == "é <EMAIL>"
     assert pii.find(empty(spark)).count() == 0
+
+
+def test_quality_rules_match_sql(spark, duck):
+    from palimpsest.llm import oracles
+
+    same(quality_rules.query(spark, SF).toPandas(), duck.sql(oracles.QUALITY_RULES).df())
+
+
+def test_substrings_and_join_match_sql(spark, duck):
+    from palimpsest.llm import ngram_join, oracles, recompression
+
+    same(recompression.query(spark, SF).toPandas(), duck.sql(oracles.SUBSTRINGS).df())
+    same(ngram_join.query(spark, SF).toPandas(), duck.sql(oracles.JOIN).df())

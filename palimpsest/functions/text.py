@@ -229,3 +229,18 @@ def strip_ansi(c: Column) -> Column:
 def is_prompt(c: Column) -> Column:
     """A short line that ends like a shell's or a tool's prompt."""
     return (F.length(F.trim(c)) <= 20) & F.trim(c).rlike(r"[>$#%:]$")
+
+
+def years(c: Column, now: int) -> Column:
+    """The years a phrase of time means, ascending; an empty array where there is none."""
+    span = lambda a, b: F.sequence(a, b)
+    ago, last = F.regexp_extract(c, r"大概(\d{1,2})年前", 1), F.regexp_extract(c, r"最近(\d{1,2})年", 1)
+    n = lambda x: F.try_to_number(F.when(x != "", x), F.lit("99")).cast("int")
+    return (
+        F.when(ago != "", span(now - n(ago) - 1, now - n(ago) + 1))
+        .when(last != "", span(now - n(last), F.lit(now)))
+        .when(c.rlike("前年"), F.array(F.lit(now - 2)))
+        .when(c.rlike("去年|last year"), F.array(F.lit(now - 1)))
+        .when(c.rlike("今年|this year"), F.array(F.lit(now)))
+        .otherwise(F.array().cast("array<int>"))
+    )

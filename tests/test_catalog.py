@@ -2,9 +2,9 @@ import pytest
 from compare import same
 from conftest import SF
 
-from palimpsest.plans import behaviour, catalog, extras
+from palimpsest.plans import behaviour, catalog, extras, more
 
-QUERIES, SQL = catalog.QUERIES | behaviour.QUERIES | extras.QUERIES, catalog.SQL | behaviour.SQL | extras.SQL
+QUERIES, SQL = catalog.QUERIES | behaviour.QUERIES | extras.QUERIES | more.QUERIES, catalog.SQL | behaviour.SQL | extras.SQL | more.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -13,7 +13,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(QUERIES) - set(SQL) == {"mem_consolidate", "choice_chain", "message_facts", "relation_triples", "decision_filter"}
+    assert set(QUERIES) - set(SQL) == {"mem_consolidate", "choice_chain", "message_facts", "relation_triples", "decision_filter", "message_signals"}
 
 
 def test_entry(spark):

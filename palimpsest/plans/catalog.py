@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import analytics, graph, log, memory, retrieval, sketches
+from ..operators import log, retrieval
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,6 @@ ASKED = ((1, "the question of and"), (2, "les euxment dans avec"), (3, "und der
 
 _WORDS_SQL = "regexp_extract_all(lower(text), '[a-zA-Z0-9_]{2,}')"
 _ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + ") t(query_id, text))"
-_TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
 def query(name: str, sql: str | None):

@@ -23,7 +23,7 @@ words are never removed; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Blocks, covered, numbered, repeated_runs, with_runs
-from .textkit import Ranges, U64, buffers, checkpoint, mix, sliding_min, slices, words
+from .repeats import Blocks, covered, names, numbered, repeated_runs, text_buffers, with_runs
+from .textkit import Ranges, U64, mix, sliding_min, words
 
 LENGTH = 13
 ROUNDS = 2
@@ -89,31 +89,16 @@ def _scheme(data: np.ndarray, offsets: np.ndarray) -> Blocks:
     return rows, lo - first[rows], count, key, ctx
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of the windows of open blocks: (doc, at, anchor, name)."""
-    for batch in batches:
-        numbers = batch.column(0).to_numpy(zero_copy_only=False)
-        raw, offsets = buffers(batch.column(1))
-        for lo, hi, data, off in slices(raw, offsets):
-            _, _, h, first = words(data, off)
-            ranges = Ranges(h, _SECOND)
-            for i in range(hi - lo):
-                e = batch.column(2)[lo + i].values if hasattr(batch.column(2)[lo + i], "values") else None
-                if e is None or not len(e):
-                    continue
-                at, count, anchor = (e.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-                each = np.repeat(at, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                name = ranges(first[i] + each, first[i] + each + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), numbers[lo + i], np.int64)), pa.array(each.astype(np.int32)), pa.array(np.repeat(anchor, count)), pa.array(name.view(np.int64))], ["doc", "at", "anchor", "name"])
-
-
-def _opened(asked: DataFrame) -> DataFrame:
-    named = asked.select("doc", "text", "entries").mapInArrow(_named, "doc long, at int, anchor long, name long")
-    named = checkpoint(named)
-    least = named.groupBy("anchor", "name").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first < _last").drop("_last")
-    return named.join(least, ["anchor", "name"]).where("doc > _first").select("doc", "at", F.lit(1).alias("count"))
+def _windows(data: np.ndarray, offsets: np.ndarray):
+    _, _, h, first = words(data, offsets)
+    ranges = Ranges(h, _SECOND)
+    return first, lambda at: ranges(at, at + LENGTH)
 
 
+def _opened(blocks: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    named = names(ask(blocks), _windows)
+    least = named.groupBy("anchor", "name").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first < _last").drop("_last")
+    return named.join(least, ["anchor", "name"]).where("doc > _first").select("doc", "at", F.lit(1).alias("count"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -123,7 +108,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = buffers(batch.column(1))
+            raw, offsets = text_buffers(batch.column(1))
             out = []
             for i in range(batch.num_rows):
                 data = raw[offsets[i] : offsets[i + 1]].tobytes()

@@ -10,8 +10,9 @@ covers, document, place, number of windows), so texts aren't shuffled. Blocks me
 - what remains, first occurrences of different contents around one anchor, is looked at window by
   window by the caller (suffix arrays or names), from the texts again.
 
-Within a task, blocks whose content the task has seen in an earlier document are settled at once and
-go no further (the memory for that is bounded, and forgetting costs only shuffle).
+Within a task, blocks whose content the task has seen in an earlier document are settled at once, as
+runs, so copies fold before they are shuffled (the memory for that is bounded; forgetting costs only
+shuffle).
 
 Documents are compared by id. Where ids are missing or repeat, rows are numbered in the order of id
 (null first) and text instead, so that each row is a document of its own.
@@ -23,14 +24,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import bounded_batches, buffers, checkpoint, slices
 
 SEEN = 2_000_000
-#: Run and block lists are broadcast up to this many rows; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Lists of runs are broadcast up to this many bytes in all; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Blocks of one anchor beyond which they are "wide": to be compared by a distributed aggregation.
+WIDE = 2000
+OPEN, TOO_WIDE = 1, 2
+RUN = np.dtype([("at", "<i4"), ("count", "<i4")])
+BLOCK = np.dtype([("at", "<i4"), ("count", "<i4"), ("anchor", "<i8")])
 BLOCKS = "anchor long, ctx long, doc long, at int, count int, settled boolean"
 Blocks = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # row, at, count, anchor, ctx
 
@@ -48,7 +55,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 class _Seen:
     """Contents a task has met, with the least document of each."""
 
-    def __init__(self) -> None:
+    def __init__(self, within: bool) -> None:
+        self.within = within
         self.keys, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
@@ -57,20 +65,26 @@ class _Seen:
         keys, docs = np.concatenate([self.keys, *[k for k, _ in self.new]]), np.concatenate([self.docs, *[d for _, d in self.new]])
         order = np.lexsort((docs, keys))
         keys, docs = keys[order], docs[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
         self.keys, self.docs, self.new, self.waiting = keys[first], docs[first], [], 0
         if len(self.keys) > SEEN:
             self.keys, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def earlier(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Which keys were met in a document with a smaller number."""
-        out = np.zeros(len(keys), bool)
-        if len(self.keys) and len(keys):
+        """Which keys were met in a document with a smaller number, or, if that counts, earlier in the same one."""
+        if not len(keys):
+            return np.zeros(0, bool)
+        order = np.lexsort((docs, keys))  # stable, so places of one document stay in order
+        k, d = keys[order], docs[order]
+        head = np.concatenate([[True], k[1:] != k[:-1]])
+        out = np.empty(len(keys), bool)
+        out[order] = ~head if self.within else d > d[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            out = (self.keys[at] == keys) & (self.docs[at] < docs)
-        self.new.append((keys, docs))
-        self.waiting += len(keys)
-        if self.waiting > 200_000:
+            out |= (self.keys[at] == keys) & (self.docs[at] < docs)
+        self.new.append((k[head], d[head]))
+        self.waiting += int(head.sum())
+        if self.waiting > max(20_000, len(self.keys) // 4):
             self._merge()
         return out
 
@@ -89,9 +103,9 @@ def _emit(anchor, ctx, doc, at, count, settled) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["anchor", "ctx", "doc", "at", "count", "settled"])
 
 
-def _blocks(docs: DataFrame, scheme: Callable[[np.ndarray, np.ndarray], Blocks]) -> DataFrame:
+def _blocks(docs: DataFrame, scheme: Callable[[np.ndarray, np.ndarray], Blocks], within: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
+        seen = _Seen(within)
         for batch in batches:
             numbers = batch.column(0).to_numpy(zero_copy_only=False)
             raw, offsets = buffers(batch.column(1))
@@ -115,7 +129,7 @@ def _blocks(docs: DataFrame, scheme: Callable[[np.ndarray, np.ndarray], Blocks])
 
 
 def _judged(blocks: DataFrame, within: bool) -> DataFrame:
-    """(doc, at, count, anchor, open): settled blocks, and open ones that have to be looked at by window."""
+    """(doc, at, count, anchor, open): settled blocks (0), and open ones that have to be looked at by window."""
     dealt = blocks.repartition("anchor").sortWithinPartitions("anchor", "settled", "ctx", "doc", "at")
     names = ["anchor", "ctx", "doc", "at", "count", "settled"]
 
@@ -129,7 +143,8 @@ def _judged(blocks: DataFrame, within: bool) -> DataFrame:
         done = settled | later
         open_ = ~done & (variety > 1)
         keep = np.flatnonzero(done | open_)
-        columns = [pa.array(doc[keep]), pa.array(at[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32)), pa.array(anchor[keep]), pa.array(open_[keep])]
+        state = np.where(done, 0, np.where(variety > WIDE, TOO_WIDE, OPEN)).astype(np.int32)
+        columns = [pa.array(doc[keep]), pa.array(at[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32)), pa.array(anchor[keep]), pa.array(state[keep])]
         return pa.RecordBatch.from_arrays(columns, ["doc", "at", "count", "anchor", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,45 +160,108 @@ def _judged(blocks: DataFrame, within: bool) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield judge(*rest)
 
-    return checkpoint(dealt.mapInArrow(run, "doc long, at int, count int, anchor long, open boolean"))
+    return checkpoint(dealt.mapInArrow(run, "doc long, at int, count int, anchor long, open int"))
 
 
-def _listed(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per document with its entries in order, as an array of structs."""
-    return rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("entries"))
+def _listed(rows: DataFrame, kind: np.dtype) -> DataFrame:
+    """(doc, entries): each document's entries in order, as the bytes of an array of ``kind``; runs that touch are merged."""
+    grouped = rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(*kind.names))).alias("entries"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, at = lists.flatten(), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+            table = np.empty(len(flat), kind)
+            for name in kind.names:
+                table[name] = flat.field(name).to_numpy(zero_copy_only=False)
+            cells = []
+            for i in range(batch.num_rows):
+                part = table[at[i] : at[i + 1]]
+                if kind == RUN:
+                    reach = np.maximum.accumulate(part["at"].astype(np.int64) + part["count"])
+                    heads = np.flatnonzero(np.concatenate([[True], part["at"][1:] > reach[:-1]]))
+                    ends = reach[np.concatenate([heads[1:] - 1, [len(part) - 1]])]
+                    part = part[heads].copy()
+                    part["count"] = ends - part["at"]
+                cells.append(part.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], ["doc", "entries"])
+
+    return grouped.mapInArrow(pack, "doc long, entries binary")
+
+
+def _packed_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with compressed texts, for a shuffle."""
+    at, schema = docs.columns.index("text"), ", ".join(f"`{n}` {'binary' if n == 'text' else t}" for n, t in docs.dtypes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tight = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            cells = pa.array([None if x is None else tight.compress(x.encode()) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([cells if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return docs.mapInArrow(pack, schema)
 
 
-def _attached(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """``docs`` with their entries; broadcast only if counted to be small, else joined by shuffle."""
-    lists = checkpoint(lists)
-    small = lists.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(lists) if small else lists, "doc", how)
+def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``buffers`` of texts that may have come compressed."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        loose = zstandard.ZstdDecompressor()
+        column = pa.array([None if x is None else loose.decompress(x) for x in column.to_pylist()], pa.large_binary())
+    return buffers(column)
 
 
-def repeated_runs(docs: DataFrame, scheme: Callable, opened: Callable[[DataFrame], DataFrame], within: bool) -> DataFrame:
+def repeated_runs(docs: DataFrame, scheme: Callable, opened: Callable[[DataFrame, Callable], DataFrame], within: bool) -> DataFrame:
     """(doc, entries): the runs (at, count) of windows of each document that occur earlier.
 
-    ``docs`` has doc and text. ``scheme`` makes a slice's blocks; ``opened`` gets (doc, text, entries
-    (at, count, anchor)) of open blocks and returns repeated windows as (doc, at, count); ``within``:
-    an earlier place in the same document counts.
+    ``docs`` has doc and text. ``scheme`` makes a slice's blocks. ``opened`` gets the open blocks and
+    a function that attaches texts to some of them, (doc, text, entries), and returns repeated
+    windows as (doc, at, count). ``within``: an earlier place in the same document counts.
     """
     bounded_batches(docs.sparkSession)
-    judged = _judged(_blocks(docs, scheme), within)
-    asked = _attached(docs.select("doc", "text"), _listed(judged.where("open"), ["at", "count", "anchor"]), "inner")
-    found = judged.where("not open").select("doc", "at", "count").unionAll(opened(asked).select("doc", "at", "count"))
-    return _listed(found, ["at", "count"])
+    judged = _judged(_blocks(docs, scheme, within), within)
+    # lists of open blocks grow with the input, so they are joined by shuffle, with compressed texts
+    packed = _packed_texts(docs.select("doc", "text"))
+    ask = lambda blocks: packed.join(_listed(blocks, BLOCK).hint("merge"), "doc").select("doc", "text", "entries")
+    found = judged.where("open = 0").select("doc", "at", "count").unionAll(opened(judged.where("open > 0"), ask).select("doc", "at", "count"))
+    return _listed(found, RUN)
 
 
-def covered(entries, length: int, size: int) -> np.ndarray:
+def covered(entries: bytes | None, length: int, size: int) -> np.ndarray:
     """Which of ``size`` symbols lie in a window of ``length`` of the runs (at, count)."""
     mark = np.zeros(size + 1, np.int32)
-    if entries is not None and len(entries):
-        at = np.array([e["at"] for e in entries], np.int64)
-        end = at + np.array([e["count"] for e in entries], np.int64) + length - 1
+    if entries:
+        runs = np.frombuffer(entries, RUN)
+        at = runs["at"].astype(np.int64)
         np.add.at(mark, at, 1)
-        np.add.at(mark, np.minimum(end, size), -1)
+        np.add.at(mark, np.minimum(at + runs["count"] + length - 1, size), -1)
     return np.cumsum(mark)[:size] > 0
 
 
+def names(asked: DataFrame, ranges: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, Callable]]) -> DataFrame:
+    """(doc, at, anchor, name): each window of the asked blocks, named by its anchor and a hash of its content.
+
+    ``ranges`` makes of a slice the rows' first symbols and a function that hashes windows from their starts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_numpy(zero_copy_only=False)
+            raw, offsets = text_buffers(batch.column(1))
+            for lo, hi, data, off in slices(raw, offsets):
+                first, window = ranges(data, off)
+                parts = [np.frombuffer(batch.column(2)[lo + i].as_py(), BLOCK) for i in range(hi - lo)]
+                all_ = np.concatenate(parts)
+                count = all_["count"].astype(np.int64)
+                each = np.repeat(all_["at"].astype(np.int64), count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                row = np.repeat(np.repeat(np.arange(hi - lo), [len(p) for p in parts]), count)
+                name = window(first[row] + each)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[lo:hi][row]), pa.array(each.astype(np.int32)), pa.array(np.repeat(all_["anchor"], count)), pa.array(name.view(np.int64))], ["doc", "at", "anchor", "name"])
+
+    return checkpoint(asked.mapInArrow(run, "doc long, at int, anchor long, name long"))
+
+
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    return _attached(docs, runs, "left")
+    """``docs`` with their runs; broadcast only if they are measured to be small, else both sides are shuffled."""
+    runs = checkpoint(runs)
+    size = runs.agg(F.coalesce(F.sum(F.length("entries") + 16), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(runs), "doc", "left") if size <= BROADCAST_BYTES else _packed_texts(docs).join(runs, "doc", "left")

@@ -4,7 +4,9 @@ A 100-byte window's anchor is the 32-byte string in it with the least hash, so a
 about n / 35 blocks (see ``repeats``). The contexts of blocks that share an anchor but not their
 content are dealt by anchor to shards; a shard's contexts are one text, whose suffix array is made
 by induced sorting. Neighbours in the array that have 100 bytes in common (permuted common prefixes,
-confirmed byte by byte) are equal windows, of which the earliest stays.
+confirmed byte by byte) are equal windows, of which the earliest stays. An anchor with very many
+different contexts would not fit one array: its windows are named instead, by 128 bits, and the
+earliest of each name is found by a distributed aggregation.
 
 Texts are UTF-8 bytes, matches never cross documents, and windows are judged on the input.
 
@@ -16,23 +18,24 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Blocks, covered, numbered, repeated_runs, with_runs
+from .repeats import BLOCK, OPEN, TOO_WIDE, Blocks, covered, names, numbered, repeated_runs, text_buffers, with_runs
 from .suffix_array import suffix_array
-from .textkit import Ranges, U64, buffers, sliding_min
+from .textkit import Ranges, U64, sliding_min
 
 LENGTH = 100
 GRAM = 32
 _PLACE = U64((1 << 27) - 1)
 _SECOND = 0xC2B2AE3D27D4EB4F
 #: Bytes of contexts that are sorted in one array; groups of one anchor stay together.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 
 
 def _scheme(data: np.ndarray, offsets: np.ndarray) -> Blocks:
@@ -55,14 +58,14 @@ def _scheme(data: np.ndarray, offsets: np.ndarray) -> Blocks:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, offsets = buffers(batch.column(1))
+        raw, offsets = text_buffers(batch.column(1))
         text = raw.tobytes()
         rows = []
         for i in range(batch.num_rows):
             doc = batch.column(0)[i].as_py()
-            for e in batch.column(2)[i].as_py():
-                a = int(offsets[i]) + e["at"]
-                rows.append((e["anchor"], doc, e["at"], e["count"], text[a : a + e["count"] - 1 + LENGTH]))
+            for at, count, anchor in np.frombuffer(batch.column(2)[i].as_py(), BLOCK).tolist():
+                a = int(offsets[i]) + at
+                rows.append((anchor, doc, at, count, text[a : a + count - 1 + LENGTH]))
         for lo in range(0, len(rows), 20_000):
             columns = list(zip(*rows[lo : lo + 20_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["anchor", "doc", "at", "count", "context"])
@@ -122,9 +125,21 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(now)
 
 
-def _opened(asked: DataFrame) -> DataFrame:
-    contexts = asked.select("doc", "text", "entries").mapInArrow(_contexts, "anchor long, doc long, at int, count int, context binary")
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "doc long, at int, count int")
+def _windows(data: np.ndarray, offsets: np.ndarray):
+    ranges = Ranges(data, _SECOND)
+    return offsets, lambda at: ranges(at, at + LENGTH)
+
+
+def _opened(blocks: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    contexts = ask(blocks.where(F.col("open") == OPEN)).mapInArrow(_contexts, "anchor long, doc long, at int, count int, context binary")
+    found = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "doc long, at int, count int")
+    wide = blocks.where(F.col("open") == TOO_WIDE)
+    if not wide.limit(1).count():
+        return found
+    named = names(ask(wide), _windows)
+    place = F.struct("doc", "at")
+    least = named.groupBy("anchor", "name").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return found.unionAll(named.join(least, ["anchor", "name"]).where(place > F.col("_first")).select("doc", "at", F.lit(1).alias("count")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -134,7 +149,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = buffers(batch.column(1))
+            raw, offsets = text_buffers(batch.column(1))
             out = []
             for i in range(batch.num_rows):
                 data, entries = raw[offsets[i] : offsets[i + 1]], batch.column(2)[i].as_py()

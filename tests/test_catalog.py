@@ -1,6 +1,5 @@
 import pytest
-from compare import same
-from conftest import SF
+from compare import SF, same
 
 from palimpsest.plans import behaviour, catalog, extras, more
 

@@ -87,7 +87,7 @@ def test_leaders_equal_the_sequential_rule(spark):
 
 def test_mem_consolidate_query(spark):
     import numpy as np
-    from conftest import SF
+    from compare import SF
 
     from palimpsest.plans import behaviour, views
 

@@ -6,6 +6,9 @@ sketches merge by addition, in any order, with partial aggregation, and reruns a
 A group with fewer than ``MIN_GROUP`` documents takes its language's merged sketch, and a language
 with fewer that of the whole table.
 
+A limit is a factor on the median plus a slack. Where under half of a group show a trait its median is 0
+and the limit is the slack alone, the same for every such group.
+
 DataFrame functions only. Counting repeated word windows sorts hashes (64 bits, within one document)
 inside an array expression; nothing is exploded and no text is shuffled.
 

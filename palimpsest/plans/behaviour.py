@@ -177,7 +177,7 @@ def _(s, d):
 
 @query("mem_reclassify", f"WITH {v.MESSAGES}, m AS (SELECT msg_id AS memory_id, regexp_replace(substring(text, 1, 3), '^\\s*\\d{{4}}-\\d{{2}}-\\d{{2}}\\s*', '') AS content FROM messages) SELECT content, count(*) AS n, min(memory_id) AS first_id FROM m GROUP BY content HAVING count(*) >= 3")
 def _(s, d):
-    m = v.messages(s, d).select(F.col("msg_id").alias("memory_id"), F.lit("episodic").alias("type"), F.substring("text", 1, 3).alias("content"))
+    m = v.messages(s, d).select(F.col("msg_id").alias("memory_id"), F.lit("episodic").alias("type"), F.col("text").alias("content"))
     return memory.reclassify(m)
 
 

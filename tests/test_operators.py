@@ -129,3 +129,12 @@ def test_log_fate(spark):
 def test_stability_of_one_row_is_left_out(spark):
     df = spark.createDataFrame([(1, 5), (2, 1), (2, 3)], "user_id int, drift int")
     assert [r.user_id for r in analytics.stability(df, ["user_id"]).collect()] == [2]
+
+
+def test_mem_reclassify_groups_whole_texts(spark, tmp_path):
+    from palimpsest.plans import behaviour
+
+    texts = ["2024-01-05 tea with Ann", "2024-02-06 tea with Ann", "1月3日 tea with Ann", "tea with Bob", "tea at noon", "tea, cold"]
+    rows = [(1, i, "user", x) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in behaviour.QUERIES["mem_reclassify"](spark, str(tmp_path)).collect()] == [("tea with Ann", 3, 1000)]

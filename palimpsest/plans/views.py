@@ -72,7 +72,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(d, e["vec_id"] == d["doc_id"]).select(
         i.alias("memory_id"),
         kind.alias("type"),
-        F.substring("text", 1, 200).alias("content"),
+        F.col("text").alias("content"),
         (F.col("label") / 10.0).alias("arousal"),
         (1.0 / (1 + i % 5)).alias("weight"),
         (i % 7).cast("int").alias("access_count"),

@@ -138,3 +138,17 @@ def test_mem_reclassify_groups_whole_texts(spark, tmp_path):
     rows = [(1, i, "user", x) for i, x in enumerate(texts)]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [tuple(r) for r in behaviour.QUERIES["mem_reclassify"](spark, str(tmp_path)).collect()] == [("tea with Ann", 3, 1000)]
+
+
+def test_memories_hold_whole_texts(spark, tmp_path):
+    from palimpsest.plans import behaviour, extras
+
+    tail = ["never the of", "der und heit dans", "xyz"]
+    docs = [(4 * i, "q " * 200 + x) for i, x in enumerate(tail)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 4, [1.0]) for i, _ in docs], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda m, name: {r[0]: r for r in m.QUERIES[name](spark, str(tmp_path)).collect()}
+    got = run(behaviour, "mem_persona_weight")
+    assert {i: r.match > 0 for i, r in got.items()} == {0: True, 4: True, 8: False}
+    assert run(extras, "persona_triggers").keys() == {i for i, x in docs if any(w in x for w in extras._FIELDS)} != set()
+    assert {i: r.tokens for i, r in run(behaviour, "mem_context_pack").items()} == {i: (len(x) + 7) // 4 for i, x in docs}

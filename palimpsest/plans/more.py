@@ -117,7 +117,7 @@ def _(s, d):
 def _(s, d):
     t = v.decisions(s, d).withColumn("tag", F.concat("scene", "direction"))
     seen = t.where("stage < 4").select("tag").distinct()
-    return t.where("stage >= 4 and user_id < 20").select("tag").distinct().join(seen, "tag", "left_anti")
+    return t.where("stage >= 4").select("tag").distinct().join(seen, "tag", "left_anti")
 
 
 @query("message_signals", None)

@@ -152,3 +152,12 @@ def test_memories_hold_whole_texts(spark, tmp_path):
     assert {i: r.match > 0 for i, r in got.items()} == {0: True, 4: True, 8: False}
     assert run(extras, "persona_triggers").keys() == {i for i, x in docs if any(w in x for w in extras._FIELDS)} != set()
     assert {i: r.tokens for i, r in run(behaviour, "mem_context_pack").items()} == {i: (len(x) + 7) // 4 for i, x in docs}
+
+
+def test_learned_tags_of_all_users(spark, tmp_path):
+    from palimpsest.plans import more
+
+    t = dt.datetime
+    rows = [(1, 3, t(2024, 1, 2), "view", 1.0, '{"k": 1}'), (2, 900, t(2024, 1, 25), "purchase", 1.0, '{"k": 2}'), (3, 900, t(2024, 1, 26), "view", 1.0, '{"k": 1}')]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.tag for r in more.QUERIES["learned_tags"](spark, str(tmp_path)).collect()] == ["s2spend"]

@@ -1,10 +1,9 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words adjust a score.
 
-Base kinds (email, ip, card, phone) are always reported. The method adds kinds of its own: ``iban``
-(mod-97), ``card`` and ``phone`` spans in notations the base patterns don't take, and ``secret``
-(assignments of keys and passwords), each only if its score reaches ``LEAST``. A score is the
-pattern's weight, plus one step for a passed checksum or a telling word nearby, less one step for a
-word that speaks against it.
+Base kinds (email, ip, card, phone) are always reported. The method adds ``iban`` spans (mod-97) and
+``card`` and ``phone`` spans in notations the base patterns don't take, each only if its score reaches
+``LEAST``. A score is the pattern's weight, plus one step for a passed checksum and one for a telling
+word nearby, less one step for a word that speaks against a span without a checksum.
 
 Each text is scanned whole, on its own, in Arrow batches. Offsets are code points, ends exclusive.
 
@@ -33,6 +32,8 @@ _AT_RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?\b")
+#: Characters of a country's IBAN, for the order in which ends are tried.
+IBAN_LENGTH = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI NL", 19: "SI", 20: "AT EE LT LU", 21: "CH HR LI LV", 22: "BG DE GB IE", 23: "GI", 24: "CZ ES RO SE SK", 25: "PT", 26: "IS", 27: "FR GR IT MC SM", 28: "CY HU PL", 31: "MT"}.items() for c in cs.split()}
 DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{3,4}(?![0-9.])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
 #: Context words and the characters around a span that are searched for them.
@@ -56,6 +57,19 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each IBAN. A candidate may hold words that follow, so each of its word ends is tried, the one at its country's length first, then from the longest; after a miss the search goes on within it."""
+    at = 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 1
+        ends = [len(m[0]), *[i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " "]]
+        for n in sorted(ends, key=lambda n: n - m[0].count(" ", 0, n) != IBAN_LENGTH.get(m[0][:2])):
+            if mod97(m[0][:n]):
+                at = m.start() + n
+                yield m.start(), at
+                break
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by the four base patterns; matches that fail their test are dropped, without retries."""
     out = []
@@ -78,15 +92,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def _score(kind: str, text: str, start: int, end: int, weight: int, checked: bool) -> int:
     around = text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]
-    return weight + checked + bool(FOR[kind].search(around)) - bool(AGAINST.search(around))
+    return weight + checked + bool(FOR[kind].search(around)) - (not checked and bool(AGAINST.search(around)))
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans beyond the base ones that score ``LEAST`` or more and overlap none of them."""
-    found = []
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            found.append((m.start(), m.end(), "iban", 1, True))
+    found = [(a, b, "iban", 1, True) for a, b in ibans(text)]
     for m in DOTTED_CARD.finditer(text):
         if luhn(_NOT_DIGIT.sub("", m[0])):
             found.append((m.start(), m.end(), "card", 1, True))

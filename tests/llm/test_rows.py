@@ -227,6 +227,16 @@ def test_emails_equal_a_plain_scan():
         assert [(a, b) for a, b, k in pii.base_spans(t) if k == "email"] == [m.span() for m in plain.finditer(t)]
 
 
+def test_pii_ibans_before_other_words():
+    spans = lambda t: [t[a:b] for a, b, k in pii.added_spans(t, pii.base_spans(t))]
+    assert spans("IBAN BE68539007547034 EUR 100") == ["BE68539007547034"]
+    assert spans("IBAN: BE68 5390 0754 7034 2024") == ["BE68 5390 0754 7034"]
+    assert spans("pay BE68539007547034 AT611904300234573201 NOW") == ["BE68539007547034", "AT611904300234573201"]
+    assert spans("AB13 3456 7890 BE68 5390 0754 7034.") == ["BE68 5390 0754 7034"]
+    assert spans("invoice 7, order 8: BE68539007547034.") == ["BE68539007547034"]
+    assert spans("IBAN BE68539007547035 EUR 100") == []
+
+
 def test_pii_rows_and_redaction(spark):
     docs = frame(spark, ["é me@x.org", None, "", "ip 9.9.9.9 ip 9.9.9.9", "x"], [1, 2, 3, 3, None])
     got = pii.find(docs).collect()

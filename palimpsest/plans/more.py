@@ -39,7 +39,7 @@ def _(s, d):
 def _(s, d):
     k = s.createDataFrame([("work", "tion"), ("work", "ment"), ("home", "heit"), ("travel", "mente")], "scene string, word string")
     w = W.partitionBy("conv_id").orderBy(F.desc("msg_id"))
-    tail = v.messages(s, d).withColumn("_r", F.row_number().over(w)).where("_r <= 3").select("conv_id", F.lower("text").alias("_t"))
+    tail = v.messages(s, d).withColumn("_r", F.row_number().over(w)).where("_r <= 15").select("conv_id", F.lower("text").alias("_t"))
     return tail.join(F.broadcast(k), F.contains("_t", "word")).select("conv_id", "scene").distinct()
 
 

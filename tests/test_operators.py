@@ -161,3 +161,12 @@ def test_learned_tags_of_all_users(spark, tmp_path):
     rows = [(1, 3, t(2024, 1, 2), "view", 1.0, '{"k": 1}'), (2, 900, t(2024, 1, 25), "purchase", 1.0, '{"k": 2}'), (3, 900, t(2024, 1, 26), "view", 1.0, '{"k": 1}')]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert [r.tag for r in more.QUERIES["learned_tags"](spark, str(tmp_path)).collect()] == ["s2spend"]
+
+
+def test_scene_guess_reads_the_last_fifteen(spark, tmp_path):
+    from palimpsest.plans import more
+
+    texts = ["Freiheit", "station", *["well"] * 13, "moment"]
+    rows = [(1, i, "user", x) for i, x in enumerate([*texts[:15], "well"])] + [(2, 0, "user", texts[-1])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {tuple(r) for r in more.QUERIES["scene_guess"](spark, str(tmp_path)).collect()} == {(1, "work"), (2, "work")}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import lexicon, text
 
 
 def last(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -117,13 +117,65 @@ def stage_links(decisions: DataFrame) -> DataFrame:
     return s.withColumn("next_stage", F.lead("stage").over(w)).withColumn("next_drift", F.lead("drift").over(w)).where("next_stage is not null").withColumn("trend", F.when(F.col("next_drift") > F.col("drift"), "up").when(F.col("next_drift") < F.col("drift"), "down").otherwise("flat"))
 
 
-def contradictions(decisions: DataFrame) -> DataFrame:
-    """Rules that a key's figures break: its talk against its drift, and moves of a scene's share without a switch."""
+def scene_moves(decisions: DataFrame, least: int = 30) -> DataFrame:
+    """(user_id, scene, from_pct, to_pct): scenes whose share moved by ``least`` points from a user's first stage to the last."""
+    m = decisions.groupBy("user_id", "stage", "scene").agg(F.count("*").alias("n"))
+    share = F.bround(100.0 * F.col("n") / F.sum("n").over(W.partitionBy("user_id", "stage")), 0).cast("int")
+    w = W.partitionBy("user_id")
+    ends = m.withColumn("share", share).withColumn("_a", F.min("stage").over(w)).withColumn("_b", F.max("stage").over(w)).where("_a < _b")
+    at = lambda c: F.coalesce(F.max(F.when(F.col("stage") == F.col(c), F.col("share"))), F.lit(0))
+    return ends.groupBy("user_id", "scene").agg(at("_a").alias("from_pct"), at("_b").alias("to_pct")).where(F.abs(F.col("to_pct") - F.col("from_pct")) >= least)
+
+
+def contradictions(decisions: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
+    """Rules that a key's figures break: its talk against its drift, moves of a scene's share without a switch,
+    volatility that no trend foretells (a slope of 0.1 does), its annotation against its drift.
+
+    ``annotations`` (user_id, persona_type, emotional_state, reminder_tone, prev_tone): the latest one of each key.
+    """
     per = decisions.groupBy("user_id").agg(F.count_if(F.col("direction") == "frugal").alias("f"), F.count_if(F.col("direction") == "spend").alias("s"), F.avg("drift").alias("d"), F.stddev_samp("drift").alias("v"))
     talk = per.where((F.col("f") > F.col("s")) & (F.col("d") <= -30)).select("user_id", F.lit("frugal_words_spending_drift").alias("rule"))
     back = per.where((F.col("s") > F.col("f")) & (F.col("d") >= 30)).select("user_id", F.lit("spending_words_frugal_drift").alias("rule"))
-    wild = per.where(F.col("v") >= 40).select("user_id", F.lit("volatile").alias("rule"))
-    return talk.unionAll(back).unionAll(wild)
+    foretold = slope(decisions).where(F.abs("slope") >= 0.1).select("user_id")
+    wild = per.where(F.col("v") >= 40).join(foretold, "user_id", "left_anti").select("user_id", F.lit("volatile").alias("rule"))
+    switched = switch_flag(decisions).where("switches").select("user_id")
+    moved = scene_moves(decisions).select("user_id").distinct().join(switched, "user_id", "left_anti").select("user_id", F.lit("scene_moved_without_switch").alias("rule"))
+    out = talk.unionAll(back).unionAll(wild).unionAll(moved)
+    if annotations is None:
+        return out
+    c = F.col
+    rules = [
+        F.when(c("persona_type").contains("成本") & (c("majority") == "spend") & (F.abs("drift") >= 30), "cost_minded_but_spending"),
+        F.when(c("emotional_state").contains("压力") & (c("majority") != "drift"), "pressed_without_drift"),
+        F.when((c("reminder_tone") != "") & (c("prev_tone") != "") & (c("reminder_tone") != c("prev_tone")), "tone_changed"),
+    ]
+    noted = annotations.where("persona_type <> ''").join(drift(decisions), "user_id")
+    return out.unionAll(noted.select("user_id", F.explode(F.array_compact(F.array(*rules))).alias("rule")))
+
+
+#: Tags of a choice that lean one way.
+FRUGAL_TAGS = ["成本观", "性价比优先", "独立性", "动手派", "省钱"]
+SPEND_TAGS = ["愿意投入", "花钱", "付费"]
+
+
+def persona_alerts(choices: DataFrame, personas: DataFrame) -> DataFrame:
+    """(user_id, ts, event_id, alerts): choices that speak against a user's persona text, or show that it is stale.
+
+    ``choices`` (user_id, ts, event_id, direction, tags), ``personas`` (user_id, text). For 24 hours
+    after an alert a user's further ones are dropped; this folds a user's alerts in one row.
+    """
+    t, p, c = lexicon.DRIFT, F.col("text"), F.col
+    frugal, spend, drift_ = (text.any_hit(p, ws) for ws in (t["frugal"], t["spend"], t["give_up"] + t["compromise"] + t["annoyed"]))
+    rules = [
+        F.when((c("direction") == "spend") & frugal, "spending_against_persona"),
+        F.when((c("direction") == "frugal") & spend, "frugal_against_persona"),
+        F.when((c("direction") == "drift") & drift_, "giving_up"),
+        F.when(text.any_hit(c("tags"), FRUGAL_TAGS) & ~frugal, "stale_persona_frugal"),
+        F.when(text.any_hit(c("tags"), SPEND_TAGS) & ~spend, "stale_persona_spend"),
+    ]
+    found = choices.join(personas, "user_id").select("user_id", F.struct("ts", "event_id", F.array_compact(F.array(*rules)).alias("alerts")).alias("x")).where(F.size("x.alerts") > 0)
+    cooled = F.expr("aggregate(_a, slice(_a, 1, 0), (k, x) -> CASE WHEN size(k) = 0 OR x.ts >= get(k, size(k) - 1).ts + INTERVAL 24 HOURS THEN concat(k, array(x)) ELSE k END)")
+    return found.groupBy("user_id").agg(F.sort_array(F.collect_list("x")).alias("_a")).select("user_id", F.inline(cooled))
 
 
 def persona(docs: DataFrame, patterns: dict[str, str], least: int = 2, most: int = 5) -> DataFrame:

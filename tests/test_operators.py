@@ -170,3 +170,25 @@ def test_scene_guess_reads_the_last_fifteen(spark, tmp_path):
     rows = [(1, i, "user", x) for i, x in enumerate([*texts[:15], "well"])] + [(2, 0, "user", texts[-1])]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert {tuple(r) for r in more.QUERIES["scene_guess"](spark, str(tmp_path)).collect()} == {(1, "work"), (2, "work")}
+
+
+def test_contradictions_of_scenes_trends_and_annotations(spark):
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [(1, i, "neutral", 0, i // 5, "a" if i < 5 else "b") for i in range(10)]  # a scene moves
+    rows += [(2, i, "spend", -60, i // 5, "a" if i < 5 else "b") for i in range(10)]  # it moves with a switch
+    rows += [(3, i, "neutral", 50 * (i % 3 - 1), 0, "a") for i in range(3)]  # volatile, too short for a trend
+    rows += [(4, i, "neutral", 30 * i, 0, "a") for i in range(10)]  # volatile with a trend
+    df = spark.createDataFrame([(u, i, day(i), d, x, st, sc) for u, i, d, x, st, sc in rows], "user_id int, event_id long, ts timestamp_ntz, direction string, drift int, stage int, scene string")
+    assert sorted(map(tuple, analytics.contradictions(df).collect())) == [(1, "scene_moved_without_switch"), (3, "volatile")]
+    notes = spark.createDataFrame([(1, "x", "压力期", "soft", "hard"), (2, "成本敏感型", None, None, None)], "user_id int, persona_type string, emotional_state string, reminder_tone string, prev_tone string")
+    got = set(map(tuple, analytics.contradictions(df, notes).collect()))
+    assert got == {(1, "scene_moved_without_switch"), (3, "volatile"), (1, "pressed_without_drift"), (1, "tone_changed"), (2, "cost_minded_but_spending")}
+
+
+def test_persona_alerts_cool_down(spark):
+    hour = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)
+    rows = [(1, hour(0), 1, "spend", ""), (1, hour(23), 2, "spend", ""), (1, hour(24), 3, "neutral", "付费"), (1, hour(30), 4, "spend", ""), (2, hour(1), 5, "frugal", "省钱")]
+    choices = spark.createDataFrame(rows, "user_id int, ts timestamp_ntz, event_id long, direction string, tags string")
+    personas = spark.createDataFrame([(1, "省钱"), (2, "nothing")], "user_id int, text string")
+    got = {r.event_id: r.alerts for r in analytics.persona_alerts(choices, personas).collect()}
+    assert got == {1: ["spending_against_persona"], 3: ["stale_persona_spend"], 5: ["stale_persona_frugal"]}

@@ -191,9 +191,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
 
 
 def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node, n_links) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, node) for each row of ``docs`` (doc_id, text).
 
-    ``n_links`` counts the links that were verified for the node in order to find the components.
+    Components are whole; links within one are neither all found nor counted.
     """
     bounded_batches(docs.sparkSession)
     summaries = checkpoint(_summaries(docs, k))
@@ -223,16 +223,14 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     second = second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _verified(checkpoint(second), docs, nodes, k, percent)
 
-    every = links.unionAll(more)
     root = label
     if more.limit(1).count():
         root = components(label.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     placed = nodes.select("node", "doc").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    by_node = checkpoint(placed.join(least, "root").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    by_node = checkpoint(placed.join(least, "root").select("node", "component_id"))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -13,7 +13,8 @@ Anchors with the three words to each side are the shared symbols that reveal rep
 window, 64 bits each) and their least document is found by aggregation, so a frequent passage is
 pre-aggregated before it is shuffled and its joins can be split.
 
-Words are runs outside ``\\x20\\x09-\\x0D``, unchanged; windows are judged on the input.
+Words are runs outside ``\\x20\\x09-\\x0D``, unchanged; windows are judged on the input. A very long
+text is looked at in overlapping pieces of about 1 MB.
 
 Defined cases: a null or empty text has no words and keeps the empty string; repeated rows are
 documents of their own (see ``repeats.numbered``), so later ones lose all windows; fewer than 13
@@ -32,15 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .repeats import Blocks, covered, names, numbered, repeated_runs, text_buffers, with_runs
-from .textkit import Ranges, U64, mix, sliding_min, words
+from .textkit import KEY, OTHER_KEY, SLICE_BYTES, U64, mix, sliding_min, windows, words
 
 LENGTH = 13
 ROUNDS = 2
 #: Words to each side that decide whether a symbol of the last round arises; its own most words.
 REACH = (1 << ROUNDS) - 1
 WIDEST = 1 << ROUNDS
-_PLACE = U64((1 << 27) - 1)
-_SECOND = 0xC2B2AE3D27D4EB4F
+_PLACE = U64((1 << 27) - 1)  # of a slice or piece
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -58,13 +58,13 @@ def compress(names: np.ndarray, starts: np.ndarray, row: np.ndarray, round_: int
 
 
 def _scheme(data: np.ndarray, offsets: np.ndarray) -> Blocks:
-    _, _, h, first = words(data, offsets)
+    _, _, h, first, check = words(data, offsets, check=True)
     n = len(h)
     none = np.zeros(0, np.int64)
     end = np.repeat(first[1:], np.diff(first))
-    windows = np.flatnonzero(np.arange(n) + LENGTH <= end)
-    if not len(windows):
-        return none, none, none, none.astype(U64), none.astype(U64)
+    at = np.flatnonzero(np.arange(n) + LENGTH <= end)
+    if not len(at):
+        return none, none, none, *[none.astype(U64)] * 3
     row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     names, starts, row = h, np.arange(n), row_of
     for r in range(ROUNDS):
@@ -78,21 +78,50 @@ def _scheme(data: np.ndarray, offsets: np.ndarray) -> Blocks:
         value[starts[mine]] = (names[mine] & ~_PLACE) | starts[mine].astype(U64)
         inner = LENGTH - 2 * REACH - width + 1
         best = np.minimum(best, sliding_min(value, inner)[REACH : REACH + len(best)])
-    anchor = (best[windows] & _PLACE).astype(np.int64)
-    heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)]))
-    count = np.diff(np.concatenate([heads, [len(windows)]]))
-    lo, a = windows[heads], anchor[heads]
+    anchor = (best[at] & _PLACE).astype(np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
+    count = np.diff(np.concatenate([heads, [len(at)]]))
+    lo, a = at[heads], anchor[heads]
     width = span[np.searchsorted(starts, a)]
-    key = Ranges(h)(a - REACH, a + width + REACH)
-    ctx = Ranges(h, _SECOND)(lo, lo + count - 1 + LENGTH) + (count * 64 + a - lo).astype(U64)
+    # ranges of words are named by two windows that overlap: a symbol with its surroundings, and the whole block
+    near = windows(h, 2 * REACH + 1)
+    key = mix(near[a - REACH] * U64(KEY) + near[a + width - REACH - 1] + width.astype(U64))
+    place = (count * 64 + a - lo).astype(U64)
+    whole, second = windows(h, LENGTH), windows(check, LENGTH, key=OTHER_KEY)
+    ctx = mix(whole[lo] * U64(KEY) + whole[lo + count - 1] + place)
+    other = mix(second[lo] * U64(OTHER_KEY) + second[lo + count - 1] + place)
     rows = row_of[lo]
-    return rows, lo - first[rows], count, key, ctx
+    return rows, lo - first[rows], count, key, ctx, other
+
+
+def _pieces(data: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
+    """Pieces of about ``size`` bytes, cut between words, each with the twelve words that follow it."""
+    lo, base = 0, 0
+    while lo < len(data):
+        to, step = lo + size, 1 << 16
+        while to < len(data):  # the next blank
+            gap = np.flatnonzero(np.isin(data[to : to + step], _SEPARATORS))
+            if len(gap):
+                to += int(gap[0])
+                break
+            to, step = to + step, step * 2
+        to = min(to, len(data))
+        more, reach = 0, 1 << 12
+        while to < len(data):  # the end of the twelfth word after the piece
+            _, ends, _, _ = words(data[to : to + reach], np.array([0, min(reach, len(data) - to)]))
+            if len(ends) > LENGTH or to + reach >= len(data):
+                more = int(ends[min(LENGTH - 2, len(ends) - 1)]) if len(ends) else 0
+                break
+            reach *= 2
+        yield base, data[lo : to + more]
+        base += len(words(data[lo:to], np.array([0, to - lo]))[0])
+        lo = to
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray):
-    _, _, h, first = words(data, offsets)
-    ranges = Ranges(h, _SECOND)
-    return first, lambda at: ranges(at, at + LENGTH)
+    _, _, _, first, check = words(data, offsets, check=True)
+    second = windows(check, LENGTH, key=OTHER_KEY)
+    return first, lambda at: second[at]
 
 
 def _opened(blocks: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -104,7 +133,7 @@ def _opened(blocks: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFra
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for each row; ``kept`` is the remaining text."""
     rows = numbered(docs)
-    runs = repeated_runs(rows, _scheme, _opened, within=False)
+    runs = repeated_runs(rows, _scheme, _pieces, _opened, within=False)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,6 +157,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     return with_runs(rows, runs).select("doc_id", "text", "entries").mapInArrow(cut, schema)
 
 
+_SEPARATORS = np.array([0x20, *range(0x09, 0x0E)], np.uint8)
 #: bytes.split() cuts at exactly the six separators once they are spaces.
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 

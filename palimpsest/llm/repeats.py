@@ -2,8 +2,8 @@
 
 Every window of a text is assigned an anchor, a place in it that depends on the window's content
 alone, so equal windows have equal anchors at the same offset. Neighbouring windows with one anchor
-form a block. A block is a few numbers (hashes of the anchor's surroundings and of all the block
-covers, document, place, number of windows), so texts aren't shuffled. Blocks meet by anchor:
+form a block. A block is a few numbers (a hash of the anchor's surroundings, 128 bits of hashes of
+all it covers, document, place, number of windows), so texts aren't shuffled. Blocks meet by anchor:
 
 - an anchor that occurs once has no repeated window;
 - a block whose whole content occurs earlier repeats in all its windows;
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import bounded_batches, buffers, checkpoint, slices
+from .textkit import SLICE_BYTES, bounded_batches, buffers, checkpoint, slices
 
 SEEN = 2_000_000
 #: Lists of runs are broadcast up to this many bytes in all; beyond, they are joined by shuffle.
@@ -38,8 +38,9 @@ WIDE = 2000
 OPEN, TOO_WIDE = 1, 2
 RUN = np.dtype([("at", "<i4"), ("count", "<i4")])
 BLOCK = np.dtype([("at", "<i4"), ("count", "<i4"), ("anchor", "<i8")])
-BLOCKS = "anchor long, ctx long, doc long, at int, count int, settled boolean"
-Blocks = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # row, at, count, anchor, ctx
+BLOCKS = "anchor long, ctx long, other long, doc long, at int, count int, settled boolean"
+#: row, at, count, anchor and the two halves of a block's name: 128 bits of independent hashes of all it covers.
+Blocks = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -53,36 +54,39 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 class _Seen:
-    """Contents a task has met, with the least document of each."""
+    """Contents (by their 128-bit names) a task has met, with the least document of each."""
 
     def __init__(self, within: bool) -> None:
         self.within = within
-        self.keys, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.others, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.waiting = 0
 
     def _merge(self) -> None:
-        keys, docs = np.concatenate([self.keys, *[k for k, _ in self.new]]), np.concatenate([self.docs, *[d for _, d in self.new]])
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        self.keys, self.docs, self.new, self.waiting = keys[first], docs[first], [], 0
+        keys, others, docs = (np.concatenate(x) for x in zip((self.keys, self.others, self.docs), *self.new, strict=True))
+        order = np.lexsort((docs, others, keys))
+        keys, others, docs = keys[order], others[order], docs[order]
+        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (others[1:] != others[:-1])])
+        self.keys, self.others, self.docs, self.new, self.waiting = keys[first], others[first], docs[first], [], 0
         if len(self.keys) > SEEN:
-            self.keys, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.forget()
 
-    def earlier(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Which keys were met in a document with a smaller number, or, if that counts, earlier in the same one."""
+    def earlier(self, keys: np.ndarray, others: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Which names were met in a document with a smaller number, or, if that counts, earlier in the same one."""
         if not len(keys):
             return np.zeros(0, bool)
-        order = np.lexsort((docs, keys))  # stable, so places of one document stay in order
-        k, d = keys[order], docs[order]
-        head = np.concatenate([[True], k[1:] != k[:-1]])
+        order = np.lexsort((docs, others, keys))  # stable, so places of one document stay in order
+        k, o, d = keys[order], others[order], docs[order]
+        head = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
         out = np.empty(len(keys), bool)
         out[order] = ~head if self.within else d > d[np.flatnonzero(head)[np.cumsum(head) - 1]]
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            out |= (self.keys[at] == keys) & (self.docs[at] < docs)
-        self.new.append((k[head], d[head]))
+            out |= (self.keys[at] == keys) & (self.others[at] == others) & (self.docs[at] < docs)
+        self.new.append((k[head], o[head], d[head]))
         self.waiting += int(head.sum())
         if self.waiting > max(20_000, len(self.keys) // 4):
             self._merge()
@@ -98,27 +102,40 @@ def _runs(doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarra
     return doc[heads], at[heads], np.add.reduceat(count, heads)
 
 
-def _emit(anchor, ctx, doc, at, count, settled) -> pa.RecordBatch:
-    columns = [pa.array(anchor.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(settled)]
-    return pa.RecordBatch.from_arrays(columns, ["anchor", "ctx", "doc", "at", "count", "settled"])
+def _emit(anchor, ctx, other, doc, at, count, settled) -> pa.RecordBatch:
+    columns = [*[pa.array(x.view(np.int64)) for x in (anchor, ctx, other)], pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(settled)]
+    return pa.RecordBatch.from_arrays(columns, ["anchor", "ctx", "other", "doc", "at", "count", "settled"])
+
 
+def _blocks(docs: DataFrame, scheme: Callable[[np.ndarray, np.ndarray], Blocks], pieces: Callable[[np.ndarray], Iterator[tuple[int, np.ndarray]]], within: bool) -> DataFrame:
+    def cut(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Slices of whole rows, and pieces of very long ones: (first row, first place, bytes, offsets)."""
+        for lo, _, data, off in slices(raw, offsets):
+            if len(data) <= 4 * SLICE_BYTES:
+                yield lo, 0, data, off
+            else:  # one long row, and shorter ones before it
+                for i in range(len(off) - 1):
+                    for base, piece in pieces(data[off[i] : off[i + 1]]):
+                        yield lo + i, base, piece, np.array([0, len(piece)])
 
-def _blocks(docs: DataFrame, scheme: Callable[[np.ndarray, np.ndarray], Blocks], within: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen(within)
         for batch in batches:
             numbers = batch.column(0).to_numpy(zero_copy_only=False)
             raw, offsets = buffers(batch.column(1))
-            for lo, _, data, off in slices(raw, offsets):
-                row, at, count, anchor, ctx = scheme(data, off)
+            for lo, base, data, off in cut(raw, offsets):
+                row, at, count, anchor, ctx, other = scheme(data, off)
+                at = at + base
                 doc = numbers[lo + row].astype(np.int64)
-                done = seen.earlier(ctx ^ anchor, doc)
+                done = seen.earlier(ctx, other, doc)
                 d, a, c = _runs(doc[done], at[done], count[done])
                 open_ = ~done
                 spread = (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ a.astype(np.uint64)
+                none = np.zeros(len(d), np.uint64)
                 yield _emit(
                     np.concatenate([anchor[open_], spread]),
-                    np.concatenate([ctx[open_], np.zeros(len(d), np.uint64)]),
+                    np.concatenate([ctx[open_], none]),
+                    np.concatenate([other[open_], none]),
                     np.concatenate([doc[open_], d]),
                     np.concatenate([at[open_], a]),
                     np.concatenate([count[open_], c]),
@@ -130,12 +147,11 @@ def _blocks(docs: DataFrame, scheme: Callable[[np.ndarray, np.ndarray], Blocks],
 
 def _judged(blocks: DataFrame, within: bool) -> DataFrame:
     """(doc, at, count, anchor, open): settled blocks (0), and open ones that have to be looked at by window."""
-    dealt = blocks.repartition("anchor").sortWithinPartitions("anchor", "settled", "ctx", "doc", "at")
-    names = ["anchor", "ctx", "doc", "at", "count", "settled"]
+    dealt = blocks.repartition("anchor").sortWithinPartitions("anchor", "settled", "ctx", "other", "doc", "at")
 
-    def judge(anchor, ctx, doc, at, count, settled) -> pa.RecordBatch:
+    def judge(anchor, ctx, other, doc, at, count, settled) -> pa.RecordBatch:
         head = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (settled[1:] != settled[:-1])])
-        fresh = head | np.concatenate([[True], ctx[1:] != ctx[:-1]])
+        fresh = head | np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (other[1:] != other[:-1])])
         group = np.cumsum(head) - 1
         variety = np.bincount(group[fresh])[group]
         first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
@@ -148,17 +164,18 @@ def _judged(blocks: DataFrame, within: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["doc", "at", "count", "anchor", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[list[np.ndarray]] = []  # rows of the last anchor, which may go on
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last anchor may go on
-            if cut:
-                yield judge(*[x[:cut] for x in now])
-            rest = [x[cut:] for x in now]
-        if rest is not None and len(rest[0]):
-            yield judge(*rest)
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if cut or held and held[0][0][0] != now[0][0]:
+                yield judge(*[np.concatenate(x) for x in zip(*held, [x[:cut] for x in now], strict=True)])
+                held = []
+            held.append([x[cut:] for x in now])
+        if held:
+            yield judge(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
     return checkpoint(dealt.mapInArrow(run, "doc long, at int, count int, anchor long, open int"))
 
@@ -210,15 +227,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buffers(column)
 
 
-def repeated_runs(docs: DataFrame, scheme: Callable, opened: Callable[[DataFrame, Callable], DataFrame], within: bool) -> DataFrame:
+def repeated_runs(docs: DataFrame, scheme: Callable, pieces: Callable, opened: Callable[[DataFrame, Callable], DataFrame], within: bool) -> DataFrame:
     """(doc, entries): the runs (at, count) of windows of each document that occur earlier.
 
-    ``docs`` has doc and text. ``scheme`` makes a slice's blocks. ``opened`` gets the open blocks and
+    ``docs`` has doc and text. ``scheme`` makes a slice's blocks; ``pieces`` cuts a very long text
+    into (first place, bytes), so that each window lies in one of them whole. ``opened`` gets the open blocks and
     a function that attaches texts to some of them, (doc, text, entries), and returns repeated
     windows as (doc, at, count). ``within``: an earlier place in the same document counts.
     """
     bounded_batches(docs.sparkSession)
-    judged = _judged(_blocks(docs, scheme, within), within)
+    judged = _judged(_blocks(docs, scheme, pieces, within), within)
     # lists of open blocks grow with the input, so they are joined by shuffle, with compressed texts
     packed = _packed_texts(docs.select("doc", "text"))
     ask = lambda blocks: packed.join(_listed(blocks, BLOCK).hint("merge"), "doc").select("doc", "text", "entries")

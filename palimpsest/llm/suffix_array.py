@@ -3,14 +3,18 @@
 Suffixes are classified, the leftmost smaller ones (LMS) are sorted by their substrings with two
 induction passes, named, sorted recursively, and the whole array is induced from them in linear time.
 An induction pass goes bucket by bucket; within a bucket a step handles all entries that are known so
-far, so a pass takes as many steps as there are symbols plus the longest run of one symbol. The
-reduced string of names, whose alphabet is as large as itself, is sorted by doubling its ranks.
+far, so a pass takes as many steps as there are symbols plus the longest run of one symbol. A reduced
+string of names is sorted in the same way, recursively; one whose alphabet is large against itself
+would take a step for each of its symbols, so there the recursion ends and ranks are doubled.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Symbols up to which a reduced string is sorted by recursion.
+SYMBOLS = 4096
+
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S); the last suffix is larger (L) than the empty one."""
@@ -83,8 +87,29 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
             return order
 
 
+def _pieces(t: np.ndarray) -> np.ndarray:
+    """The four symbols from each place as one number, zeros beyond the end."""
+    padded = np.zeros(len(t) + 4, "<u2")
+    padded[: len(t)] = t
+    return np.ndarray((len(t) + 1,), "<u8", padded, strides=(2,))
+
+
+def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at ``a`` and ``b`` have in common, up to ``most``; four at a time."""
+    four, out = _pieces(t), np.zeros(len(a), np.int64)
+    open_ = np.flatnonzero(most > 0)
+    while len(open_):
+        x = four[np.minimum(a[open_] + out[open_], len(t))] ^ four[np.minimum(b[open_] + out[open_], len(t))]
+        # the lowest bit that differs tells the first symbol that does
+        low = x & (~x + np.uint64(1))
+        same = np.where(x == 0, 4, (low >= np.uint64(1 << 16)).astype(np.int64) + (low >= np.uint64(1 << 32)) + (low >= np.uint64(1 << 48)))
+        out[open_] = np.minimum(out[open_] + same, most[open_])
+        open_ = open_[(x == 0) & (out[open_] < most[open_])]
+    return out
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """The starts of all suffixes of ``t`` (small non-negative integers) in lexicographic order."""
+    """The starts of all suffixes of ``t`` (integers below 2^16) in lexicographic order."""
     n = len(t)
     if n < 2:
         return np.arange(n)
@@ -96,39 +121,35 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         flags[lms] = True
         sa = _induce(t, s, lms, starts)
         by_substring = sa[flags[sa]]
-        # an LMS substring ends with the next LMS suffix's first symbol, or with the text
-        end = np.empty(n + 1, np.int64)
-        end[lms] = np.concatenate([lms[1:] + 1, [n + 1]])
-        from .textkit import range_hashes
-
-        h = range_hashes(t, by_substring, np.minimum(end[by_substring], n)) + (end[by_substring] - by_substring).astype(np.uint64)
-        names = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+        # an LMS substring ends with the next LMS suffix's first symbol; the last one, which the end closes, is unlike all
+        end = np.zeros(n, np.int64)
+        end[lms[:-1]] = lms[1:] + 1
+        size = end[by_substring] - by_substring
+        a, b = by_substring[1:], by_substring[:-1]
+        alike = (size[1:] == size[:-1]) & (size[1:] > 0)
+        alike[alike] = _shared(t, a[alike], b[alike], size[1:][alike]) == size[1:][alike]
+        names = np.concatenate([[0], np.cumsum(~alike)])
         if names[-1] < len(lms) - 1:
             name_at = np.empty(n, np.int64)
             name_at[by_substring] = names
-            lms = lms[_by_doubling(name_at[lms])]
+            lms = lms[_reduced(name_at[lms])]
         else:
             lms = by_substring
     return _induce(t, s, lms, starts)
 
 
+def _reduced(names: np.ndarray) -> np.ndarray:
+    """The suffix array of a reduced string: by recursion while its alphabet allows steps by symbol, else by doubling."""
+    return suffix_array(names.astype(np.uint16)) if int(names.max()) < SYMBOLS and len(names) > 8 * SYMBOLS else _by_doubling(names)
+
+
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each suffix in text order, the prefix it shares with the one before it in the array, up to ``most``.
 
-    Bisection on range hashes; equal ranges are what a caller has to confirm on the symbols.
+    Symbols are compared themselves, so the result is exact.
     """
-    from .textkit import Ranges
-
     n = len(t)
     plcp = np.zeros(n, np.int64)
-    if n < 2:
-        return plcp
-    a, b = sa[1:], sa[:-1]
-    ranges = Ranges(t)
-    lo, hi = np.zeros(n - 1, np.int64), np.minimum(most, n - np.maximum(a, b))
-    while (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        same = ranges(a, a + mid) == ranges(b, b + mid)
-        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-    plcp[a] = lo
+    if n > 1:
+        plcp[sa[1:]] = _shared(t, sa[1:], sa[:-1], np.minimum(most, n - np.maximum(sa[1:], sa[:-1])))
     return plcp

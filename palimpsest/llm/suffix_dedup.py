@@ -3,13 +3,15 @@
 A 100-byte window's anchor is the 32-byte string in it with the least hash, so a text of n bytes has
 about n / 35 blocks (see ``repeats``). The contexts of blocks that share an anchor but not their
 content are dealt by anchor to shards; a shard's contexts are one text, whose suffix array is made
-by induced sorting. Neighbours in the array that have 100 bytes in common (permuted common prefixes,
-confirmed byte by byte) are equal windows, of which the earliest stays. An anchor with very many
-different contexts would not fit one array: its windows are named instead, by 128 bits, and the
+by induced sorting, and the permuted common prefixes are computed on the bytes themselves: suffixes
+whose neighbours share 100 bytes are equal windows, of which the earliest stays. An anchor with very
+many different contexts would not fit one array: its windows are named instead, by 128 bits, and the
 earliest of each name is found by a distributed aggregation.
 
 Texts are UTF-8 bytes, matches never cross documents, and windows are judged on the input.
 
+A very long text is looked at in overlapping pieces of about 1 MB, so memory doesn't follow it.
+
 Defined cases: a null or empty text has no bytes and nothing removed; a repeated row is a document
 of its own (see ``repeats.numbered``), so its text goes where it is long enough; an empty table
 gives an empty result.
@@ -27,13 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .repeats import BLOCK, OPEN, TOO_WIDE, Blocks, covered, names, numbered, repeated_runs, text_buffers, with_runs
-from .suffix_array import suffix_array
-from .textkit import Ranges, U64, sliding_min
+from .suffix_array import common_prefixes, suffix_array
+from .textkit import OTHER_KEY, SLICE_BYTES, U64, loads, mix, sliding_min, span_hashes, windows
 
 LENGTH = 100
 GRAM = 32
-_PLACE = U64((1 << 27) - 1)
-_SECOND = 0xC2B2AE3D27D4EB4F
+_PLACE = U64((1 << 27) - 1)  # of a slice or piece
 #: Bytes of contexts that are sorted in one array; groups of one anchor stay together.
 SHARD_BYTES = 1 << 20
 
@@ -44,16 +45,24 @@ def _scheme(data: np.ndarray, offsets: np.ndarray) -> Blocks:
     end = np.repeat(offsets[1:], np.diff(offsets))
     starts = np.flatnonzero(np.arange(n) + LENGTH <= end)
     if not len(starts):
-        return none, none, none, none.astype(U64), none.astype(U64)
-    p = np.arange(n - GRAM + 1)
-    grams = Ranges(data)(p, p + GRAM)
+        return none, none, none, *[none.astype(U64)] * 3
+    eight = loads(data)
+    grams = windows(mix(eight[:n]), GRAM // 8, 8)[: n - GRAM + 1]
+    p = np.arange(len(grams))
     anchor = (sliding_min((grams & ~_PLACE) | p.astype(U64), LENGTH - GRAM + 1)[starts] & _PLACE).astype(np.int64)
     heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     count = np.diff(np.concatenate([heads, [len(starts)]]))
     lo, a = starts[heads], anchor[heads]
     row = np.searchsorted(offsets, lo, "right") - 1
-    ctx = Ranges(data, _SECOND)(lo, lo + count - 1 + LENGTH) + (count * 1024 + a - lo).astype(U64)
-    return row, lo - offsets[row], count, grams[a], ctx
+    place = (count * 1024 + a - lo).astype(U64)
+    ctx = mix(span_hashes(eight, lo, lo + count - 1 + LENGTH) + place)
+    other = span_hashes(eight, lo, lo + count - 1 + LENGTH, OTHER_KEY) + place
+    return row, lo - offsets[row], count, grams[a], ctx, other
+
+
+def _pieces(data: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
+    for lo in range(0, max(1, len(data) - LENGTH + 1), size):
+        yield lo, data[lo : lo + size + LENGTH - 1]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,23 +87,13 @@ def _repeats_in(contexts: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[i
     text = np.frombuffer(b"\0".join(c[3] for c in contexts) + b"\0", np.uint8).astype(np.uint16) + 1
     text[begins[1:] - 1] = 0  # a separator below all bytes
     sa = suffix_array(text)
+    group = np.cumsum(common_prefixes(text, sa, LENGTH)[sa] < LENGTH)
     place = np.searchsorted(begins, sa, "right") - 1
     inside = sa - begins[place]
-    count = np.array([c[2] for c in contexts])
-    window = inside < count[place]  # only these suffixes start a window of their block
-    sa, place, inside = sa[window], place[window], inside[window]
-    if len(sa) < 2:
+    window = inside < np.array([c[2] for c in contexts])[place]  # only these suffixes start a window of their block
+    group, place, inside = group[window], place[window], inside[window]
+    if len(group) < 2:
         return
-    # the permuted common prefix, as far as it is asked for: does it reach LENGTH?
-    ranges = Ranges(text)
-    h = ranges(sa, sa + LENGTH)
-    same = np.concatenate([[False], h[1:] == h[:-1]])
-    view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-    at = np.flatnonzero(same)
-    for lo in range(0, len(at), 4096):
-        part = at[lo : lo + 4096]
-        same[part] = (view[sa[part]] == view[sa[part - 1]]).all(1)
-    group = np.cumsum(~same) - 1
     docs, ats = np.array([c[0] for c in contexts], np.int64)[place], np.array([c[1] for c in contexts], np.int64)[place] + inside
     order = np.lexsort((ats, docs, group))
     later = np.concatenate([[False], group[order][1:] == group[order][:-1]])
@@ -126,8 +125,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray):
-    ranges = Ranges(data, _SECOND)
-    return offsets, lambda at: ranges(at, at + LENGTH)
+    eight = loads(data)
+    return offsets, lambda at: span_hashes(eight, at, at + LENGTH, OTHER_KEY)
 
 
 def _opened(blocks: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -145,7 +144,7 @@ def _opened(blocks: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFra
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; ``kept`` is the remaining bytes."""
     rows = numbered(docs)
-    runs = repeated_runs(rows, _scheme, _opened, within=True)
+    runs = repeated_runs(rows, _scheme, _pieces, _opened, within=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

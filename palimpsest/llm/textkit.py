@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Texts are handled in slices of about this many bytes, so that memory doesn't follow the batch.
 SLICE_BYTES = 1 << 20
-_BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Keys of two independent families of hashes; together they name a content by 128 bits.
+KEY, OTHER_KEY = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -76,19 +76,6 @@ def slices(data: np.ndarray, offsets: np.ndarray, most: int = SLICE_BYTES) -> It
         lo = hi
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.empty(1 << max(12, int(n - 1).bit_length()), U64)
-        out[0] = 1
-        filled = 1
-        while filled < len(out):  # doubling: powers up to 2k from powers up to k
-            out[filled : 2 * filled] = out[:filled] * U64(pow(base, filled, 1 << 64))
-            filled *= 2
-        _powers[base] = have = out
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> U64(30))
@@ -98,15 +85,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number, zeros beyond the end; one position more than bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEY) -> np.ndarray:
+    """64-bit hashes of byte ranges, from ``loads``: keyed mixes of all their eight-byte pieces, added up.
+
+    Every piece goes through a bijective mixer with its place, so no structure of a text makes sums
+    meet; ranges of one length up to eight bytes never share a hash.
+    """
+    size = ends - starts
+    whole = _LOW[np.minimum(size, 8)]
+    out = mix((eight[starts] & whole) + U64(key))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        pieces = (size[long] + 7) // 8 - 1  # beyond the first
+        head = np.cumsum(pieces) - pieces
+        place = np.arange(int(pieces.sum())) - np.repeat(head, pieces) + 1
+        at = np.repeat(starts[long], pieces) + 8 * place
+        left = np.minimum(np.repeat(ends[long], pieces) - at, 8)
+        out[long] += np.add.reduceat(mix((eight[at] & _LOW[left]) + (place + 1).astype(U64) * U64(key)), head)
+    return mix(out + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None, check: bool = False) -> tuple[np.ndarray, ...]:
     """Starts, ends and 64-bit hashes of the words of some rows, and each row's first word (n + 1 offsets).
 
-    ``breaks`` marks bytes, none of them a separator, that begin a word of their own.
+    ``breaks`` marks bytes, none of them a separator, that begin a word of their own. ``check`` adds
+    hashes of a second, independent family.
     """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        out = none, none, np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return (*out, np.zeros(0, U64)) if check else out
     space = _SPACE[data]
     first, last = ~space, ~space
     first[1:] &= space[:-1]
@@ -118,18 +134,9 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np
     first[cut] = ~space[cut]
     last[cut - 1] = ~space[cut - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):  # blocks bound the memory of one very long row
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _BLOCK)))
-        a, b = int(starts[at]), int(ends[to - 1])
-        part = _LOWER[data[a:b]] if lower else data[a:b]
-        sums = np.zeros(b - a + 1, U64)
-        np.cumsum((part.astype(U64) + U64(1)) * _power(_BASE, b - a), out=sums[1:])
-        s, e = starts[at:to] - a, ends[at:to] - a
-        hashes[at:to] = mix((sums[e] - sums[s]) * _power(_INVERSE, b - a)[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
-        at = to
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    eight = loads(_LOWER[data] if lower else data)
+    out = starts, ends, span_hashes(eight, starts, ends), np.searchsorted(starts, offsets)
+    return (*out, span_hashes(eight, starts, ends, OTHER_KEY)) if check else out
 
 
 def ngrams(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,21 +169,18 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-class Ranges:
-    """64-bit hashes of any ranges of a symbol sequence, from running sums of a polynomial."""
-
-    def __init__(self, symbols: np.ndarray, base: int = _BASE) -> None:
-        n = len(symbols)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum((symbols.astype(U64) + U64(1)) * _power(base, max(n, 1))[:n], out=self.sums[1:])
-        self.inverse = _power(pow(base, -1, 1 << 64), n + 1)
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+def windows(x: np.ndarray, length: int, step: int = 1, key: int = KEY) -> np.ndarray:
+    """Hashes of all windows of ``length`` hashes that lie ``step`` apart: halves are joined by a keyed mixer.
 
-
-def range_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Ranges(symbols)(starts, ends)
+    A window of a length between two powers of two is joined from two overlapping ones.
+    """
+    one, two = U64(key | 1), U64((key >> 7) | 1)
+    size, now = 1, x
+    while size < length:
+        by = min(size, length - size)
+        now = mix(now[: len(now) - by * step] * one + (now[by * step :] ^ two)) if len(now) > by * step else now[:0]
+        size += by
+    return now
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -7,7 +7,13 @@ files are then read back: every id that leaves this module was decoded from them
 
 The vocabulary's normaliser drops case, and its pre-tokeniser never joins across ASCII white space nor
 an ASCII letter and a stop after it, so such a part's ids don't depend on its neighbours: each distinct
-part is encoded once by a worker, which remembers a bounded number of them from task to task.
+part is encoded once by a worker, which remembers a bounded number of them from task to task. Parts
+are told apart by two independent hashes of 64 bits; where those disagree, and where the first text of
+a batch, encoded whole, has other ids than its parts, texts are encoded whole instead. The vocabulary
+file is broadcast, so only the driver needs its path.
+
+``access``, ``count`` and ``occurrences`` answer questions about single tokens from the files: a shard's
+matrix carries its rank directory, so only the chunks that a question meets are unpacked.
 
 Defined cases: a null or empty text is the end id alone; a null id sorts first and is kept; repeated
 rows are encoded one by one; an empty table gives no shards. One document is never cut, so a shard
@@ -16,6 +22,7 @@ can exceed the usual size by one document.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 import zlib
@@ -36,36 +43,44 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 #: Distinct parts that a worker remembers; then it starts anew.
 CACHE_WORDS = 2_000_000
+#: A batch is held against one whole text of at most this many bytes.
+PROBE_BYTES = 2048
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,!?;:"]] = True
+#: Bytes of a vocabulary file up to which it is broadcast.
+MOST_VOCABULARY = 256 << 20
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder of a vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(vocabulary: bytes) -> Encoder:
+    """This process's encoder of a vocabulary (the content of its file)."""
+    key = hashlib.sha256(vocabulary).hexdigest()
+    if key not in _encoders:
+        _encoders[key] = Encoder(vocabulary)
+    return _encoders[key]
 
 
 class Encoder:
     """Encodes rows of bytes to ids, each distinct word once."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(vocabulary.decode())
+        top = max(END_ID, *self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.bits = max(16, top.bit_length())
+        self.kind = np.uint16 if self.bits == 16 else np.uint32
         self.mark_id, token = max(self.tokenizer.get_added_tokens_decoder().items())
         self.mark = token.content.encode()
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known, self.sure = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int64)
-        self.flat, self.at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.flat, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def _fresh(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some parts, one after the other, and how many each has.
@@ -84,7 +99,26 @@ class Encoder:
             for k in alone:
                 pieces[k] = np.array(self.tokenizer.encode(parts[k].decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
             flat, sizes = np.concatenate(pieces), np.array([len(x) for x in pieces])
-        return flat.astype(np.uint16), sizes
+        return flat.astype(self.kind), sizes
+
+    def whole(self, data: bytes) -> np.ndarray:
+        """Ids of one text, encoded as it is, with the end id."""
+        ids = self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array([*ids, END_ID], self.kind)
+
+    def checked(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode``, held against the first text of middling length; all are encoded whole if that differs."""
+        out, at = self.encode(data, offsets)
+        probe = np.flatnonzero((np.diff(offsets) > 0) & (np.diff(offsets) <= PROBE_BYTES))[:1]
+        if len(probe):
+            i = int(probe[0])
+            if not np.array_equal(out[at[i] : at[i + 1]], self.whole(data[offsets[i] : offsets[i + 1]].tobytes())):
+                return self._rows(data, offsets)
+        return out, at
+
+    def _rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = [self.whole(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.concatenate([np.zeros(0, self.kind), *rows]), np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows with the end id after each row, and the rows' offsets in them."""
@@ -92,14 +126,19 @@ class Encoder:
         breaks[1:] = _STOP[data[1:]] & _LETTER[data[:-1]]
         raw = data.tobytes()
         # control strings of the vocabulary are told by case; they hold "<|"
-        starts, ends, h, row = words(data, offsets, lower=b"<|" not in raw, breaks=breaks)
+        starts, ends, h, row, check = words(data, offsets, lower=b"<|" not in raw, breaks=breaks, check=True)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        sure = check[first]
+        if (sure[inverse] != check).any():
+            return self._rows(data, offsets)
         if len(self.known) + len(uniq) > CACHE_WORDS:
             self.forget()
         at = np.searchsorted(self.known, uniq)
         new = np.ones(len(uniq), bool)
         have = at < len(self.known)
         new[have] = self.known[at[have]] != uniq[have]
+        if (self.sure[at[~new]] != sure[~new]).any():
+            return self._rows(data, offsets)
         if new.any():
             parts = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             flat, sizes = self._fresh(parts)
@@ -107,6 +146,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
             self.known = np.insert(self.known, at[new], uniq[new])
+            self.sure = np.insert(self.sure, at[new], sure[new])
             self.slot = np.insert(self.slot, at[new], np.arange(n, n + len(parts)))
             at = np.searchsorted(self.known, uniq)
         slot = self.slot[at][inverse] if len(h) else np.zeros(0, np.int64)
@@ -114,7 +154,7 @@ class Encoder:
         ends_at = np.concatenate([[0], np.cumsum(size)])
         total = ends_at[row[1:]] - ends_at[row[:-1]]
         out_at = np.concatenate([[0], np.cumsum(total + 1)])
-        out = np.full(int(out_at[-1]), END_ID, np.uint16)
+        out = np.full(int(out_at[-1]), END_ID, self.kind)
         source = np.repeat(self.at[slot] - ends_at[:-1], size) + np.arange(int(ends_at[-1]))
         target = np.arange(int(ends_at[-1])) + np.repeat(np.arange(len(total)), total)
         out[target] = self.flat[source]
@@ -124,49 +164,59 @@ class Encoder:
 SHARDS = "shard string, first_doc long, doc_ids array<long>, lengths array<long>, n_tokens long, matrix binary"
 
 
-def _shard(ids: list, lengths: list[int], tokens: list[np.ndarray], key: str) -> pa.RecordBatch:
-    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint16)
-    row = [[key], [ids[0]], [ids], [lengths], [len(flat)], [WaveletMatrix.build(flat).to_bytes()]]
+def _shard(ids: list, lengths: list[int], tokens: list[np.ndarray], key: str, bits: int) -> pa.RecordBatch:
+    flat = np.concatenate(tokens)
+    row = [[key], [ids[0]], [ids], [lengths], [len(flat)], [WaveletMatrix.build(flat, bits).to_bytes()]]
     types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["shard", "first_doc", "doc_ids", "lengths", "n_tokens", "matrix"])
 
 
-def write(docs: DataFrame, path: str, vocabulary: str) -> None:
-    """Writes the shards of ``docs`` (doc_id, text) to ``path``."""
+def write(docs: DataFrame, path: str, vocabulary: bytes) -> None:
+    """Writes the shards of ``docs`` (doc_id, text) to ``path``; ``vocabulary`` is the content of the file."""
     bounded_batches(docs.sparkSession)
+    if len(vocabulary) > MOST_VOCABULARY:
+        raise ValueError("the vocabulary is too large to be broadcast")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        mine, part, k = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        mine, part, k = encoder(shared.value), TaskContext.get().partitionId(), 0
         ids, lengths, tokens, n = [], [], [], 0
         for batch in batches:
             names = batch.column(0).cast(pa.int64()).to_pylist()
             raw, offsets = buffers(batch.column(1))
             for lo, hi, data, off in slices(raw, offsets):
-                out, at = mine.encode(data, off)
+                out, at = mine.checked(data, off)
                 for i in range(hi - lo):
                     ids.append(names[lo + i])
                     lengths.append(int(at[i + 1] - at[i]))
                     tokens.append(out[at[i] : at[i + 1]])
                     n += lengths[-1]
                     if n >= SHARD_TOKENS:
-                        yield _shard(ids, lengths, tokens, f"{part:010d}-{k:08d}")
+                        yield _shard(ids, lengths, tokens, f"{part:010d}-{k:08d}", mine.bits)
                         ids, lengths, tokens, n, k = [], [], [], 0, k + 1
         if ids:
-            yield _shard(ids, lengths, tokens, f"{part:010d}-{k:08d}")
+            yield _shard(ids, lengths, tokens, f"{part:010d}-{k:08d}", mine.bits)
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # shards are compressed already
     ordered.mapInArrow(encode, SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
+def starts(shards: DataFrame) -> DataFrame:
+    """(shard, _start): tokens before each shard. Sums run over a task's shards, then over tasks, so no window holds all shards."""
+    slim = shards.select("shard", "n_tokens", F.substring_index("shard", "-", 1).alias("_part"))
+    parts = slim.groupBy("_part").agg(F.sum("n_tokens").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("n_tokens").over(W.partitionBy("_part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return join_groups(slim.select("shard", "_part", inner.alias("_inner")), parts.select("_part", before.alias("_before")), ["_part"]).select("shard", (F.col("_inner") + F.col("_before")).alias("_start"))
+
+
 def read(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) for each document, decoded from the shard files."""
+    """(doc_id, start, n_tokens, ids_crc32) for each document, decoded from the shard files."""
     bounded_batches(spark)
     shards = spark.read.schema(SHARDS).parquet(path)
-    everything = W.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    starts = shards.select("shard", "n_tokens").withColumn("_start", F.coalesce(F.sum("n_tokens").over(everything), F.lit(0))).drop("n_tokens")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,18 +231,84 @@ def read(spark, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "_at", "n_tokens", "ids_crc32"])
 
     rows = shards.select("shard", "doc_ids", "lengths", "matrix").mapInArrow(decode, "shard string, doc_id long, _at long, n_tokens long, ids_crc32 long")
-    joined = join_groups(rows, starts, ["shard"])
+    joined = join_groups(rows, starts(shards), ["shard"])
     return joined.select("doc_id", (F.col("_at") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def access(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, at, token) for each row of ``wanted`` (doc_id, at): a document's token by its place, null where there is none.
+
+    Places are dealt to the shards that hold them, at most a shard's own number of tokens each.
+    """
+    bounded_batches(spark)
+    shards = spark.read.schema(SHARDS).parquet(path)
+    ends = F.expr("aggregate(lengths, array(0L), (s, n) -> concat(s, array(element_at(s, -1) + n)))")
+    index = shards.select("shard", F.posexplode("doc_ids").alias("_i", "_doc"), "lengths", ends.alias("_ends")).select("shard", "_doc", F.get("lengths", F.col("_i")).alias("_n"), F.get("_ends", F.col("_i")).alias("_at"))
+    asked = wanted.select("doc_id", "at").distinct()
+    placed = asked.join(index, asked["doc_id"].eqNullSafe(index["_doc"])).where("at >= 0 and at < _n")
+    places = placed.groupBy("shard").agg(F.collect_list(F.struct("doc_id", "at", (F.col("_at") + F.col("at")).alias("place"))).alias("places"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cells = batch.column(0)[k].values
+                found = WaveletMatrix.from_bytes(batch.column(1)[k].as_py()).access(cells.field("place").to_numpy())
+                yield pa.RecordBatch.from_arrays([cells.field("doc_id"), cells.field("at"), pa.array(found.astype(np.int64))], ["doc_id", "at", "token"])
+
+    types = dict(wanted.dtypes)
+    got = places.join(shards.select("shard", "matrix"), "shard").select("places", "matrix").mapInArrow(look, f"doc_id {types['doc_id']}, at {types['at']}, token long")
+    same = asked["doc_id"].eqNullSafe(got["doc_id"]) & (asked["at"] == got["at"])
+    return asked.join(got, same, "left").select(asked["doc_id"], asked["at"], got["token"])
+
+
+def _asked(spark, path: str, tokens: list[int], answer, schema: str, columns: list[str]) -> DataFrame:
+    bounded_batches(spark)
+    asked = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = [batch.column(i)[k].as_py() for i in range(len(columns))]
+                matrix = WaveletMatrix.from_bytes(row[-1])
+                for t in asked:
+                    yield from answer(t, matrix, *row[:-1])
+
+    return spark.read.schema(SHARDS).parquet(path).select(*columns).mapInArrow(run, schema)
+
+
+def count(spark, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): occurrences of each stated id in all files, from the rank directories."""
+
+    def answer(t: int, matrix: WaveletMatrix) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([matrix.count(t)], pa.int64())], ["token", "n"])
+
+    return _asked(spark, path, tokens, answer, "token long, n long", ["matrix"]).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark, path: str, tokens: list[int]) -> DataFrame:
+    """(token, doc_id, at) of each occurrence of the stated ids."""
+
+    def answer(t: int, matrix: WaveletMatrix, ids: list, lengths: list[int]) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(lengths)
+        found = matrix.occurrences(t)
+        for lo in range(0, len(found), 10_000):
+            part = found[lo : lo + 10_000]
+            doc = np.searchsorted(ends, part, "right")
+            at = part - np.concatenate([[0], ends])[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), t)), pa.array([ids[i] for i in doc], pa.int64()), pa.array(at)], ["token", "doc_id", "at"])
+
+    return _asked(spark, path, tokens, answer, "token long, doc_id long, at long", ["doc_ids", "lengths", "matrix"])
+
+
 def store(docs: DataFrame, vocabulary: str | None = None, path: str | None = None) -> DataFrame:
-    """Writes the shards and reads every document back from them."""
+    """Writes the shards and reads every document back from them; ``vocabulary`` is the file's path on the driver."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(VOCABULARY)
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    write(docs, path, vocabulary)
+    with open(vocabulary, "rb") as f:
+        write(docs, path, f.read())
     return read(docs.sparkSession, path)
 
 

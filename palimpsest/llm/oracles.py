@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
-from .quality_rules import MIN_GROUP, MIN_WORDS, MOST_REPEATED, RULES
+from .quality_rules import MIN_WORDS, MOST_REPEATED, PRIOR, RULES
 
 _SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _WS = "d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source, " + _SPLIT.format("coalesce(text, '')") + " AS ws FROM documents)"
 
-_METRICS = {"symbols": "n_symbols, word_chars", "dup_lines": "n_dup_lines, n_lines", "repeats": "n_repeat_words, n_words", "exclaims": "n_exclaims, n_words"}
+_METRICS = {"marks": ("n_marks", "word_chars"), "word_size": ("word_chars", "n_words"), "again": ("n_words - n_distinct", "n_words")}
 
 
-def _share(pair: str) -> str:
-    a, b = pair.split(", ")
-    return f"CASE WHEN {b} > 0 THEN floor(1000000 * {a} / {b}) ELSE 0 END::BIGINT"
+def _share(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN floor(1000000 * ({a}) / {b}) ELSE 0 END::BIGINT"
 
 
 def _bin(m: str) -> str:
-    return f"CASE WHEN {m} < 32 THEN {m} ELSE length(bin({m})) * 32 + floor({m} / pow(2.0, length(bin({m})) - 5)) END::INT"
+    return f"CASE WHEN {m} < 256 THEN {m} ELSE length(bin({m})) * 256 + floor({m} / pow(2.0, length(bin({m})) - 8)) END::INT"
 
 
-_TOP = "CASE WHEN bin < 32 THEN bin::DOUBLE ELSE (bin - floor((bin - 16) / 32) * 32 + 1) * pow(2.0, floor((bin - 16) / 32) - 5) - 1 END"
+_TOP = "CASE WHEN bin < 256 THEN bin::DOUBLE ELSE (bin % 256 + 1) * pow(2.0, floor(bin / 256.0) - 8) - 1 END"
 
 
-def _median(name: str, keys: list[str]) -> str:
+def _quartiles(name: str, keys: list[str]) -> str:
     by = ", ".join([*keys, "metric"])
-    return f"{name} AS (SELECT {by}, total, {_TOP} AS value FROM (SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bin, sum(n) AS n FROM sk GROUP BY ALL)) WHERE seen >= total * 0.5 QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY bin) = 1)"
+    return (
+        f"{name} AS (SELECT {by}, any_value(total)::DOUBLE AS total, min(top) FILTER (WHERE seen >= total * 0.25) AS low, min(top) FILTER (WHERE seen >= total * 0.75) AS high "
+        f"FROM (SELECT {by}, {_TOP} AS top, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bin, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL)"
+    )
+
+
+def _weighed(of: str, own: str, prior: str) -> str:
+    p = f"{float(PRIOR)}::DOUBLE"
+    return f"({own}.total * {own}.{of} + {p} * {prior}.{of}) / ({own}.total + {p}) AS {of}"
+
+
+def _limits() -> dict[str, str]:
+    out = {}
+    for m, (floor, below, above) in RULES.items():
+        spread = f"greatest(high - low, {float(floor)}::DOUBLE)"
+        if below is not None:
+            out[f"min_{m}"] = f"max(CASE WHEN metric = '{m}' THEN low - {below}::DOUBLE * {spread} END)"
+        if above is not None:
+            out[f"max_{m}"] = f"max(CASE WHEN metric = '{m}' THEN high + {above}::DOUBLE * {spread} END)"
+    return out
 
 
 QUALITY_RULES = (
@@ -32,14 +50,16 @@ QUALITY_RULES = (
     "rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN (SELECT doc_id, s FROM win GROUP BY ALL HAVING count(*) > 1) USING (doc_id, s)) GROUP BY 1), "
     r"ln AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d), "
     r"f AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, "
-    "(len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_exclaims FROM d JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)), "
-    "m AS (SELECT *, " + ", ".join(f"{_share(p)} AS {k}" for k, p in _METRICS.items()) + " FROM f), "
+    r"length(text) - length(regexp_replace(text, '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g')) AS n_marks, "
+    "(len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(list_distinct(ws)) AS n_distinct FROM d JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)), "
+    "m AS (SELECT *, " + ", ".join(f"{_share(*p)} AS {k}" for k, p in _METRICS.items()) + " FROM f), "
     "sk AS (" + " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {_bin(k)} AS bin, count(*) AS n FROM m GROUP BY ALL" for k in RULES) + "), "
-    f"{_median('g', ['lang', 'source'])}, {_median('l', ['lang'])}, {_median('a', [])}, "
-    f"lim AS (SELECT g.lang, g.source, g.metric, CASE WHEN g.total >= {MIN_GROUP} THEN g.value WHEN l.total >= {MIN_GROUP} THEN l.value ELSE a.value END AS med FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric JOIN a ON g.metric = a.metric), "
-    "p AS (SELECT lang, source, " + ", ".join(f"max(CASE WHEN metric = '{k}' THEN {factor} * med + {slack} END)::DOUBLE AS max_{k}" for k, (slack, factor) in RULES.items()) + " FROM lim GROUP BY ALL), "
+    f"{_quartiles('g', ['lang', 'source'])}, {_quartiles('l0', ['lang'])}, {_quartiles('a', [])}, "
+    f"l AS (SELECT l0.lang, l0.metric, {_weighed('low', 'l0', 'a')}, {_weighed('high', 'l0', 'a')} FROM l0 JOIN a ON l0.metric = a.metric), "
+    f"lim AS (SELECT g.lang, g.source, g.metric, {_weighed('low', 'g', 'l')}, {_weighed('high', 'g', 'l')} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric), "
+    "p AS (SELECT lang, source, " + ", ".join(f"{x} AS {k}" for k, x in _limits().items()) + " FROM lim GROUP BY ALL), "
     f"j AS (SELECT m.*, p.* EXCLUDE (lang, source), n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM m JOIN p ON m.lang IS NOT DISTINCT FROM p.lang AND m.source IS NOT DISTINCT FROM p.source) "
-    "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND " + " AND ".join(f"{k} <= max_{k}" for k in RULES) + " AS kept, " + ", ".join([*RULES, *[f"max_{k}" for k in RULES]]) + " FROM j"
+    "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND " + " AND ".join(f"{k[4:]} {'>=' if k.startswith('min_') else '<='} {k}" for k in _limits()) + " AS kept, " + ", ".join([*RULES, *_limits()]) + " FROM j"
 )
 
 SUBSTRINGS = f"""

@@ -1,13 +1,14 @@
 """Quality rules whose thresholds come from mergeable quantile sketches per language and source.
 
-The sketch is a log-linear histogram: a value below 32 has its own bin, larger ones share a bin with
-those of the same five leading bits, so a quantile is off by 1/16 at most. Bins are plain counts:
-sketches merge by addition, in any order, with partial aggregation, and reruns agree to the bit.
-A group with fewer than ``MIN_GROUP`` documents takes its language's merged sketch, and a language
-with fewer that of the whole table.
+A rule looks at a share of a text that ordinary texts have too: punctuation and symbols, the mean
+size of a word, words said before. Its limit is a fence around the group's own middle half: a quartile
+plus or minus a multiple of the distance between the quartiles, which has a small floor.
 
-A limit is a factor on the median plus a slack. Where under half of a group show a trait its median is 0
-and the limit is the slack alone, the same for every such group.
+The sketch is a log-linear histogram: a value below 256 has its own bin, larger ones share a bin with
+those of the same eight leading bits, so a quantile is off by 1/128 at most. Bins are plain counts:
+sketches merge by addition, in any order, with partial aggregation, and reruns agree to the bit.
+Quartiles of a group are weighed against its language's, and those against the whole table's, as if
+the latter stood for ``PRIOR`` more documents, so limits of small groups pass over smoothly.
 
 DataFrame functions only. Counting repeated word windows sorts hashes (64 bits, within one document)
 inside an array expression; nothing is exploded and no text is shuffled.
@@ -27,14 +28,16 @@ from .textkit import checkpoint
 MIN_WORDS = 50
 #: Percent of words in repeated 3-word windows beyond which the base rule fails.
 MOST_REPEATED = 50
-MIN_GROUP = 200
-#: Metric -> (slack in millionths, factor on the group's median): reject above factor * median + slack.
+#: Documents that the next larger group's quartiles stand for.
+PRIOR = 20
+#: Metric -> (least distance between the quartiles in millionths, multiples of it below and above that are still kept; None: no limit).
 RULES = {
-    "symbols": (20_000, 4.0),
-    "dup_lines": (400_000, 2.0),
-    "repeats": (350_000, 2.0),
-    "exclaims": (100_000, 4.0),
+    "marks": (2_000, None, 4.0),
+    "word_size": (100_000, 4.0, 4.0),
+    "again": (20_000, None, 2.0),
 }
+#: ASCII punctuation and symbols.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SCALE = 1_000_000
 
 _REPEATED = """
@@ -51,11 +54,11 @@ transform(array(words), ws -> CASE WHEN size(ws) < 3 THEN 0 ELSE
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_exclaims)."""
+    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_marks, n_dup_lines, n_repeat_words, n_distinct)."""
     t = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     count = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
-    out = docs.select("doc_id", "lang", "source", t.alias("_t"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("words"), lines.alias("_lines"), count("#*$%&|<>").alias("n_symbols"), count("!").alias("n_exclaims"))
+    out = docs.select("doc_id", "lang", "source", t.alias("_t"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("words"), lines.alias("_lines"), count("#*$%&|<>").alias("n_symbols"), count(MARKS).alias("n_marks"))
     return out.select(
         "doc_id",
         "lang",
@@ -63,29 +66,29 @@ def features(docs: DataFrame) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         "n_symbols",
+        "n_marks",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(_REPEATED).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        "n_exclaims",
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
     )
 
 
 def metrics() -> dict[str, Column]:
-    """The ratios the rules look at, in millionths."""
-    share = lambda a, b: F.when(F.col(b) > 0, F.floor(F.lit(_SCALE) * F.col(a) / F.col(b))).otherwise(0).cast("long")
-    return {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "exclaims": share("n_exclaims", "n_words")}
+    """What the rules look at, in millionths; 0 for texts without words."""
+    share = lambda a, b: F.when(F.col(b) > 0, F.floor(F.lit(_SCALE) * a / F.col(b))).otherwise(0).cast("long")
+    return {"marks": share(F.col("n_marks"), "word_chars"), "word_size": share(F.col("word_chars"), "n_words"), "again": share(F.col("n_words") - F.col("n_distinct"), "n_words")}
 
 
 def bin_of(v: Column) -> Column:
-    """Log-linear bin: the value itself below 32, else its bit length and five leading bits."""
+    """Log-linear bin: the value itself below 256, else its bit length and eight leading bits."""
     bits = F.length(F.bin(v))
-    return F.when(v < 32, v).otherwise(bits * 32 + F.floor(v / F.pow(F.lit(2.0), bits - 5))).cast("int")
+    return F.when(v < 256, v).otherwise(bits * 256 + F.floor(v / F.pow(F.lit(2.0), bits - 8))).cast("int")
 
 
 def bin_top(b: Column) -> Column:
     """The largest value of a bin."""
-    bits = F.floor((b - 16) / 32)
-    return F.when(b < 32, b.cast("double")).otherwise((b - bits * 32 + 1) * F.pow(F.lit(2.0), bits - 5) - 1)
+    bits = F.floor(b / 256)
+    return F.when(b < 256, b.cast("double")).otherwise((b - bits * 256 + 1) * F.pow(F.lit(2.0), bits - 8) - 1)
 
 
 def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,32 +97,45 @@ def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, long.alias("x")).groupBy(*keys, "x.metric", "x.bin").agg(F.count("*").alias("n"))
 
 
-def quantile(sketch: DataFrame, keys: list[str], q: float) -> DataFrame:
-    """(keys, metric, total, value): the q-quantile of each sketch, read off its bins in order."""
-    bins = F.sort_array(F.collect_list(F.struct("bin", "n")))  # a few hundred bins at most
-    folded = F.aggregate(
-        "bins",
-        F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("hit")),
-        lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["hit"].isNull() & (a["seen"] + x["n"] >= F.col("total") * q), x["bin"]).otherwise(a["hit"]).alias("hit")),
-    )
-    return sketch.groupBy(*keys, "metric").agg(bins.alias("bins"), F.sum("n").alias("total")).select(*keys, "metric", "total", bin_top(folded["hit"]).alias("value"))
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, total, low, high): the quartiles of each sketch, read off its bins in order."""
+    bins = F.sort_array(F.collect_list(F.struct("bin", "n")))  # as many as a sketch has bins: a few thousand at most
+    hit = lambda a, x, seen, name, q: F.when(a[name].isNull() & (seen >= F.col("total") * q), x["bin"]).otherwise(a[name]).alias(name)
+
+    def step(a: Column, x: Column) -> Column:
+        seen = a["seen"] + x["n"]
+        return F.struct(seen.alias("seen"), hit(a, x, seen, "low", 0.25), hit(a, x, seen, "high", 0.75))
+
+    none = F.lit(None).cast("int")
+    folded = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("seen"), none.alias("low"), none.alias("high")), step)
+    grouped = sketch.groupBy(*keys, "metric").agg(bins.alias("bins"), F.sum("n").alias("total")).withColumn("_f", folded)
+    return grouped.select(*keys, "metric", F.col("total").cast("double").alias("total"), bin_top(F.col("_f.low")).alias("low"), bin_top(F.col("_f.high")).alias("high"))
+
+
+def _limits() -> dict[str, Column]:
+    """Limit name -> its value, for a group's row per metric (metric, low, high)."""
+    out = {}
+    for m, (floor, below, above) in RULES.items():
+        spread = F.greatest(F.col("high") - F.col("low"), F.lit(float(floor)))
+        for name, k, limit in ((f"min_{m}", below, F.col("low") - F.lit(below or 0.0) * spread), (f"max_{m}", above, F.col("high") + F.lit(above or 0.0) * spread)):
+            if k is not None:
+                out[name] = F.max(F.when(F.col("metric") == m, limit)).alias(name)
+    return out
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """(lang, source, a limit per metric) from the group's sketch, its language's or the whole table's."""
+    """(lang, source, the rules' limits) from the group's sketch, weighed against its language's and the whole table's."""
     fine = checkpoint(sketches(rows, ["lang", "source"]))
     by_lang = fine.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
     by_all = fine.groupBy("metric", "bin").agg(F.sum("n").alias("n"))
-    g = quantile(fine, ["lang", "source"], 0.5)
-    lang = quantile(by_lang, ["lang"], 0.5).select(F.col("lang").alias("_l"), F.col("metric").alias("_m"), F.col("total").alias("_lt"), F.col("value").alias("_lv"))
-    every = quantile(by_all, [], 0.5).select(F.col("metric").alias("_am"), F.col("value").alias("_av"))
-    got = g.join(lang, g["lang"].eqNullSafe(lang["_l"]) & (g["metric"] == lang["_m"])).join(every, g["metric"] == every["_am"])
-    median = F.when(F.col("total") >= MIN_GROUP, F.col("value")).when(F.col("_lt") >= MIN_GROUP, F.col("_lv")).otherwise(F.col("_av"))
-    limit = F.lit(None)
-    for m, (slack, factor) in RULES.items():
-        limit = F.when(F.col("metric") == m, factor * median + slack).otherwise(limit)
-    per = got.select("lang", "source", "metric", limit.alias("limit"))
-    return per.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"max_{m}") for m in RULES])
+    weighed = lambda of, n, prior: (F.col(n) * F.col(of) + F.lit(float(PRIOR)) * F.col(prior)) / (F.col(n) + F.lit(float(PRIOR)))
+    every = quartiles(by_all, []).select(F.col("metric").alias("_am"), F.col("low").alias("_alow"), F.col("high").alias("_ahigh"))
+    lang = quartiles(by_lang, ["lang"]).select(F.col("lang").alias("_l"), F.col("metric").alias("_m"), F.col("total").alias("_n"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    lang = lang.join(every, F.col("_m") == F.col("_am")).select("_l", "_m", weighed("_low", "_n", "_alow").alias("_low"), weighed("_high", "_n", "_ahigh").alias("_high"))
+    g = quartiles(fine, ["lang", "source"])
+    got = g.join(lang, g["lang"].eqNullSafe(lang["_l"]) & (g["metric"] == lang["_m"]))
+    per = got.select("lang", "source", "metric", weighed("low", "total", "_low").alias("low"), weighed("high", "total", "_high").alias("high"))
+    return per.groupBy("lang", "source").agg(*_limits().values())
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -128,11 +144,12 @@ def judge(docs: DataFrame) -> DataFrame:
     judged = join_groups(rows, checkpoint(thresholds(rows)), ["lang", "source"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     fine = F.lit(True)
-    for m in RULES:
-        fine = fine & (F.col(m) <= F.col(f"max_{m}"))
+    for name in _limits():
+        m = name[4:]
+        fine = fine & (F.col(m) >= F.col(name) if name.startswith("min_") else F.col(m) <= F.col(name))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
 
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RULES, *[f"max_{m}" for m in RULES])
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RULES, *_limits())

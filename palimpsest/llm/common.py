@@ -19,9 +19,9 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
     """Left join on null-safe ``keys`` with a table of one row per group; broadcast only if counted to be small."""
-    small = groups.count() <= BROADCAST_ROWS
+    small = groups.count() <= most
     g = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
     on = None
     for k in keys:

@@ -1,11 +1,14 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words adjust a score.
 
-Base kinds (email, ip, card, phone) are always reported. The method adds ``iban`` spans (mod-97) and
-``card`` and ``phone`` spans in notations the base patterns don't take, each only if its score reaches
-``LEAST``. A score is the pattern's weight, plus one step for a passed checksum and one for a telling
-word nearby, less one step for a word that speaks against a span without a checksum.
+Base kinds (email, ip, card, phone) are always reported. The method adds ``iban`` spans (mod-97),
+``card`` and ``phone`` spans in notations the base patterns don't take, and ``secret`` spans (values
+that a name such as token or password is given, if their characters look random), each only if its
+score reaches ``LEAST``. A score is the pattern's weight, plus one step for a passed checksum and one
+for a telling word nearby, less one step for a word that speaks against a span without a checksum.
 
-Each text is scanned whole, on its own, in Arrow batches. Offsets are code points, ends exclusive.
+Each text is scanned whole, on its own, in Arrow batches, in time linear in its length: patterns start
+at the ends of runs only, repeats are possessive or bounded, and spans are compared by one sweep.
+Offsets are code points, ends exclusive.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned one by one; a null id is
 passed on; an empty table gives an empty result.
@@ -14,7 +17,9 @@ passed on; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,22 +29,29 @@ from .common import table
 from .textkit import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+#: What follows an address's @.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: A match can only start where a run of digits does: one that starts later lies within it.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_AT_RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?\b")
 #: Characters of a country's IBAN, for the order in which ends are tried.
 IBAN_LENGTH = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI NL", 19: "SI", 20: "AT EE LT LU", 21: "CH HR LI LV", 22: "BG DE GB IE", 23: "GI", 24: "CZ ES RO SE SK", 25: "PT", 26: "IS", 27: "FR GR IT MC SM", 28: "CY HU PL", 31: "MT"}.items() for c in cs.split()}
 DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{3,4}(?![0-9.])")
+#: A name and the value it is given; a value of 16 to 512 characters.
+SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\x20?(?:=>|[=:])\x20?[\"']?([A-Za-z0-9+/_.=-]{16,512})(?![A-Za-z0-9+/_.=-])")
+#: Bits a character from which a value counts as random.
+RANDOM_BITS = 3.0
 LOCAL_PHONE = re.compile(r"(?<![0-9+.])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
 #: Context words and the characters around a span that are searched for them.
 FOR = {
     "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
     "card": re.compile(r"(?i)\b(?:card|visa|credit|karte|carte|tarjeta)\b"),
+    "secret": re.compile(r"(?i)(?:token|secret|passw|pwd|key|credential|auth)"),
     "phone": re.compile(r"(?i)\b(?:tel|phone|call|mobile|fax|telefon|t[ée]l[ée]phone|tel[ée]fono)\b"),
 }
 AGAINST = re.compile(r"(?i)\b(?:example|isbn|order|invoice|version|page)\b")
@@ -52,9 +64,12 @@ def luhn(digits: str) -> bool:
     return (odd + sum(sum(divmod(2 * int(x), 10)) for x in digits[-2::-2])) % 10 == 0
 
 
+_VALUES = {ord(c): str(int(c, 36)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
 def mod97(iban: str) -> bool:
     s = iban.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return 15 <= len(s) <= 34 and int((s[4:] + s[:4]).translate(_VALUES)) % 97 == 1
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
@@ -72,13 +87,17 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by the four base patterns; matches that fail their test are dropped, without retries."""
-    out = []
-    if "@" in text:
-        # an address lies within one run of its characters, so only runs around an @ are searched
-        for run in _AT_RUN.finditer(text):
-            out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text, run.start(), run.end())]
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        # the local part is the run before the @, as far as no earlier match or @ holds it
+        start = done + len(text[done:at].rstrip(_LOCAL))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end(), "email"))
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
     for m in IP.finditer(text):
-        if all(len(p) < 4 and int(p) <= 255 or int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split(".")):
+        if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split(".")):
             out.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
@@ -95,6 +114,13 @@ def _score(kind: str, text: str, start: int, end: int, weight: int, checked: boo
     return weight + checked + bool(FOR[kind].search(around)) - (not checked and bool(AGAINST.search(around)))
 
 
+def random_looking(value: str) -> bool:
+    """Whether a value mixes letters and digits and its characters carry ``RANDOM_BITS`` each."""
+    counts = Counter(value)
+    bits = sum(n * math.log2(len(value) / n) for n in counts.values()) / len(value)
+    return bits >= RANDOM_BITS and any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans beyond the base ones that score ``LEAST`` or more and overlap none of them."""
     found = [(a, b, "iban", 1, True) for a, b in ibans(text)]
@@ -102,9 +128,12 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if luhn(_NOT_DIGIT.sub("", m[0])):
             found.append((m.start(), m.end(), "card", 1, True))
     found += [(m.start(), m.end(), "phone", 1, False) for m in LOCAL_PHONE.finditer(text)]
-    taken, out = sorted(base), []
+    found += [(*m.span(1), "secret", 1, True) for m in SECRET.finditer(text) if random_looking(m[1])]
+    taken, k, reach, out = sorted(base), 0, 0, []
     for a, b, kind, weight, checked in sorted(found):
-        if _score(kind, text, a, b, weight, checked) >= LEAST and not any(x < b and a < y for x, y, _ in taken) and (not out or out[-1][1] <= a):
+        while k < len(taken) and taken[k][0] < b:  # both lists in order: ``reach`` is the furthest end of those that begin before b
+            reach, k = max(reach, taken[k][1]), k + 1
+        if reach <= a and (not out or out[-1][1] <= a) and _score(kind, text, a, b, weight, checked) >= LEAST:
             out.append((a, b, kind))
     return out
 

@@ -68,6 +68,33 @@ def test_bernoulli_copies_come_near_the_target(spark):
         assert r["sum(taken)"] == pytest.approx(r.target, rel=0.05)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_heavy_tailed_sizes_come_near_the_target(spark, seed):
+    rng = random.Random(seed)
+    sizes = [min(20_000, int(40 * rng.paretovariate(0.9))) for _ in range(1500)]
+    rows = [(i, "w " * n, f"s{i % 5}") for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, seed).collect()
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        taken, target = sum(r.copies * r["size"] for r in mine), mine[0].target
+        assert abs(taken - target) <= max(0.02 * target, max(r["size"] for r in mine))
+    assert {(r.doc_id, r.copies) for r in got} == {(r.doc_id, r.copies) for r in mixing.mix(df.repartition(7), seed).collect()}
+
+
+@pytest.mark.parametrize("sizes", [[900, 300, 100, 40, 40, 7, 7, 7, 3, 1, 0], [50] * 9])
+def test_a_documents_probability_is_the_fraction(spark, sizes):
+    rows = [(100 * s + i, "w " * n, f"s{s:03d}") for s in range(150) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    off, n = collections.Counter(), collections.Counter()
+    for seed in (5, 6, 7):
+        for r in mixing.mix(df, seed).collect():
+            off[r.doc_id % 100] += r.copies - r.rate
+            n[r.doc_id % 100] += 1
+    for i in off:  # 450 draws each: three deviations of a coin are 0.07
+        assert abs(off[i] / n[i]) < 0.08
+
+
 def test_mixing_without_ids_or_rows(spark):
     assert mixing.mix(frame(spark, ["a b", None, ""], [None, None, 1])).count() == 3
     assert mixing.emit(frame(spark, ["a b", "c d"], [None, None])).columns[0] == "doc_id"
@@ -219,12 +246,53 @@ def test_added_spans_need_checks_or_context():
     assert pii.added_spans("see 555-123-4567 here", []) == []
 
 
-def test_emails_equal_a_plain_scan():
+def plain_spans(t):
+    """The four base patterns as they are stated, by the standard engine."""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    luhn = lambda d: sum(int(x) if i % 2 == 0 else sum(map(int, str(2 * int(x)))) for i, x in enumerate(reversed(d))) % 10 == 0
+    tests = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 12 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    }
+    return [(m.start(), m.end(), k) for k, (p, ok) in tests.items() for m in re.finditer(p, t) if ok(m[0])]
+
+
+def test_base_spans_equal_a_plain_scan():
     rng = random.Random(6)
-    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-    for _ in range(3000):
-        t = "".join(rng.choice("ab.@-é %+1") for _ in range(rng.randint(0, 40)))
-        assert [(a, b) for a, b, k in pii.base_spans(t) if k == "email"] == [m.span() for m in plain.finditer(t)]
+    makers = [
+        lambda: "".join(rng.choice("ab.@-é %+1") for _ in range(rng.randint(0, 40))),
+        lambda: "".join(rng.choice("0123.  25") for _ in range(rng.randint(0, 40))),
+        lambda: "".join(rng.choice("0123456789 -") for _ in range(rng.randint(0, 60))),
+        lambda: "".join(rng.choice("+0123456789 ().-x") for _ in range(rng.randint(0, 50))),
+        lambda: " ".join(rng.choice(["4111 1111-1111 1111", "1.2.3.4.5.6.7.8", "a@b@c.d.e", "+1 (555) 010-2030", "256.1.1.1", "00001.2.3.4", "x@y.z@w.v"]) for _ in range(4)),
+    ]
+    for i in range(10_000):
+        t = makers[i % len(makers)]()
+        assert sorted(pii.base_spans(t)) == sorted(plain_spans(t)), t
+
+
+@pytest.mark.parametrize("unit", ["a", "a.", "@", "a@", "a@b", "a@b.", "1", "1.", "1 ", "+", "+1", "+1 ", "(", "A", "AB12", "AB12 ", "4111-", "token=", "token = \"", "x" * 30 + "=", "1.2.3.4 ", "555-123-4567 "])
+def test_scans_take_linear_time(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    base = pii.base_spans(text)
+    pii.added_spans(text, base)
+    assert time.process_time() - began < 6  # a quadratic scan would take minutes
+
+
+def test_secrets_need_a_name_and_a_random_value():
+    spans = lambda t: [(k, t[a:b]) for a, b, k in pii.added_spans(t, pii.base_spans(t))]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert spans(f'token = "{key}" and more') == [("secret", key)]
+    assert spans(f"API_KEY: {key}") == [("secret", key)]
+    assert spans(f"commit {key}") == []  # no name says that it is a secret
+    assert spans('token = "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"') == []  # nothing random
+    assert spans('password = "correct horse"') == []
+    assert spans('example token = "' + key + '"') == [("secret", key)]
 
 
 def test_pii_ibans_before_other_words():

@@ -32,7 +32,7 @@ from .textkit import bounded_batches, buffers, ngrams, slices, words
 
 SHINGLE = 5
 SHARE = 0.8
-#: Shingles of one block of items: 8 bytes each as sketch and as set, so tens of MB in a worker.
+#: Shingles of one block of items: a word's bytes and at most 24 bytes of sketch each, so some tens of MB in a worker.
 BLOCK_SHINGLES = 1_000_000
 SCHEMA = "doc_id long, item_id long, item_shingles long, shared long, containment double"
 
@@ -51,20 +51,21 @@ class Block:
     """A block of items as arrays: sketch hash -> items, and each item's shingle hashes and words."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], share: float, shingle: int) -> None:
-        self.share, self.ids, self.sizes, self.lengths, self.exact = share, [], [], [], []
-        self.hashes: list[np.ndarray] = []
+        self.share, self.ids, self.sizes, self.lengths, self.texts = share, [], [], [], []
+        hashes: list[np.ndarray] = []
         for item, ws in items:
             k = min(shingle, len(ws))
-            data = np.frombuffer(b" ".join(ws), np.uint8)
+            text = b" ".join(ws)
+            data = np.frombuffer(text, np.uint8)
             _, _, h, row = words(data, np.array([0, len(data)]))
             grams = np.unique(ngrams(h, row, k)[0])
             self.ids.append(item)
             self.lengths.append(k)
-            self.hashes.append(grams)
-            self.exact.append(_shingles(ws, k))
-            self.sizes.append(len(self.exact[-1]))
+            hashes.append(grams)
+            self.texts.append(text)
+            self.sizes.append(len(_shingles(ws, k)))
         probes, owners, kinds = [], [], []
-        for i, (n, grams) in enumerate(zip(self.sizes, self.hashes, strict=True)):
+        for i, (n, grams) in enumerate(zip(self.sizes, hashes, strict=True)):
             top = 1 << (n - 1).bit_length()  # the size partition's largest size
             depth = min(n, top - math.ceil(round(share * top, 9)) + 1)
             probes.append(grams[:depth])
@@ -94,11 +95,14 @@ class Block:
                         a, b = np.searchsorted(probe, np.uint64(g), "left"), np.searchsorted(probe, np.uint64(g), "right")
                         pairs.update((d, int(i)) for i in owner[a:b])
             sets: dict = {}
+            items: dict = {}  # shingles of this slice's candidates only
             for d, i in sorted(pairs):
                 k = self.lengths[i]
                 if (d, k) not in sets:
                     sets[d, k] = _shingles(_word_lists(texts[lo + d].as_py()), k)
-                shared = len(self.exact[i] & sets[d, k])
+                if i not in items:
+                    items[i] = _shingles(self.texts[i].split(b" "), k)
+                shared = len(items[i] & sets[d, k])
                 if shared >= self.share * self.sizes[i] - 1e-9:
                     yield ids[lo + d].as_py(), self.ids[i], self.sizes[i], shared, shared / self.sizes[i]
 

@@ -4,8 +4,8 @@ A document's features are its distinct hashed words (each with weight one over t
 number), one bin for each structure statistic of its text, and one for its recorded length. The
 machine scores them as w0 + sum w x + 1/2 (|sum v x|^2 - sum |v x|^2): all pairwise interactions in
 time linear in the features. It is trained here, on the driver, by Adagrad over at most
-``TRAIN_ROWS`` labelled rows (chosen by a hash of their id; the bound is a parameter); scoring
-passes over all documents in Arrow batches, without a shuffle. Language, source, id and labels are
+``TRAIN_ROWS`` labelled rows and ``TRAIN_BYTES`` of features (chosen by a hash of their id; the bounds
+are parameters); scoring passes over all documents in Arrow batches, without a shuffle. Language, source, id and labels are
 never features.
 
 Defined cases: a null or empty text has no words and scores by its structure bins; a null length has
@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .textkit import bounded_batches, buffers, slices, words
+from .textkit import bounded_batches, buffers, checkpoint, slices, words
 
 WORD_BITS = 15
 RANK = 8
 TRAIN_ROWS = 8000
+#: Bytes of features that are learnt from at most: rows are taken in the order of a hash of their id until they are reached.
+TRAIN_BYTES = 256 << 20
 EPOCHS = 8
 SEED = 7
 STRUCTURE_WEIGHT = 0.5
@@ -162,7 +164,7 @@ def _batch_features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
 
 
 def examples(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """At most ``rows`` labelled, not held-out documents as features, in a fixed order."""
+    """At most ``rows`` labelled, not held-out documents as features, in a fixed order; of rows that share an id, one."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows)
 
@@ -176,9 +178,23 @@ def examples(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: i
                 )
 
     slim = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", "text", "n_chars")
-    got = slim.mapInArrow(features, "doc_id long, y int, ids binary, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
-    return [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["x"], np.float32).astype(float), int(r["y"])) for r in got][: 2 * rows]
+    made = slim.mapInArrow(features, "doc_id long, y int, ids binary, x binary")
+    # one row an id, however often it occurs
+    once = checkpoint(made.groupBy("doc_id").agg(F.min(F.struct("ids", "x", "y")).alias("_f")).select("doc_id", "_f.*"))
+    sizes = once.select("doc_id", F.length("ids").alias("n"), F.xxhash64("doc_id", F.lit(SEED)).alias("h")).collect()
+    sizes.sort(key=lambda r: (r["h"], r["doc_id"]))
+    total, last = 0, None
+    for r in sizes:
+        total += 3 * r["n"]
+        if total > TRAIN_BYTES:
+            break
+        last = r
+    if last is None:
+        return []
+    first = F.struct(F.xxhash64("doc_id", F.lit(SEED)), "doc_id") <= F.struct(F.lit(last["h"]), F.lit(last["doc_id"]))
+    got = once.where(first).collect()
+    got.sort(key=lambda r: r["doc_id"])
+    return [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["x"], np.float32).astype(float), int(r["y"])) for r in got]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Machine:

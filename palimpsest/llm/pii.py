@@ -42,8 +42,9 @@ IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{
 #: Characters of a country's IBAN, for the order in which ends are tried.
 IBAN_LENGTH = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI NL", 19: "SI", 20: "AT EE LT LU", 21: "CH HR LI LV", 22: "BG DE GB IE", 23: "GI", 24: "CZ ES RO SE SK", 25: "PT", 26: "IS", 27: "FR GR IT MC SM", 28: "CY HU PL", 31: "MT"}.items() for c in cs.split()}
 DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{3,4}(?![0-9.])")
-#: A name and the value it is given; a value of 16 to 512 characters.
-SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\x20?(?:=>|[=:])\x20?[\"']?([A-Za-z0-9+/_.=-]{16,512})(?![A-Za-z0-9+/_.=-])")
+#: A value of 16 to 512 characters that is set, and the name it is given to, which ends where the sign begins.
+VALUE = re.compile(r"(?:=>|[=:])\x20?[\"']?([A-Za-z0-9+/_.-]{16,512}+)={0,2}+(?![A-Za-z0-9+/_=-])")
+NAME = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\x20?$")
 #: Bits a character from which a value counts as random.
 RANDOM_BITS = 3.0
 LOCAL_PHONE = re.compile(r"(?<![0-9+.])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
@@ -128,7 +129,9 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if luhn(_NOT_DIGIT.sub("", m[0])):
             found.append((m.start(), m.end(), "card", 1, True))
     found += [(m.start(), m.end(), "phone", 1, False) for m in LOCAL_PHONE.finditer(text)]
-    found += [(*m.span(1), "secret", 1, True) for m in SECRET.finditer(text) if random_looking(m[1])]
+    for m in VALUE.finditer(text):
+        if NAME.search(text, max(0, m.start() - NEAR), m.start()) and random_looking(value := m[1].rstrip(".-")):
+            found.append((m.start(1), m.start(1) + len(value), "secret", 1, True))
     taken, k, reach, out = sorted(base), 0, 0, []
     for a, b, kind, weight, checked in sorted(found):
         while k < len(taken) and taken[k][0] < b:  # both lists in order: ``reach`` is the furthest end of those that begin before b

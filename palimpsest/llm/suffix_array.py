@@ -14,6 +14,8 @@ import numpy as np
 
 #: Symbols up to which a reduced string is sorted by recursion.
 SYMBOLS = 4096
+#: By the bytes of a symbol: the least value of the bits of each but the first symbol of a piece.
+_BITS = {n: np.array([1 << (8 * n * i) for i in range(1, 8 // n)], np.uint64) for n in (1, 2)}
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -87,25 +89,29 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
             return order
 
 
-def _pieces(t: np.ndarray) -> np.ndarray:
-    """The four symbols from each place as one number, zeros beyond the end."""
-    padded = np.zeros(len(t) + 4, "<u2")
-    padded[: len(t)] = t
-    return np.ndarray((len(t) + 1,), "<u8", padded, strides=(2,))
-
-
 def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many symbols the suffixes at ``a`` and ``b`` have in common, up to ``most``; four at a time."""
-    four, out = _pieces(t), np.zeros(len(a), np.int64)
+    """How many symbols the suffixes at ``a`` and ``b`` have in common, up to ``most``; eight bytes at a time.
+
+    ``t`` has symbols of one or two bytes.
+    """
+    size = t.dtype.itemsize
+    padded = np.zeros(len(t) + 8, t.dtype)
+    padded[: len(t)] = t
+    pieces, step, top = np.ndarray((len(t) + 1,), "<u8", padded, strides=(size,)), 8 // size, np.zeros(len(a), np.int64)
     open_ = np.flatnonzero(most > 0)
+    x, y, room = a[open_], b[open_], most[open_]
+    done = 0
     while len(open_):
-        x = four[np.minimum(a[open_] + out[open_], len(t))] ^ four[np.minimum(b[open_] + out[open_], len(t))]
-        # the lowest bit that differs tells the first symbol that does
-        low = x & (~x + np.uint64(1))
-        same = np.where(x == 0, 4, (low >= np.uint64(1 << 16)).astype(np.int64) + (low >= np.uint64(1 << 32)) + (low >= np.uint64(1 << 48)))
-        out[open_] = np.minimum(out[open_] + same, most[open_])
-        open_ = open_[(x == 0) & (out[open_] < most[open_])]
-    return out
+        differ = pieces[x] ^ pieces[y]
+        more = (differ == 0) & (room > done + step)
+        end = np.flatnonzero(~more)
+        low = differ[end] & (~differ[end] + np.uint64(1))  # the lowest bit that differs tells the first symbol that does
+        same = np.where(differ[end] == 0, step, np.searchsorted(_BITS[size], low, "right"))
+        top[open_[end]] = np.minimum(done + same, room[end])
+        done += step
+        go = np.flatnonzero(more)
+        open_, x, y, room = open_[go], x[go] + step, y[go] + step, room[go]
+    return top
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -121,6 +127,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         flags[lms] = True
         sa = _induce(t, s, lms, starts)
         by_substring = sa[flags[sa]]
+        t = np.ascontiguousarray(t, np.uint16)
         # an LMS substring ends with the next LMS suffix's first symbol; the last one, which the end closes, is unlike all
         end = np.zeros(n, np.int64)
         end[lms[:-1]] = lms[1:] + 1

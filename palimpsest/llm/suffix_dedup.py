@@ -84,10 +84,12 @@ def _repeats_in(contexts: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[i
     """(doc, at, 1) of the windows of (doc, at, count, context) that occur in an earlier one."""
     sizes = np.array([len(c[3]) for c in contexts])
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text = np.frombuffer(b"\0".join(c[3] for c in contexts) + b"\0", np.uint8).astype(np.uint16) + 1
+    data = np.frombuffer(b"\0".join(c[3] for c in contexts) + b"\0", np.uint8)
+    text = data.astype(np.uint16) + np.uint16(1)
     text[begins[1:] - 1] = 0  # a separator below all bytes
     sa = suffix_array(text)
-    group = np.cumsum(common_prefixes(text, sa, LENGTH)[sa] < LENGTH)
+    # windows hold no separator, so their bytes can be compared as they are
+    group = np.cumsum(common_prefixes(data, sa, LENGTH)[sa] < LENGTH)
     place = np.searchsorted(begins, sa, "right") - 1
     inside = sa - begins[place]
     window = inside < np.array([c[2] for c in contexts])[place]  # only these suffixes start a window of their block

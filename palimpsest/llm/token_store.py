@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -62,6 +63,54 @@ def encoder(vocabulary: bytes) -> Encoder:
     return _encoders[key]
 
 
+class _Growing:
+    """An array that is appended to, with room to spare, so that appending costs what is appended."""
+
+    def __init__(self, start: list, kind: type) -> None:
+        self.room, self.n = np.zeros(1024, kind), 0
+        self.extend(np.array(start, kind))
+
+    def extend(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(2 * len(x) + self.n, self.room.dtype)])
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+class _Index:
+    """Hash -> slot: a large sorted table, and a small one of late entries that is merged into it now and then."""
+
+    def __init__(self) -> None:
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.tables)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' slots, -1 where there is none."""
+        out = np.full(len(keys), -1)
+        for known, slots in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[at] == keys, slots[at], out)
+        return out
+
+    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """Adds new keys, in order."""
+        (large, old), (known, have) = self.tables
+        at = np.searchsorted(known, keys)
+        known, have = np.insert(known, at, keys), np.insert(have, at, slots)
+        if len(known) > max(10_000, len(large) // 8):
+            at = np.searchsorted(large, known)
+            large, old = np.insert(large, at, known), np.insert(old, at, have)
+            known, have = known[:0], have[:0]
+        self.tables = [(large, old), (known, have)]
+
+
 class Encoder:
     """Encodes rows of bytes to ids, each distinct word once."""
 
@@ -78,9 +127,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.sure = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
-        self.flat, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.index = _Index()
+        # by slot: the second hash and the end of the ids
+        self.sure, self.flat, self.at = _Growing([], np.uint64), _Growing([], self.kind), _Growing([0], np.int64)
 
     def _fresh(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some parts, one after the other, and how many each has.
@@ -127,37 +176,36 @@ class Encoder:
         raw = data.tobytes()
         # control strings of the vocabulary are told by case; they hold "<|"
         starts, ends, h, row, check = words(data, offsets, lower=b"<|" not in raw, breaks=breaks, check=True)
-        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        codes, uniq = pd.factorize(h)
+        first = np.empty(len(uniq), np.int64)
+        first[codes[::-1]] = np.arange(len(h) - 1, -1, -1)
         sure = check[first]
-        if (sure[inverse] != check).any():
+        if (sure[codes] != check).any():
             return self._rows(data, offsets)
-        if len(self.known) + len(uniq) > CACHE_WORDS:
+        if len(self.index) + len(uniq) > CACHE_WORDS:
             self.forget()
-        at = np.searchsorted(self.known, uniq)
-        new = np.ones(len(uniq), bool)
-        have = at < len(self.known)
-        new[have] = self.known[at[have]] != uniq[have]
-        if (self.sure[at[~new]] != sure[~new]).any():
+        slot = self.index.find(uniq)
+        have = slot >= 0
+        if (self.sure.now[slot[have]] != sure[have]).any():
             return self._rows(data, offsets)
-        if new.any():
-            parts = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            flat, sizes = self._fresh(parts)
-            n = len(self.at) - 1
-            self.flat = np.concatenate([self.flat, flat])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-            self.known = np.insert(self.known, at[new], uniq[new])
-            self.sure = np.insert(self.sure, at[new], sure[new])
-            self.slot = np.insert(self.slot, at[new], np.arange(n, n + len(parts)))
-            at = np.searchsorted(self.known, uniq)
-        slot = self.slot[at][inverse] if len(h) else np.zeros(0, np.int64)
-        size = self.at[slot + 1] - self.at[slot]
+        new = np.flatnonzero(~have)
+        if len(new):
+            new = new[np.argsort(uniq[new])]
+            flat, sizes = self._fresh([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            slot[new] = np.arange(self.sure.n, self.sure.n + len(new))
+            self.flat.extend(flat)
+            self.at.extend(self.at.now[-1] + np.cumsum(sizes))
+            self.sure.extend(sure[new])
+            self.index.add(uniq[new], slot[new])
+        slot, at = slot[codes], self.at.now
+        size = at[slot + 1] - at[slot]
         ends_at = np.concatenate([[0], np.cumsum(size)])
         total = ends_at[row[1:]] - ends_at[row[:-1]]
         out_at = np.concatenate([[0], np.cumsum(total + 1)])
         out = np.full(int(out_at[-1]), END_ID, self.kind)
-        source = np.repeat(self.at[slot] - ends_at[:-1], size) + np.arange(int(ends_at[-1]))
+        source = np.repeat(at[slot] - ends_at[:-1], size) + np.arange(int(ends_at[-1]))
         target = np.arange(int(ends_at[-1])) + np.repeat(np.arange(len(total)), total)
-        out[target] = self.flat[source]
+        out[target] = self.flat.now[source]
         return out, out_at
 
 

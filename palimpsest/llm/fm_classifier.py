@@ -191,8 +191,8 @@ def examples(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: i
         last = r
     if last is None:
         return []
-    first = F.struct(F.xxhash64("doc_id", F.lit(SEED)), "doc_id") <= F.struct(F.lit(last["h"]), F.lit(last["doc_id"]))
-    got = once.where(first).collect()
+    h = F.xxhash64("doc_id", F.lit(SEED))
+    got = once.where((h < last["h"]) | (h == last["h"]) & (F.col("doc_id") <= last["doc_id"])).collect()
     got.sort(key=lambda r: r["doc_id"])
     return [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["x"], np.float32).astype(float), int(r["y"])) for r in got]
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 # Moods in the order of detection, each with its words.
 MOOD_ORDER = ("放弃", "愤怒", "悲伤", "焦虑", "困惑", "意外", "开心")
 MOODS = {
-    "放弃": ["不管了", "随便", "放弃", "累了", "不想做了", "就这样吧", "不做了", "算了算了", "不纠结了", "爱咋咋地", "无所谓", "能用就行", "whatever", "give up", "i don't care", "fine, do what you want", "i quit"],
-    "愤怒": ["气死", "恼火", "凭什么", "不公平", "过分", "火大", "无语", "受不了", "恶心", "垃圾", "折磨", "angry", "pissed off", "outrageous", "unfair", "ridiculous", "unacceptable"],
-    "悲伤": ["难过", "伤心", "好累", "心累", "崩溃", "失望", "没用", "失败", "痛苦", "sad", "depressed", "heartbroken", "disappointed", "exhausted", "drained", "terrible", "failure", "useless", "messed up", "can't do this"],
-    "焦虑": ["焦虑", "紧张", "压力好大", "害怕", "不安", "担心", "怎么办", "万一", "会不会", "好怕", "anxious", "nervous", "stressed", "worried", "afraid", "scared"],
-    "困惑": ["不懂", "不明白", "怎么回事", "啥意思", "搞不懂", "奇怪", "不对劲", "不太对", "有点奇怪", "没搞明白", "confused", "don't understand", "what's going on", "doesn't make sense"],
-    "意外": ["没想到", "竟然", "不是吧", "真的假的", "天哪", "怎么回事这样", "原来是", "wow", "unexpected", "surprised", "really", "no way", "oh my"],
-    "开心": ["开心", "太好了", "太棒了", "满意", "有意思", "值得", "兴奋", "哈哈", "喜欢", "终于", "不错", "完美", "搞定", "高兴", "happy", "great", "excited", "awesome", "love it", "worth it", "amazing"],
+    "愤怒": ["气死", "恼火", "凭什么", "不公平", "过分", "太气人了", "火大", "无语", "受不了", "真恶心", "怎么这样", "太糟糕了", "烦死了", "气死我了", "烦死", "气炸", "真烦", "真火大", "要气死", "被气到", "好生气", "受够了", "崩溃了", "无语了", "恶心", "恼人", "操蛋", "扯淡", "折磨", "劝退", "坑爹", "垃圾", "烂", "废了", "有毒"]
+    + ["angry", "pissed off", "outrageous", "unfair", "ridiculous", "unacceptable"],
+    "悲伤": ["难过", "伤心", "好累", "不想动", "心累", "崩溃", "失望", "没劲", "没意思", "提不起劲", "好难过", "废物", "没用", "搞砸了", "又错了", "做不好", "失败", "不行了", "完蛋了", "好难", "太难了", "做不动", "撑不住", "痛苦"]
+    + ["sad", "depressed", "heartbroken", "disappointed", "exhausted", "drained", "terrible", "failure", "useless", "messed up", "can't do this"],
+    "焦虑": ["焦虑", "紧张", "压力好大", "害怕", "不安", "担心", "怎么办", "万一", "会不会", "好怕"] + ["anxious", "nervous", "stressed", "worried", "afraid", "scared"],
+    "放弃": ["不管了", "随便", "放弃", "累了", "不想做了", "就这样吧", "不做了", "算了算了", "不纠结了", "爱咋咋地", "无所谓", "能用就行"] + ["whatever", "give up", "i don't care", "fine, do what you want", "i quit"],
+    "开心": ["开心", "太好了", "太棒了", "满意", "有意思", "值得", "兴奋", "好棒", "哈哈", "nice", "真不错", "有成就感", "爽", "喜欢", "终于", "很好", "不错", "舒服", "完美", "真香", "赞", "厉害", "搞定", "跑通了", "稳了", "通了", "漂亮", "优秀", "强大", "惊喜", "感动", "成就感", "自豪", "高兴", "愉快", "轻松", "好使", "管用", "真快", "丝滑", "起飞", "牛批", "无敌", "爱了", "推荐", "好用", "简洁", "清晰", "优雅"]
+    + ["happy", "great", "excited", "awesome", "love it", "worth it", "amazing"],
+    "困惑": ["不懂", "不明白", "怎么回事", "啥意思", "搞不懂", "奇怪", "不对劲", "不太对", "有点奇怪", "没搞明白"] + ["confused", "don't understand", "what's going on", "doesn't make sense"],
+    "意外": ["没想到", "竟然", "不是吧", "真的假的", "天哪", "怎么回事这样", "原来是"] + ["wow", "unexpected", "surprised", "really", "no way", "oh my"],
 }
 HAPPY = "开心"
 NEGATORS = ["不", "没", "不是", "不太", "并不", "并不太", "not ", "don't ", "doesn't ", "isn't ", "aren't ", "never ", "no ", "hardly "]
+IMPACTS = ["他让", "她让", "他们让", "害得", "he makes", "she makes", "they make"]
 OTHERS = ["他", "她", "他们", "那个人", "别人", "he ", "she ", "they ", "that person", "someone"]
 
 # Signals of drift and the directions of a choice.

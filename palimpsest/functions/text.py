@@ -21,13 +21,8 @@ def matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def windows(s: Column, least: int, most: int) -> Column:
-    """All substrings of ``least`` to ``most`` characters."""
-
-    def of(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
-        return F.filter(cut, lambda x: F.length(x) == n)
-
-    return F.flatten(F.array(*[of(n) for n in range(least, most + 1)]))
+    """All substrings of ``least`` to ``most`` characters, each by a pattern that looks ahead from every place (characters of one UTF-16 unit)."""
+    return F.flatten(F.array(*[matches(s, f"(?s)(?=(.{{{n}}}))", 1) for n in range(least, most + 1)]))
 
 
 def cjk_joined(c: Column) -> Column:
@@ -146,6 +141,14 @@ def mood(c: Column, table: dict[str, list[str]] | None = None, order: tuple[str,
     return out.otherwise("")
 
 
+def emitter(c: Column, word: Column, others: list[str] | None = None, impacts: list[str] | None = None) -> Column:
+    """Whose mood a word tells, by the 30 characters before its first place: 他人 (others'), 影响 (caused by others), else 自我 (one's own); null without the word."""
+    at = F.instr(F.lower(c), F.lower(word))
+    start = F.greatest(at - 30, F.lit(1))
+    before = F.lower(F.substring(c, start, at - start))
+    return F.when(at > 0, F.when(any_hit(before, others or lexicon.OTHERS), "他人").when(any_hit(before, impacts or lexicon.IMPACTS), "影响").otherwise("自我"))
+
+
 def estimate_tokens(c: Column) -> Column:
     """CJK characters count one, four others count one."""
     cjk = F.length(cjk_joined(c))

@@ -103,11 +103,10 @@ def as_of(spans: DataFrame, moment: str) -> DataFrame:
     return spans.where((F.col("valid_from") <= at) & (F.col("valid_until").isNull() | (F.col("valid_until") > at)))
 
 
-def trace(log: DataFrame, roots: list[str], hops: int = 3) -> DataFrame:
-    """Keyword chains: from a root to the first message after the last one that holds it, whose longest new word is the next root."""
-    spark = log.sparkSession
+def trace(log: DataFrame, roots: DataFrame, hops: int = 3) -> DataFrame:
+    """Keyword chains from each root (word): from a root to the first message after the last one that holds it, whose longest new word is the next root."""
     ws = log.select("msg_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word"))
-    now = spark.createDataFrame([(r, 0, r, 0) for r in roots], "root string, hop int, word string, msg_id long")
+    now = roots.select(F.col("word").alias("root"), F.lit(0).alias("hop"), "word", F.lit(0).cast("long").alias("msg_id"))
     out = now
     for k in range(1, hops + 1):
         hit = now.alias("n").join(ws.alias("w"), "word").where("w.msg_id > n.msg_id").groupBy("root").agg(F.min("w.msg_id").alias("msg_id"))

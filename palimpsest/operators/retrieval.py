@@ -10,8 +10,9 @@ from ..functions import text
 
 
 def postings(docs: DataFrame, tokens: Column) -> DataFrame:
-    """(token, msg_id), exploded: each pair once. ``msg_id`` is a key, so distinct within a row is distinct without a shuffle."""
-    return docs.select(F.explode(F.array_distinct(tokens)).alias("token"), "msg_id")
+    """(token, msg_id, dl), exploded: each pair once, with its message's number of tokens. ``msg_id`` is a key, so distinct within a row is distinct without a shuffle."""
+    held = docs.select("msg_id", F.array_distinct(tokens).alias("_t"))
+    return held.select(F.explode("_t").alias("token"), "msg_id", F.size("_t").cast("long").alias("dl"))
 
 
 def posting_lists(pairs: DataFrame) -> DataFrame:
@@ -41,15 +42,19 @@ def match_all(pairs: DataFrame, asked: DataFrame) -> DataFrame:
     return hits.join(need, "query_id").where(F.col("hits") == F.col("_n")).drop("_n")
 
 
-def bm25(pairs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over token sets (each token counts once), rounded to six places before ranking."""
-    length = pairs.groupBy("msg_id").agg(F.count("*").alias("dl"))
+def bm25(pairs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
+    """BM25 over token sets (each token counts once), rounded to six places before ranking.
+
+    Postings that carry their message's length (dl) need no join for it; ``lengths`` (msg_id, dl) saves counting it.
+    """
+    length = pairs.groupBy("msg_id").agg(F.count("*").alias("dl")) if lengths is None else lengths
     stats = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = pairs.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighted = asked.join(df, "token").crossJoin(F.broadcast(stats)).withColumn("idf", idf).select("query_id", "token", "idf", "avgdl")
     part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = pairs.join(weighted, "token").join(length, "msg_id").groupBy("query_id", "msg_id").agg(F.round(F.sum(part), 6).alias("score"))
+    hits = pairs.join(weighted, "token")
+    scored = (hits if "dl" in pairs.columns else hits.join(length, "msg_id")).groupBy("query_id", "msg_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, "query_id", [F.desc("score"), F.asc("msg_id")], k)
 
 
@@ -76,12 +81,23 @@ def tfidf_cosine(pairs: DataFrame, asked: DataFrame, k: int = 10, least: float =
     q = asked.join(idf, "token")
     norms = d.groupBy("msg_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("dn"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("qn"))
-    dot = d.join(q.select("query_id", "token"), "token").groupBy("query_id", "msg_id").agg(F.sum(F.col("w") ** 2).alias("dot"))
+    dot = pairs.join(q, "token").groupBy("query_id", "msg_id").agg(F.sum(F.col("w") ** 2).alias("dot"))
     sim = F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 3)
     scored = dot.join(norms, "msg_id").join(qn, "query_id").select("query_id", "msg_id", sim.alias("score")).where(F.col("score") > least)
     return top(scored, "query_id", [F.desc("score"), F.asc("msg_id")], k)
 
 
+def simhash_rerank(hits: DataFrame, query: str, key: str = "score", most: float = 0.1) -> DataFrame:
+    """Adds to ``key`` up to ``most`` for closeness of fingerprints: the share of bits a text has in common with the query's."""
+    from . import sketches
+
+    asked = sketches.fingerprints(hits.sparkSession.createDataFrame([(0, query)], "msg_id long, text string")).select(F.col("simhash").alias("_q"))
+    joined = sketches.fingerprints(hits).crossJoin(F.broadcast(asked))  # one row
+    bits = sum((F.bit_count(F.conv(F.substring("simhash", 8 * i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("_q", 8 * i + 1, 8), 16, 10).cast("long"))) for i in range(4)), F.lit(0))
+    near = F.when(F.col("simhash").isNull() | F.col("_q").isNull(), 0.0).otherwise(1 - bits / 128.0)
+    return joined.withColumn(key, F.col(key) + most * near).drop("simhash", "_q")
+
+
 def density(docs: DataFrame, query: str, trust: DataFrame | None = None, tokens=text.density_tokens) -> DataFrame:
     """Share of the query's tokens in a text, times its trust (0.5 unless known)."""
     asked = tokens(F.lit(query))

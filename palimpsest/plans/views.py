@@ -11,9 +11,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """msg_id, conv_id, turn, ts, sender, text; the id follows from conversation and turn, so no order has to be computed."""
+    """msg_id, conv_id, turn, ts, sender, text; the id follows from conversation and turn, so no order has to be computed.
+
+    A turn has 20 bits of the id; one that doesn't fit is an error.
+    """
     t = read(spark, sf_dir, "conversations")
-    msg_id = F.col("conv_id") * 1000 + F.col("turn")
+    msg_id = F.when(F.col("turn").between(0, (1 << 20) - 1), F.shiftleft(F.col("conv_id").cast("long"), 20) + F.col("turn")).otherwise(F.raise_error(F.lit("a turn is out of range")).cast("long"))
     return t.select(
         msg_id.alias("msg_id"),
         "conv_id",
@@ -25,7 +28,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MESSAGES = """messages AS (
-  SELECT conv_id * 1000 + turn AS msg_id, conv_id, turn, TIMESTAMP '2024-01-01' + to_minutes(((conv_id * 1000 + turn) % 100000)::INT) AS ts,
+  SELECT conv_id::BIGINT * 1048576 + turn AS msg_id, conv_id, turn, TIMESTAMP '2024-01-01' + to_minutes(((conv_id * 1000 + turn) % 100000)::INT) AS ts,
          CASE role WHEN 'assistant' THEN 'agent' ELSE role END AS sender, text FROM conversations)"""
 
 
@@ -82,7 +85,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MEMORIES = """memories AS (SELECT vec_id AS memory_id, ['semantic', 'episodic', 'emotional', 'procedural'][label % 4 + 1] AS type, substring(text, 1, 200) AS content,
+MEMORIES = """memories AS (SELECT vec_id AS memory_id, ['semantic', 'episodic', 'emotional', 'procedural'][label % 4 + 1] AS type, text AS content,
   label / 10.0::DOUBLE AS arousal, 1.0::DOUBLE / (1 + vec_id % 5) AS weight, (vec_id % 7)::INT AS access_count, TIMESTAMP '2024-01-01' + to_hours(vec_id::INT) AS created_at,
   vec_id % 11 = 0 AS unresolved, embedding FROM embeddings JOIN documents ON vec_id = doc_id)"""
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import analytics, graph, log, memory, retrieval, sketches, state
+from .operators.index import Index
 from .sources import readers
+from .sources.shared import checkpoint
 
 SCHEMAS = {
     "messages": "msg_id long, ts timestamp_ntz, sender string, text string",
@@ -62,8 +64,7 @@ class Engine:
         """Appends (sender, text) messages with all that ingestion derives; returns how many were worth keeping."""
         now, start = self.clock().replace(microsecond=0), self._next("messages", "msg_id")
         got = self._rows("messages", [(start + k, now, s, t) for k, (s, t) in enumerate(messages)])
-        rows = log.valued(got).drop("info_value").collect()
-        kept = self._rows("messages", [tuple(r) for r in rows])
+        kept = checkpoint(log.valued(got).drop("info_value"))
         self.append("messages", kept)
         c, user = F.col("text"), kept.where("sender = 'user'")
         d = user.where(text.is_decision(c)).select("ts", F.col("msg_id").alias("event_id"), F.substring("text", 1, 200).alias("decision"), text.drift_score(c).alias("drift"), text.direction(c).alias("direction"), F.date_format("ts", "yyyy-MM").alias("stage"), F.lit(None).cast("string").alias("scene"))
@@ -71,7 +72,7 @@ class Engine:
         self.append("moods", user.select("ts", F.col("msg_id").alias("event_id"), text.mood(c).alias("mood")).where("mood <> ''"))
         self.append("memories", user.select("ts", F.substring("text", 1, 300).alias("content"), text.memory_type(c).alias("type")))
         self.thread_add(graph.extract(user, "user").join(user.select("msg_id", "ts"), "msg_id").withColumnRenamed("msg_id", "source_id"))
-        return len(rows)
+        return kept.count()
 
     def import_(self, path: str, kind: str) -> int:
         """Imports a log or chat export; messages that are there already (sender and text) are skipped."""
@@ -107,19 +108,53 @@ class Engine:
     def recent(self, n: int = 10) -> DataFrame:
         return log.recent(self.table("messages"), n)
 
-    def search(self, query: str, k: int = 10) -> DataFrame:
-        """Hybrid search: BM25 and token count routes, first route wins, ranked by density times trust; a full scan where both find nothing."""
+    def index(self) -> Index:
+        """The stored postings, with all messages that were written so far."""
+        index = Index(self.spark, f"{self.base}/index")
+        index.update(self.table("messages"))
+        return index
+
+    def _routes(self, query: str, k: int, index: Index) -> DataFrame:
+        """(query_id, msg_id, route, rank) of the routes: all tokens, most tokens, TF-IDF, and named things by trust."""
+        spark, c = self.spark, F.col("text")
+        question = spark.createDataFrame([(1, query)], "query_id int, text string")
+        asked = retrieval.query_tokens(question, text.fts_tokens(c))
+        pairs = index.postings()
+        ranked = lambda x, n: x.select("query_id", "msg_id", F.lit(n).alias("route"), "rank")
+        scored = retrieval.bm25(pairs, asked, 3 * k, lengths=index.lengths())
+        every = retrieval.match_all(pairs, asked).join(scored.select("query_id", "msg_id", "score"), ["query_id", "msg_id"], "left")
+        every = retrieval.top(every, "query_id", [F.desc_nulls_last("score"), "msg_id"], 3 * k)
+        trust = retrieval.trust_fold(self.table("feedback")).select("msg_id", "trust")
+        names = question.select("query_id", F.explode(text.entities(c)).alias("token"))
+        named = retrieval.count_match(pairs, names, 3 * k).join(trust, "msg_id", "left")
+        named = retrieval.top(named.drop("rank"), "query_id", [F.desc("hits"), F.desc(F.coalesce("trust", F.lit(0.5))), "msg_id"], k)
+        lists = [every, retrieval.count_match(pairs, asked, 3 * k), retrieval.tfidf_cosine(pairs, asked, 3 * k), named]
+        out = ranked(scored, 5)
+        for n, x in enumerate(lists, 1):
+            out = out.unionAll(ranked(x, n))
+        return retrieval.route(out)
+
+    def search(self, query: str, k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
+        """Hybrid search over the stored postings: the first route that finds a message wins, ranked by density times trust and by fingerprints.
+
+        ``vectors`` (msg_id, vector_score) moves what it holds to the front. Where no route finds anything, texts are scanned.
+        """
         m = self.table("messages")
-        asked = retrieval.query_tokens(self.spark.createDataFrame([(1, query)], "query_id int, text string"), text.fts_tokens(F.col("text")))
-        pairs = retrieval.postings(m, text.fts_tokens(F.col("text")))
-        a = retrieval.bm25(pairs, asked, 3 * k).select("query_id", "msg_id", F.lit(1).alias("route"), "rank")
-        b = retrieval.count_match(pairs, asked, 3 * k).select("query_id", "msg_id", F.lit(2).alias("route"), "rank")
-        hits = retrieval.route(a.unionAll(b)).withColumnRenamed("rank", "route_rank")
+        hits = checkpoint(self._routes(query, k, self.index()).withColumnRenamed("rank", "route_rank"))  # a few rows
         found = hits.join(m, "msg_id")
         if not hits.limit(1).count():
-            found = log.substring_scan(m, query).select("msg_id", F.lit(1).alias("query_id"), F.lit(3).alias("route"), F.lit(1).alias("route_rank"), "ts", "sender", "text")
-        scored = retrieval.density(found, query, retrieval.trust_fold(self.table("feedback")))
-        return retrieval.top(scored, "query_id", [F.desc("score"), "route", "route_rank", "msg_id"], k).select("rank", "msg_id", "ts", "sender", "text", "density", "trust", "score").orderBy("rank")
+            found = log.substring_scan(m, query).select("msg_id", F.lit(1).alias("query_id"), F.lit(6).alias("route"), F.lit(1).alias("route_rank"), "ts", "sender", "text")
+        scored = retrieval.simhash_rerank(retrieval.density(found, query, retrieval.trust_fold(self.table("feedback"))), query)
+        out = retrieval.top(scored, "query_id", [F.desc("score"), "route", "route_rank", "msg_id"], 3 * k)
+        if vectors is not None:
+            out = retrieval.promote(out, vectors).drop("rank", "vector_score").withColumnRenamed("new_rank", "rank")
+        return out.where(F.col("rank") <= k).select("rank", "msg_id", "ts", "sender", "text", "density", "trust", "score").orderBy("rank")
+
+    def semantic(self, query: str, k: int = 10) -> DataFrame:
+        """TF-IDF cosine over the stored postings."""
+        index = self.index()
+        asked = retrieval.query_tokens(self.spark.createDataFrame([(1, query)], "query_id int, text string"), text.fts_tokens(F.col("text")))
+        return retrieval.tfidf_cosine(index.postings(), asked, k).join(self.table("messages"), "msg_id").select("rank", "msg_id", "ts", "sender", "text", "score").orderBy("rank")
 
     def dejavu(self, fragment: str) -> DataFrame:
         """How familiar a text's tokens are, by the filter over all that was said."""
@@ -198,15 +233,80 @@ class Engine:
             lines += [f"{memory.LABELS[r.type]} {r.content}" for r in order.collect()]
         return "\n".join(lines)
 
+    # ---- further tools
+
+    def ping(self) -> DataFrame:
+        """The number of messages and the stage of the latest decision."""
+        n = self.table("messages").agg(F.count("*").alias("messages"))
+        return n.crossJoin(F.broadcast(self.table("decisions").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"))))
+
+    def echo(self, n: int = 80) -> DataFrame:
+        """The wind of the last ``n`` moods: which ones, and how often."""
+        return self.table("moods").orderBy(F.desc("ts"), F.desc("event_id")).limit(n).groupBy("mood").agg(F.count("*").alias("n"))
+
+    def dream(self, question: str, k: int = 5) -> DataFrame:
+        """What was chosen when something like it was decided: the decisions nearest by shared tokens, and the direction of most of them."""
+        c = F.col("text")
+        d = self.table("decisions").select(F.col("event_id").alias("msg_id"), F.col("decision").alias("text"), "ts", "direction", "drift")
+        asked = retrieval.query_tokens(self.spark.createDataFrame([(1, question)], "query_id int, text string"), text.fts_tokens(c))
+        near = retrieval.count_match(retrieval.postings(d, text.fts_tokens(c)), asked, k).join(d, "msg_id")
+        majority = near.groupBy("direction").agg(F.count("*").alias("_n")).agg(F.max_by("direction", F.struct("_n", "direction")).alias("majority"))
+        other = F.when(F.col("majority") == "spend", "frugal").when(F.col("majority") == "frugal", "spend").otherwise("neutral")
+        return near.crossJoin(F.broadcast(majority)).select("rank", "msg_id", "ts", "text", "direction", "drift", "majority", other.alias("instead")).orderBy("rank")
+
+    def migrate(self, path: str) -> DataFrame:
+        """Copies every table to ``path``; returns how many rows each has there."""
+        for name, schema in SCHEMAS.items():
+            self.table(name).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        counts = [self.spark.read.schema(SCHEMAS[n]).parquet(f"{path.rstrip('/')}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in SCHEMAS]
+        out = counts[0]
+        for x in counts[1:]:
+            out = out.unionAll(x)
+        return out
+
+    def fact_store(self, action: str, subject: str = "", relation: str = "", object: str = "", query: str = "", entity: str = "") -> DataFrame:
+        """Adds a fact, searches facts by a part of any field, or lists those about an entity."""
+        facts = self.table("triples")
+        if action == "add":
+            stamp = F.lit(self.clock().replace(microsecond=0).isoformat(" ")).cast("timestamp_ntz")
+            self.thread_add(self.spark.createDataFrame([(subject, relation, object, None)], "subject string, relation string, object string, source_id long").withColumn("ts", stamp))
+            return self.table("triples").where((F.col("subject") == subject) & (F.col("relation") == relation) & (F.col("object") == object))
+        if action == "search":
+            return facts.where(F.contains(F.lower(F.concat_ws(" ", "subject", "relation", "object")), F.lit(query.lower())))
+        if action == "probe":
+            return facts.where((F.col("subject") == entity) | (F.col("object") == entity))
+        raise ValueError(f"unknown action {action!r}")
+
     # ---- a tool surface
 
-    TOOLS = ("recent", "search", "dejavu", "thread", "thread_graph", "thread_weave", "thread_stats", "tasks", "offset", "chart", "mood_entropy", "memory_stats", "rules", "health", "facts_as_of")
+    READERS = (
+        "recent", "search", "semantic", "dejavu", "thread", "thread_graph", "thread_weave", "thread_stats", "tasks", "offset", "chart", "mood_entropy",
+        "memory_stats", "rules", "health", "facts_as_of", "persona", "ping", "echo", "dream", "migrate", "fact_store",
+    )
+    #: Tools that write, and name what they have done.
+    WRITERS = ("import_", "export", "soul_export", "soul_merge", "fact_feedback", "task_defer", "task_done")
+    #: Tools whose rows come in an order of their own.
+    ORDERED = ("recent", "search", "semantic", "dream", "rules")
+    TOOLS = READERS + WRITERS + ("thread_add",)
+    PAGE = 1000
 
     def call(self, request: str) -> str:
-        """Answers one JSON-RPC request for a reading tool; its rows come as JSON, 1,000 at most."""
+        """Answers one JSON-RPC request for a tool. Rows come in pages: ``page`` says from which row and how many, ``next`` where the next page starts."""
         r = json.loads(request)
-        name, args = r.get("method"), r.get("params") or {}
+        name, args, page = r.get("method"), r.get("params") or {}, r.get("page") or {}
         if name not in self.TOOLS:
             return json.dumps({"jsonrpc": "2.0", "id": r.get("id"), "error": {"code": -32601, "message": f"unknown tool {name!r}"}})
-        rows = [json.loads(x) for x in getattr(self, name)(**args).limit(1000).toJSON().collect()]
-        return json.dumps({"jsonrpc": "2.0", "id": r.get("id"), "result": rows}, ensure_ascii=False)
+        answer: dict = {"jsonrpc": "2.0", "id": r.get("id")}
+        if name == "thread_add":
+            answer["result"] = [json.loads(x) for x in self.fact_store("add", **args).toJSON().collect()]
+        elif name in self.WRITERS:
+            answer["result"] = {"done": name, "value": getattr(self, name)(**args)}
+        else:
+            rows, start, n = getattr(self, name)(**args), int(page.get("start", 0)), int(page.get("rows", self.PAGE))
+            if name not in self.ORDERED:
+                rows = rows.orderBy(*rows.columns)  # pages need one order
+            got = [json.loads(x) for x in rows.offset(start).limit(n + 1).toJSON().collect()]
+            answer["result"] = got[:n]
+            if len(got) > n:
+                answer["next"] = start + n
+        return json.dumps(answer, ensure_ascii=False)

@@ -62,3 +62,30 @@ def test_dejavu_soul_context_and_tools(engine, tmp_path):
     got = json.loads(engine.call(json.dumps({"id": 1, "method": "recent", "params": {"n": 1}})))
     assert len(got["result"]) == 1
     assert "error" in json.loads(engine.call('{"id": 2, "method": "rm"}'))
+
+
+def test_pages_and_further_tools(engine, tmp_path):
+    ask = lambda **r: json.loads(engine.call(json.dumps({"id": 1, **r})))
+    first = ask(method="recent", params={"n": 3}, page={"rows": 2})
+    rest = ask(method="recent", params={"n": 3}, page={"start": first["next"], "rows": 2})
+    assert len(first["result"]) == 2 and len(rest["result"]) == 1 and "next" not in rest
+    n = engine.table("messages").count()
+    assert ask(method="ping")["result"][0]["messages"] == n
+    assert ask(method="thread_add", params={"subject": "x", "relation": "likes", "object": "y"})["result"][0]["object"] == "y"
+    assert ask(method="fact_store", params={"action": "search", "query": "LIKES"})["result"][0]["subject"] == "x"
+    assert len(ask(method="fact_store", params={"action": "probe", "entity": "y"})["result"]) == 1
+    assert ask(method="semantic", params={"query": "search engine"})["result"][0]["rank"] == 1
+    assert {r["mood"] for r in ask(method="echo")["result"]} >= {"开心"}
+    assert ask(method="dream", params={"question": "用 Rust 还是 Java"})["result"][0]["rank"] == 1
+    assert ask(method="fact_feedback", params={"msg_id": 1, "helpful": True})["result"]["done"] == "fact_feedback"
+    assert {r["name"]: r["n"] for r in ask(method="migrate", params={"path": str(tmp_path / "copy")})["result"]}["messages"] == n
+    with pytest.raises(ValueError, match="unknown action"):
+        engine.fact_store("burn")
+
+
+def test_vectors_move_hits_to_the_front(engine, spark):
+    engine.record([("user", "parrot parrot speaks"), ("user", "a parrot sleeps all day long")])
+    found = engine.search("parrot").collect()
+    last = found[-1].msg_id
+    front = spark.createDataFrame([(last, 0.9)], "msg_id long, vector_score double")
+    assert engine.search("parrot", vectors=front).first().msg_id == last

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analytics, graph, memory, retrieval, sketches
 from . import views as v
-from .catalog import _VQ, _WORDS_SQL, _vq, stamp
+from .catalog import _ASKED_SQL, _LONGEST_SQL, _VQ, _WORDS_SQL, _vq, longest_words, stamp
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,12 +105,12 @@ a{k} AS (SELECT * FROM a{p} UNION ALL SELECT * FROM n{k})"""
 
 @query(
     "causal_trace",
-    f"WITH {v.MESSAGES}, ws AS (SELECT DISTINCT msg_id, unnest({_WORDS_SQL}) AS word FROM messages), n0 AS (SELECT column0 AS root, 0 AS hop, column0 AS word, 0::BIGINT AS msg_id FROM (VALUES ('tion'), ('euxment'), ('heit')) t(column0)), a0 AS (SELECT * FROM n0), "
+    f"WITH {v.MESSAGES}, {_ASKED_SQL}, ws AS (SELECT DISTINCT msg_id, unnest({_WORDS_SQL}) AS word FROM messages), n0 AS (SELECT DISTINCT word AS root, 0 AS hop, word, 0::BIGINT AS msg_id FROM ({_LONGEST_SQL})), a0 AS (SELECT * FROM n0), "
     + ", ".join(_TRACE_STEP.format(k=k, p=k - 1) for k in (1, 2, 3))
     + " SELECT root, hop, word, msg_id FROM a3",
 )
 def _(s, d):
-    return graph.trace(v.messages(s, d), ["tion", "euxment", "heit"])
+    return graph.trace(v.messages(s, d), longest_words(s, d).select("word").distinct())
 
 
 # ---------------------------------------------------------------- memories
@@ -175,7 +175,7 @@ def _(s, d):
     return memory.leaders(pairs, m.select(F.col("memory_id").alias("node")))
 
 
-@query("mem_reclassify", f"WITH {v.MESSAGES}, m AS (SELECT msg_id AS memory_id, regexp_replace(substring(text, 1, 3), '^\\s*\\d{{4}}-\\d{{2}}-\\d{{2}}\\s*', '') AS content FROM messages) SELECT content, count(*) AS n, min(memory_id) AS first_id FROM m GROUP BY content HAVING count(*) >= 3")
+@query("mem_reclassify", f"WITH {v.MESSAGES}, m AS (SELECT msg_id AS memory_id, regexp_replace(text, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}月\\d{{1,2}}日)\\s*', '') AS content FROM messages) SELECT content, count(*) AS n, min(memory_id) AS first_id FROM m GROUP BY content HAVING count(*) >= 3")
 def _(s, d):
     m = v.messages(s, d).select(F.col("msg_id").alias("memory_id"), F.lit("episodic").alias("type"), F.col("text").alias("content"))
     return memory.reclassify(m)
@@ -417,8 +417,15 @@ def _(s, d):
 
 @query(
     "contradiction_rules",
-    f"""WITH {v.DECISIONS}, p AS (SELECT user_id, count(*) FILTER (WHERE direction = 'frugal') AS f, count(*) FILTER (WHERE direction = 'spend') AS s, avg(drift) AS d, stddev_samp(drift) AS v FROM decisions GROUP BY 1)
-SELECT user_id, 'frugal_words_spending_drift' AS rule FROM p WHERE f > s AND d <= -30 UNION ALL SELECT user_id, 'spending_words_frugal_drift' FROM p WHERE s > f AND d >= 30 UNION ALL SELECT user_id, 'volatile' FROM p WHERE v >= 40""",
+    f"""WITH {v.DECISIONS}, {_L50}, {_LAST.format(n=20, t='decisions')}, p AS (SELECT user_id, count(*) FILTER (WHERE direction = 'frugal') AS f, count(*) FILTER (WHERE direction = 'spend') AS s, avg(drift) AS d, stddev_samp(drift) AS v FROM decisions GROUP BY 1),
+i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM last50), foretold AS (SELECT user_id FROM i GROUP BY 1 HAVING count(*) >= 10 AND abs(round(regr_slope(drift, i), 6)) >= 0.1),
+switched AS (SELECT user_id FROM last20 WHERE abs(drift) >= 60 GROUP BY user_id, direction HAVING count(*) >= 8),
+sn AS (SELECT user_id, stage, scene, count(*) AS n FROM decisions GROUP BY ALL), sc AS (SELECT *, round_even(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY user_id, stage), 0)::INT AS share FROM sn),
+ends AS (SELECT *, min(stage) OVER w AS a, max(stage) OVER w AS b FROM sc WINDOW w AS (PARTITION BY user_id)),
+moved AS (SELECT user_id, scene FROM ends WHERE a < b GROUP BY user_id, scene HAVING abs(coalesce(max(share) FILTER (WHERE stage = b), 0) - coalesce(max(share) FILTER (WHERE stage = a), 0)) >= 30)
+SELECT user_id, 'frugal_words_spending_drift' AS rule FROM p WHERE f > s AND d <= -30 UNION ALL SELECT user_id, 'spending_words_frugal_drift' FROM p WHERE s > f AND d >= 30
+UNION ALL SELECT user_id, 'volatile' FROM p WHERE v >= 40 AND user_id NOT IN (SELECT user_id FROM foretold)
+UNION ALL SELECT DISTINCT user_id, 'scene_moved_without_switch' FROM moved WHERE user_id NOT IN (SELECT user_id FROM switched)""",
 )
 def _(s, d):
     return analytics.contradictions(v.decisions(s, d))

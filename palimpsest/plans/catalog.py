@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import log, retrieval
+from ..sources.shared import checkpoint
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,11 +23,12 @@ MOOD_ORDER = ("calm", "keen", "glad")
 DRIFT_WORDS = {"frugal": ["this", "est"], "spend": ["from", "dans"], "give_up": ["stupid"], "compromise": ["License"], "annoyed": ["password"]}
 DIRECTION_WORDS = {"frugal": ["stupid"], "spend": ["license"], "drift": ["token"]}
 NOW = "2024-03-01"
-#: Stated queries (id, text) of the searches that look at every text.
-ASKED = ((1, "the question of and"), (2, "les euxment dans avec"), (3, "und der einkeit"), (4, "ciente de los mente"))
+#: The stated query set of the searches that look at every text: every 20th item of the benchmark.
+ASKED = "item_id % 20 = 0"
 
 _WORDS_SQL = "regexp_extract_all(lower(text), '[a-zA-Z0-9_]{2,}')"
-_ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + ") t(query_id, text))"
+_ASKED_SQL = f"asked AS (SELECT item_id AS query_id, text FROM benchmark WHERE {ASKED})"
+_LONGEST_SQL = f"SELECT query_id, max_by(word, lpad(length(word)::VARCHAR, 6, '0') || word) AS word FROM (SELECT query_id, unnest({_WORDS_SQL}) AS word FROM asked) GROUP BY query_id"
 
 
 def query(name: str, sql: str | None):
@@ -39,8 +41,14 @@ def query(name: str, sql: str | None):
     return add
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ASKED), "query_id int, text string")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.read(spark, sf_dir, "benchmark").where(ASKED).select(F.col("item_id").alias("query_id"), "text")
+
+
+def longest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, word): the longest word of each stated query, the last one of equal length."""
+    ws = asked(spark, sf_dir).select("query_id", F.explode(text.words(F.col("text"))).alias("word"))
+    return ws.groupBy("query_id").agg(F.max(F.struct(F.length("word"), "word"))["word"].alias("word"))
 
 
 def stamp(c: str):
@@ -225,15 +233,16 @@ _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {} DESC, msg_id)::INT
 
 
 def _pairs(s, d):
-    return retrieval.postings(v.corpus(s, d), text.words(F.col("text")))
+    """The corpus's postings, written once, so that no consumer reads the texts again."""
+    return checkpoint(retrieval.postings(v.corpus(s, d), text.words(F.col("text"))))
 
 
 def _qt(s, d):
     return retrieval.query_tokens(v.questions(s, d), text.words(F.col("text")))
 
 
-def _at(s):
-    return retrieval.query_tokens(asked(s), text.words(F.col("text")))
+def _at(s, d):
+    return retrieval.query_tokens(asked(s, d), text.words(F.col("text")))
 
 
 @query("postings_build", f"WITH {v.CORPUS}, {_POSTINGS} SELECT token, count(*) AS df, min(msg_id) AS first_id, max(msg_id) AS last_id FROM postings GROUP BY token")
@@ -248,7 +257,7 @@ def _(s, d):
 
 @query("fts_and", f"WITH {v.CORPUS}, {_ASKED_SQL}, {_POSTINGS}, {_ATOKENS} SELECT query_id, msg_id, count(*) AS hits FROM postings JOIN qtokens USING (token) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id)".replace("(SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id)", "any_value((SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id))"))
 def _(s, d):
-    return retrieval.match_all(_pairs(s, d), _at(s))
+    return retrieval.match_all(_pairs(s, d), _at(s, d))
 
 
 _BM25 = f"""st AS (SELECT msg_id, count(*) AS dl FROM postings GROUP BY 1), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM st),
@@ -268,7 +277,7 @@ tf AS (SELECT query_id, msg_id, round(sum(tf * idf), 8) AS score FROM hits JOIN
 
 @query("tfidf_topk", f"WITH {v.CORPUS}, {_ASKED_SQL}, {_ATOKENS}, {_TFIDF} SELECT query_id, msg_id, score, {_RANK.format('score')} FROM tf WHERE score > 0 QUALIFY rank <= 10")
 def _(s, d):
-    return retrieval.tfidf_substring(v.corpus(s, d), _at(s))
+    return retrieval.tfidf_substring(v.corpus(s, d), _at(s, d))
 
 
 @query(
@@ -312,14 +321,15 @@ _BMTOP = f"bt AS (SELECT query_id, msg_id, score, {_RANK.format('score')} FROM b
 
 @query("rrf_fuse", f"WITH {_BASE}, {_BM25}, {_COUNT}, {_BMTOP}, l AS (SELECT query_id, msg_id, rank FROM cm UNION ALL SELECT query_id, msg_id, rank FROM bt) SELECT query_id, msg_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM l GROUP BY ALL")
 def _(s, d):
-    a = retrieval.count_match(_pairs(s, d), _qt(s, d)).select("query_id", F.lit(1).alias("list_id"), "msg_id", "rank")
-    b = retrieval.bm25(_pairs(s, d), _qt(s, d)).select("query_id", F.lit(2).alias("list_id"), "msg_id", "rank")
+    pairs, qt = _pairs(s, d), _qt(s, d)
+    a = retrieval.count_match(pairs, qt).select("query_id", F.lit(1).alias("list_id"), "msg_id", "rank")
+    b = retrieval.bm25(pairs, qt).select("query_id", F.lit(2).alias("list_id"), "msg_id", "rank")
     return retrieval.rrf(a.unionAll(b)).select("query_id", "msg_id", F.round("score", 8).alias("score"))
 
 
-def _routed(s, d):
-    bm = retrieval.bm25(_pairs(s, d), _qt(s, d)).select("query_id", "msg_id", F.lit(1).alias("route"), "rank")
-    cm = retrieval.count_match(_pairs(s, d), _qt(s, d)).select("query_id", "msg_id", F.lit(2).alias("route"), "rank")
+def _routed(pairs, qt):
+    bm = retrieval.bm25(pairs, qt).select("query_id", "msg_id", F.lit(1).alias("route"), "rank")
+    cm = retrieval.count_match(pairs, qt).select("query_id", "msg_id", F.lit(2).alias("route"), "rank")
     return retrieval.route(bm.unionAll(cm))
 
 
@@ -337,7 +347,7 @@ def _(s, d):
     qt, pairs = _qt(s, d), _pairs(s, d)
     nq = qt.groupBy("query_id").agg(F.count("*").alias("nq"))
     hit = pairs.join(qt, "token").groupBy("query_id", "msg_id").agg(F.count("*").alias("c"))
-    got = _routed(s, d).join(hit, ["query_id", "msg_id"]).join(nq, "query_id").join(retrieval.trust_fold(v.feedback(s, d)).select("msg_id", "trust"), "msg_id", "left")
+    got = _routed(pairs, qt).join(hit, ["query_id", "msg_id"]).join(nq, "query_id").join(retrieval.trust_fold(v.feedback(s, d)).select("msg_id", "trust"), "msg_id", "left")
     score = F.round(F.col("c") / F.col("nq") * F.coalesce("trust", F.lit(0.5)) + 0.5, 6)
     scored = got.select("query_id", "msg_id", "route", F.col("rank").alias("route_rank"), score.alias("score"))
     return retrieval.top(scored, "query_id", [F.desc("score"), "route", "route_rank", "msg_id"], 10).drop("route_rank")

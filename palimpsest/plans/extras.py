@@ -27,17 +27,17 @@ def query(name: str, sql: str | None):
 
 @query(
     "entity_route",
-    f"""WITH {v.CORPUS}, {v.FEEDBACK}, trust AS (SELECT msg_id, list_reduce(list_prepend(0.5::DOUBLE, list(CASE WHEN helpful THEN 0.05::DOUBLE ELSE -0.10::DOUBLE END ORDER BY seq)), lambda t, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, t + x))) AS trust FROM feedback GROUP BY msg_id),
-e AS (SELECT DISTINCT msg_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+'))) AS name FROM corpus), q AS (SELECT * FROM (VALUES (1, 'tion'), (2, 'heit'), (3, 'mente')) t(query_id, word)),
-m AS (SELECT query_id, min(name) AS name FROM q JOIN e ON contains(name, word) GROUP BY query_id), h AS (SELECT query_id, msg_id FROM m JOIN e USING (name))
+    f"""WITH {v.CORPUS}, {_ASKED_SQL}, {v.FEEDBACK}, trust AS (SELECT msg_id, list_reduce(list_prepend(0.5::DOUBLE, list(CASE WHEN helpful THEN 0.05::DOUBLE ELSE -0.10::DOUBLE END ORDER BY seq)), lambda t, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, t + x))) AS trust FROM feedback GROUP BY msg_id),
+e AS (SELECT DISTINCT msg_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+'))) AS name FROM corpus), q AS (SELECT DISTINCT query_id, unnest({_WORDS_SQL}) AS word FROM asked),
+m AS (SELECT query_id, min(name) AS name FROM q JOIN e ON length(word) >= 4 AND contains(name, word) GROUP BY query_id), h AS (SELECT query_id, msg_id FROM m JOIN e USING (name))
 SELECT query_id, msg_id, round(coalesce(trust, 0.5), 6) AS score FROM h LEFT JOIN trust USING (msg_id)""",
 )
 def _(s, d):
     e = v.corpus(s, d).select("msg_id", F.explode(text.matches(F.col("text"), "[A-Z][a-z]+ [A-Z][a-z]+")).alias("name")).select("msg_id", F.lower("name").alias("name")).distinct()
-    q = s.createDataFrame([(1, "tion"), (2, "heit"), (3, "mente")], "query_id int, word string")
+    q = asked(s, d).select("query_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word")).where("length(word) >= 4")
     first = e.select("name").distinct().join(F.broadcast(q), F.contains("name", "word")).groupBy("query_id").agg(F.min("name").alias("name"))
     trust = retrieval.trust_fold(v.feedback(s, d)).select("msg_id", "trust")
-    return e.join(F.broadcast(first), "name").join(trust, "msg_id", "left").select("query_id", "msg_id", F.round(F.coalesce("trust", F.lit(0.5)), 6).alias("score"))
+    return e.join(first, "name").join(trust, "msg_id", "left").select("query_id", "msg_id", F.round(F.coalesce("trust", F.lit(0.5)), 6).alias("score"))
 
 
 @query(
@@ -46,7 +46,7 @@ def _(s, d):
 SELECT query_id, msg_id, CASE WHEN contains(lower(c.text), whole) THEN 0 ELSE 1 END AS tier, len(list_filter(ws, lambda w: contains(lower(c.text), w)))::INT AS hits FROM corpus c, t WHERE len(list_filter(ws, lambda w: contains(lower(c.text), w))) >= 2""",
 )
 def _(s, d):
-    q = asked(s).select("query_id", F.col("text").alias("_w"), text.words(F.col("text")).alias("_ws"))
+    q = asked(s, d).select("query_id", F.col("text").alias("_w"), text.words(F.col("text")).alias("_ws"))
     low = v.corpus(s, d).select("msg_id", F.lower("text").alias("_t")).crossJoin(F.broadcast(q))
     hits = F.size(F.filter("_ws", lambda w: F.contains(F.col("_t"), w)))
     return low.select("query_id", "msg_id", F.when(F.contains("_t", "_w"), 0).otherwise(1).alias("tier"), hits.alias("hits")).where("hits >= 2")
@@ -130,7 +130,7 @@ def _(s, d):
 def _(s, d):
     m = v.memories(s, d).select("memory_id", "type", "weight")
     w = m.groupBy("type").agg(F.max_by("memory_id", F.struct("weight", "memory_id")).alias("superseded_by"))
-    return m.join(F.broadcast(w), "type").where("memory_id <> superseded_by and weight < 0.25").select("memory_id", "superseded_by")
+    return m.join(w, "type").where("memory_id <> superseded_by and weight < 0.25").select("memory_id", "superseded_by")
 
 
 _FIELDS = ("tion", "heit", "mente", "eau")

@@ -30,12 +30,12 @@ _TOKENS = f"postings AS (SELECT DISTINCT unnest({_WORDS_SQL}) AS token, msg_id F
 @query("search_in_source", f"WITH {v.CORPUS}, {_ASKED_SQL}, {_TOKENS}, n AS (SELECT query_id, count(*) AS n FROM qtokens GROUP BY 1), h AS (SELECT query_id, msg_id, count(*) AS hits FROM postings JOIN qtokens USING (token) JOIN corpus USING (msg_id) WHERE source = 'src1' GROUP BY ALL) SELECT query_id, msg_id, hits FROM h JOIN n USING (query_id) WHERE hits * 2 >= n")
 def _(s, d):
     c = v.corpus(s, d).where("source = 'src1'")
-    at = _at(s)
+    at = _at(s, d)
     hits = retrieval.postings(c, text.words(F.col("text"))).join(F.broadcast(at), "token").groupBy("query_id", "msg_id").agg(F.count("*").alias("hits"))
     return hits.join(F.broadcast(at.groupBy("query_id").agg(F.count("*").alias("n"))), "query_id").where("hits * 2 >= n").select("query_id", "msg_id", "hits")
 
 
-@query("scene_guess", f"WITH {v.MESSAGES}, t AS (SELECT conv_id, text FROM messages QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY msg_id DESC) <= 3), k AS (SELECT * FROM (VALUES ('work', 'tion'), ('work', 'ment'), ('home', 'heit'), ('travel', 'mente')) k(scene, word)) SELECT DISTINCT conv_id, scene FROM t JOIN k ON contains(lower(text), word)")
+@query("scene_guess", f"WITH {v.MESSAGES}, t AS (SELECT conv_id, text FROM messages QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY msg_id DESC) <= 15), k AS (SELECT * FROM (VALUES ('work', 'tion'), ('work', 'ment'), ('home', 'heit'), ('travel', 'mente')) k(scene, word)) SELECT DISTINCT conv_id, scene FROM t JOIN k ON contains(lower(text), word)")
 def _(s, d):
     k = s.createDataFrame([("work", "tion"), ("work", "ment"), ("home", "heit"), ("travel", "mente")], "scene string, word string")
     w = W.partitionBy("conv_id").orderBy(F.desc("msg_id"))
@@ -88,7 +88,7 @@ SELECT query_id, lang, count(*) AS n FROM t JOIN corpus USING (msg_id) GROUP BY
 )
 def _(s, d):
     c = v.corpus(s, d)
-    near = retrieval.count_match(retrieval.postings(c, text.words(F.col("text"))), _at(s), 5)
+    near = retrieval.count_match(retrieval.postings(c, text.words(F.col("text"))), _at(s, d), 5)
     return near.join(c.select("msg_id", "lang"), "msg_id").groupBy("query_id", "lang").agg(F.count("*").alias("n"))
 
 
@@ -113,7 +113,7 @@ def _(s, d):
     return v.decisions(s, d).select("event_id", "user_id", F.round(F.avg("drift").over(w), 6).alias("mean5"))
 
 
-@query("learned_tags", f"WITH {v.DECISIONS}, seen AS (SELECT DISTINCT scene || direction AS tag FROM decisions WHERE stage < 4) SELECT DISTINCT scene || direction AS tag FROM decisions WHERE stage >= 4 AND user_id < 20 AND scene || direction NOT IN (SELECT tag FROM seen)")
+@query("learned_tags", f"WITH {v.DECISIONS}, seen AS (SELECT DISTINCT scene || direction AS tag FROM decisions WHERE stage < 4) SELECT DISTINCT scene || direction AS tag FROM decisions WHERE stage >= 4 AND scene || direction NOT IN (SELECT tag FROM seen)")
 def _(s, d):
     t = v.decisions(s, d).withColumn("tag", F.concat("scene", "direction"))
     seen = t.where("stage < 4").select("tag").distinct()

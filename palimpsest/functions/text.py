@@ -171,7 +171,7 @@ def clean_entity(c: Column) -> Column:
 
 def choice_chain(c: Column) -> Column:
     """The choices a text goes through: explicit ones by pattern and place, then actions, then words of giving up."""
-    trimmed = lambda p: F.transform(matches(c, p, 1), F.trim)
+    trimmed = lambda p: F.transform(matches(c, p, 1), lambda x: F.trim(x))
     choices = F.flatten(F.array(*[trimmed(p) for p in lexicon.CHOICES]))
     actions = F.flatten(F.array(*[trimmed(p) for p in lexicon.ACTIONS]))
     given_up = F.filter(F.array(*[F.lit(w) for w in lexicon.GIVE_UP]), lambda w: F.contains(c, w))
@@ -192,7 +192,7 @@ def chain_summary(chain: Column) -> Column:
 
 def fact_lines(c: Column, statement: str = lexicon.STATEMENT, question: str = lexicon.QUESTION, least: int = 6, most: int = 10) -> Column:
     """The first lines that state something and don't ask."""
-    lines = F.transform(F.split(c, "\n"), F.trim)
+    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(x))
     return F.slice(F.filter(lines, lambda x: x.rlike(statement) & ~x.rlike(question) & (F.length(x) >= least)), 1, most)
 
 

@@ -255,9 +255,9 @@ def _(s, d):
     return retrieval.count_match(_pairs(s, d), _qt(s, d))
 
 
-@query("fts_and", f"WITH {v.CORPUS}, {_ASKED_SQL}, {_POSTINGS}, {_ATOKENS} SELECT query_id, msg_id, count(*) AS hits FROM postings JOIN qtokens USING (token) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id)".replace("(SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id)", "any_value((SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id))"))
+@query("fts_and", f"WITH {_BASE} SELECT query_id, msg_id, count(*) AS hits FROM postings JOIN qtokens USING (token) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id)".replace("(SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id)", "any_value((SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id))"))
 def _(s, d):
-    return retrieval.match_all(_pairs(s, d), _at(s, d))
+    return retrieval.match_all(_pairs(s, d), _qt(s, d))
 
 
 _BM25 = f"""st AS (SELECT msg_id, count(*) AS dl FROM postings GROUP BY 1), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM st),

@@ -20,3 +20,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _said():
+    from palimpsest.plans import said
+
+    return said
+
+
+@pytest.mark.parametrize("name", sorted(_said().SQL))
+def test_stated_messages_match_sql(spark, duck, name):
+    got = _said().QUERIES[name](spark, SF).toPandas()
+    same(got, duck.sql(_said().SQL[name]).df())
+    assert len(got) > 0

@@ -227,3 +227,15 @@ def test_message_ids_hold_many_turns(spark, tmp_path):
     spark.createDataFrame([(0, 1 << 20, "user", "d")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/x/conversations.parquet")
     with pytest.raises(Exception, match="out of range"):
         views.messages(spark, f"{tmp_path}/x").select("msg_id").collect()
+
+
+def test_hooks_take_callables(spark):
+    from palimpsest.operators import hooks
+
+    df = spark.createDataFrame([(1, "我决定用 Rust"), (2, None), (3, "abc")], "msg_id long, text string")
+    got = {r.msg_id: r.embedding for r in hooks.embed(df, lambda ts: [[len(t), 1.0] for t in ts], size=2).collect()}
+    assert got == {1: [9.0, 1.0], 2: [0.0, 1.0], 3: [3.0, 1.0]}
+    with pytest.raises(Exception, match="doesn't fit"):
+        hooks.embed(df, lambda ts: [[1.0] for _ in ts], size=2).collect()
+    found = hooks.enrich(df, lambda ts: [[("x", "said", t), ("x", "said", t)] if t == "abc" else [] for t in ts], "user")
+    assert sorted(map(tuple, found.collect())) == [(1, "user", "使用", "Rust"), (3, "x", "said", "abc")]

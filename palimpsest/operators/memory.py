@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .blocks import against
 from .retrieval import cosine
 
 # Rates, floors and thresholds of the lifecycle.
@@ -48,7 +49,7 @@ def surface(memories: DataFrame, now: str, most: int = 8, recent_days: int = 7)
 def activate(memories: DataFrame, queries: DataFrame, most: int = 30, strong: float = 0.8) -> DataFrame:
     """For each query vector of a stated set: weight plus a twentieth of the cosine, 1 at most, the best ``most``."""
     sim = F.round(cosine(F.col("embedding"), F.col("query")), 6)
-    got = memories.crossJoin(F.broadcast(queries)).withColumn("similarity", sim).where("similarity > 0")
+    got = against(memories, queries).withColumn("similarity", sim).where("similarity > 0")
     got = got.withColumn("activation", F.round(F.least(F.lit(1.0), F.col("weight") + 0.05 * F.col("similarity")), 8)).withColumn("strong", F.col("similarity") >= strong)
     w = W.partitionBy("query_id").orderBy(F.desc("activation"), "memory_id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
@@ -85,7 +86,7 @@ def persona_weight(memories: DataFrame, phrases: DataFrame, least: float = 0.6,
     """
     ws = F.slice(F.filter(F.split(F.lower("phrase"), r"\s+"), lambda x: F.length(x) >= 2), 1, 5)
     share = F.size(F.filter("_ws", lambda x: F.contains(F.lower("content"), x))) / F.size("_ws")
-    best = memories.crossJoin(F.broadcast(phrases.select(ws.alias("_ws")))).groupBy("memory_id").agg(F.round(F.max(share), 6).alias("match"))
+    best = against(memories, phrases.select(ws.alias("_ws"))).groupBy("memory_id").agg(F.round(F.max(share), 6).alias("match"))
     out = memories.join(best, "memory_id")
     new = F.when(F.col("match") >= least, F.least(F.lit(1.0), F.col("weight") + boost)).when(F.lower("content").rlike(negation), F.col("weight") * 0.5).otherwise(F.col("weight"))
     return out.withColumn("new_weight", F.round(new, 6))

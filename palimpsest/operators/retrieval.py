@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .blocks import against
 
 
 def postings(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -29,16 +30,25 @@ def top(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
+#: Rows of query tokens (some tens of bytes each) up to which they are sent to all tasks, so that postings are matched where they are read.
+ASKED_ROWS = 200_000
+
+
+def _hint(small: DataFrame, rows: int) -> DataFrame:
+    """A table of at most ``rows`` rows, broadcast if that is few: left to sizes alone, the postings of a small log would be sent instead."""
+    return F.broadcast(small) if rows <= ASKED_ROWS else small
+
+
 def count_match(pairs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     """Documents by the number of distinct query tokens they hold."""
-    hits = pairs.join(asked, "token").groupBy("query_id", "msg_id").agg(F.count("*").alias("hits"))
+    hits = pairs.join(_hint(asked, asked.count()), "token").groupBy("query_id", "msg_id").agg(F.count("*").alias("hits"))
     return top(hits, "query_id", [F.desc("hits"), F.asc("msg_id")], k)
 
 
 def match_all(pairs: DataFrame, asked: DataFrame) -> DataFrame:
     """Documents that hold every token of a query."""
     need = asked.groupBy("query_id").agg(F.count("*").alias("_n"))
-    hits = pairs.join(asked, "token").groupBy("query_id", "msg_id").agg(F.count("*").alias("hits"))
+    hits = pairs.join(_hint(asked, asked.count()), "token").groupBy("query_id", "msg_id").agg(F.count("*").alias("hits"))
     return hits.join(need, "query_id").where(F.col("hits") == F.col("_n")).drop("_n")
 
 
@@ -49,11 +59,12 @@ def bm25(pairs: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.2, b: fl
     """
     length = pairs.groupBy("msg_id").agg(F.count("*").alias("dl")) if lengths is None else lengths
     stats = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = pairs.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    n = asked.count()
+    df = pairs.join(_hint(asked.select("token").distinct(), n), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighted = asked.join(df, "token").crossJoin(F.broadcast(stats)).withColumn("idf", idf).select("query_id", "token", "idf", "avgdl")
     part = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = pairs.join(weighted, "token")
+    hits = pairs.join(_hint(weighted, n), "token")
     scored = (hits if "dl" in pairs.columns else hits.join(length, "msg_id")).groupBy("query_id", "msg_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, "query_id", [F.desc("score"), F.asc("msg_id")], k)
 
@@ -63,7 +74,7 @@ def tfidf_substring(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame
 
     ``asked`` is a stated list of a few query tokens: each is searched in every text.
     """
-    low = docs.select("msg_id", F.lower("text").alias("_t")).crossJoin(F.broadcast(asked))
+    low = against(docs.select("msg_id", F.lower("text").alias("_t")), asked)
     hits = low.withColumn("tf", (F.length("_t") - F.length(F.replace("_t", F.col("token")))) / F.length("token") / F.length("_t")).where("tf > 0").drop("_t")
     df = hits.groupBy("query_id", "token").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
@@ -79,9 +90,10 @@ def tfidf_cosine(pairs: DataFrame, asked: DataFrame, k: int = 10, least: float =
     idf = df.select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))
     d = pairs.join(idf, "token")
     q = asked.join(idf, "token")
+    rows = asked.count()
     norms = d.groupBy("msg_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("dn"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("qn"))
-    dot = pairs.join(q, "token").groupBy("query_id", "msg_id").agg(F.sum(F.col("w") ** 2).alias("dot"))
+    dot = pairs.join(_hint(q, rows), "token").groupBy("query_id", "msg_id").agg(F.sum(F.col("w") ** 2).alias("dot"))
     sim = F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 3)
     scored = dot.join(norms, "msg_id").join(qn, "query_id").select("query_id", "msg_id", sim.alias("score")).where(F.col("score") > least)
     return top(scored, "query_id", [F.desc("score"), F.asc("msg_id")], k)
@@ -93,8 +105,7 @@ def simhash_rerank(hits: DataFrame, query: str, key: str = "score", most: float
 
     asked = sketches.fingerprints(hits.sparkSession.createDataFrame([(0, query)], "msg_id long, text string")).select(F.col("simhash").alias("_q"))
     joined = sketches.fingerprints(hits).crossJoin(F.broadcast(asked))  # one row
-    bits = sum((F.bit_count(F.conv(F.substring("simhash", 8 * i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("_q", 8 * i + 1, 8), 16, 10).cast("long"))) for i in range(4)), F.lit(0))
-    near = F.when(F.col("simhash").isNull() | F.col("_q").isNull(), 0.0).otherwise(1 - bits / 128.0)
+    near = 1 - sketches.hamming(F.col("simhash"), F.col("_q")) / 128.0
     return joined.withColumn(key, F.col(key) + most * near).drop("simhash", "_q")
 
 
@@ -138,7 +149,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` nearest of ``vectors`` (vec_id, embedding) for a stated set of query vectors (query_id, query)."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+    scored = against(vectors, queries).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
     return top(scored, "query_id", [F.desc("score"), F.asc("vec_id")], k)
 
 

@@ -53,9 +53,10 @@ def hamming(a: Column, b: Column) -> Column:
 
 def near(prints: DataFrame, queries: DataFrame, most: int = 40, k: int = 10) -> DataFrame:
     """For each of a stated set of query fingerprints the ``k`` nearest within ``most`` bits."""
+    from .blocks import against
     from .retrieval import top
 
-    d = prints.crossJoin(F.broadcast(queries)).select("query_id", "msg_id", hamming(F.col("simhash"), F.col("query")).alias("distance")).where(F.col("distance") <= most)
+    d = against(prints, queries).select("query_id", "msg_id", hamming(F.col("simhash"), F.col("query")).alias("distance")).where(F.col("distance") <= most)
     return top(d, "query_id", ["distance", "msg_id"], k)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import log, retrieval
+from ..operators.blocks import against
 from ..sources.shared import checkpoint
 from . import views as v
 
@@ -401,7 +402,7 @@ SELECT query_id, msg_id, vector_score, row_number() OVER (PARTITION BY query_id
 )
 def _(s, d):
     b = retrieval.bm25(_pairs(s, d), _qt(s, d))
-    e = v.read(s, d, "embeddings").crossJoin(F.broadcast(_vq(s, d))).select(F.col("vec_id").alias("msg_id"), F.round(retrieval.cosine(F.col("embedding"), F.col("query")), 6).alias("vector_score")).where("vector_score > 0.3")
+    e = against(v.read(s, d, "embeddings"), _vq(s, d)).select(F.col("vec_id").alias("msg_id"), F.round(retrieval.cosine(F.col("embedding"), F.col("query")), 6).alias("vector_score")).where("vector_score > 0.3")
     return retrieval.promote(b, e).select("query_id", "msg_id", "vector_score", "new_rank")
 
 
@@ -415,6 +416,6 @@ FROM ex WHERE msg_id IS NOT NULL GROUP BY category""",
 def _(s, d):
     q, c = v.questions(s, d), v.corpus(s, d)
     # the passages are a small stated set; each is searched in every text
-    found = c.select("msg_id", F.col("text").alias("_t")).crossJoin(F.broadcast(q)).where(F.contains("_t", "text"))
+    found = against(c.select("msg_id", F.col("text").alias("_t")), q).where(F.contains("_t", "text"))
     expected = found.groupBy("query_id", F.when(F.length("text") < 200, "short").otherwise("long").alias("category")).agg(F.min("msg_id").alias("msg_id"))
     return retrieval.recall_at_k(retrieval.count_match(_pairs(s, d), _qt(s, d)), expected)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import analytics, graph, log, memory, retrieval, state
+from ..operators.blocks import against
 from . import views as v
 from .behaviour import _STAMP
 from .catalog import _ASKED_SQL, _WORDS_SQL, asked
@@ -47,7 +48,7 @@ SELECT query_id, msg_id, CASE WHEN contains(lower(c.text), whole) THEN 0 ELSE 1
 )
 def _(s, d):
     q = asked(s, d).select("query_id", F.col("text").alias("_w"), text.words(F.col("text")).alias("_ws"))
-    low = v.corpus(s, d).select("msg_id", F.lower("text").alias("_t")).crossJoin(F.broadcast(q))
+    low = against(v.corpus(s, d).select("msg_id", F.lower("text").alias("_t")), q)
     hits = F.size(F.filter("_ws", lambda w: F.contains(F.col("_t"), w)))
     return low.select("query_id", "msg_id", F.when(F.contains("_t", "_w"), 0).otherwise(1).alias("tier"), hits.alias("hits")).where("hits >= 2")
 

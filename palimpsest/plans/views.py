@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,7 +17,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A turn has 20 bits of the id; one that doesn't fit is an error.
     """
-    t = read(spark, sf_dir, "conversations")
+    t = spread(read(spark, sf_dir, "conversations"))
     msg_id = F.when(F.col("turn").between(0, (1 << 20) - 1), F.shiftleft(F.col("conv_id").cast("long"), 20) + F.col("turn")).otherwise(F.raise_error(F.lit("a turn is out of range")).cast("long"))
     return t.select(
         msg_id.alias("msg_id"),
@@ -33,7 +35,7 @@ MESSAGES = """messages AS (
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), "text", "lang", "source")
+    return spread(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("msg_id"), "text", "lang", "source")
 
 
 CORPUS = "corpus AS (SELECT doc_id AS msg_id, text, lang, source FROM documents)"

@@ -233,6 +233,14 @@ class Engine:
             lines += [f"{memory.LABELS[r.type]} {r.content}" for r in order.collect()]
         return "\n".join(lines)
 
+    def prefetch(self, query: str, k: int = 5) -> str:
+        """A block of text with the messages that a question brings up."""
+        return "\n".join(f"[{r.ts:%Y-%m-%d}] {r.sender}: {r.text}" for r in self.search(query, k).collect())
+
+    def sync(self, user: str, agent: str) -> int:
+        """Records one exchange."""
+        return self.record([("user", user), ("agent", agent)])
+
     # ---- further tools
 
     def ping(self) -> DataFrame:

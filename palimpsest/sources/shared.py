@@ -14,3 +14,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/m-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input, by the optimiser's estimate, up to which rows are dealt anew to use all cores.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt evenly over the cores if it is small: a small file is often one row group, hence one task.
+
+    Larger inputs have enough splits of their own and aren't shuffled.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= SMALL else df

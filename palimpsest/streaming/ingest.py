@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
+from ..operators.index import Index
 
 
 def decorate(messages: DataFrame) -> DataFrame:
@@ -28,15 +29,20 @@ def fan_out(stream: DataFrame, base: str, checkpoint: str, once: bool = False) -
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = decorate(batch).persist()
+        try:
+            _write(rows, batch.columns, batch_id)
+        finally:
+            rows.unpersist()
+
+    def _write(rows: DataFrame, columns: list[str], batch_id: int) -> None:
         parts = {
-            "messages": rows.select(*batch.columns),
+            "messages": rows.select(*columns),
             "decisions": rows.where("is_decision").select("ts", F.substring("text", 1, 200).alias("decision"), "drift"),
             "moods": rows.where("mood <> ''").select("ts", "mood"),
             "memories": rows.select("ts", F.substring("text", 1, 300).alias("content"), F.col("memory_type").alias("type")),
         }
         for name, df in parts.items():
             df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
-        rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -65,3 +71,56 @@ def evicting_buffer(stream: DataFrame, size: int = 5) -> DataFrame:
         yield pd.DataFrame({"conv_id": [key[0]] * len(out), "seq": [x[0] for x in out], "text": [x[1] for x in out]})
 
     return stream.groupBy("conv_id").applyInPandasWithState(step, BUFFER, "seqs array<long>, texts array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def keep_index(stream: DataFrame, index: Index, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Brings the stored postings up to date with each micro-batch of (msg_id, text); ids have to grow from batch to batch."""
+    writer = stream.writeStream.foreachBatch(lambda batch, _: index.update(batch)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def replica(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """A copy that only grows: each row of the stream, once."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def keep_phantoms(stream: DataFrame, path: str, checkpoint: str, tokens=text.fts_tokens, once: bool = False) -> StreamingQuery:
+    """Adds each micro-batch's sightings per token, as partial sums in a folder of the batch's id; ``phantoms`` merges them."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.select("msg_id", "ts", F.substring("text", 1, 80).alias("snippet"), F.explode(tokens(F.col("text"))).alias("token"))
+        part = seen.groupBy("token").agg(F.min("ts").alias("born"), F.max("ts").alias("last_seen"), F.count("*").alias("sightings"), F.min(F.struct("msg_id", "snippet")).alias("first"))
+        part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def phantoms(spark: SparkSession, path: str) -> DataFrame:
+    """(token, born, last_seen, sightings, snippet) over all batches so far."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("token").agg(F.min("born").alias("born"), F.max("last_seen").alias("last_seen"), F.sum("sightings").alias("sightings"), F.min("first")["snippet"].alias("snippet"))
+
+
+FIRED = "key string, n long, ts timestamp"
+
+
+def counted_trigger(stream: DataFrame, every: int = 100, cool_down: str = "24 hours") -> DataFrame:
+    """(key, n, ts) whenever a key's count of rows (key, ts) passes a multiple of ``every``, unless it fired within ``cool_down`` before.
+
+    The state is two numbers a key. A micro-batch that passes several multiples fires once, for the last of them.
+    """
+    wait = pd.Timedelta(cool_down)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, fired = state.get if state.exists else (0, None)
+        new = pd.concat(list(batches))
+        latest, before = new["ts"].max(), n
+        n += len(new)
+        hit = n // every > before // every and (fired is None or latest >= pd.Timestamp(fired) + wait)
+        state.update((n, latest.to_pydatetime() if hit else fired))
+        rows = {"key": [key[0]], "n": [n // every * every], "ts": [latest]} if hit else {"key": [], "n": [], "ts": []}
+        yield pd.DataFrame(rows).astype({"key": "object", "n": "int64", "ts": "datetime64[ns]"})
+
+    return stream.groupBy("key").applyInPandasWithState(step, FIRED, "n long, fired timestamp", "append", GroupStateTimeout.NoTimeout)

@@ -89,3 +89,10 @@ def test_vectors_move_hits_to_the_front(engine, spark):
     last = found[-1].msg_id
     front = spark.createDataFrame([(last, 0.9)], "msg_id long, vector_score double")
     assert engine.search("parrot", vectors=front).first().msg_id == last
+
+
+def test_prefetch_and_sync(engine):
+    n = engine.table("messages").count()
+    assert engine.sync("the walrus swims at noon", "建议看看 walrus 的图") == 2
+    assert engine.table("messages").count() == n + 2
+    assert "walrus" in engine.prefetch("walrus").splitlines()[0]

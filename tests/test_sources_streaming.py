@@ -60,3 +60,46 @@ def test_buffer_evicts_the_oldest(spark, tmp_path):
     q = ingest.evicting_buffer(stream).writeStream.format("memory").queryName("evicted").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert sorted(r.seq for r in spark.table("evicted").collect()) == [0, 1, 2]
+
+
+def test_streams_keep_index_phantoms_and_replica(spark, tmp_path):
+    from palimpsest.operators.index import Index
+    from palimpsest.streaming import ingest
+
+    schema = "msg_id long, ts timestamp, text string"
+    source, at = str(tmp_path / "in"), dt.datetime(2024, 1, 1)
+    rows = [[(k + 10 * b, at + dt.timedelta(hours=k + 10 * b), f"word{k % 3} both") for k in range(10)] for b in range(3)]
+    index = Index(spark, str(tmp_path / "index"))
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = lambda: spark.readStream.schema(schema).parquet(source)
+        ingest.keep_index(stream(), index, str(tmp_path / "c1"), once=True).awaitTermination()
+        ingest.keep_phantoms(stream(), str(tmp_path / "ph"), str(tmp_path / "c2"), once=True).awaitTermination()
+        ingest.replica(stream(), str(tmp_path / "copy"), str(tmp_path / "c3"), once=True).awaitTermination()
+    whole = Index(spark, str(tmp_path / "whole"))
+    whole.update(spark.read.parquet(source))
+    assert sorted(map(tuple, index.postings().collect())) == sorted(map(tuple, whole.postings().collect()))
+    got = {r.token: r for r in ingest.phantoms(spark, str(tmp_path / "ph")).collect()}
+    assert got["both"].sightings == 30 and got["both"].snippet == "word0 both" and got["word0"].sightings == 12
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 30
+
+
+def test_counted_trigger_cools_down(spark, tmp_path):
+    from palimpsest.streaming import ingest
+
+    schema, source, at = "key string, ts timestamp", str(tmp_path / "in"), dt.datetime(2024, 1, 1)
+    got = []
+    for hours, n in ((0, 3), (1, 2), (2, 5), (40, 5)):  # counts 3, 5, 10, 15
+        spark.createDataFrame([("a", at + dt.timedelta(hours=hours))] * n, schema).coalesce(1).write.mode("append").parquet(source)
+        out = ingest.counted_trigger(spark.readStream.schema(schema).parquet(source), every=5)
+        q = out.writeStream.foreachBatch(lambda b, _: got.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [(k, n) for k, n, _ in got] == [("a", 5), ("a", 15)]  # the one at 10 came within 24 hours
+
+
+def test_stated_queries_in_blocks(spark):
+    from palimpsest.operators.blocks import against
+
+    rows, queries = spark.range(7).toDF("a"), spark.range(50).toDF("b")
+    pairs = lambda most: sorted(map(tuple, against(rows, queries, most).collect()))
+    assert pairs(10) == pairs(1000) == [(a, b) for a in range(7) for b in range(50)]

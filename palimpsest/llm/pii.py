@@ -68,22 +68,28 @@ def luhn(digits: str) -> bool:
 _VALUES = {ord(c): str(int(c, 36)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
-def mod97(iban: str) -> bool:
-    s = iban.replace(" ", "")
-    return 15 <= len(s) <= 34 and int((s[4:] + s[:4]).translate(_VALUES)) % 97 == 1
+def _checked_ends(candidate: str) -> list[tuple[int, int]]:
+    """(characters, end) of each word end up to which ``candidate`` passes mod-97, from remainders that are carried on from word to word."""
+    digits = candidate.translate(_VALUES).split(" ")
+    head = int(digits[0][:6])  # two letters and two digits
+    left, size, end, out = 0, 0, -1, []
+    for word, number in zip(candidate.split(" "), [digits[0][6:], *digits[1:]], strict=True):
+        left = (left * 10 ** len(number) + int(number or 0)) % 97
+        size, end = size + len(word), end + 1 + len(word)
+        if 15 <= size <= 34 and (left * 1_000_000 + head) % 97 == 1:
+            out.append((size, end))
+    return out
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of each IBAN. A candidate may hold words that follow, so each of its word ends is tried, the one at its country's length first, then from the longest; after a miss the search goes on within it."""
+    """(start, end) of each IBAN. A candidate may hold words that follow, so each of its word ends is tried: the one at its country's length is taken first, then the longest; after a miss the search goes on within it."""
     at = 0
     while m := IBAN.search(text, at):
         at = m.start() + 1
-        ends = [len(m[0]), *[i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " "]]
-        for n in sorted(ends, key=lambda n: n - m[0].count(" ", 0, n) != IBAN_LENGTH.get(m[0][:2])):
-            if mod97(m[0][:n]):
-                at = m.start() + n
-                yield m.start(), at
-                break
+        if ends := _checked_ends(m[0]):
+            own = IBAN_LENGTH.get(m[0][:2])
+            at = m.start() + max(ends, key=lambda e: (e[0] == own, e[0]))[1]
+            yield m.start(), at
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -3,7 +3,7 @@
 Base kinds (email, ip, card, phone) are always reported. The method adds ``iban`` spans (mod-97),
 ``card`` and ``phone`` spans in notations the base patterns don't take, and ``secret`` spans (values
 that a name such as token or password is given, if their characters look random), each only if its
-score reaches ``LEAST``. A score is the pattern's weight, plus one step for a passed checksum and one
+score reaches ``LEAST``; keys of a format that names itself, bearer tokens and PEM blocks are secrets without one. A score is the pattern's weight, plus one step for a passed checksum and one
 for a telling word nearby, less one step for a word that speaks against a span without a checksum.
 
 Each text is scanned whole, on its own, in Arrow batches, in time linear in its length: patterns start
@@ -38,13 +38,30 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?\b")
-#: Characters of a country's IBAN, for the order in which ends are tried.
-IBAN_LENGTH = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI NL", 19: "SI", 20: "AT EE LT LU", 21: "CH HR LI LV", 22: "BG DE GB IE", 23: "GI", 24: "CZ ES RO SE SK", 25: "PT", 26: "IS", 27: "FR GR IT MC SM", 28: "CY HU PL", 31: "MT"}.items() for c in cs.split()}
+#: Characters of each country's IBAN.
+IBAN_LENGTH = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in cs.split()
+}
+#: Where an IBAN may begin: a country and two digits.
+IBAN_START = re.compile(r"(?i)(?<![A-Z0-9])(" + "|".join(sorted(IBAN_LENGTH)) + r")[0-9]{2}(?=\x20?[A-Z0-9]{4})")
+#: What follows them, by the country's length: groups of four, each after a space or none.
+IBAN_REST = {n: re.compile(rf"(?i)(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Z0-9])") for n in set(IBAN_LENGTH.values())}
 DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{3,4}(?![0-9.])")
 #: A value of 16 to 512 characters that is set, and the name it is given to, which ends where the sign begins.
-VALUE = re.compile(r"(?:=>|[=:])\x20?[\"']?([A-Za-z0-9+/_.-]{16,512}+)={0,2}+(?![A-Za-z0-9+/_=-])")
+VALUE = re.compile(r"(?:=>|:=|[=:]|\bis\b)\x20?[\"']?([A-Za-z0-9+/_.-]{16,512}+)={0,2}+(?![A-Za-z0-9+/_=-])")
 NAME = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\x20?$")
+#: Formats of keys that name themselves, web tokens, and what follows a bearer header.
+KEYS = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{36,255}+|github_pat_[A-Za-z0-9_]{22,255}+|glpat-[A-Za-z0-9_-]{20,64}+|A(?:KI|SI)A[A-Z2-7]{16}|AIza[A-Za-z0-9_-]{35}"
+    r"|xox[abprs]-[A-Za-z0-9-]{10,255}+|sk_(?:live|test)_[A-Za-z0-9]{16,255}+|eyJ[A-Za-z0-9_-]{8,1024}+\.eyJ[A-Za-z0-9_-]{4,4096}+\.[A-Za-z0-9_-]{16,1024}+)(?![A-Za-z0-9_-])"
+    r"|(?i:(?<=bearer ))[A-Za-z0-9+/_.-]{16,4096}+={0,2}+(?![A-Za-z0-9+/_=-])"
+)
+PEM = re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,16384}+-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----")
 #: Bits a character from which a value counts as random.
 RANDOM_BITS = 3.0
 LOCAL_PHONE = re.compile(r"(?<![0-9+.])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
@@ -65,31 +82,20 @@ def luhn(digits: str) -> bool:
     return (odd + sum(sum(divmod(2 * int(x), 10)) for x in digits[-2::-2])) % 10 == 0
 
 
-_VALUES = {ord(c): str(int(c, 36)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-
-
-def _checked_ends(candidate: str) -> list[tuple[int, int]]:
-    """(characters, end) of each word end up to which ``candidate`` passes mod-97, from remainders that are carried on from word to word."""
-    digits = candidate.translate(_VALUES).split(" ")
-    head = int(digits[0][:6])  # two letters and two digits
-    left, size, end, out = 0, 0, -1, []
-    for word, number in zip(candidate.split(" "), [digits[0][6:], *digits[1:]], strict=True):
-        left = (left * 10 ** len(number) + int(number or 0)) % 97
-        size, end = size + len(word), end + 1 + len(word)
-        if 15 <= size <= 34 and (left * 1_000_000 + head) % 97 == 1:
-            out.append((size, end))
-    return out
+def mod97(iban: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of each IBAN. A candidate may hold words that follow, so each of its word ends is tried: the one at its country's length is taken first, then the longest; after a miss the search goes on within it."""
-    at = 0
-    while m := IBAN.search(text, at):
-        at = m.start() + 1
-        if ends := _checked_ends(m[0]):
-            own = IBAN_LENGTH.get(m[0][:2])
-            at = m.start() + max(ends, key=lambda e: (e[0] == own, e[0]))[1]
-            yield m.start(), at
+    """(start, end) of each IBAN: a known country, as many characters as its IBANs have, a passed mod-97. After a miss the search goes on within it."""
+    done = 0
+    for m in IBAN_START.finditer(text):
+        if m.start() < done:
+            continue
+        rest = IBAN_REST[IBAN_LENGTH[m[1].upper()]].match(text, m.end())
+        if rest and mod97((m[0] + rest[0]).replace(" ", "")):
+            done = rest.end()
+            yield m.start(), done
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -135,6 +141,9 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if luhn(_NOT_DIGIT.sub("", m[0])):
             found.append((m.start(), m.end(), "card", 1, True))
     found += [(m.start(), m.end(), "phone", 1, False) for m in LOCAL_PHONE.finditer(text)]
+    found += [(m.start(), m.end(), "secret", 2, True) for m in KEYS.finditer(text) if random_looking(m[0])]
+    if "PRIVATE KEY-----" in text:
+        found += [(m.start(), m.end(), "secret", 2, True) for m in PEM.finditer(text)]
     for m in VALUE.finditer(text):
         if NAME.search(text, max(0, m.start() - NEAR), m.start()) and random_looking(value := m[1].rstrip(".-")):
             found.append((m.start(1), m.start(1) + len(value), "secret", 1, True))

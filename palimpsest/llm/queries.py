@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fm_classifier, mixing, ngram_join, oracles, pii, quality_rules, recompression, suffix_dedup, token_store
+from . import ball_kmeans, byte_cnn, chat, decontaminate, fm_classifier, lexical_search, mixing, ngram_join, oracles, pii, quality_rules, recompression, suffix_dedup, token_store
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_store": token_store.query,
     "op9_chat_formatting": chat.query,
     "op10_pii": pii.query,
+    "op11_lexical_search": lexical_search.query,
+    "op12_ball_kmeans": ball_kmeans.query,
+    "op13_byte_cnn": byte_cnn.query,
 }
 
 SQL: dict[str, str] = {
@@ -23,4 +26,6 @@ SQL: dict[str, str] = {
     "op6_decontamination": decontaminate.SQL,
     "op7_ngram_jaccard_join": oracles.JOIN,
     "op9_chat_formatting": chat.SQL,
+    "op11_lexical_search": lexical_search.SQL,
+    "op12_ball_kmeans": ball_kmeans.SQL,
 }

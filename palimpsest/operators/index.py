@@ -1,58 +1,266 @@
-"""Stored postings of a growing log: built once, then brought up to date by a high-water mark.
+"""Stored postings of a growing log: segments of token-sorted blocks, named by a log of commits.
 
-A batch holds the messages beyond the mark, in a folder named by it: postings (token, msg_id, dl) first,
-then lengths (msg_id, dl), which is what the mark is read from. A batch that failed half-way is therefore
-written again, over itself, by the next update, and each message is indexed once.
+A batch of messages becomes a segment. Its messages are dealt to blocks of similar length (at most about
+``BLOCK_DOCS`` messages and ``BLOCK_POSTINGS`` postings); a row of ``postings`` is one token in one block: the
+ids and lengths of the messages that hold it, and the least length, which bounds what any of them can
+score. Rows are sorted by token over the files, so a search reads the row groups of its tokens.
+
+Which messages are new is told by an anti-join with the ids that the live segments hold, of those whose
+range of ids meets the batch's: batches may come late, in any order, or again. A segment counts once a
+commit names it, and a commit is atomic, so an update that failed half-way leaves nothing behind that
+a reader could see, and two writers can't both index a message. Deletions are ids with the number
+of their commit; they hide what was indexed before. ``FANOUT`` segments of a level are merged to one of the
+next, without what was deleted: the number of segments follows the logarithm of the batches.
+
+``norms`` adds, once for each commit, what cosine search needs of all messages.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.commits import Commits
+from ..sources.shared import checkpoint
 
-POSTINGS, LENGTHS = "token string, msg_id long, dl long, batch long", "msg_id long, dl long, batch long"
+BLOCK_DOCS, BLOCK_POSTINGS = 1024, 1 << 19
+FANOUT = 4
+BLOCKS = "token string, block long, n long, least int, ids array<long>, lengths array<int>"
+LENGTHS = "msg_id long, dl long, block long"
+NORMS = "block long, least double, ids array<long>, norms array<double>"
+_NORMS = pa.schema([("block", pa.int64()), ("least", pa.float64()), ("ids", pa.list_(pa.int64())), ("norms", pa.list_(pa.float64()))])
+#: Tokens up to which a search names them to the scan, so that row groups are skipped by their statistics.
+NAMED = 2000
+#: Bytes of a row group of postings: what a search skips or reads.
+ROW_GROUP = 16 << 20
+#: Deleted ids up to which they are sent to all tasks.
+SENT_IDS = 1_000_000
 
 
-class Index:
-    def __init__(self, spark: SparkSession, path: str, tokens: Callable[[Column], Column] = text.fts_tokens) -> None:
-        self.spark, self.path, self.tokens = spark, path.rstrip("/"), tokens
+def _band(dl: Column) -> Column:
+    """Classes of similar length: eight to a doubling."""
+    octave = F.floor(F.log2(dl.cast("double")))
+    return F.when(dl < 8, dl).otherwise(octave * 8 + F.floor(dl / F.pow(F.lit(2.0), octave) * 8) - 8).cast("long")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
 
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+class Snapshot:
+    """What one commit names; later ones don't change it."""
+
+    def __init__(self, spark: SparkSession, path: str, commits: Commits, number: int, state: dict) -> None:
+        self.spark, self.path, self.commits, self.number, self.state = spark, path, commits, number, state
+        self.segments: list[dict] = state.get("segments", [])
+
+    def snapshot(self) -> Snapshot:
+        return self
+
+    def _read(self, segments: list[dict], part: str, schema: str) -> DataFrame:
+        if not segments:
             return self.spark.createDataFrame([], schema)
+        # one scan over the folders of all segments; a block's number tells its segment's
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{s['name']}/{part}" for s in segments])
+
+    def _hidden(self, segments: list[dict]) -> DataFrame | None:
+        """(msg_id, until): ids that are deleted, and the commit before which they were."""
+        after = [x for x in self.state.get("deleted", []) if any(s["seq"] < x["seq"] for s in segments)]
+        if not after:
+            return None
+        parts = [self.spark.read.schema("msg_id long").parquet(f"{self.path}/{x['name']}").withColumn("until", F.lit(x["seq"] << 40)) for x in after]
+        out = reduce(DataFrame.unionAll, parts).groupBy("msg_id").agg(F.max("until").alias("until"))
+        return F.broadcast(out) if sum(x["n"] for x in after) <= SENT_IDS else out
+
+    def ids(self, segments: list[dict]) -> DataFrame:
+        rows, gone = self._read(segments, "lengths", LENGTHS), self._hidden(segments)
+        if gone is None:
+            return rows
+        return rows.join(gone.withColumnRenamed("msg_id", "_id"), (F.col("msg_id") == F.col("_id")) & (F.col("block") < F.col("until")), "left_anti")
 
-    def mark(self) -> int | None:
-        """The largest message id that is indexed; read from the files' statistics."""
-        return self._read("lengths", LENGTHS).agg(F.max("msg_id")).first()[0]
-
-    def update(self, messages: DataFrame) -> int | None:
-        """Indexes the messages (msg_id, text) beyond the mark, if any; ids have to grow. Returns the new mark."""
-        mark = self.mark()
-        fresh = messages if mark is None else messages.where(F.col("msg_id") > mark)
-        if not fresh.limit(1).count():
-            return mark
-        batch = -1 if mark is None else mark
-        tokens = fresh.select("msg_id", F.array_distinct(self.tokens(F.col("text"))).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
-        tokens.select(F.explode("_t").alias("token"), "msg_id", "dl").write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
-        # the ids of the postings' messages, also of those without a token
-        tokens.select("msg_id", "dl").write.mode("overwrite").parquet(f"{self.path}/lengths/batch={batch}")
-        return self.mark()
+    def met(self, given: DataFrame) -> DataFrame:
+        """The ids that are indexed already, from the segments whose range meets that of ``given``."""
+        segments = self.segments
+        if segments:
+            low, high = given.agg(F.min("msg_id"), F.max("msg_id")).first()
+            segments = [s for s in segments if low is not None and s["low"] <= high and low <= s["high"]]
+        return self.ids(segments).select("msg_id")
+
+    def live(self, segments: list[dict], tokens: list[str] | None = None) -> DataFrame:
+        rows = self._read(segments, "postings", BLOCKS)
+        if tokens is not None and len(tokens) <= NAMED:
+            self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(NAMED))
+            rows = rows.where(F.col("token").isin(tokens))
+        elif tokens is not None:
+            rows = rows.join(F.broadcast(self.spark.createDataFrame([(t,) for t in tokens], "token string")), "token", "left_semi")
+        gone = self._hidden(segments)
+        if gone is None:
+            return rows
+        pairs = rows.select("token", "block", F.explode(F.arrays_zip("ids", "lengths")).alias("x")).select("token", "block", F.col("x.ids").alias("msg_id"), F.col("x.lengths").alias("dl"))
+        pairs = pairs.join(gone.withColumnRenamed("msg_id", "_id"), (F.col("msg_id") == F.col("_id")) & (F.col("block") < F.col("until")), "left_anti")
+        lists = pairs.groupBy("token", "block").agg(F.sort_array(F.collect_list(F.struct("dl", "msg_id"))).alias("x"))
+        return lists.select("token", "block", F.size("x").cast("long").alias("n"), F.col("x")[0]["dl"].alias("least"), F.col("x.msg_id").alias("ids"), F.col("x.dl").alias("lengths"))
+
+    def blocks(self, tokens: list[str] | None = None) -> DataFrame:
+        """(token, block, n, least, ids, lengths), of all tokens or of a stated list."""
+        return self.live(self.segments, tokens)
 
     def postings(self) -> DataFrame:
         """(token, msg_id, dl): each pair once."""
-        done = self.mark()
-        return self._read("postings", POSTINGS).where(F.lit(False) if done is None else F.col("msg_id") <= done).drop("batch")
+        return self.blocks().select("token", F.explode(F.arrays_zip("ids", "lengths")).alias("x")).select("token", F.col("x.ids").alias("msg_id"), F.col("x.lengths").cast("long").alias("dl"))
 
     def lengths(self) -> DataFrame:
         """(msg_id, dl) of messages with a token."""
-        return self._read("lengths", LENGTHS).where("dl > 0").drop("batch")
+        return self.ids(self.segments).where("dl > 0").select("msg_id", "dl")
+
+    def totals(self) -> tuple[int, int]:
+        """Messages with a token, and their tokens; known from the commit unless something is deleted."""
+        segments = self.segments
+        if self._hidden(segments) is None and all(s["held"] == s["docs"] for s in segments):
+            return sum(s["held"] for s in segments), sum(s["tokens"] for s in segments)
+        n, total = self.lengths().agg(F.count("*"), F.sum("dl")).first()
+        return n, total or 0
+
+    def norms(self) -> DataFrame:
+        """(block, least, ids, norms): each message's root of its tokens' summed squared weights ln((N + 1) / (df + 1)) + 1. Worked out once for each commit."""
+        path = f"{self.path}/norms-{self.number}"
+        if not self.commits.exists(f"{path}/_SUCCESS"):
+            n, _ = self.totals()
+            rows = self.live(self.segments)
+            idf = rows.groupBy("token").agg(F.sum("n").alias("_df")).select("token", (F.log((F.lit(n) + 1) / (F.col("_df") + 1)) + 1).alias("w"))
+            weighted = rows.join(idf, "token").select("block", "ids", "w")
+
+            def norm(group: pa.Table) -> pa.Table:  # a block: at most about BLOCK_POSTINGS postings
+                lists = group.column("ids").combine_chunks()
+                ids, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+                w = np.repeat(group.column("w").to_numpy(), lists.value_lengths().to_numpy())
+                norms = np.sqrt(np.bincount(at, w * w))
+                return pa.table({"block": group.column("block")[:1], "least": [float(norms.min())], "ids": [ids.tolist()], "norms": [norms.tolist()]}, schema=_NORMS)
+
+            weighted.groupBy("block").applyInArrow(norm, NORMS).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(NORMS).parquet(path)
+
+
+class Index:
+    def __init__(self, spark: SparkSession, path: str, tokens: Callable[[Column], Column] = text.fts_tokens) -> None:
+        self.spark, self.path, self.tokens = spark, path.rstrip("/"), tokens
+        self.commits = Commits(spark, f"{self.path}/commits")
+
+    def snapshot(self) -> Snapshot:
+        return Snapshot(self.spark, self.path, self.commits, *self.commits.latest())
+
+    def _of(self, state: dict) -> Snapshot:
+        return Snapshot(self.spark, self.path, self.commits, -1, state)
+
+    def segments(self) -> list[dict]:
+        return self.snapshot().segments
+
+    def postings(self) -> DataFrame:
+        return self.snapshot().postings()
+
+    def lengths(self) -> DataFrame:
+        return self.snapshot().lengths()
+
+    def update(self, messages: DataFrame) -> int:
+        """Indexes the messages (msg_id, text) that are not yet, however they come; returns how many. Rows without an id are left out; of rows that share an id, one is taken."""
+        given = messages.where("msg_id is not null").select(F.col("msg_id").cast("long").alias("msg_id"), "text")
+        given = given.groupBy("msg_id").agg(F.min("text").alias("text"))
+        added = 0
+
+        def step(state: dict) -> dict | None:
+            nonlocal added
+            fresh = given.join(self._of(state).met(given), "msg_id", "left_anti")
+            tokens = fresh.select("msg_id", F.array_distinct(F.coalesce(self.tokens(F.col("text")), F.array().cast("array<string>"))).alias("tokens"))
+            staged = checkpoint(tokens.select("msg_id", "tokens", F.size("tokens").cast("long").alias("dl")))
+            segment = self._write(staged, state.get("seq", 0) + 1, 0)
+            added = segment["docs"] if segment else 0
+            return {**state, "seq": segment["seq"], "segments": [*state.get("segments", []), segment]} if segment else None
+
+        self.commits.change(step)
+        if added:
+            self.merge()
+        return added
+
+    def delete(self, ids: DataFrame) -> None:
+        """Hides messages (msg_id) from now on; one that is indexed again later is visible again."""
+        name = f"deleted-{uuid.uuid4().hex}"
+        ids.where("msg_id is not null").select(F.col("msg_id").cast("long").alias("msg_id")).distinct().write.parquet(f"{self.path}/{name}")
+        n = self.spark.read.schema("msg_id long").parquet(f"{self.path}/{name}").count()
+
+        def step(state: dict) -> dict | None:
+            if not n or not state.get("segments"):
+                return None
+            seq = state["seq"] + 1
+            return {**state, "seq": seq, "deleted": [*state.get("deleted", []), {"name": name, "seq": seq, "n": n}]}
+
+        self.commits.change(step)
+
+    def rebuild(self) -> None:
+        """One segment of everything, whatever the levels say."""
+        self.merge(everything=True)
+
+    def merge(self, everything: bool = False) -> None:
+        """Merges levels that are full. The segments that are merged stay on disk until ``clean``, for readers under way."""
+        while True:
+            done = True
+
+            def step(state: dict) -> dict | None:
+                nonlocal done
+                segments = state.get("segments", [])
+                levels = sorted({s["level"] for s in segments})
+                full = [level for level in levels if sum(s["level"] == level for s in segments) >= FANOUT]
+                if not (everything and (len(segments) > 1 or state.get("deleted")) or full):
+                    return None
+                level = max(levels) if everything else full[0]
+                old = [s for s in segments if everything or s["level"] == level]
+                kept = [s for s in segments if s not in old]
+                lists = self._of(state).live(old).select("ids", "lengths", "token")
+                pairs = lists.select(F.explode(F.arrays_zip("ids", "lengths")).alias("x"), "token").select(F.col("x.ids").alias("msg_id"), "token")
+                # with the messages that have no token
+                every = self._of(state).ids(old)
+                tokens = every.select("msg_id", F.lit(None).cast("string").alias("token")).unionAll(pairs)
+                whole = tokens.groupBy("msg_id").agg(F.collect_list("token").alias("tokens"))
+                staged = checkpoint(whole.select("msg_id", "tokens", F.size("tokens").cast("long").alias("dl")))
+                # a message that was hidden before the merge may be indexed again, so the segment takes the last number
+                made = self._write(staged, state["seq"] + 1, level + 1)
+                first = min((s["seq"] for s in kept), default=None)
+                deleted = [x for x in state.get("deleted", []) if first is not None and x["seq"] > first]
+                done = everything
+                return {**state, "seq": state["seq"] + 1, "segments": [*kept, *([made] if made else [])], "deleted": deleted}
+
+            self.commits.change(step)
+            if done:
+                return
+
+    def clean(self) -> None:
+        """Removes the files of segments and norms that the latest commit doesn't name. For when no reader or writer is under way."""
+        number, state = self.commits.latest()
+        named = {s["name"] for s in state.get("segments", [])} | {x["name"] for x in state.get("deleted", [])} | {"commits", f"norms-{number}"}
+        for status in self.commits._fs.listStatus(self.commits._path(self.path)):
+            if status.getPath().getName() not in named:
+                self.commits.remove(f"{self.path}/{status.getPath().getName()}")
+
+    def _write(self, staged: DataFrame, seq: int, level: int) -> dict | None:
+        """Writes a segment of (msg_id, tokens, dl)."""
+        name = f"segment-{uuid.uuid4().hex}"
+        banded = staged.withColumn("band", _band(F.col("dl")))
+        size = banded.groupBy("band").agg(F.count("*").alias("_n"), F.max("dl").alias("_dl"), F.min("msg_id").alias("_low"), F.max("msg_id").alias("_high"), F.sum("dl").alias("_sum")).collect()  # some hundred rows
+        if not size:
+            return None
+        pieces = {r["band"]: max(-(-r["_n"] // BLOCK_DOCS), -(-r["_n"] * r["_dl"] // BLOCK_POSTINGS), 1) for r in size}
+        small = self.spark.createDataFrame(list(pieces.items()), "band long, pieces long")
+        block = F.lit(seq << 40) + F.col("band") * (1 << 24) + F.pmod(F.xxhash64("msg_id"), F.col("pieces"))
+        blocked = banded.join(F.broadcast(small), "band").withColumn("block", block)
+        blocked.select("msg_id", "dl", "block").write.parquet(f"{self.path}/{name}/lengths")
+        pairs = blocked.select(F.explode("tokens").alias("token"), "block", F.struct("dl", "msg_id").alias("x"))
+        lists = pairs.groupBy("token", "block").agg(F.sort_array(F.collect_list("x")).alias("x"))
+        rows = lists.select("token", "block", F.size("x").cast("long").alias("n"), F.col("x")[0]["dl"].cast("int").alias("least"), F.col("x.msg_id").alias("ids"), F.col("x.dl").cast("array<int>").alias("lengths"))
+        # a token that is in every block goes to many tasks
+        rows.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{name}/postings")
+        return {
+            "name": name, "seq": seq, "level": level, "docs": sum(r["_n"] for r in size), "low": min(r["_low"] for r in size), "high": max(r["_high"] for r in size),
+            "held": sum(r["_n"] for r in size if r["_dl"]), "tokens": sum(r["_sum"] for r in size),
+        }

@@ -16,9 +16,9 @@ def postings(docs: DataFrame, tokens: Column) -> DataFrame:
     return held.select(F.explode("_t").alias("token"), "msg_id", F.size("_t").cast("long").alias("dl"))
 
 
-def posting_lists(pairs: DataFrame) -> DataFrame:
-    """Document frequency and extent of each token's list; the lists themselves stay exploded."""
-    return pairs.groupBy("token").agg(F.count("*").alias("df"), F.min("msg_id").alias("first_id"), F.max("msg_id").alias("last_id"))
+def posting_lists(blocks: DataFrame) -> DataFrame:
+    """Document frequency and extent of each token's list, from the stored blocks; the lists themselves stay apart."""
+    return blocks.groupBy("token").agg(F.sum("n").alias("df"), F.min(F.array_min("ids")).alias("first_id"), F.max(F.array_max("ids")).alias("last_id"))
 
 
 def query_tokens(queries: DataFrame, tokens: Column) -> DataFrame:

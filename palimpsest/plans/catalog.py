@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import log, retrieval
+from ..operators import blockmax, log, retrieval
 from ..operators.blocks import against
-from ..sources.shared import checkpoint
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,11 +234,6 @@ _BASE = f"{v.CORPUS}, {v.QUESTIONS}, {_POSTINGS}, {_QTOKENS}"
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY {} DESC, msg_id)::INT AS rank"
 
 
-def _pairs(s, d):
-    """The corpus's postings, written once, so that no consumer reads the texts again."""
-    return checkpoint(retrieval.postings(v.corpus(s, d), text.words(F.col("text"))))
-
-
 def _qt(s, d):
     return retrieval.query_tokens(v.questions(s, d), text.words(F.col("text")))
 
@@ -248,17 +244,17 @@ def _at(s, d):
 
 @query("postings_build", f"WITH {v.CORPUS}, {_POSTINGS} SELECT token, count(*) AS df, min(msg_id) AS first_id, max(msg_id) AS last_id FROM postings GROUP BY token")
 def _(s, d):
-    return retrieval.posting_lists(_pairs(s, d))
+    return retrieval.posting_lists(v.stored(s, d).snapshot().blocks())
 
 
 @query("postings_topk", f"WITH {_BASE}, h AS (SELECT query_id, msg_id, count(*) AS hits FROM postings JOIN qtokens USING (token) GROUP BY ALL) SELECT query_id, msg_id, hits, {_RANK.format('hits')} FROM h QUALIFY rank <= 10")
 def _(s, d):
-    return retrieval.count_match(_pairs(s, d), _qt(s, d))
+    return blockmax.count_match(v.stored(s, d), _qt(s, d))
 
 
 @query("fts_and", f"WITH {_BASE} SELECT query_id, msg_id, count(*) AS hits FROM postings JOIN qtokens USING (token) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id)".replace("(SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id)", "any_value((SELECT count(*) FROM qtokens q WHERE q.query_id = qtokens.query_id))"))
 def _(s, d):
-    return retrieval.match_all(_pairs(s, d), _qt(s, d))
+    return blockmax.match_all(v.stored(s, d), _qt(s, d))
 
 
 _BM25 = f"""st AS (SELECT msg_id, count(*) AS dl FROM postings GROUP BY 1), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM st),
@@ -268,9 +264,12 @@ bm AS (SELECT query_id, msg_id, round(sum(idf * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.7
 
 @query("bm25_topk", f"WITH {_BASE}, {_BM25} SELECT query_id, msg_id, score, {_RANK.format('score')} FROM bm QUALIFY rank <= 10")
 def _(s, d):
-    return retrieval.bm25(_pairs(s, d), _qt(s, d))
+    return blockmax.bm25(v.stored(s, d), _qt(s, d)).drop("hits")
 
 
+_COSINE = """nn AS (SELECT count(DISTINCT msg_id) AS n FROM postings), idfc AS (SELECT token, ln((n + 1) / (count(*) + 1)) + 1 AS w FROM postings, nn GROUP BY token, n),
+dn AS (SELECT msg_id, sqrt(sum(w * w)) AS dn FROM postings JOIN idfc USING (token) GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM qtokens JOIN idfc USING (token) GROUP BY 1),
+dot AS (SELECT query_id, msg_id, sum(w * w) AS dot FROM postings JOIN idfc USING (token) JOIN qtokens USING (token) GROUP BY ALL), c AS (SELECT query_id, msg_id, round(dot / (dn * qn), 3) AS score FROM dot JOIN dn USING (msg_id) JOIN qn USING (query_id))"""
 _TFIDF = """hits AS (SELECT query_id, token, msg_id, (length(lower(text)) - length(replace(lower(text), token, ''))) / length(token) / length(lower(text)) AS tf FROM corpus, qtokens WHERE contains(lower(text), token)),
 nn AS (SELECT count(*) AS n FROM corpus), df AS (SELECT query_id, token, ln((n + 1) / (count(*) + 1)) AS idf FROM hits, nn GROUP BY query_id, token, n),
 tf AS (SELECT query_id, msg_id, round(sum(tf * idf), 8) AS score FROM hits JOIN df USING (query_id, token) GROUP BY ALL)"""
@@ -283,13 +282,11 @@ def _(s, d):
 
 @query(
     "tfidf_cosine",
-    f"""WITH {_BASE}, nn AS (SELECT count(DISTINCT msg_id) AS n FROM postings), idf AS (SELECT token, ln((n + 1) / (count(*) + 1)) + 1 AS w FROM postings, nn GROUP BY token, n),
-dn AS (SELECT msg_id, sqrt(sum(w * w)) AS dn FROM postings JOIN idf USING (token) GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM qtokens JOIN idf USING (token) GROUP BY 1),
-dot AS (SELECT query_id, msg_id, sum(w * w) AS dot FROM postings JOIN idf USING (token) JOIN qtokens USING (token) GROUP BY ALL), c AS (SELECT query_id, msg_id, round(dot / (dn * qn), 3) AS score FROM dot JOIN dn USING (msg_id) JOIN qn USING (query_id))
+    f"""WITH {_BASE}, {_COSINE}
 SELECT query_id, msg_id, score, {_RANK.format('score')} FROM c WHERE score > 0.05 QUALIFY rank <= 10""",
 )
 def _(s, d):
-    return retrieval.tfidf_cosine(_pairs(s, d), _qt(s, d))
+    return blockmax.tfidf_cosine(v.stored(s, d), _qt(s, d)).drop("hits")
 
 
 _TRUST = "trust AS (SELECT msg_id, list_reduce(list_prepend(0.5::DOUBLE, list(CASE WHEN helpful THEN 0.05::DOUBLE ELSE -0.10::DOUBLE END ORDER BY seq)), lambda t, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, t + x))) AS trust, count(*) FILTER (WHERE helpful) AS helpful, count(*) FILTER (WHERE NOT helpful) AS unhelpful FROM feedback GROUP BY msg_id)"
@@ -322,34 +319,37 @@ _BMTOP = f"bt AS (SELECT query_id, msg_id, score, {_RANK.format('score')} FROM b
 
 @query("rrf_fuse", f"WITH {_BASE}, {_BM25}, {_COUNT}, {_BMTOP}, l AS (SELECT query_id, msg_id, rank FROM cm UNION ALL SELECT query_id, msg_id, rank FROM bt) SELECT query_id, msg_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM l GROUP BY ALL")
 def _(s, d):
-    pairs, qt = _pairs(s, d), _qt(s, d)
-    a = retrieval.count_match(pairs, qt).select("query_id", F.lit(1).alias("list_id"), "msg_id", "rank")
-    b = retrieval.bm25(pairs, qt).select("query_id", F.lit(2).alias("list_id"), "msg_id", "rank")
+    index, qt = v.stored(s, d), _qt(s, d)
+    a = blockmax.count_match(index, qt).select("query_id", F.lit(1).alias("list_id"), "msg_id", "rank")
+    b = blockmax.bm25(index, qt).select("query_id", F.lit(2).alias("list_id"), "msg_id", "rank")
     return retrieval.rrf(a.unionAll(b)).select("query_id", "msg_id", F.round("score", 8).alias("score"))
 
 
-def _routed(pairs, qt):
-    bm = retrieval.bm25(pairs, qt).select("query_id", "msg_id", F.lit(1).alias("route"), "rank")
-    cm = retrieval.count_match(pairs, qt).select("query_id", "msg_id", F.lit(2).alias("route"), "rank")
-    return retrieval.route(bm.unionAll(cm))
+def _routed(index, qt):
+    lists = [blockmax.match_all, blockmax.bm25, blockmax.count_match, blockmax.tfidf_cosine]
+    found = [f(index, qt) for f in lists]
+    order = W.partitionBy("query_id").orderBy(F.desc("hits"), "msg_id")
+    found[0] = found[0].withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    parts = [x.select("query_id", "msg_id", F.lit(n).alias("route"), "rank", "hits") for n, x in enumerate(found)]
+    return retrieval.route(reduce(DataFrame.unionAll, parts))
 
 
-_ROUTED = "routed AS (SELECT query_id, msg_id, route, rank FROM (SELECT query_id, msg_id, 1 AS route, rank FROM bt UNION ALL SELECT query_id, msg_id, 2, rank FROM cm) QUALIFY row_number() OVER (PARTITION BY query_id, msg_id ORDER BY route, rank) = 1)"
+_ALL = "al AS (SELECT query_id, msg_id, row_number() OVER (PARTITION BY query_id ORDER BY msg_id)::INT AS rank FROM hit JOIN nq USING (query_id) WHERE c = nq QUALIFY rank <= 10)"
+_ROUTED = "routed AS (SELECT query_id, msg_id, route, rank FROM (SELECT query_id, msg_id, 0 AS route, rank FROM al UNION ALL SELECT query_id, msg_id, 1, rank FROM bt UNION ALL SELECT query_id, msg_id, 2, rank FROM cm UNION ALL SELECT query_id, msg_id, 3, rank FROM ct) QUALIFY row_number() OVER (PARTITION BY query_id, msg_id ORDER BY route, rank) = 1)"
 
 
 @query(
     "router_topk",
-    f"""WITH {_BASE}, {_BM25}, {_COUNT}, {_BMTOP}, {_ROUTED}, {v.FEEDBACK}, {_TRUST}, nq AS (SELECT query_id, count(*) AS nq FROM qtokens GROUP BY 1),
-hit AS (SELECT query_id, msg_id, count(*) AS c FROM postings JOIN qtokens USING (token) GROUP BY ALL),
+    f"""WITH {_BASE}, {_BM25}, {_COUNT}, {_BMTOP}, {_COSINE}, ct AS (SELECT query_id, msg_id, {_RANK.format('score')} FROM c WHERE score > 0.05 QUALIFY rank <= 10), nq AS (SELECT query_id, count(*) AS nq FROM qtokens GROUP BY 1),
+hit AS (SELECT query_id, msg_id, count(*) AS c FROM postings JOIN qtokens USING (token) GROUP BY ALL), {_ALL}, {_ROUTED}, {v.FEEDBACK}, {_TRUST},
 sc AS (SELECT r.query_id, r.msg_id, route, r.rank AS route_rank, round(c / nq * coalesce(trust, 0.5) + 0.5, 6) AS score FROM routed r JOIN hit USING (query_id, msg_id) JOIN nq USING (query_id) LEFT JOIN trust USING (msg_id))
 SELECT query_id, msg_id, route, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, route, route_rank, msg_id)::INT AS rank FROM sc QUALIFY rank <= 10""",
 )
 def _(s, d):
-    qt, pairs = _qt(s, d), _pairs(s, d)
+    qt = _qt(s, d)
     nq = qt.groupBy("query_id").agg(F.count("*").alias("nq"))
-    hit = pairs.join(qt, "token").groupBy("query_id", "msg_id").agg(F.count("*").alias("c"))
-    got = _routed(pairs, qt).join(hit, ["query_id", "msg_id"]).join(nq, "query_id").join(retrieval.trust_fold(v.feedback(s, d)).select("msg_id", "trust"), "msg_id", "left")
-    score = F.round(F.col("c") / F.col("nq") * F.coalesce("trust", F.lit(0.5)) + 0.5, 6)
+    got = _routed(v.stored(s, d), qt).join(nq, "query_id").join(retrieval.trust_fold(v.feedback(s, d)).select("msg_id", "trust"), "msg_id", "left")
+    score = F.round(F.col("hits") / F.col("nq") * F.coalesce("trust", F.lit(0.5)) + 0.5, 6)
     scored = got.select("query_id", "msg_id", "route", F.col("rank").alias("route_rank"), score.alias("score"))
     return retrieval.top(scored, "query_id", [F.desc("score"), "route", "route_rank", "msg_id"], 10).drop("route_rank")
 
@@ -359,7 +359,7 @@ def _(s, d):
     f"WITH {_BASE}, {_BM25}, {_BMTOP} SELECT query_id, msg_id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END, 6) AS scaled FROM bt WINDOW w AS (PARTITION BY query_id)",
 )
 def _(s, d):
-    b = retrieval.bm25(_pairs(s, d), _qt(s, d))
+    b = blockmax.bm25(v.stored(s, d), _qt(s, d))
     return b.select("query_id", "msg_id", F.round(retrieval.minmax(b, "query_id", "score"), 6).alias("scaled"))
 
 
@@ -401,7 +401,7 @@ j AS (SELECT query_id, msg_id, rank, coalesce(vector_score, 0) AS vector_score F
 SELECT query_id, msg_id, vector_score, row_number() OVER (PARTITION BY query_id ORDER BY (vector_score > 0) DESC, vector_score DESC, rank)::INT AS new_rank FROM j""",
 )
 def _(s, d):
-    b = retrieval.bm25(_pairs(s, d), _qt(s, d))
+    b = blockmax.bm25(v.stored(s, d), _qt(s, d))
     e = against(v.read(s, d, "embeddings"), _vq(s, d)).select(F.col("vec_id").alias("msg_id"), F.round(retrieval.cosine(F.col("embedding"), F.col("query")), 6).alias("vector_score")).where("vector_score > 0.3")
     return retrieval.promote(b, e).select("query_id", "msg_id", "vector_score", "new_rank")
 
@@ -418,4 +418,4 @@ def _(s, d):
     # the passages are a small stated set; each is searched in every text
     found = against(c.select("msg_id", F.col("text").alias("_t")), q).where(F.contains("_t", "text"))
     expected = found.groupBy("query_id", F.when(F.length("text") < 200, "short").otherwise("long").alias("category")).agg(F.min("msg_id").alias("msg_id"))
-    return retrieval.recall_at_k(retrieval.count_match(_pairs(s, d), _qt(s, d)), expected)
+    return retrieval.recall_at_k(blockmax.count_match(v.stored(s, d), _qt(s, d)), expected)

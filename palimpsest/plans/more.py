@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import analytics, retrieval, state
+from ..operators import analytics, blockmax, retrieval, state
 from . import views as v
 from .catalog import _ASKED_SQL, _WORDS_SQL, _at
 
@@ -88,7 +88,7 @@ SELECT query_id, lang, count(*) AS n FROM t JOIN corpus USING (msg_id) GROUP BY
 )
 def _(s, d):
     c = v.corpus(s, d)
-    near = retrieval.count_match(retrieval.postings(c, text.words(F.col("text"))), _at(s, d), 5)
+    near = blockmax.count_match(v.stored(s, d), _at(s, d), 5)
     return near.join(c.select("msg_id", "lang"), "msg_id").groupBy("query_id", "lang").agg(F.count("*").alias("n"))
 
 

@@ -1,21 +1,26 @@
 """The public surface: one object over a folder of tables, whose methods return DataFrames.
 
 Tables are Parquet folders that only grow; current state is read from them (latest rows, folds,
-counts). Errors are raised, not turned into empty results.
+counts). A batch is written under random names and becomes visible, in all its tables at once, by one
+commit; ids come from ranges that a commit has reserved. So writers side by side neither share an id nor
+lose a row, a writer that fails leaves nothing to be seen, and a batch with a key counts once. Small
+folders of a table are merged by levels. Errors are raised, not turned into empty results.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import analytics, graph, log, memory, retrieval, sketches, state
+from .operators import analytics, blockmax, graph, log, memory, retrieval, sketches, state
 from .operators.index import Index
 from .sources import readers
+from .sources.commits import Commits
 from .sources.shared import checkpoint
 
 SCHEMAS = {
@@ -33,75 +38,145 @@ SCHEMAS = {
 
 
 class Engine:
+    #: Folders of a level that are merged to one of the next.
+    FANOUT = 8
+    #: Keys of batches that are remembered.
+    KEYS = 10_000
+
     def __init__(self, spark: SparkSession, base: str, clock=dt.datetime.now) -> None:
         self.spark, self.base, self.clock = spark, base.rstrip("/"), clock
+        self.commits = Commits(spark, f"{self.base}/commits")
 
     # ---- tables
 
-    def table(self, name: str) -> DataFrame:
-        """A table; one that nothing was written to is empty."""
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{name}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    def _read(self, name: str, folders: list[dict]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.base}/{f['path']}" for f in folders])
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")]).write.mode("append").parquet(f"{self.base}/{name}")
+    def table(self, name: str) -> DataFrame:
+        """A table as of the latest commit; one that nothing was written to is empty."""
+        return self._read(name, self.commits.latest()[1].get("tables", {}).get(name, []))
+
+    def append(self, tables: dict[str, DataFrame], key: str | None = None) -> bool:
+        """Adds rows to several tables at once; False, and without effect, if a batch of this ``key`` was added before."""
+        if key is not None and key in self.commits.latest()[1].get("keys", []):
+            return False
+        new = {}
+        for name, rows in tables.items():
+            new[name] = {"path": f"{name}/{uuid.uuid4().hex}", "level": 0}
+            rows.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")]).write.parquet(f"{self.base}/{new[name]['path']}")
+        added = True
+
+        def step(now: dict) -> dict | None:
+            nonlocal added
+            added = key is None or key not in now.get("keys", [])
+            if not added:
+                return None
+            held = now.get("tables", {})
+            keys = now.get("keys", []) if key is None else [*now.get("keys", []), key][-self.KEYS :]
+            return {**now, "keys": keys, "tables": {**held, **{n: [*held.get(n, []), f] for n, f in new.items()}}}
+
+        state_now = self.commits.change(step)
+        if not added:
+            for f in new.values():
+                self.commits.remove(f"{self.base}/{f['path']}")
+        for name in new:
+            if sum(f["level"] == 0 for f in state_now["tables"][name]) >= self.FANOUT:
+                self.compact(name)
+        return added
+
+    def compact(self, name: str) -> None:
+        """Merges the folders of each full level of a table. The merged ones stay on disk for readers under way."""
+        while True:
+            done = True
+
+            def step(now: dict) -> dict | None:
+                nonlocal done
+                folders = now.get("tables", {}).get(name, [])
+                full = [x for x in sorted({f["level"] for f in folders}) if sum(f["level"] == x for f in folders) >= self.FANOUT]
+                done = not full
+                if done:
+                    return None
+                old = [f for f in folders if f["level"] == full[0]]
+                made = {"path": f"{name}/{uuid.uuid4().hex}", "level": full[0] + 1}
+                rows = self._read(name, old)
+                files = -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // (128 << 20))
+                rows.coalesce(max(files, 1)).write.parquet(f"{self.base}/{made['path']}")
+                return {**now, "tables": {**now["tables"], name: [*(f for f in folders if f not in old), made]}}
+
+            self.commits.change(step)
+            if done:
+                return
 
     def _rows(self, name: str, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, SCHEMAS[name])
 
-    def _next(self, name: str, column: str) -> int:
-        return (self.table(name).agg(F.max(column)).first()[0] or 0) + 1
+    def reserve(self, name: str, n: int = 1) -> int:
+        """The first of ``n`` numbers that no one else gets."""
+        first = 1
+
+        def step(now: dict) -> dict:
+            nonlocal first
+            first = now.get("next", {}).get(name, 1)
+            return {**now, "next": {**now.get("next", {}), name: first + n}}
+
+        self.commits.change(step)
+        return first
+
+    def _numbered(self, name: str, column: str, rows: DataFrame) -> DataFrame:
+        """``rows``, written, with numbers of their own."""
+        held = checkpoint(rows.withColumn(column, F.monotonically_increasing_id()))
+        last = held.agg(F.max(column)).first()[0]
+        return held.withColumn(column, F.col(column) + (self.reserve(name, last + 1) if last is not None else 0))
 
     # ---- writing
 
-    def record(self, messages: list[tuple[str, str]]) -> int:
-        """Appends (sender, text) messages with all that ingestion derives; returns how many were worth keeping."""
-        now, start = self.clock().replace(microsecond=0), self._next("messages", "msg_id")
+    def record(self, messages: list[tuple[str, str]], key: str | None = None) -> int:
+        """Appends (sender, text) messages with all that ingestion derives, in one commit; returns how many were worth keeping."""
+        now, start = self.clock().replace(microsecond=0), self.reserve("messages", len(messages))
         got = self._rows("messages", [(start + k, now, s, t) for k, (s, t) in enumerate(messages)])
         kept = checkpoint(log.valued(got).drop("info_value"))
-        self.append("messages", kept)
         c, user = F.col("text"), kept.where("sender = 'user'")
-        d = user.where(text.is_decision(c)).select("ts", F.col("msg_id").alias("event_id"), F.substring("text", 1, 200).alias("decision"), text.drift_score(c).alias("drift"), text.direction(c).alias("direction"), F.date_format("ts", "yyyy-MM").alias("stage"), F.lit(None).cast("string").alias("scene"))
-        self.append("decisions", d)
-        self.append("moods", user.select("ts", F.col("msg_id").alias("event_id"), text.mood(c).alias("mood")).where("mood <> ''"))
-        self.append("memories", user.select("ts", F.substring("text", 1, 300).alias("content"), text.memory_type(c).alias("type")))
-        self.thread_add(graph.extract(user, "user").join(user.select("msg_id", "ts"), "msg_id").withColumnRenamed("msg_id", "source_id"))
-        return kept.count()
+        tables = {
+            "messages": kept,
+            "decisions": user.where(text.is_decision(c)).select("ts", F.col("msg_id").alias("event_id"), F.substring("text", 1, 200).alias("decision"), text.drift_score(c).alias("drift"), text.direction(c).alias("direction"), F.date_format("ts", "yyyy-MM").alias("stage"), F.lit(None).cast("string").alias("scene")),
+            "moods": user.select("ts", F.col("msg_id").alias("event_id"), text.mood(c).alias("mood")).where("mood <> ''"),
+            "memories": user.select("ts", F.substring("text", 1, 300).alias("content"), text.memory_type(c).alias("type")),
+            "triples": self._new_triples(graph.extract(user, "user").join(user.select("msg_id", "ts"), "msg_id").withColumnRenamed("msg_id", "source_id")),
+        }
+        return kept.count() if self.append(tables, key) else 0
 
     def import_(self, path: str, kind: str) -> int:
         """Imports a log or chat export; messages that are there already (sender and text) are skipped."""
         new = readers.read_any(self.spark, path, kind)
         stamp = F.lit(self.clock().replace(microsecond=0).isoformat(" ")).cast("timestamp_ntz")
         new = new.withColumn("ts", F.coalesce("ts", stamp) if "ts" in new.columns else stamp).select("ts", "sender", "text").where("text is not null")
-        fresh = log.merge_new(self.table("messages"), new, ["sender", "text"])
-        start = self._next("messages", "msg_id")
-        numbered = fresh.withColumn("msg_id", F.lit(start) + F.monotonically_increasing_id())
-        self.append("messages", numbered)
-        return self.table("messages").where(F.col("msg_id") >= start).count()
+        numbered = self._numbered("messages", "msg_id", log.merge_new(self.table("messages"), new, ["sender", "text"]))
+        self.append({"messages": numbered})
+        return numbered.count()
 
     def export(self, path: str, month: str | None = None) -> None:
         readers.export_text(self.table("messages"), path, month)
 
     def fact_feedback(self, msg_id: int, helpful: bool) -> None:
-        self.append("feedback", self._rows("feedback", [(msg_id, self._next("feedback", "seq"), helpful)]))
+        self.append({"feedback": self._rows("feedback", [(msg_id, self.reserve("feedback"), helpful)])})
 
-    def thread_add(self, triples: DataFrame) -> None:
-        """Adds (subject, relation, object, source_id, ts) that the store lacks."""
+    def _new_triples(self, triples: DataFrame) -> DataFrame:
+        """Those of (subject, relation, object, source_id, ts) that the store lacks, numbered."""
         new = graph.insert_absent(self.table("triples"), triples)
         first = triples.groupBy(*graph.KEYS).agg(F.min("source_id").alias("source_id"), F.min("ts").alias("ts"))
-        self.append("triples", new.join(first, graph.KEYS).withColumn("id", F.lit(self._next("triples", "id")) + F.monotonically_increasing_id()))
+        return self._numbered("triples", "id", new.join(first, graph.KEYS))
+
+    def thread_add(self, triples: DataFrame) -> None:
+        """Adds (subject, relation, object, source_id, ts) that the store lacks."""
+        self.append({"triples": self._new_triples(triples)})
 
     def task_defer(self, task: str, trigger: str, note: str = "") -> None:
-        self.append("tasks", self._rows("tasks", [(self._next("tasks", "seq"), task, trigger, note, "pending")]))
+        self.append({"tasks": self._rows("tasks", [(self.reserve("tasks"), task, trigger, note, "pending")])})
 
     def task_done(self, task: str, trigger: str) -> None:
-        self.append("tasks", self._rows("tasks", [(self._next("tasks", "seq"), task, trigger, "", "done")]))
+        self.append({"tasks": self._rows("tasks", [(self.reserve("tasks"), task, trigger, "", "done")])})
 
     # ---- reading
 
@@ -117,18 +192,18 @@ class Engine:
     def _routes(self, query: str, k: int, index: Index) -> DataFrame:
         """(query_id, msg_id, route, rank) of the routes: all tokens, most tokens, TF-IDF, and named things by trust."""
         spark, c = self.spark, F.col("text")
+        held = index.snapshot()
         question = spark.createDataFrame([(1, query)], "query_id int, text string")
         asked = retrieval.query_tokens(question, text.fts_tokens(c))
-        pairs = index.postings()
         ranked = lambda x, n: x.select("query_id", "msg_id", F.lit(n).alias("route"), "rank")
-        scored = retrieval.bm25(pairs, asked, 3 * k, lengths=index.lengths())
-        every = retrieval.match_all(pairs, asked).join(scored.select("query_id", "msg_id", "score"), ["query_id", "msg_id"], "left")
+        scored = blockmax.bm25(held, asked, 3 * k)
+        every = blockmax.match_all(held, asked).join(scored.select("query_id", "msg_id", "score"), ["query_id", "msg_id"], "left")
         every = retrieval.top(every, "query_id", [F.desc_nulls_last("score"), "msg_id"], 3 * k)
         trust = retrieval.trust_fold(self.table("feedback")).select("msg_id", "trust")
         names = question.select("query_id", F.explode(text.entities(c)).alias("token"))
-        named = retrieval.count_match(pairs, names, 3 * k).join(trust, "msg_id", "left")
+        named = blockmax.count_match(held, names, 3 * k).join(trust, "msg_id", "left")
         named = retrieval.top(named.drop("rank"), "query_id", [F.desc("hits"), F.desc(F.coalesce("trust", F.lit(0.5))), "msg_id"], k)
-        lists = [every, retrieval.count_match(pairs, asked, 3 * k), retrieval.tfidf_cosine(pairs, asked, 3 * k), named]
+        lists = [every, blockmax.count_match(held, asked, 3 * k), blockmax.tfidf_cosine(held, asked, 3 * k), named]
         out = ranked(scored, 5)
         for n, x in enumerate(lists, 1):
             out = out.unionAll(ranked(x, n))
@@ -154,7 +229,7 @@ class Engine:
         """TF-IDF cosine over the stored postings."""
         index = self.index()
         asked = retrieval.query_tokens(self.spark.createDataFrame([(1, query)], "query_id int, text string"), text.fts_tokens(F.col("text")))
-        return retrieval.tfidf_cosine(index.postings(), asked, k).join(self.table("messages"), "msg_id").select("rank", "msg_id", "ts", "sender", "text", "score").orderBy("rank")
+        return blockmax.tfidf_cosine(index, asked, k).join(self.table("messages"), "msg_id").select("rank", "msg_id", "ts", "sender", "text", "score").orderBy("rank")
 
     def dejavu(self, fragment: str) -> DataFrame:
         """How familiar a text's tokens are, by the filter over all that was said."""
@@ -219,9 +294,14 @@ class Engine:
         last("decisions", 50).write.mode("overwrite").json(f"{path}/decisions")
         last("moods", 20).write.mode("overwrite").json(f"{path}/moods")
 
-    def soul_merge(self, path: str) -> None:
-        for name in ("decisions", "moods"):
-            self.append(name, self.spark.read.schema(SCHEMAS[name]).json(f"{path}/{name}"))
+    def soul_merge(self, path: str, once: bool = False) -> bool:
+        """Adds an export's rows; with ``once`` an export that was merged before, by its rows, has no effect."""
+        tables = {name: self.spark.read.schema(SCHEMAS[name]).json(f"{path}/{name}") for name in ("decisions", "moods")}
+        key = None
+        if once:
+            marks = [df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0))).first() for df in tables.values()]
+            key = "soul-" + "-".join(f"{n}:{mark}" for n, mark in marks)
+        return self.append(tables, key)
 
     def context(self, budget: int, memories: DataFrame | None = None) -> str:
         """A block of text for a prompt: rules, latest drift, pending tasks, and memories that fit the budget."""
@@ -264,9 +344,11 @@ class Engine:
 
     def migrate(self, path: str) -> DataFrame:
         """Copies every table to ``path``; returns how many rows each has there."""
-        for name, schema in SCHEMAS.items():
-            self.table(name).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-        counts = [self.spark.read.schema(SCHEMAS[n]).parquet(f"{path.rstrip('/')}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in SCHEMAS]
+        copy = Engine(self.spark, path, self.clock)
+        copy.append({name: self.table(name) for name in SCHEMAS})
+        now = self.commits.latest()[1].get("next", {})
+        copy.commits.change(lambda state: {**state, "next": now})
+        counts = [copy.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in SCHEMAS]
         out = counts[0]
         for x in counts[1:]:
             out = out.unionAll(x)

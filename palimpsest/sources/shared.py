@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a folder of the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/palimpsest-tmp").rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` (a folder of the warehouse where that is unset) and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/palimpsest-tmp"
-    path = f"{base.rstrip('/')}/m-{uuid.uuid4().hex}"
+    """``df`` written as Parquet under the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/m-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of input, by the optimiser's estimate, up to which rows are dealt anew to use all cores.

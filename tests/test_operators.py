@@ -194,30 +194,6 @@ def test_persona_alerts_cool_down(spark):
     assert got == {1: ["spending_against_persona"], 3: ["stale_persona_spend"], 5: ["stale_persona_frugal"]}
 
 
-def test_index_in_batches_equals_one_built_at_once(spark, tmp_path):
-    from palimpsest.operators import retrieval
-    from palimpsest.operators.index import Index
-
-    rows = [(k, f"word{k % 7} shared token{k % 3} {'rare' if k == 5 else ''}") for k in range(60)] + [(60, ""), (61, None)]
-    df = spark.createDataFrame(rows, "msg_id long, text string")
-    whole, parts = Index(spark, str(tmp_path / "a")), Index(spark, str(tmp_path / "b"))
-    assert whole.mark() is None and whole.postings().count() == 0
-    assert whole.update(df) == 61
-    for hi in (10, 10, 41, 61):
-        assert parts.update(df.where(f"msg_id <= {hi}")) == hi
-    same = lambda f: sorted(map(tuple, f(whole).collect())) == sorted(map(tuple, f(parts).collect()))
-    assert same(lambda x: x.postings()) and same(lambda x: x.lengths())
-    asked = spark.createDataFrame([(1, "rare"), (1, "shared"), (1, "word3")], "query_id int, token string")
-    assert same(lambda x: retrieval.bm25(x.postings(), asked, lengths=x.lengths()))
-    assert sorted(map(tuple, retrieval.bm25(whole.postings(), asked, lengths=whole.lengths()).collect())) == sorted(map(tuple, retrieval.bm25(whole.postings().drop("dl"), asked).collect()))
-    # a batch that failed before its lengths were written is written again
-    import shutil
-
-    shutil.rmtree(tmp_path / "b" / "lengths" / "batch=41")
-    assert parts.mark() == 41 and parts.postings().agg({"msg_id": "max"}).first()[0] <= 41
-    assert parts.update(df) == 61 and same(lambda x: x.postings())
-
-
 def test_message_ids_hold_many_turns(spark, tmp_path):
     from palimpsest.plans import views
 

@@ -207,3 +207,41 @@ def sessions(events: DataFrame, key: str, gap_minutes: int) -> DataFrame:
 
 def share_of(c: Column, total: Column) -> Column:
     return F.when(total > 0, c / total).otherwise(0.0)
+
+
+# Decisions of a direction from which its outline counts as formed, and the bounds of the tones of mood entropy.
+FORMED = {"frugal": 50, "spend": 50, "drift": 30}
+RESTLESS, CALM = 1.2, 0.5
+
+
+def reminders(messages: DataFrame, decisions: DataFrame, moods: DataFrame, key: str = "user_id", formed: dict[str, int] | None = None) -> DataFrame:
+    """(key, direction, drift, decisions, formed, tone): what to remind of, by rules alone.
+
+    For keys with five messages and two decisions or more whose majority has a direction: whether so many
+    decisions have formed an outline, and the tone that the entropy of the moods asks for (quiet above 1.2,
+    warm below 0.5, else even; without moods the entropy is 0).
+    """
+    spoke = messages.groupBy(key).agg(F.count("*").alias("_m")).where("_m >= 5")
+    d = drift(decisions, key).where("decisions >= 2 and majority <> 'neutral'")
+    e = entropy(moods, [key], "mood").select(key, "entropy")
+    limit = F.coalesce(*[F.when(F.col("majority") == k, n) for k, n in (formed or FORMED).items()], F.lit(50))
+    mood = F.coalesce("entropy", F.lit(0.0))
+    tone = F.when(mood > RESTLESS, "quiet").when(mood < CALM, "warm").otherwise("even")
+    return d.join(spoke, key).join(e, key, "left").select(key, F.col("majority").alias("direction"), "drift", "decisions", (F.col("decisions") >= limit).alias("formed"), tone.alias("tone"))
+
+
+def briefs(decisions: DataFrame, key: str = "user_id", scenes: int = 3, recent: int = 3) -> DataFrame:
+    """One row for each key's stage: how many decisions, their drift and direction, its first scenes by number, its latest decisions, and the stage before."""
+    keys = [key, "stage"]
+    votes = [F.count_if(F.col("direction") == x).alias(f"_{x}") for x in ("frugal", "spend", "drift", "neutral")]
+    latest = F.expr(f"array_join(transform(slice(sort_array(collect_list(struct(ts, event_id)), false), 1, {recent}), x -> x.event_id), ',')")
+    w = W.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("event_id"))
+    few = decisions.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= recent).groupBy(*keys).agg(latest.alias("latest"))  # a few rows a stage are collected
+    g = decisions.groupBy(*keys).agg(F.count("*").alias("decisions"), F.sum("drift").cast("long").alias("drift"), *votes)
+    best = F.greatest("_frugal", "_spend", "_drift", "_neutral")
+    major = F.when(F.col("_frugal") == best, "frugal").when(F.col("_spend") == best, "spend").when(F.col("_drift") == best, "drift").otherwise("neutral")
+    n = decisions.groupBy(*keys, "scene").agg(F.count("*").alias("_n"))
+    ranked = n.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_n"), "scene"))).where(F.col("_r") <= scenes)
+    top = ranked.groupBy(*keys).agg(F.expr("array_join(transform(sort_array(collect_list(struct(_r, scene))), x -> x.scene), ',')").alias("scenes"))
+    before = F.lag("stage").over(W.partitionBy(key).orderBy("stage"))
+    return g.join(top, keys).join(few, keys).select(*keys, before.alias("before"), "decisions", "drift", major.alias("direction"), "scenes", "latest")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import neighbours
 from .blocks import against
 from .retrieval import cosine
 
@@ -64,13 +65,31 @@ def char_jaccard(a: Column, b: Column) -> Column:
 
 def write_actions(new: DataFrame, held: DataFrame) -> DataFrame:
     """What to do with each new memory, by its most similar held one of the same type (cosine)."""
-    a = new.select(F.col("memory_id").alias("new_id"), "type", F.col("embedding").alias("_a"))
-    b = held.select(F.col("memory_id").alias("held_id"), "type", F.col("embedding").alias("_b"))
-    sim = a.join(b, "type").select("new_id", "type", "held_id", F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("similarity"))
-    best = sim.groupBy("new_id", "type").agg(F.max(F.struct("similarity", (-F.col("held_id")).alias("_n"))).alias("_m"), F.count_if(F.col("similarity") >= OVERRIDE).alias("overridden"))
-    s = F.col("_m.similarity")
+    vectors = lambda df: df.select(F.col("memory_id").alias("id"), F.col("type").alias("grp"), "embedding")
+    best = neighbours.nearest(vectors(new), vectors(held), OVERRIDE).withColumnRenamed("grp", "type")
+    s = F.col("similarity")
     action = F.when((F.col("type") == "procedural") & (s >= DEDUP), "DEDUP").when((F.col("type") == "emotional") & (s >= REINFORCE), "REINFORCE").when((F.col("type") == "semantic") & (s >= OVERRIDE), "OVERRIDE").otherwise("INSERT")
-    return best.select("new_id", "type", (-F.col("_m._n")).alias("best_id"), s.alias("similarity"), action.alias("action"), F.when(action == "OVERRIDE", F.col("overridden")).otherwise(0).alias("overridden"))
+    return best.select("new_id", "type", "best_id", "similarity", action.alias("action"), F.when(action == "OVERRIDE", F.col("reached")).otherwise(0).alias("overridden"))
+
+
+def consolidate(memories: DataFrame, least: float = 0.8) -> DataFrame:
+    """(node, leader): greedy leader clustering, in the order of ids, of each type's memories whose embeddings are similar by ``least``.
+
+    Equal embeddings are clustered once, for their smallest id: the others follow it, since they are similar to the same leaders.
+    """
+    from ..sources.shared import checkpoint
+
+    rows = memories.where("memory_id is not null").select(F.col("memory_id").alias("id"), F.col("type").alias("grp"), F.col("embedding").cast("array<double>").alias("embedding"))
+    space = neighbours.Space(rows)
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    whole = (F.size("embedding") == space.width) & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)
+    own = F.when(~F.coalesce(whole, F.lit(False)), F.col("id"))  # is equal to nothing else
+    first = F.min("id").over(W.partitionBy("grp", "embedding", own))
+    held = checkpoint(rows.withColumn("node", first))
+    nodes = held.where("id = node").dropDuplicates(["node"])
+    near = neighbours.pairs(nodes.select("id", "grp", "embedding"), least, space).select("a", "b")
+    led = leaders(checkpoint(near), nodes.select("node"))
+    return held.select(F.col("id"), "node").join(led, "node").select(F.col("id").alias("node"), "leader")
 
 
 def reclassify(memories: DataFrame, least: int = 3) -> DataFrame:

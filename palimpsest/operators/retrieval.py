@@ -147,12 +147,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), dot(d(a), d(b)) / (one(norm(d(a))) * one(norm(d(b))))).otherwise(0.0)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` nearest of ``vectors`` (vec_id, embedding) for a stated set of query vectors (query_id, query)."""
-    scored = against(vectors, queries).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
-    return top(scored, "query_id", [F.desc("score"), F.asc("vec_id")], k)
-
-
 def promote(ranked: DataFrame, scores: DataFrame, key: str = "msg_id") -> DataFrame:
     """Rows with a positive vector score move to the front, by that score; the others keep their order."""
     v = scores.groupBy(key).agg(F.max("vector_score").alias("vector_score"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +53,91 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(d, F.lit(128)).cast("int")
 
 
+#: Parts of a fingerprint, 16 bits each, by which near ones are found.
+BANDS = 8
+#: Flipped bits of a part that are probed; beyond, the number of values grows faster than what they save.
+RINGS = 2
+#: Fingerprints of one pass of the scan, 16 bytes each.
+SCAN = 20_000
+
+
+def _parts(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a row for each (band, value) of a fingerprint."""
+    values = F.array(*[F.conv(F.substring(column, 4 * i + 1, 4), 16, 10).cast("int") for i in range(BANDS)])
+    return df.select("*", F.posexplode(values).alias("band", "value"))
+
+
+def _words(hexes: list[str]) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex("".join(hexes)), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
+def _scan(prints: DataFrame, queries: list, most: int, k: int) -> DataFrame:
+    """(query_id, msg_id, distance): each task's ``k`` nearest of a block of queries, from all prints."""
+    names, asked = [r["query_id"] for r in queries], _words([r["query"] for r in queries])
+    schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("msg_id", T.LongType()), T.StructField("distance", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in names]
+        limit = np.full(len(names), most)
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), _words(batch.column(1).to_pylist())
+            for lo in range(0, len(names), 256):
+                part = asked[lo : lo + 256]
+                d = sum(np.bitwise_count(x[:, None, i] ^ part[None, :, i]).astype(np.int64) for i in range(2))
+                for q in np.flatnonzero((d <= limit[lo : lo + 256]).any(0)):
+                    at = np.flatnonzero(d[:, q] <= limit[lo + q])
+                    far, near = (np.concatenate(z) for z in zip(best[lo + q], (d[at, q], ids[at]), strict=True))
+                    order = np.lexsort((near, far))[:k]
+                    best[lo + q] = far[order], near[order]
+                    if len(order) == k:
+                        limit[lo + q] = far[order[-1]]
+        rows = [(q, i, d) for q, (far, near) in enumerate(best) for d, i in zip(far.tolist(), near.tolist(), strict=True)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32()), strict=True)], schema.names)
+
+    numbered = prints.sparkSession.createDataFrame(list(enumerate(names)), f"query int, query_id {'string' if isinstance(names[0], str) else 'long'}")
+    return prints.select("msg_id", "simhash").mapInArrow(run, schema).join(F.broadcast(numbered), "query").select("query_id", "msg_id", "distance")
+
+
 def near(prints: DataFrame, queries: DataFrame, most: int = 40, k: int = 10) -> DataFrame:
-    """For each of a stated set of query fingerprints the ``k`` nearest within ``most`` bits."""
-    from .blocks import against
+    """(query_id, msg_id, distance, rank): for each of a stated set of query fingerprints the ``k`` nearest within ``most`` bits.
+
+    Fingerprints are cut into bands. Two that differ in fewer than ``BANDS * (r + 1)`` bits differ in at most r
+    bits of some band, so an equi-join on (band, value), with up to r bits of the query's value flipped, finds
+    them all. Rings r = 0, 1, ... are probed until a query's ``k``-th distance is below that limit. What
+    is left after ``RINGS`` (queries whose neighbours are far) scans the fingerprints in Arrow batches. Of
+    messages that share a fingerprint only the ``k`` smallest ids can be among a query's nearest.
+    """
+    from ..sources.shared import checkpoint
     from .retrieval import top
 
-    d = against(prints, queries).select("query_id", "msg_id", hamming(F.col("simhash"), F.col("query")).alias("distance")).where(F.col("distance") <= most)
-    return top(d, "query_id", ["distance", "msg_id"], k)
+    same = top(prints.where("simhash is not null and msg_id is not null").select(F.col("msg_id").cast("long").alias("msg_id"), "simhash"), "simhash", ["msg_id"], k).drop("rank")
+    held = checkpoint(same)
+    parts = _parts(held.select("simhash").distinct(), "simhash")
+    left = checkpoint(queries.where("query is not null").select("query_id", "query"))
+    found, done = None, []
+    for r in range(RINGS + 1):
+        masks = F.explode(F.array(*[F.lit(sum(1 << b for b in bits)) for bits in combinations(range(16), r)]))  # at most 120
+        probes = _parts(left, "query").select("query_id", "query", "band", "value", masks.alias("mask")).select("query_id", "query", "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        met = probes.join(parts, ["band", "value"]).select("query_id", "query", "simhash")
+        found = checkpoint((met if found is None else found.unionAll(met)).distinct())
+        limit = BANDS * (r + 1) - 1  # nothing within it is missing
+        ranked = found.join(left, ["query_id", "query"], "left_semi").withColumn("distance", hamming(F.col("simhash"), F.col("query"))).where(F.col("distance") <= most)
+        ranked = top(ranked.join(held, "simhash").select("query_id", "query", "msg_id", "distance"), "query_id", ["distance", "msg_id"], k)
+        if limit >= most:
+            return reduce(DataFrame.unionAll, [*done, ranked.select("query_id", "msg_id", "distance", "rank")])
+        sure = checkpoint(ranked.where((F.col("rank") == k) & (F.col("distance") <= limit)).select("query_id"))
+        done.append(ranked.join(sure, "query_id", "left_semi").select("query_id", "msg_id", "distance", "rank"))
+        left = checkpoint(left.join(sure, "query_id", "left_anti"))
+    block, scans = [], []
+    for row in left.toLocalIterator():
+        block.append(row)
+        if len(block) == SCAN:
+            scans, block = [*scans, _scan(held, block, most, k)], []
+    if block:
+        scans.append(_scan(held, block, most, k))
+    rest = [top(reduce(DataFrame.unionAll, scans), "query_id", ["distance", "msg_id"], k)] if scans else []
+    return reduce(DataFrame.unionAll, [*done, *[x.select("query_id", "msg_id", "distance", "rank") for x in rest]])
 
 
 def bloom_positions(item: Column) -> Column:

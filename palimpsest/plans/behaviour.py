@@ -167,14 +167,6 @@ def _(s, d):
     return m.join(b, "memory_id").select("memory_id", F.round(memory.char_jaccard(F.col("content"), F.col("_c")), 6).alias("similarity"))
 
 
-@query("mem_consolidate", None)
-def _(s, d):
-    m = v.memories(s, d).select("memory_id", "type", "embedding").where("type in ('episodic', 'emotional')")
-    a, b = m.select(F.col("memory_id").alias("a"), "type", F.col("embedding").alias("_x")), m.select(F.col("memory_id").alias("b"), "type", F.col("embedding").alias("_y"))
-    pairs = a.join(b, "type").where(F.col("a") < F.col("b")).where(retrieval.cosine(F.col("_x"), F.col("_y")) >= 0.8).select("a", "b")
-    return memory.leaders(pairs, m.select(F.col("memory_id").alias("node")))
-
-
 @query("mem_reclassify", f"WITH {v.MESSAGES}, m AS (SELECT msg_id AS memory_id, regexp_replace(text, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}月\\d{{1,2}}日)\\s*', '') AS content FROM messages) SELECT content, count(*) AS n, min(memory_id) AS first_id FROM m GROUP BY content HAVING count(*) >= 3")
 def _(s, d):
     m = v.messages(s, d).select(F.col("msg_id").alias("memory_id"), F.lit("episodic").alias("type"), F.col("text").alias("content"))
@@ -254,13 +246,12 @@ _LIMB = " + ".join(f"bit_count(xor(('0x' || substring(simhash, {8 * i + 1}, 8)):
 
 @query(
     "simhash_near",
-    f"""WITH {v.MESSAGES}, {_PRINTS}, q AS (SELECT role AS query_id, (SELECT simhash FROM prints p WHERE p.msg_id = f.msg_id) AS query FROM (SELECT sender AS role, min(msg_id) AS msg_id FROM messages GROUP BY 1) f),
-x AS (SELECT query_id, msg_id, ({_LIMB})::INT AS distance FROM prints, q) SELECT query_id, msg_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, msg_id)::INT AS rank FROM x WHERE distance <= 55 QUALIFY rank <= 10""",
+    f"""WITH {v.MESSAGES.replace("messages AS (", "said AS (", 1)}, messages AS (SELECT msg_id, text FROM said UNION ALL SELECT -1 - item_id, text FROM benchmark), {_PRINTS}, q AS (SELECT -1 - msg_id AS query_id, simhash AS query FROM prints WHERE msg_id < 0),
+x AS (SELECT query_id, msg_id, ({_LIMB})::INT AS distance FROM prints, q WHERE msg_id >= 0) SELECT query_id, msg_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, msg_id)::INT AS rank FROM x WHERE distance <= 55 QUALIFY rank <= 10""",
 )
 def _(s, d):
-    p = sketches.fingerprints(v.messages(s, d)).select("msg_id", "sender", "simhash")
-    q = p.groupBy(F.col("sender").alias("query_id")).agg(F.min_by("simhash", "msg_id").alias("query"))
-    return sketches.near(p.where("simhash is not null").select("msg_id", "simhash"), q, 55)
+    asked = sketches.fingerprints(v.questions(s, d).withColumnRenamed("query_id", "msg_id")).select(F.col("msg_id").alias("query_id"), F.col("simhash").alias("query"))
+    return sketches.near(sketches.fingerprints(v.messages(s, d)), asked, 55)
 
 
 _SEED = "unnest(list_transform(range(7), lambda s: (('0x' || substring(sha256(s || ':' || {}), 1, 8))::BIGINT % 1048576)::INT))"

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import blockmax, log, retrieval
+from ..operators import blockmax, log, retrieval, vectors
 from ..operators.blocks import against
 from . import views as v
 
@@ -391,7 +391,7 @@ def _vq(s, d):
 
 @query("vector_topk", f"WITH {_VQ}, c AS (SELECT query_id, vec_id, round({_COS}, 6) AS score FROM embeddings, vq) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM c QUALIFY rank <= 10")
 def _(s, d):
-    return retrieval.vector_top(v.read(s, d, "embeddings").select("vec_id", "embedding"), _vq(s, d))
+    return vectors.exact_top(v.read(s, d, "embeddings"), _vq(s, d))
 
 
 @query(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import analytics, blockmax, retrieval, state
+from ..functions import lexicon, text
+from ..operators import analytics, blockmax, graph, replica, retrieval, spans, state, vectors, vocabulary
+from ..sources.shared import shared_dir
 from . import views as v
+from .behaviour import _SPANS
+from .behaviour import SQL as _BEHAVIOUR
 from .catalog import _ASKED_SQL, _WORDS_SQL, _at
 
 QUERIES: dict = {}
@@ -130,3 +135,112 @@ def _(s, d):
 @query("stability_overall", f"WITH {v.DECISIONS}, g AS (SELECT user_id, count(*) AS n, round(stddev_samp(drift), 4) AS deviation FROM decisions GROUP BY 1 HAVING count(*) >= 5) SELECT *, CASE WHEN deviation < 15 THEN 'steady' WHEN deviation < 30 THEN 'mild' WHEN deviation < 50 THEN 'swinging' ELSE 'wild' END AS band FROM g")
 def _(s, d):
     return analytics.stability(v.decisions(s, d), ["user_id"], 5)
+
+
+# ---------------------------------------------------------------- learnt words, vector lists
+
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_LIST = lambda xs: "[" + ", ".join(map(_QUOTED, xs)) + "]"
+
+
+@query(
+    "learnt_moods",
+    f"""WITH {v.CORPUS}, w0 AS (SELECT DISTINCT lower(word) AS word, mood, 0 AS version FROM (VALUES {', '.join(f'({_QUOTED(w)}, {_QUOTED(m)})' for m in lexicon.MOOD_ORDER for w in lexicon.MOODS[m])}) t(word, mood)),
+wl AS (SELECT word, {_LIST(lexicon.MOOD_ORDER)}[item_id % 7 + 1] AS mood, min(5 * item_id) AS version FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS word FROM benchmark) GROUP BY ALL),
+w AS (SELECT word, list_position({_LIST(lexicon.MOOD_ORDER)}, mood) AS rank, version FROM (SELECT * FROM w0 UNION ALL SELECT * FROM wl ANTI JOIN w0 USING (word, mood))),
+h AS (SELECT msg_id, rank, word, low, instr(low, word) AS pos FROM (SELECT msg_id, lower(text) AS low FROM corpus) JOIN w ON version <= msg_id AND contains(low, word)),
+k AS (SELECT * FROM h WHERE rank <> {lexicon.MOOD_ORDER.index(lexicon.HAPPY) + 1} OR len(list_filter({_LIST(lexicon.NEGATORS)}, lambda n: contains(substring(low, greatest(pos - 8, 1), pos - greatest(pos - 8, 1)), n))) = 0),
+g AS (SELECT msg_id, count(DISTINCT word)::INT AS n, arg_min(rank, lpad(rank::VARCHAR, 2, '0') || lpad((1000 - length(word))::VARCHAR, 4, '0') || word) AS rank, arg_min(word, lpad(rank::VARCHAR, 2, '0') || lpad((1000 - length(word))::VARCHAR, 4, '0') || word) AS word FROM k GROUP BY msg_id)
+SELECT msg_id, coalesce({_LIST(lexicon.MOOD_ORDER)}[rank], '') AS mood, coalesce(word, '') AS mood_word, coalesce(n, 0) AS mood_words FROM corpus LEFT JOIN g USING (msg_id)""",
+)
+def _(s, d):
+    words = v.questions(s, d).select("query_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1))).alias("word"))
+    mood = F.element_at(F.lit(list(lexicon.MOOD_ORDER)), (F.col("query_id") % 7 + 1).cast("int"))
+    vocab = vocabulary.learn(vocabulary.builtin(s), words.select("word", mood.alias("mood"), (F.col("query_id") * 5).alias("version")))
+    return vocabulary.moods(v.corpus(s, d).select("msg_id", "text", F.col("msg_id").alias("version")), vocab).select("msg_id", "mood", "mood_word", "mood_words")
+
+
+def _asked_vectors(s, d):
+    """A stated query set: every 20th vector."""
+    e = v.read(s, d, "embeddings")
+    return e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query("vector_index_recall", None)
+def _(s, d):
+    e, asked_ = _asked_vectors(s, d)
+    index = vectors.Lists.build(e, f"{shared_dir(s)}/lists-{uuid.uuid4().hex}")
+    return vectors.recall(index.search(asked_), vectors.exact_top(e, asked_))
+
+
+@query(
+    "vector_neighbours",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]), 6) AS score FROM embeddings, q)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM c QUALIFY rank <= 10""",
+)
+def _(s, d):
+    return vectors.exact_top(*_asked_vectors(s, d))
+
+
+# ---------------------------------------------------------------- replicas, moments in intervals
+
+_SLOT = "(conv_id * 31 + turn)"
+
+
+@query(
+    "replica_differences",
+    f"""WITH {v.MESSAGES}, a AS (SELECT msg_id, sender, text, ts FROM messages),
+b AS (SELECT msg_id, sender, CASE WHEN {_SLOT} % 89 = 5 THEN text || '!' ELSE text END AS text, ts FROM messages WHERE {_SLOT} % 97 <> 3 UNION ALL SELECT -1 - msg_id, sender, text, ts FROM messages WHERE {_SLOT} % 83 = 7)
+SELECT coalesce(a.msg_id, b.msg_id) AS msg_id, CASE WHEN b.msg_id IS NULL THEN 'missing' WHEN a.msg_id IS NULL THEN 'added' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.msg_id = b.msg_id WHERE a.msg_id IS NULL OR b.msg_id IS NULL OR a.sender IS DISTINCT FROM b.sender OR a.text IS DISTINCT FROM b.text OR a.ts IS DISTINCT FROM b.ts""",
+)
+def _(s, d):
+    m = v.messages(s, d)
+    columns = ["msg_id", "sender", "text", "ts"]
+    kept = m.where(f"{_SLOT} % 97 <> 3").withColumn("text", F.when(F.expr(f"{_SLOT} % 89 = 5"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    more = m.where(f"{_SLOT} % 83 = 7").withColumn("msg_id", -1 - F.col("msg_id"))
+    return replica.differences(m.select(columns), kept.select(columns).unionAll(more.select(columns)), "msg_id", F.date_format("ts", "yyyy-MM"))
+
+
+_MICROS = "datediff({0}, date'1970-01-01') * 86400000000L + cast((hour({0}) * 3600 + minute({0}) * 60 + extract(SECOND FROM {0})) * 1000000 AS LONG)"
+
+
+@query(
+    "temporal_asof_many",
+    f"""WITH {v.STATUS}, {_SPANS} SELECT l_orderkey, l_linenumber, object, id FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+JOIN spans ON subject = o_custkey AND valid_from <= l_shipdate AND (valid_until IS NULL OR valid_until > l_shipdate)""",
+)
+def _(s, d):
+    held = graph.intervals(v.status_facts(s, d)).select(F.col("subject").alias("o_custkey"), "object", "id", F.expr(_MICROS.format("valid_from")).alias("since"), F.expr(_MICROS.format("valid_until")).alias("until"))
+    shipped = v.read(s, d, "lineitem").join(v.read(s, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    moments = shipped.select("o_custkey", "l_orderkey", "l_linenumber", F.expr(_MICROS.format("l_shipdate")).alias("at"))
+    return spans.as_of_many(moments, held, "o_custkey", "at", "since", "until").select("l_orderkey", "l_linenumber", "object", "id")
+
+
+# ---------------------------------------------------------------- reminders and briefs
+
+
+def _renamed(sql: str, name: str) -> str:
+    return f"{name} AS ({sql})"
+
+
+@query(
+    "reminders",
+    f"""WITH {_renamed(_BEHAVIOUR["drift_comprehensive"], "dr")}, {_renamed(_BEHAVIOUR["mood_entropy"], "en")}, sp AS (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 5)
+SELECT user_id, majority AS direction, drift, decisions, decisions >= CASE majority WHEN 'drift' THEN 30 ELSE 50 END AS formed, CASE WHEN entropy > 1.2 THEN 'quiet' WHEN coalesce(entropy, 0) < 0.5 THEN 'warm' ELSE 'even' END AS tone
+FROM dr JOIN sp USING (user_id) LEFT JOIN en USING (user_id) WHERE decisions >= 2 AND majority <> 'neutral'""",
+)
+def _(s, d):
+    return analytics.reminders(v.read(s, d, "events"), v.decisions(s, d), v.moods(s, d))
+
+
+@query(
+    "stage_briefs",
+    f"""WITH {v.DECISIONS}, g AS (SELECT user_id, stage, count(*) AS decisions, sum(drift)::BIGINT AS drift, count(*) FILTER (direction = 'frugal') AS a, count(*) FILTER (direction = 'spend') AS b, count(*) FILTER (direction = 'drift') AS c, count(*) FILTER (direction = 'neutral') AS e FROM decisions GROUP BY ALL),
+c3 AS (SELECT user_id, stage, scene, count(*) AS c FROM decisions GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, stage ORDER BY c DESC, scene) AS r FROM c3 QUALIFY r <= 3), t AS (SELECT user_id, stage, string_agg(scene, ',' ORDER BY r) AS scenes FROM n GROUP BY ALL),
+f AS (SELECT user_id, stage, event_id, row_number() OVER (PARTITION BY user_id, stage ORDER BY ts DESC, event_id DESC) AS r FROM decisions QUALIFY r <= 3), l AS (SELECT user_id, stage, string_agg(event_id::VARCHAR, ',' ORDER BY r) AS latest FROM f GROUP BY ALL)
+SELECT user_id, stage, coalesce(lag(stage) OVER (PARTITION BY user_id ORDER BY stage), -1)::INT AS before, decisions, drift, CASE greatest(a, b, c, e) WHEN a THEN 'frugal' WHEN b THEN 'spend' WHEN c THEN 'drift' ELSE 'neutral' END AS direction, scenes, latest
+FROM g JOIN t USING (user_id, stage) JOIN l USING (user_id, stage)""",
+)
+def _(s, d):
+    return analytics.briefs(v.decisions(s, d)).withColumn("before", F.coalesce("before", F.lit(-1)))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
 from ..operators import graph, memory, state
-from ..operators.retrieval import cosine
 from ..sources import readers
 from ..streaming.ingest import decorate
 from . import views as v
@@ -209,20 +208,23 @@ def _(s, d):
     return v.decisions(s, d).groupBy("user_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), F.date_format(F.max("ts"), readers.TS).alias("since"))
 
 
-@query(
-    "mem_leaders",
-    f"""WITH RECURSIVE {v.MEMORIES}, m AS (SELECT memory_id, type, embedding FROM memories WHERE type IN ('episodic', 'emotional')),
-p AS (SELECT a.memory_id AS a, b.memory_id AS b FROM m a JOIN m b USING (type) WHERE a.memory_id < b.memory_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.8),
+_LEADERS = f"""WITH RECURSIVE {v.MEMORIES}, m AS (SELECT memory_id, type, embedding FROM memories WHERE type IN ('episodic', 'emotional')),
+p AS (SELECT a.memory_id AS a, b.memory_id AS b FROM m a JOIN m b USING (type) WHERE a.memory_id < b.memory_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {{least}}),
 k AS (SELECT memory_id AS node, row_number() OVER (ORDER BY memory_id) AS k, coalesce(near, []) AS near FROM m LEFT JOIN (SELECT b, list(a) AS near FROM p GROUP BY b) ON b = memory_id),
 r(k, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT r.k + 1, CASE WHEN len(list_intersect(leaders, near)) = 0 THEN list_append(leaders, node) ELSE leaders END FROM r JOIN k ON k.k = r.k + 1),
 done AS (SELECT leaders FROM r ORDER BY k DESC LIMIT 1)
-SELECT node, CASE WHEN list_contains(leaders, node) THEN node ELSE list_min(list_intersect(near, leaders)) END AS leader FROM k, done""",
-)
+SELECT node, CASE WHEN list_contains(leaders, node) THEN node ELSE list_min(list_intersect(near, leaders)) END AS leader FROM k, done"""
+
+
+@query("mem_consolidate", _LEADERS.format(least=0.8))
+def _(s, d):
+    return memory.consolidate(v.memories(s, d).where("type in ('episodic', 'emotional')"))
+
+
+@query("mem_leaders", _LEADERS.format(least=0.3))
 def _(s, d):
-    m = v.memories(s, d).select("memory_id", "type", "embedding").where("type in ('episodic', 'emotional')")
-    a, b = m.select(F.col("memory_id").alias("a"), "type", F.col("embedding").alias("_x")), m.select(F.col("memory_id").alias("b"), "type", F.col("embedding").alias("_y"))
-    pairs = a.join(b, "type").where(F.col("a") < F.col("b")).where(cosine(F.col("_x"), F.col("_y")) >= 0.8).select("a", "b")
-    return memory.leaders(pairs, m.select(F.col("memory_id").alias("node")))
+    # the tables' vectors are far apart: at 0.3 some are similar, and leaders lead
+    return memory.consolidate(v.memories(s, d).where("type in ('episodic', 'emotional')"), 0.3)
 
 
 @query("words_of_stated", f"WITH {_SAID} SELECT msg_id, array_to_string({_WORDS_SQL}, ' ') AS tokens FROM said WHERE msg_id < 0")

@@ -47,13 +47,13 @@ IBAN_LENGTH = {
     }.items()
     for c in cs.split()
 }
-#: Where an IBAN may begin: a country and two digits.
-IBAN_START = re.compile(r"(?i)(?<![A-Z0-9])(" + "|".join(sorted(IBAN_LENGTH)) + r")[0-9]{2}(?=\x20?[A-Z0-9]{4})")
+#: The two digits after what may be an IBAN's country.
+IBAN_START = re.compile(r"[0-9](?<=[A-Za-z]{2}[0-9])[0-9](?=\x20?[A-Za-z0-9]{4})")
 #: What follows them, by the country's length: groups of four, each after a space or none.
 IBAN_REST = {n: re.compile(rf"(?i)(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Z0-9])") for n in set(IBAN_LENGTH.values())}
 DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{3,4}(?![0-9.])")
 #: A value of 16 to 512 characters that is set, and the name it is given to, which ends where the sign begins.
-VALUE = re.compile(r"(?:=>|:=|[=:]|\bis\b)\x20?[\"']?([A-Za-z0-9+/_.-]{16,512}+)={0,2}+(?![A-Za-z0-9+/_=-])")
+VALUE = re.compile(r"(?:[=:][>=]?\x20?|(?<=\x20)is\x20)[\"']?([A-Za-z0-9+/_.-]{16,512}+)={0,2}+(?![A-Za-z0-9+/_=-])")
 NAME = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\x20?$")
 #: Formats of keys that name themselves, web tokens, and what follows a bearer header.
 KEYS = re.compile(
@@ -61,6 +61,8 @@ KEYS = re.compile(
     r"|xox[abprs]-[A-Za-z0-9-]{10,255}+|sk_(?:live|test)_[A-Za-z0-9]{16,255}+|eyJ[A-Za-z0-9_-]{8,1024}+\.eyJ[A-Za-z0-9_-]{4,4096}+\.[A-Za-z0-9_-]{16,1024}+)(?![A-Za-z0-9_-])"
     r"|(?i:(?<=bearer ))[A-Za-z0-9+/_.-]{16,4096}+={0,2}+(?![A-Za-z0-9+/_=-])"
 )
+#: A text without any of these has none of them.
+KEY_SIGNS = ("_", "glpat-", "AKIA", "ASIA", "AIza", "xox", "eyJ", "earer ", "EARER ")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,16384}+-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----")
 #: Bits a character from which a value counts as random.
 RANDOM_BITS = 3.0
@@ -90,12 +92,14 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each IBAN: a known country, as many characters as its IBANs have, a passed mod-97. After a miss the search goes on within it."""
     done = 0
     for m in IBAN_START.finditer(text):
-        if m.start() < done:
+        start = m.start() - 2
+        size = IBAN_LENGTH.get(text[start : start + 2].upper())
+        if size is None or start < done or start and text[start - 1].isascii() and text[start - 1].isalnum():
             continue
-        rest = IBAN_REST[IBAN_LENGTH[m[1].upper()]].match(text, m.end())
-        if rest and mod97((m[0] + rest[0]).replace(" ", "")):
+        rest = IBAN_REST[size].match(text, m.end())
+        if rest and mod97(text[start : rest.end()].replace(" ", "")):
             done = rest.end()
-            yield m.start(), done
+            yield start, done
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -141,7 +145,8 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if luhn(_NOT_DIGIT.sub("", m[0])):
             found.append((m.start(), m.end(), "card", 1, True))
     found += [(m.start(), m.end(), "phone", 1, False) for m in LOCAL_PHONE.finditer(text)]
-    found += [(m.start(), m.end(), "secret", 2, True) for m in KEYS.finditer(text) if random_looking(m[0])]
+    if any(sign in text for sign in KEY_SIGNS):
+        found += [(m.start(), m.end(), "secret", 2, True) for m in KEYS.finditer(text) if random_looking(m[0])]
     if "PRIVATE KEY-----" in text:
         found += [(m.start(), m.end(), "secret", 2, True) for m in PEM.finditer(text)]
     for m in VALUE.finditer(text):

@@ -7,8 +7,8 @@ text's probabilities are the means of its windows', weighted by their bytes. Sin
 256 bytes at each place, a filter is a table of weights for each of its places, and a convolution
 is a sum of looked-up rows; for scoring, the tables of two neighbouring places are added up beforehand.
 
-Training (Adagrad on the cross-entropy; the gradient passes to each filter's winning place) takes at
-most ``TRAIN_DOCS`` labelled documents for each language and ``TRAIN_WINDOWS`` windows in all, chosen by
+Training (Adagrad on the cross-entropy; the gradient passes to each filter's winning place) takes about
+``TRAIN_DOCS`` labelled documents for each language at most, and at most ``TRAIN_WINDOWS`` windows in all, chosen by
 hashes; the bounds are parameters. It runs on the driver, on windows that tasks have cut; scoring
 passes over all texts in Arrow batches, without a shuffle. Language, source and id are never inputs.
 
@@ -22,6 +22,7 @@ at a time; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,11 +164,13 @@ def examples(docs: DataFrame, per_language: int = TRAIN_DOCS, most: int = TRAIN_
     Languages get equal shares of ``most``; a language's documents and their windows are chosen by hashes.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    languages = sorted(counts)
     share = max(1, most // max(1, len(languages)))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    # ids only; each task keeps its first ones before the shuffle
-    chosen = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= min(per_language, share)).select("doc_id", "lang").distinct()
+    # ids whose hash is below their language's share of rows, so no language's rows meet in one task
+    limits = [(x, min(1 << 30, math.ceil((1 << 30) * min(per_language, share) / n))) for x, n in counts.items()]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, _most long")
+    chosen = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < F.col("_most")).select("doc_id", "lang").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +182,7 @@ def examples(docs: DataFrame, per_language: int = TRAIN_DOCS, most: int = TRAIN_
                     langs = batch.column(0).slice(lo, hi - lo).take(pa.array(row[keep]))
                     yield pa.RecordBatch.from_arrays([langs, pa.array([x[i].tobytes() for i in keep], pa.binary())], ["lang", "w"])
 
-    # at most ``most`` ids, or one for each language
+    # about ``most`` ids, or one for each language
     made = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(cut, "lang string, w binary")
     by_hash = W.partitionBy("lang").orderBy(F.xxhash64("w", F.lit(SEED)), "w")
     got = made.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= share).select("lang", "w").collect()

@@ -290,8 +290,17 @@ def access(spark, path: str, wanted: DataFrame) -> DataFrame:
     """
     bounded_batches(spark)
     shards = spark.read.schema(SHARDS).parquet(path)
-    ends = F.expr("aggregate(lengths, array(0L), (s, n) -> concat(s, array(element_at(s, -1) + n)))")
-    index = shards.select("shard", F.posexplode("doc_ids").alias("_i", "_doc"), "lengths", ends.alias("_ends")).select("shard", "_doc", F.get("lengths", F.col("_i")).alias("_n"), F.get("_ends", F.col("_i")).alias("_at"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, n = batch.column(1)[k].values, batch.column(2)[k].values
+                at = pa.array(np.cumsum(n.to_numpy()) - n.to_numpy())
+                for lo in range(0, len(ids), 10_000):
+                    part = slice(lo, lo + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(ids[part])), ids[part], n[part], at[part]], ["shard", "_doc", "_n", "_at"])
+
+    index = shards.select("shard", "doc_ids", "lengths").mapInArrow(spread, "shard string, _doc long, _n long, _at long")
     asked = wanted.select("doc_id", "at").distinct()
     placed = asked.join(index, asked["doc_id"].eqNullSafe(index["_doc"])).where("at >= 0 and at < _n")
     places = placed.groupBy("shard").agg(F.collect_list(F.struct("doc_id", "at", (F.col("_at") + F.col("at")).alias("place"))).alias("places"))

@@ -167,3 +167,15 @@ def test_questions_to_the_files(spark, tmp_path, monkeypatch):
     # starts are those of one sum over all shards
     shards = [r for r in spark.read.parquet(path).select("shard", "n_tokens").orderBy("shard").collect()]
     assert {r.shard: r["_start"] for r in token_store.starts(spark.read.parquet(path)).collect()} == {r.shard: sum(x.n_tokens for x in shards[:i]) for i, r in enumerate(shards)}
+
+
+def test_a_token_of_a_shard_of_many_documents(spark, tmp_path):
+    """The work follows the shard's documents, not their square."""
+    path = str(tmp_path / "shards")
+    docs = spark.range(100_000).selectExpr("id as doc_id", "'w' as text").coalesce(1)
+    token_store.store(docs, path=path)
+    wanted = spark.createDataFrame([(99_999, 1), (5, 0), (5, 9)], "doc_id long, at long")
+    began = time.time()
+    got = {(r.doc_id, r.at): r.token for r in token_store.access(spark, path, wanted).collect()}
+    assert got[99_999, 1] == 2 and got[5, 0] == _tokenizer().encode("w", add_special_tokens=False).ids[0] and got[5, 9] is None
+    assert time.time() - began < 60

@@ -103,3 +103,11 @@ FACT_TWO = (
 )
 FACT_RELATION = "住在"
 ALIASES = {"我": "user", "本人": "user", "用户": "user", "我们": "user", "我的": "user"}
+
+# What a person says of themselves, by kind; the first group is what is kept.
+PERSONA = {
+    "角色": [r"我是(.+?)(?:[，。！\n]|$)", r"我做(.+?)(?:[，。！\n]|$)", r"I am (.+?)(?:[.,!?\n]|$)", r"I work as (.+?)(?:[.,!?\n]|$)"],
+    "工具": [r"(?:用|装|配|跑)(?:了|过)?\s*([A-Za-z][A-Za-z0-9._\-\s]{2,20})", r"(?:using?|running?|installed?)\s+([A-Za-z][A-Za-z0-9._\-]{2,20})"],
+    "偏好": [r"我(?:喜欢|偏好|习惯|爱)\s*(.{2,30})", r"我(?:不喜欢|讨厌|烦)\s*(.{2,30})", r"I (?:like|love|prefer|enjoy)\s+(.{2,60})", r"I (?:hate|dislike|don't like)\s+(.{2,60})"],
+    "决策": [r"(免费|不花钱|自己搞|省钱|性价比|开源)", r"(花钱|省事|付费|买|效率优先)", r"(free|open.source|diy|cheap|cost.effective)", r"(pay|buy|subscribe|premium)"],
+}

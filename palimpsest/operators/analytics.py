@@ -178,13 +178,13 @@ def persona_alerts(choices: DataFrame, personas: DataFrame) -> DataFrame:
     return found.groupBy("user_id").agg(F.sort_array(F.collect_list("x")).alias("_a")).select("user_id", F.inline(cooled))
 
 
-def persona(docs: DataFrame, patterns: dict[str, str], least: int = 2, most: int = 5) -> DataFrame:
-    """The most frequent finds of each category's pattern (its first group), trimmed, 2 to 30 characters."""
+def persona(docs: DataFrame, patterns: dict[str, str | list[str]], least: int = 2, most: int = 5) -> DataFrame:
+    """The most frequent finds of each category's patterns (their first group), trimmed, 2 to 30 characters."""
 
     def of(category: str, pattern: str) -> Column:
         return F.transform(text.matches(F.col("text"), pattern, 1), lambda x: F.struct(F.lit(category).alias("category"), F.lower(F.trim(x)).alias("hit")))
 
-    finds = F.flatten(F.array(*[of(c, p) for c, p in patterns.items()]))
+    finds = F.flatten(F.array(*[of(c, p) for c, ps in patterns.items() for p in ([ps] if isinstance(ps, str) else ps)]))
     g = docs.select(F.inline(finds)).where("length(hit) between 2 and 30").groupBy("category", "hit").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     w = W.partitionBy("category").orderBy(F.desc("n"), "hit")
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

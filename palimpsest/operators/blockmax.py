@@ -28,6 +28,8 @@ from .retrieval import top
 PASS_ROWS = 100_000
 #: Blocks of the largest bounds that set a query's first threshold.
 FIRST = 2
+#: Up to so many blocks (some 100,000 messages) all are scored at once: bounds and a first round would take longer than they save.
+FEW = 256
 K1, B = 1.2, 0.75
 _OUT = pa.schema([("query", pa.int32()), ("msg_id", pa.int64()), ("score", pa.float64()), ("hits", pa.int64())])
 _OUT_SQL = "query int, msg_id long, score double, hits long"
@@ -116,9 +118,12 @@ def _score(rows: DataFrame, plan: Plan, floor: np.ndarray, k: int | None) -> Dat
     return rows.groupBy("block").applyInArrow(lambda group: _block(plan, group, floor, k), _OUT_SQL)
 
 
-def _search(rows: DataFrame, plan: Plan, k: int, floor: float) -> DataFrame:
-    """The ``k`` best of (block, token, least, ids, values), in two rounds."""
+def _search(rows: DataFrame, plan: Plan, k: int, floor: float, few: bool) -> DataFrame:
+    """The ``k`` best of (block, token, least, ids, values), in two rounds, or in one over ``few`` blocks."""
     spark = rows.sparkSession
+    order = [F.desc("score"), F.asc("msg_id")]
+    if few:
+        return top(_score(rows, plan, np.full(len(plan.ids), floor), k), "query", order, k)
 
     def bound(group: pa.Table) -> pa.Table:
         p = plan
@@ -134,17 +139,20 @@ def _search(rows: DataFrame, plan: Plan, k: int, floor: float) -> DataFrame:
     bounds = checkpoint(rows.select("block", "token", "least").groupBy("block").applyInArrow(bound, "block long, query int, bound double"))
     least = np.full(len(plan.ids), floor)
     early = top(bounds, "query", [F.desc("bound"), "block"], FIRST).select("block").distinct()
-    first = top(_score(rows.join(early, "block", "left_semi"), plan, least, k), "query", [F.desc("score"), "msg_id"], k)
+    first = top(_score(rows.join(early, "block", "left_semi"), plan, least, k), "query", order, k)
     for r in first.where(F.col("rank") == k).select("query", "score").collect():  # a row for each query of the pass
         least[r["query"]] = max(floor, r["score"])
     limits = spark.createDataFrame([(i, float(x)) for i, x in enumerate(least)], "query int, _l double")
     chosen = bounds.join(F.broadcast(limits), "query").where(F.col("bound") + 10.0**-plan.places >= F.col("_l")).select("block").distinct()
-    return top(_score(rows.join(chosen, "block", "left_semi"), plan, least, k), "query", [F.desc("score"), "msg_id"], k)
+    return top(_score(rows.join(chosen, "block", "left_semi"), plan, least, k), "query", order, k)
 
 
 def _passes(asked: DataFrame, run: Callable[[list], DataFrame]) -> DataFrame:
     """``run`` over the rows (query_id, token) of each pass."""
-    n = -(-asked.count() // PASS_ROWS) or 1
+    some = asked.select("query_id", "token").distinct().limit(PASS_ROWS + 1).collect()
+    if len(some) <= PASS_ROWS:
+        return run(some)
+    n = -(-asked.count() // PASS_ROWS)
     dealt = F.pmod(F.xxhash64("query_id"), F.lit(n))
     return reduce(DataFrame.unionAll, [run(asked.where(dealt == i).select("query_id", "token").distinct().collect()) for i in range(n)])
 
@@ -193,7 +201,7 @@ def _run(index: Index | Snapshot, asked: DataFrame, k: int | None, weigh, finish
         if k is None:
             found = _score(lists, plan, np.full(len(plan.ids), floor), None).withColumn("rank", F.lit(None).cast("int"))
         else:
-            found = _search(lists, plan, k, floor)
+            found = _search(lists, plan, k, floor, index.most_blocks() <= FEW)
         return _named(found, plan, kind).select("query_id", "msg_id", "hits", "score", "rank")
 
     return _passes(asked, run)

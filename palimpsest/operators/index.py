@@ -116,6 +116,10 @@ class Snapshot:
         """(msg_id, dl) of messages with a token."""
         return self.ids(self.segments).where("dl > 0").select("msg_id", "dl")
 
+    def most_blocks(self) -> int:
+        """No more blocks than this, by the commit."""
+        return sum(s["blocks"] for s in self.segments)
+
     def totals(self) -> tuple[int, int]:
         """Messages with a token, and their tokens; known from the commit unless something is deleted."""
         segments = self.segments
@@ -262,5 +266,5 @@ class Index:
         rows.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{name}/postings")
         return {
             "name": name, "seq": seq, "level": level, "docs": sum(r["_n"] for r in size), "low": min(r["_low"] for r in size), "high": max(r["_high"] for r in size),
-            "held": sum(r["_n"] for r in size if r["_dl"]), "tokens": sum(r["_sum"] for r in size),
+            "held": sum(r["_n"] for r in size if r["_dl"]), "tokens": sum(r["_sum"] for r in size), "blocks": sum(pieces.values()),
         }

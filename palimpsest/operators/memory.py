@@ -15,6 +15,8 @@ from .retrieval import cosine
 DECAY_RATE = 0.05
 FLOOR = 0.01
 DEDUP, REINFORCE, OVERRIDE = 0.90, 0.85, 0.85
+#: Parts of a type whose lines are ordered apart before a budget is filled.
+PACK_PARTS = 256
 LABELS = {"procedural": "[rule]", "semantic": "[fact]", "episodic": "[event]", "emotional": "[mood]"}
 
 
@@ -136,6 +138,9 @@ def pack(memories: DataFrame, budget: int) -> DataFrame:
     label = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in LABELS.items()])
     order = F.coalesce(*[F.when(F.col("type") == k, F.lit(i)) for i, k in enumerate(kinds)])
     lines = memories.select("memory_id", "type", order.alias("bucket"), "weight", text.estimate_tokens(F.concat(label, F.lit(" "), F.col("content"))).alias("tokens"))
+    # a type is first cut in parts: what stands behind a part's first line beyond the budget stands behind it in the type too
+    part = W.partitionBy("bucket", F.pmod(F.xxhash64("memory_id"), F.lit(PACK_PARTS))).orderBy(F.desc("weight"), "memory_id")
+    lines = lines.withColumn("_before", F.sum("tokens").over(part) - F.col("tokens")).where(F.col("_before") <= budget).drop("_before")
     w = W.partitionBy("bucket").orderBy(F.desc("weight"), "memory_id")
     run = lines.withColumn("running", F.sum("tokens").over(w)).where(F.col("running") <= budget)  # what can't fit alone can't fit at all
     kept, left = None, run.sparkSession.range(1).select(F.lit(budget).alias("left"))

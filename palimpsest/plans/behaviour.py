@@ -167,9 +167,13 @@ def _(s, d):
     return m.join(b, "memory_id").select("memory_id", F.round(memory.char_jaccard(F.col("content"), F.col("_c")), 6).alias("similarity"))
 
 
-@query("mem_reclassify", f"WITH {v.MESSAGES}, m AS (SELECT msg_id AS memory_id, regexp_replace(text, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}月\\d{{1,2}}日)\\s*', '') AS content FROM messages) SELECT content, count(*) AS n, min(memory_id) AS first_id FROM m GROUP BY content HAVING count(*) >= 3")
+_DATED = "CASE doc_id % 3 WHEN 0 THEN '2024-03-01 ' || text WHEN 1 THEN '3月1日' || text ELSE text END"
+
+
+@query("mem_reclassify", f"WITH m AS (SELECT doc_id AS memory_id, regexp_replace({_DATED}, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}月\\d{{1,2}}日)\\s*', '') AS content FROM documents) SELECT content, count(*) AS n, min(memory_id) AS first_id FROM m GROUP BY content HAVING count(*) >= 3")
 def _(s, d):
-    m = v.messages(s, d).select(F.col("msg_id").alias("memory_id"), F.lit("episodic").alias("type"), F.col("text").alias("content"))
+    # events as documents tell them, some with a date before
+    m = v.read(s, d, "documents").select(F.col("doc_id").alias("memory_id"), F.lit("episodic").alias("type"), F.expr(_DATED).alias("content"))
     return memory.reclassify(m)
 
 
@@ -475,7 +479,11 @@ def _(s, d):
     return r.select(F.coalesce(F.col("stage").cast("string"), F.lit("all")).alias("stage"), F.coalesce("scene", F.lit("all")).alias("scene"), "n", "drift")
 
 
-@query("task_triggers", "WITH t AS (SELECT * FROM (VALUES (1, 'review budget', 'Budget friday', 'pending'), (2, 'call', 'monday', 'done'), (3, 'renew', 'budget', 'pending')) t(seq, task, trigger, status)) SELECT substring(md5(task || trigger), 1, 8) AS id, task FROM t WHERE status = 'pending' AND contains(lower(trigger), 'budget')")
+_TASK = "SELECT o_orderkey AS seq, 'order ' || o_orderkey AS task, o_orderpriority AS trigger, CASE o_orderstatus WHEN 'O' THEN 'pending' ELSE 'done' END AS status FROM orders"
+
+
+@query("task_triggers", f"WITH t AS ({_TASK}) SELECT substring(md5(task || trigger), 1, 8) AS id, task FROM t WHERE status = 'pending' AND contains(lower(trigger), 'urgent')")
 def _(s, d):
-    t = s.createDataFrame([(1, "review budget", "Budget friday", "pending"), (2, "call", "monday", "done"), (3, "renew", "budget", "pending")], "seq int, task string, trigger string, status string")
-    return t.where((F.col("status") == "pending") & F.contains(F.lower("trigger"), F.lit("budget"))).select(F.substring(F.md5(F.concat("task", "trigger")), 1, 8).alias("id"), "task")
+    pending = F.when(F.col("o_orderstatus") == "O", "pending").otherwise("done")
+    t = v.read(s, d, "orders").select(F.concat(F.lit("order "), "o_orderkey").alias("task"), F.col("o_orderpriority").alias("trigger"), pending.alias("status"))
+    return t.where((F.col("status") == "pending") & F.contains(F.lower("trigger"), F.lit("urgent"))).select(F.substring(F.md5(F.concat("task", "trigger")), 1, 8).alias("id"), "task")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analytics, graph, log, memory, retrieval, state
 from ..operators.blocks import against
+from . import said
 from . import views as v
 from .behaviour import _STAMP
 from .catalog import _ASKED_SQL, _WORDS_SQL, asked
@@ -16,6 +17,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: The SQL of a query over all messages and the stated ones, over the messages alone.
+_OVER = lambda name: said.SQL[name].replace("FROM said", "FROM messages")
+
+
 def query(name: str, sql: str | None):
     def add(f):
         QUERIES[name] = f
@@ -64,17 +69,17 @@ def _(s, d):
     return v.messages(s, d).select("msg_id", text.choice_chain(F.col("text")).alias("c")).select("msg_id", F.size("c").alias("n"), text.chain_summary(F.col("c")).alias("summary"))
 
 
-@query("message_facts", None)
+@query("message_facts", _OVER("said_facts"))
 def _(s, d):
     return v.messages(s, d).select("msg_id", F.inline(text.facts(F.col("text"))))
 
 
-@query("relation_triples", None)
+@query("relation_triples", _OVER("said_triples"))
 def _(s, d):
     return graph.extract(v.messages(s, d))
 
 
-@query("decision_filter", None)
+@query("decision_filter", _OVER("said_decisions"))
 def _(s, d):
     return v.messages(s, d).select("msg_id", text.is_decision(F.col("text")).alias("is_decision"))
 

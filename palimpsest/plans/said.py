@@ -157,14 +157,18 @@ def _(s, d):
     return v.corpus(s, d).select("msg_id", text.line_hash(F.col("text")).alias("hash"))
 
 
-_PHRASES = ("大概3年前去过", "最近2年的账", "前年夏天", "去年 or last year", "this year", "no time at all", "大概12年前")
 _YEARS = r"""CASE WHEN regexp_extract(p, '大概(\d{1,2})年前', 1) <> '' THEN range(2024 - regexp_extract(p, '大概(\d{1,2})年前', 1)::INT - 1, 2024 - regexp_extract(p, '大概(\d{1,2})年前', 1)::INT + 2)
  WHEN regexp_extract(p, '最近(\d{1,2})年', 1) <> '' THEN range(2024 - regexp_extract(p, '最近(\d{1,2})年', 1)::INT, 2025) WHEN contains(p, '前年') THEN [2022] WHEN regexp_matches(p, '去年|last year') THEN [2023] WHEN regexp_matches(p, '今年|this year') THEN [2024] ELSE [] END"""
 
 
-@query("years_of_phrases", f"SELECT p AS phrase, array_to_string({_YEARS}, ' ') AS years FROM (VALUES {', '.join(f'({_q(p)})' for p in _PHRASES)}) t(p)")
+_PHRASE = "CASE {key} % 7 WHEN 0 THEN {ago} WHEN 1 THEN {last} WHEN 2 THEN '前年夏天' WHEN 3 THEN '去年 or last year' WHEN 4 THEN 'this year' WHEN 5 THEN '今年' ELSE o_orderpriority END"
+
+
+@query("years_of_phrases", f"WITH t AS (SELECT o_orderkey, {_PHRASE.format(key='o_orderkey', ago="'大概' || (o_custkey % 30 + 1) || '年前去过'", last="'最近' || (o_custkey % 12 + 1) || '年的账'")} AS p FROM orders) SELECT o_orderkey, p AS phrase, array_to_string({_YEARS}, ' ') AS years FROM t")
 def _(s, d):
-    return s.createDataFrame([(p,) for p in _PHRASES], "phrase string").select("phrase", F.array_join(F.transform(text.years(F.col("phrase"), 2024), lambda y: y.cast("string")), " ").alias("years"))
+    phrase = F.expr(_PHRASE.format(key="o_orderkey", ago="concat('大概', o_custkey % 30 + 1, '年前去过')", last="concat('最近', o_custkey % 12 + 1, '年的账')"))
+    t = v.read(s, d, "orders").select("o_orderkey", phrase.alias("phrase"))
+    return t.select("o_orderkey", "phrase", F.array_join(F.transform(text.years(F.col("phrase"), 2024), lambda y: y.cast("string")), " ").alias("years"))
 
 
 @query("md_sections", f"WITH {v.CORPUS}, m AS (SELECT msg_id, '# log' || chr(10) || '## First' || chr(10) || text || chr(10) || '## Second part' || chr(10) || lang || chr(10) AS t FROM corpus) SELECT msg_id, md5(trim(regexp_extract(t, '(?s)(?:^|\\n)## First[^\\n]*\\n(.*?)(?:\\n## |\\z)', 1))) AS first, trim(lang) AS second FROM m JOIN corpus USING (msg_id)")
@@ -227,6 +231,6 @@ def _(s, d):
     return memory.consolidate(v.memories(s, d).where("type in ('episodic', 'emotional')"), 0.3)
 
 
-@query("words_of_stated", f"WITH {_SAID} SELECT msg_id, array_to_string({_WORDS_SQL}, ' ') AS tokens FROM said WHERE msg_id < 0")
+@query("words_of_stated", f"WITH {_SAID} SELECT msg_id, array_to_string({_WORDS_SQL}, ' ') AS tokens FROM said")
 def _(s, d):
-    return said(s, d).where("msg_id < 0").select("msg_id", F.array_join(text.words(F.col("text")), " ").alias("tokens"))
+    return said(s, d).select("msg_id", F.array_join(text.words(F.col("text")), " ").alias("tokens"))

@@ -12,12 +12,14 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text
-from .operators import analytics, blockmax, graph, log, memory, retrieval, sketches, state
+from .functions import lexicon, text
+from .operators import analytics, blockmax, graph, log, memory, replica, retrieval, sketches, state
+from .operators.folded import Folded, latest_rows
 from .operators.index import Index
 from .sources import readers
 from .sources.commits import Commits
@@ -32,7 +34,8 @@ SCHEMAS = {
     "memories": "ts timestamp_ntz, content string, type string",
     "tasks": "seq long, task string, trigger string, note string, status string",
     "personas": "version int, entry string",
-    "rules": "pos int, rule string",
+    "rules": "version long, pos int, rule string",
+    "retrievals": "msg_id long, ts timestamp_ntz",
     "rule_uses": "rule string",
 }
 
@@ -145,7 +148,10 @@ class Engine:
             "memories": user.select("ts", F.substring("text", 1, 300).alias("content"), text.memory_type(c).alias("type")),
             "triples": self._new_triples(graph.extract(user, "user").join(user.select("msg_id", "ts"), "msg_id").withColumnRenamed("msg_id", "source_id")),
         }
-        return kept.count() if self.append(tables, key) else 0
+        if not self.append(tables, key):
+            return 0
+        self.index().update(kept)
+        return kept.count()
 
     def import_(self, path: str, kind: str) -> int:
         """Imports a log or chat export; messages that are there already (sender and text) are skipped."""
@@ -154,11 +160,23 @@ class Engine:
         new = new.withColumn("ts", F.coalesce("ts", stamp) if "ts" in new.columns else stamp).select("ts", "sender", "text").where("text is not null")
         numbered = self._numbered("messages", "msg_id", log.merge_new(self.table("messages"), new, ["sender", "text"]))
         self.append({"messages": numbered})
+        self.index().update(numbered)
         return numbered.count()
 
     def export(self, path: str, month: str | None = None) -> None:
         readers.export_text(self.table("messages"), path, month)
 
+    def _vectors(self) -> Folded:
+        return Folded(self.spark, f"{self.base}/vectors", "msg_id long, seq long, embedding array<float>", latest_rows("msg_id", ["seq"]))
+
+    def vectors_put(self, rows: DataFrame) -> None:
+        """Adds embeddings (msg_id, embedding), each in place of the one that its message had."""
+        self._vectors().add(rows.select(F.col("msg_id").cast("long").alias("msg_id"), F.lit(self.reserve("vectors")).cast("long").alias("seq"), F.col("embedding").cast("array<float>").alias("embedding")))
+
+    def vectors(self) -> DataFrame:
+        """(msg_id, embedding): the latest of each message."""
+        return self._vectors().read().select("msg_id", "embedding")
+
     def fact_feedback(self, msg_id: int, helpful: bool) -> None:
         self.append({"feedback": self._rows("feedback", [(msg_id, self.reserve("feedback"), helpful)])})
 
@@ -184,10 +202,12 @@ class Engine:
         return log.recent(self.table("messages"), n)
 
     def index(self) -> Index:
-        """The stored postings, with all messages that were written so far."""
-        index = Index(self.spark, f"{self.base}/index")
-        index.update(self.table("messages"))
-        return index
+        """The stored postings; writers bring them up to date, readers take them as they are."""
+        return Index(self.spark, f"{self.base}/index")
+
+    def sync_index(self) -> int:
+        """Indexes all messages that aren't yet, such as those of a writer that ended before it could; returns how many."""
+        return self.index().update(self.table("messages"))
 
     def _routes(self, query: str, k: int, index: Index) -> DataFrame:
         """(query_id, msg_id, route, rank) of the routes: all tokens, most tokens, TF-IDF, and named things by trust."""
@@ -209,13 +229,19 @@ class Engine:
             out = out.unionAll(ranked(x, n))
         return retrieval.route(out)
 
-    def search(self, query: str, k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
+    def search(self, query: str, k: int = 10, vectors: DataFrame | None = None, routes: list[Callable[[Engine, str, int], DataFrame]] = ()) -> DataFrame:
         """Hybrid search over the stored postings: the first route that finds a message wins, ranked by density times trust and by fingerprints.
 
-        ``vectors`` (msg_id, vector_score) moves what it holds to the front. Where no route finds anything, texts are scanned.
+        ``vectors`` (msg_id, vector_score) moves what it holds to the front. ``routes`` are a caller's own, called with
+        the engine, the query and how many are wanted; each returns (msg_id, rank) and comes after the built-in
+        ones, in the order given. Where no route finds anything, texts are scanned.
         """
         m = self.table("messages")
-        hits = checkpoint(self._routes(query, k, self.index()).withColumnRenamed("rank", "route_rank"))  # a few rows
+        found = self._routes(query, k, self.index())
+        for n, own in enumerate(routes, 10):
+            more = own(self, query, 3 * k).select(F.lit(1).alias("query_id"), F.col("msg_id").cast("long"), F.lit(n).alias("route"), F.col("rank").cast("int"))
+            found = retrieval.route(found.select("query_id", "msg_id", "route", "rank").unionAll(more.where(F.col("rank") <= 3 * k)))
+        hits = checkpoint(found.withColumnRenamed("rank", "route_rank"))  # a few rows
         found = hits.join(m, "msg_id")
         if not hits.limit(1).count():
             found = log.substring_scan(m, query).select("msg_id", F.lit(1).alias("query_id"), F.lit(6).alias("route"), F.lit(1).alias("route_rank"), "ts", "sender", "text")
@@ -225,6 +251,15 @@ class Engine:
             out = retrieval.promote(out, vectors).drop("rank", "vector_score").withColumnRenamed("new_rank", "rank")
         return out.where(F.col("rank") <= k).select("rank", "msg_id", "ts", "sender", "text", "density", "trust", "score").orderBy("rank")
 
+    def bump(self, found: DataFrame) -> None:
+        """Counts one more retrieval of each message of a search's result."""
+        stamp = F.lit(self.clock().replace(microsecond=0).isoformat(" ")).cast("timestamp_ntz")
+        self.append({"retrievals": found.select("msg_id", stamp.alias("ts"))})
+
+    def retrievals(self) -> DataFrame:
+        """(msg_id, n): how often each message was retrieved."""
+        return self.table("retrievals").groupBy("msg_id").agg(F.count("*").alias("n"))
+
     def semantic(self, query: str, k: int = 10) -> DataFrame:
         """TF-IDF cosine over the stored postings."""
         index = self.index()
@@ -271,15 +306,69 @@ class Engine:
         p = self.table("personas")
         return p.where(F.col("version") == p.agg(F.max("version")).first()[0])
 
+    def persona_build(self, last: int = 500, patterns: dict[str, list[str]] | None = None) -> int:
+        """Writes a new version of the persona from what the ``last`` messages say of the speaker; returns the version."""
+        found = analytics.persona(log.recent(self.table("messages"), last), patterns or lexicon.PERSONA)
+        version = self.reserve("personas")
+        self.append({"personas": found.select(F.lit(version).cast("int").alias("version"), F.concat_ws(": ", "category", "hit").alias("entry"))})
+        now, n = self.clock().isoformat(), self.table("messages").count()
+        self.commits.change(lambda held: {**held, "persona": {"version": version, "at": now, "messages": n}})
+        return version
+
+    def persona_maintain(self, least: int = 80, hours: int = 24, wild: float = 50.0) -> bool:
+        """Rebuilds the persona if ``least`` messages have come since, ``hours`` have passed, and the drift of decisions deviates by less than ``wild``."""
+        last = self.commits.latest()[1].get("persona")
+        fresh = self.table("messages").count() - (last["messages"] if last else 0)
+        if fresh < least or last and self.clock() - dt.datetime.fromisoformat(last["at"]) < dt.timedelta(hours=hours):
+            return False
+        spread = analytics.stability(self.table("decisions").withColumn("user_id", F.lit("user")), ["user_id"]).first()
+        if spread is not None and spread["deviation"] >= wild:
+            return False
+        self.persona_build()
+        return True
+
     def memory_stats(self) -> DataFrame:
         return self.table("memories").groupBy("type").agg(F.count("*").alias("n"))
 
+    def rules_set(self, rules: list[str]) -> None:
+        """Replaces the rules: at most five, of at most 200 characters."""
+        version = self.reserve("rules")
+        self.append({"rules": self._rows("rules", [(version, i, r.strip()[:200]) for i, r in enumerate([r for r in rules if r.strip()][:5])])})
+
+    def _rules(self) -> DataFrame:
+        held = self.table("rules")
+        return held.where(F.col("version") == held.agg(F.max("version")).first()[0]).select("pos", "rule")
+
+    def rule_used(self, words: str) -> None:
+        """Counts a use of each rule that holds the words or is held by them."""
+        rule, said = F.lower("rule"), F.lit(words.strip().lower())
+        self.append({"rule_uses": self._rules().where((said != "") & (F.contains(rule, said) | F.contains(said, rule))).select("rule")})
+
     def rules(self, n: int = 5) -> DataFrame:
-        return state.rank_rules(self.table("rules"), self.table("rule_uses"), n)
+        return state.rank_rules(self._rules(), self.table("rule_uses"), n)
 
     def health(self) -> DataFrame:
         return state.health({name: self.table(name) for name in SCHEMAS})
 
+    def watch(self, copy: Engine | None = None) -> list[dict]:
+        """What is wrong, and where: tables that have shrunk below the most rows ever seen, messages without postings, and tables in which a copy differs, by how many leaves of the digests."""
+        counts = {name: self.table(name).count() for name in SCHEMAS}
+        seen = self.commits.latest()[1].get("seen", {})
+        out = [{"table": name, "alarm": "shrunk", "rows": n} for name, n in replica.shrunk(counts, seen).items()]
+        self.commits.change(lambda held: {**held, "seen": {name: max(n, held.get("seen", {}).get(name, 0)) for name, n in counts.items()}})
+        held = self.index().snapshot()
+        bare = self.table("messages").select("msg_id").join(held.ids(held.segments).select("msg_id"), "msg_id", "left_anti").count()
+        if bare:
+            out.append({"table": "messages", "alarm": "not indexed", "rows": bare})
+        if copy is not None:
+            for name, schema in SCHEMAS.items():
+                key = schema.split()[0]
+                month = F.date_format("ts", "yyyy-MM") if " ts " in f" {schema}".replace(",", " ") else F.lit("")
+                apart = replica.leaves_apart(*(replica.digest(x.table(name), key, month) for x in (self, copy))).count()
+                if apart:
+                    out.append({"table": name, "alarm": "differs", "rows": apart})
+        return out
+
     # ---- nightly and exchange
 
     def nightly(self, memories: DataFrame, now: str) -> DataFrame:
@@ -371,10 +460,10 @@ class Engine:
 
     READERS = (
         "recent", "search", "semantic", "dejavu", "thread", "thread_graph", "thread_weave", "thread_stats", "tasks", "offset", "chart", "mood_entropy",
-        "memory_stats", "rules", "health", "facts_as_of", "persona", "ping", "echo", "dream", "migrate", "fact_store",
+        "memory_stats", "rules", "retrievals", "health", "facts_as_of", "persona", "ping", "echo", "dream", "migrate", "fact_store",
     )
     #: Tools that write, and name what they have done.
-    WRITERS = ("import_", "export", "soul_export", "soul_merge", "fact_feedback", "task_defer", "task_done")
+    WRITERS = ("import_", "export", "soul_export", "soul_merge", "fact_feedback", "task_defer", "task_done", "sync_index", "persona_build", "persona_maintain", "rules_set", "rule_used", "watch")
     #: Tools whose rows come in an order of their own.
     ORDERED = ("recent", "search", "semantic", "dream", "rules")
     TOOLS = READERS + WRITERS + ("thread_add",)

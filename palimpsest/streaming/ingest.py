@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
+from ..operators.folded import Folded, sums
 from ..operators.index import Index
 
 
@@ -74,7 +75,7 @@ def evicting_buffer(stream: DataFrame, size: int = 5) -> DataFrame:
 
 
 def keep_index(stream: DataFrame, index: Index, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Brings the stored postings up to date with each micro-batch of (msg_id, text); ids have to grow from batch to batch."""
+    """Brings the stored postings up to date with each micro-batch of (msg_id, text), in whatever order ids come; a batch that is repeated changes nothing."""
     writer = stream.writeStream.foreachBatch(lambda batch, _: index.update(batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
@@ -85,22 +86,28 @@ def replica(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+PHANTOMS = "token string, born timestamp_ntz, last_seen timestamp_ntz, sightings long, first struct<msg_id:long,snippet:string>"
+
+
+def _sightings(spark: SparkSession, path: str) -> Folded:
+    return Folded(spark, path, PHANTOMS, sums("token", born="min", last_seen="max", sightings="sum", first="min"))
+
+
 def keep_phantoms(stream: DataFrame, path: str, checkpoint: str, tokens=text.fts_tokens, once: bool = False) -> StreamingQuery:
-    """Adds each micro-batch's sightings per token, as partial sums in a folder of the batch's id; ``phantoms`` merges them."""
+    """Adds each micro-batch's sightings per token, as partial sums that are folded by levels; ``phantoms`` reads them."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.select("msg_id", "ts", F.substring("text", 1, 80).alias("snippet"), F.explode(tokens(F.col("text"))).alias("token"))
-        part = seen.groupBy("token").agg(F.min("ts").alias("born"), F.max("ts").alias("last_seen"), F.count("*").alias("sightings"), F.min(F.struct("msg_id", "snippet")).alias("first"))
-        part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        seen = batch.select(F.col("msg_id").cast("long").alias("msg_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.substring("text", 1, 80).alias("snippet"), F.explode(tokens(F.col("text"))).alias("token"))
+        rows = seen.select("token", F.col("ts").alias("born"), F.col("ts").alias("last_seen"), F.lit(1).cast("long").alias("sightings"), F.struct("msg_id", "snippet").alias("first"))
+        _sightings(batch.sparkSession, path).add(rows, batch_id)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def phantoms(spark: SparkSession, path: str) -> DataFrame:
-    """(token, born, last_seen, sightings, snippet) over all batches so far."""
-    parts = spark.read.parquet(path)
-    return parts.groupBy("token").agg(F.min("born").alias("born"), F.max("last_seen").alias("last_seen"), F.sum("sightings").alias("sightings"), F.min("first")["snippet"].alias("snippet"))
+    """(token, born, last_seen, sightings, snippet) over all batches so far; only the folders that are not folded yet are added up."""
+    return _sightings(spark, path).read().select("token", "born", "last_seen", "sightings", F.col("first.snippet").alias("snippet"))
 
 
 FIRED = "key string, n long, ts timestamp"

@@ -149,6 +149,7 @@ def test_top_k_equals_plain_scoring(spark, tmp_path, monkeypatch, kind, block, n
     monkeypatch.setattr(index, "NAMED", named)
     monkeypatch.setattr(blockmax, "TILE", tile)
     monkeypatch.setattr(blockmax, "PASS_ROWS", 20)
+    monkeypatch.setattr(blockmax, "FEW", 0 if kind != "count" else 256)
     rows = words(300, seed=5)
     x = Index(spark, str(tmp_path))
     for b in range(2):
@@ -181,6 +182,7 @@ def test_a_search_reads_the_row_groups_of_its_tokens(spark, tmp_path, monkeypatc
 def test_blocks_are_skipped_by_their_bounds(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "BLOCK_DOCS", 4)
     monkeypatch.setattr(blockmax, "FIRST", 6)
+    monkeypatch.setattr(blockmax, "FEW", 0)
     rows = [(k, "common " + " ".join(f"f{k}y{j}" for j in range(k % 40))) for k in range(400)] + [(1000 + k, "common rare") for k in range(12)]
     x = Index(spark, str(tmp_path))
     x.update(frame(spark, rows))
@@ -203,18 +205,19 @@ def test_commits_are_exclusive_and_kept_short(spark, tmp_path):
     assert a.change(lambda s: None) == {"x": 61}
 
 
-def test_two_writers_lose_and_double_nothing(spark, tmp_path):
+def test_two_writers_lose_and_double_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Engine, "FANOUT", 3)
     one, two = (Engine(spark, str(tmp_path), clock=lambda: dt.datetime(2024, 5, 1)) for _ in range(2))
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(4) as pool:
-        jobs = [pool.submit((one if k % 2 else two).record, [("user", f"message {k} number one"), ("user", f"message {k} number two")]) for k in range(10)]
-        assert [j.result() for j in jobs] == [2] * 10
+        jobs = [pool.submit((one if k % 2 else two).record, [("user", f"message {k} number one"), ("user", f"message {k} number two")]) for k in range(5)]
+        assert [j.result() for j in jobs] == [2] * 5
     rows = one.table("messages").collect()
-    assert len({r.msg_id for r in rows}) == len(rows) == 20
-    assert {r.text for r in rows} == {f"message {k} number {n}" for k in range(10) for n in ("one", "two")}
-    assert one.table("memories").count() == 20
-    assert len(one.commits.latest()[1]["tables"]["messages"]) < 8  # merged
+    assert len({r.msg_id for r in rows}) == len(rows) == 10
+    assert {r.text for r in rows} == {f"message {k} number {n}" for k in range(5) for n in ("one", "two")}
+    assert one.table("memories").count() == 10
+    assert len(one.commits.latest()[1]["tables"]["messages"]) < 4  # merged
 
 
 def test_a_batch_with_a_key_counts_once(spark, tmp_path):
@@ -237,3 +240,36 @@ def test_late_messages_of_a_conversation_are_found(spark, tmp_path):
     x.update(frame(spark, [(key(1, 1), "gamma")]))
     assert [r.msg_id for r in x.postings().where(F.col("token") == "gamma").collect()] == [key(1, 1)]
     assert json.dumps(x.segments())
+
+
+# ---------------------------------------------------------------- folded tables
+
+
+def test_folded_tables_equal_a_full_fold(spark, tmp_path):
+    from palimpsest.operators import folded
+    from palimpsest.operators.state import latest
+
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 20), i, rng.choice([None, "a", "b"])) for i in range(120)]
+    schema = "k long, seq long, v string"
+    last = folded.Folded(spark, str(tmp_path / "a"), schema, folded.latest_rows("k", ["seq"]))
+    total = folded.Folded(spark, str(tmp_path / "b"), "k long, n long, low string, high long", folded.sums("k", n="sum", low="min", high="max"))
+    for b in range(6):
+        part = spark.createDataFrame(rows[20 * b : 20 * b + 20], schema)
+        assert last.add(part, b) and not last.add(part, b)
+        assert total.add(part.select("k", F.lit(1).cast("long").alias("n"), F.col("v").alias("low"), F.col("seq").alias("high")), b)
+    every = spark.createDataFrame(rows, schema)
+    assert sorted(map(str, last.read().collect())) == sorted(map(str, latest(every, "k", ["seq"]).collect()))
+    want = every.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("seq").alias("high"))
+    assert sorted(map(str, total.read().collect())) == sorted(map(str, want.collect()))
+    assert [f["level"] for f in last.folders()] in ([1, 0, 0], [0, 0, 1])  # reads touch the folded part and the open ones
+    last.compact(everything=True)
+    assert len(last.folders()) == 1 and last.read().count() == every.select("k").distinct().count()
+    assert folded.Folded(spark, str(tmp_path / "c"), schema, folded.latest_rows("k", ["seq"])).read().count() == 0
+
+
+def test_vectors_replace_what_a_message_had(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.vectors_put(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "msg_id long, embedding array<float>"))
+    e.vectors_put(spark.createDataFrame([(2, [0.5, 0.5])], "msg_id long, embedding array<float>"))
+    assert {r.msg_id: r.embedding for r in e.vectors().collect()} == {1: [1.0, 0.0], 2: [0.5, 0.5]}

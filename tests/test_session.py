@@ -96,3 +96,52 @@ def test_prefetch_and_sync(engine):
     assert engine.sync("the walrus swims at noon", "建议看看 walrus 的图") == 2
     assert engine.table("messages").count() == n + 2
     assert "walrus" in engine.prefetch("walrus").splitlines()[0]
+
+
+def test_a_callers_own_route(engine, spark):
+    """It finds what the built-in ones don't, and comes after them."""
+    target = engine.table("messages").where("text like '%walrus swims%'").first().msg_id
+    own = lambda e, query, k: e.table("messages").where("text like '%walrus swims%'").selectExpr("msg_id", "1 AS rank")
+    assert engine.search("parrot sleeps", k=20).where(f"msg_id = {target}").count() == 0
+    found = engine.search("parrot sleeps", k=20, routes=[own]).collect()
+    assert target in {r.msg_id for r in found} and "parrot" in found[0].text
+    engine.bump(engine.search("parrot sleeps", k=1))
+    engine.bump(engine.search("parrot sleeps", k=1))
+    assert [r.n for r in engine.retrievals().collect()] == [2]
+
+
+def test_persona_and_rules_are_written(spark, tmp_path):
+    now = [dt.datetime(2024, 5, 1)]
+    e = Engine(spark, str(tmp_path), clock=lambda: now[0])
+    assert e.rules().count() == 0 and e.persona().count() == 0
+    e.record([("user", t) for t in ("I like dark tea, really", "I like dark tea, really", "I am a baker.", "I am a baker.", "running spark today")])
+    assert not e.persona_maintain()
+    assert e.persona_maintain(least=5) and not e.persona_maintain(least=0)  # a day has to pass
+    assert {r.entry for r in e.persona().collect()} == {"偏好: dark tea, really", "角色: a baker"}
+    e.record([("user", "I am a sailor."), ("user", "I am a sailor.")])
+    now[0] = dt.datetime(2024, 5, 3)
+    assert e.persona_maintain(least=2) and "角色: a sailor" in {r.entry for r in e.persona().collect()}
+    assert {r.version for r in e.persona().collect()} == {2}
+    e.rules_set(["test first", "be brief", " ", "x" * 300])
+    e.rule_used("Be brief, please")
+    assert [r.rule for r in e.rules().collect()] == ["be brief", "test first", "x" * 200]
+    e.rules_set(["only one"])
+    assert [r.rule for r in e.rules().collect()] == ["only one"]
+
+
+def test_watch_tells_what_is_wrong(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "a"))
+    e.record([("user", f"message number {i}") for i in range(30)])
+    assert e.watch() == []
+    e.migrate(str(tmp_path / "b"))
+    copy = Engine(spark, str(tmp_path / "b"))
+    assert e.watch(copy) == []
+    copy.record([("user", "hi sky")])
+    assert {x["table"] for x in e.watch(copy) if x["alarm"] == "differs"} == {"messages", "memories"}
+    part = e.table("messages").where("msg_id <= 10")
+    part.write.parquet(str(tmp_path / "a/messages/short"))
+    e.commits.change(lambda s: {**s, "tables": {**s["tables"], "messages": [{"path": "messages/short", "level": 0}]}})
+    assert {"table": "messages", "alarm": "shrunk", "rows": 20} in e.watch()
+    e.append({"messages": spark.createDataFrame([(99, None, "user", "never indexed")], "msg_id long, ts timestamp_ntz, sender string, text string")})
+    assert {"table": "messages", "alarm": "not indexed", "rows": 1} in e.watch()
+    assert e.sync_index() == 1 and not [x for x in e.watch() if x["alarm"] == "not indexed"]

@@ -32,6 +32,8 @@ from ..sources.shared import checkpoint
 
 BLOCK_DOCS, BLOCK_POSTINGS = 1024, 1 << 19
 FANOUT = 4
+#: Of the files and commits; part of the name of folders that outlive a session.
+FORMAT = 2
 BLOCKS = "token string, block long, n long, least int, ids array<long>, lengths array<int>"
 LENGTHS = "msg_id long, dl long, block long"
 NORMS = "block long, least double, ids array<long>, norms array<double>"

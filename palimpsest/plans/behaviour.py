@@ -167,10 +167,16 @@ def _(s, d):
     return m.join(b, "memory_id").select("memory_id", F.round(memory.char_jaccard(F.col("content"), F.col("_c")), 6).alias("similarity"))
 
 
+@query("mem_reclassify", f"WITH {v.MESSAGES}, m AS (SELECT msg_id AS memory_id, regexp_replace(text, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}月\\d{{1,2}}日)\\s*', '') AS content FROM messages) SELECT content, count(*) AS n, min(memory_id) AS first_id FROM m GROUP BY content HAVING count(*) >= 3")
+def _(s, d):
+    m = v.messages(s, d).select(F.col("msg_id").alias("memory_id"), F.lit("episodic").alias("type"), F.col("text").alias("content"))
+    return memory.reclassify(m)
+
+
 _DATED = "CASE doc_id % 3 WHEN 0 THEN '2024-03-01 ' || text WHEN 1 THEN '3月1日' || text ELSE text END"
 
 
-@query("mem_reclassify", f"WITH m AS (SELECT doc_id AS memory_id, regexp_replace({_DATED}, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}月\\d{{1,2}}日)\\s*', '') AS content FROM documents) SELECT content, count(*) AS n, min(memory_id) AS first_id FROM m GROUP BY content HAVING count(*) >= 3")
+@query("mem_reclassify_documents", f"WITH m AS (SELECT doc_id AS memory_id, regexp_replace({_DATED}, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}月\\d{{1,2}}日)\\s*', '') AS content FROM documents) SELECT content, count(*) AS n, min(memory_id) AS first_id FROM m GROUP BY content HAVING count(*) >= 3")
 def _(s, d):
     # events as documents tell them, some with a date before
     m = v.read(s, d, "documents").select(F.col("doc_id").alias("memory_id"), F.lit("episodic").alias("type"), F.expr(_DATED).alias("content"))

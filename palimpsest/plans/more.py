@@ -119,10 +119,17 @@ def _(s, d):
     return v.decisions(s, d).select("event_id", "user_id", F.round(F.avg("drift").over(w), 6).alias("mean5"))
 
 
+@query("learned_tags", f"WITH {v.DECISIONS}, seen AS (SELECT DISTINCT scene || direction AS tag FROM decisions WHERE stage < 4) SELECT DISTINCT scene || direction AS tag FROM decisions WHERE stage >= 4 AND scene || direction NOT IN (SELECT tag FROM seen)")
+def _(s, d):
+    t = v.decisions(s, d).withColumn("tag", F.concat("scene", "direction"))
+    seen = t.where("stage < 4").select("tag").distinct()
+    return t.where("stage >= 4").select("tag").distinct().join(seen, "tag", "left_anti")
+
+
 _TAG = "user_id || ':' || scene || direction"
 
 
-@query("learned_tags", f"WITH {v.DECISIONS}, seen AS (SELECT DISTINCT {_TAG} AS tag FROM decisions WHERE stage < 3) SELECT DISTINCT {_TAG} AS tag FROM decisions WHERE stage >= 3 AND {_TAG} NOT IN (SELECT tag FROM seen)")
+@query("learned_tags_by_user", f"WITH {v.DECISIONS}, seen AS (SELECT DISTINCT {_TAG} AS tag FROM decisions WHERE stage < 3) SELECT DISTINCT {_TAG} AS tag FROM decisions WHERE stage >= 3 AND {_TAG} NOT IN (SELECT tag FROM seen)")
 def _(s, d):
     t = v.decisions(s, d).withColumn("tag", F.concat("user_id", F.lit(":"), "scene", "direction"))
     seen = t.where("stage < 3").select("tag").distinct()

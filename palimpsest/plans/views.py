@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.index import Index
+from ..operators.index import FORMAT, Index
 from ..sources.shared import shared_dir, spread
 
 
@@ -44,7 +44,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Index:
     """The stored postings of the corpus, in a folder named by the files they were made of; the first that asks has them built."""
     files = read(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     n, mark = files.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*files.columns)), F.lit(0))).first()
-    index = Index(spark, f"{shared_dir(spark)}/index-{n}-{mark & (1 << 64) - 1:016x}", text.words)
+    index = Index(spark, f"{shared_dir(spark)}/index-{FORMAT}-{n}-{mark & (1 << 64) - 1:016x}", text.words)
     if not index.segments():
         index.update(corpus(spark, sf_dir))
     return index

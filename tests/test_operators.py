@@ -89,9 +89,9 @@ def test_mem_consolidate_query(spark):
     import numpy as np
     from compare import SF
 
-    from palimpsest.plans import behaviour, views
+    from palimpsest.plans import said, views
 
-    got = {r.node: r.leader for r in behaviour.QUERIES["mem_consolidate"](spark, SF).collect()}
+    got = {r.node: r.leader for r in said.QUERIES["mem_consolidate"](spark, SF).collect()}
     m = views.memories(spark, SF).where("type in ('episodic', 'emotional')").select("memory_id", "type", "embedding").toPandas().sort_values("memory_id")
     lead, want = [], {}
     for r in m.itertuples():

@@ -33,21 +33,30 @@ def _bins(start: Column, end: Column, sizes: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(sizes)), at))
 
 
-def as_of_many(moments: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Each row of ``moments`` with each row of ``intervals`` of its key that holds at ``at``."""
-    low, high = intervals.agg(F.min(start), F.greatest(F.max(start), F.coalesce(F.max(end), F.max(start)))).first()
+#: Units that are tried, the largest first: a day, an hour, a minute, a second, a millisecond in microseconds, and one.
+UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
+
+
+def as_of_many(moments: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, units: tuple[int, ...] = UNITS) -> DataFrame:
+    """Each row of ``moments`` with each row of ``intervals`` of its key that holds at ``at``.
+
+    The largest of ``units`` that divides all bounds is the bins' smallest size: only bounds need it to be exact.
+    """
+    even = [F.coalesce(F.bool_and((F.col(start) % u == 0) & (F.coalesce(F.col(end), F.lit(0)) % u == 0)), F.lit(True)).alias(f"u{u}") for u in units]
+    facts = intervals.where(F.col(start).isNotNull()).agg(F.min(start).alias("low"), F.greatest(F.max(start), F.coalesce(F.max(end), F.max(start))).alias("high"), *even).first()
     last = moments.agg(F.max(at)).first()[0]
-    if low is None or last is None:
+    if facts["low"] is None or last is None:
         return moments.join(intervals, key).limit(0)
-    top = max(high, last) + 1  # beyond every moment
-    sizes = (top - low).bit_length()
+    unit = next((u for u in units if facts[f"u{u}"]), 1)
+    low, top = facts["low"], max(facts["high"], last) // unit * unit + unit  # beyond every moment
+    sizes = ((top - low) // unit).bit_length()
     if sizes > 52:
         raise ValueError("the times span more than 2^52 units; take larger ones")
     until = F.coalesce(end, F.lit(top))
-    binned = intervals.where(F.col(start).isNotNull() & (until > F.col(start))).withColumn("_b", F.explode(_bins(F.col(start) - low, until - low, sizes)))
+    binned = intervals.where(F.col(start).isNotNull() & (until > F.col(start))).withColumns({"_s": F.col(start) - low, "_e": until - low})
+    binned = binned.withColumn("_b", F.explode(_bins(F.expr(f"_s div {unit}"), F.expr(f"_e div {unit}"), sizes))).drop("_s", "_e")
     used = [r["level"] for r in binned.select(F.col("_b.level").alias("level")).distinct().collect()]  # at most 53
-    t = F.col(at) - low
-    held = F.array(*[F.struct(F.lit(x).alias("level"), F.shiftright(t.cast("long"), x).alias("bin")) for x in sorted(used)]) if used else F.array().cast("array<struct<level:int,bin:bigint>>")
-    asked = moments.where(F.col(at) >= low).withColumn("_b", F.explode(held))
+    held = F.array(*[F.struct(F.lit(x).alias("level"), F.shiftright("_t", x).alias("bin")) for x in sorted(used)]) if used else F.array().cast("array<struct<level:int,bin:bigint>>")
+    asked = moments.where(F.col(at) >= low).withColumn("_t", F.col(at).cast("long") - low).withColumn("_t", F.expr(f"_t div {unit}")).withColumn("_b", F.explode(held)).drop("_t")
     flat = lambda df: df.withColumns({"_level": F.col("_b.level"), "_bin": F.col("_b.bin")}).drop("_b")
     return flat(asked).join(flat(binned), [key, "_level", "_bin"]).drop("_level", "_bin")

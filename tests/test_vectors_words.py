@@ -193,6 +193,10 @@ def test_moments_meet_their_intervals(spark):
     m = spark.createDataFrame(asked, "k int, at long, m int")
     found = spans.as_of_many(m, h, "k", "at", "start", "until")
     assert sorted((r.m, r.h) for r in found.collect()) == sorted((j, i) for k, t, j in asked for q, s, e, i in held if k == q and k is not None and t is not None and s is not None and s <= t and (e is None or t < e))
+    # bounds in days, moments in microseconds
+    day = 86_400_000_000
+    d = spans.as_of_many(m.withColumn("at", F.col("at") * day + 12345), h.withColumns({"start": F.col("start") * day, "until": F.col("until") * day}), "k", "at", "start", "until")
+    assert sorted((r.m, r.h) for r in d.collect()) == sorted((r.m, r.h) for r in found.collect())
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
     assert spans.as_of_many(m.limit(0), h, "k", "at", "start", "until").count() == spans.as_of_many(m, h.limit(0), "k", "at", "start", "until").count() == 0
 

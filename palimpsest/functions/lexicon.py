@@ -47,20 +47,18 @@ INFO_WORDS = "建议|需要|注意|因为|方案|步骤|第一种|第二种|推
 TRIVIAL = "^(好的|明白了|没问题|请稍等|我来看看|是的|对的|你说得对|当然可以|不用担心|不客气|谢谢|可以|好|嗯|OK|ok|嗯嗯|好的呢|没问题呢|知道了|收到)"
 KEEP_ARCHIVED = r"\d{3,}|建议|方案|步骤|注意|因为|所以"
 
-# Patterns of relations in free text, by number of groups.
-ONE_GROUP = (
+# Patterns of relations in free text; one group is the object, two are subject and object.
+RELATIONS = (
     (r"(?:决定用|最终用|换用|改用|选了|选择用|采用了|用了|用上了)\s*([一-鿿\w]+)", "使用"),
     (r"(?:放弃|不用|砍掉|去掉|移除|弃用|拒了|不用了)\s*了?\s*([一-鿿\w]+)", "放弃"),
-    (r"(?:装了|安装了|部署了|搭建了)\s*([一-鿿\w]+)", "安装"),
-    (r"(?:依赖|基于|构建在)\s*([一-鿿\w]+)上?", "依赖"),
-    (r"(?:喜欢|偏好|倾向|偏爱)\s*([一-鿿\w]+)", "偏好"),
-    (r"(?:讨厌|不喜欢|反感|烦)\s*([一-鿿\w]+)", "反感"),
-)
-TWO_GROUPS = (
     (r"([一-鿿\w]{2,8})\s*(?:比|优于|好过|胜过|强于|不如)\s*([一-鿿\w]+)", "对比"),
     (r"(?:把|将)\s*([一-鿿\w]+)\s*(?:换成|替换为|改成|迁移到|切到|替代为)\s*([一-鿿\w]+)", "替换为"),
     (r"用了?\s*([一-鿿\w]+)\s*替代\s*([一-鿿\w]+)", "替代"),
     (r"从\s*([一-鿿\w]+)\s*迁到\s*([一-鿿\w]+)", "迁移"),
+    (r"(?:装了|安装了|部署了|搭建了)\s*([一-鿿\w]+)", "安装"),
+    (r"(?:依赖|基于|构建在)\s*([一-鿿\w]+)上?", "依赖"),
+    (r"(?:喜欢|偏好|倾向|偏爱)\s*([一-鿿\w]+)", "偏好"),
+    (r"(?:讨厌|不喜欢|反感|烦)\s*([一-鿿\w]+)", "反感"),
 )
 LEADING_PARTICLE = "^[了着过的和在或与已]"
 

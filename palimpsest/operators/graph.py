@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def extract(docs: DataFrame, subject: str = "subject") -> DataFrame:
         a, b = (text.matches(F.col("text"), "(?U)" + pattern, g) for g in (1, 2))
         return F.zip_with(a, b, lambda x, y: F.struct(clean(x).alias("subject"), F.lit(relation).alias("relation"), clean(y).alias("object")))
 
-    rows = [one(*x) for x in lexicon.ONE_GROUP] + [two(*x) for x in lexicon.TWO_GROUPS]
+    rows = [(one if re.compile(p).groups == 1 else two)(p, r) for p, r in lexicon.RELATIONS]
     return docs.select("msg_id", F.inline(F.flatten(F.array(*rows)))).where("subject is not null and object is not null")
 
 

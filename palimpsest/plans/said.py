@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,8 +118,8 @@ def _unicode(p: str) -> str:
 
 
 _TRIPLES = " UNION ALL ".join(
-    [f"SELECT msg_id, 'subject' AS subject, {_q(r)} AS relation, {_clean('x')} AS object FROM (SELECT msg_id, unnest(regexp_extract_all(text, {_unicode(p)}, 1)) AS x FROM said)" for p, r in lexicon.ONE_GROUP]
-    + [f"SELECT msg_id, {_clean('x')}, {_q(r)}, {_clean('y')} FROM (SELECT msg_id, unnest(regexp_extract_all(text, {_unicode(p)}, 1)) AS x, unnest(regexp_extract_all(text, {_unicode(p)}, 2)) AS y FROM said)" for p, r in lexicon.TWO_GROUPS]
+    [f"SELECT msg_id, 'subject' AS subject, {_q(r)} AS relation, {_clean('x')} AS object FROM (SELECT msg_id, unnest(regexp_extract_all(text, {_unicode(p)}, 1)) AS x FROM said)" for p, r in lexicon.RELATIONS if re.compile(p).groups == 1]
+    + [f"SELECT msg_id, {_clean('x')}, {_q(r)}, {_clean('y')} FROM (SELECT msg_id, unnest(regexp_extract_all(text, {_unicode(p)}, 1)) AS x, unnest(regexp_extract_all(text, {_unicode(p)}, 2)) AS y FROM said)" for p, r in lexicon.RELATIONS if re.compile(p).groups == 2]
 )
 
 

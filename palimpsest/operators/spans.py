@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpoint
+
 
 def _bins(start: Column, end: Column, sizes: int) -> Column:
     """The bins (level, bin) whose union is [start, end), of numbers from 0."""
@@ -33,6 +35,10 @@ def _bins(start: Column, end: Column, sizes: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(sizes)), at))
 
 
+#: Intervals of a key up to which each is compared with all its key's moments.
+FEW = 64
+#: Keys of more intervals up to which they are sent to all tasks.
+SENT_KEYS = 100_000
 #: Units that are tried, the largest first: a day, an hour, a minute, a second, a millisecond in microseconds, and one.
 UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
 
@@ -40,23 +46,33 @@ UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
 def as_of_many(moments: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, units: tuple[int, ...] = UNITS) -> DataFrame:
     """Each row of ``moments`` with each row of ``intervals`` of its key that holds at ``at``.
 
-    The largest of ``units`` that divides all bounds is the bins' smallest size: only bounds need it to be exact.
+    Keys of at most ``FEW`` intervals are joined by the key alone: a moment goes there once, without bins. The others go by bins,
+    of which the largest of ``units`` that divides all their bounds is the smallest size: only bounds need it to be exact.
     """
+    held = checkpoint(intervals.where(F.col(start).isNotNull() & F.col(key).isNotNull() & F.coalesce(F.col(end) > F.col(start), F.lit(True))))
+    many = checkpoint(held.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(key))
+    n = many.count()
+    within = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
+    if not n:
+        return moments.join(held, key).where(within)
+    some = F.broadcast(many) if n <= SENT_KEYS else many
+    few = moments.join(held.join(some, key, "left_anti"), key).where(within)
+    return few.unionAll(_by_bins(moments.join(some, key, "left_semi"), held.join(some, key, "left_semi"), key, at, start, end, units).select(few.columns))
+
+
+def _by_bins(moments: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, units: tuple[int, ...]) -> DataFrame:
     even = [F.coalesce(F.bool_and((F.col(start) % u == 0) & (F.coalesce(F.col(end), F.lit(0)) % u == 0)), F.lit(True)).alias(f"u{u}") for u in units]
-    facts = intervals.where(F.col(start).isNotNull()).agg(F.min(start).alias("low"), F.greatest(F.max(start), F.coalesce(F.max(end), F.max(start))).alias("high"), *even).first()
-    last = moments.agg(F.max(at)).first()[0]
-    if facts["low"] is None or last is None:
-        return moments.join(intervals, key).limit(0)
+    facts = intervals.agg(F.min(start).alias("low"), F.greatest(F.max(start), F.coalesce(F.max(end), F.max(start))).alias("high"), *even).first()
     unit = next((u for u in units if facts[f"u{u}"]), 1)
-    low, top = facts["low"], max(facts["high"], last) // unit * unit + unit  # beyond every moment
+    low, top = facts["low"], facts["high"] // unit * unit + unit  # beyond every bound: what is later is in the open intervals as top - 1 is
     sizes = ((top - low) // unit).bit_length()
     if sizes > 52:
         raise ValueError("the times span more than 2^52 units; take larger ones")
     until = F.coalesce(end, F.lit(top))
-    binned = intervals.where(F.col(start).isNotNull() & (until > F.col(start))).withColumns({"_s": F.col(start) - low, "_e": until - low})
+    binned = intervals.withColumns({"_s": F.col(start) - low, "_e": until - low})
     binned = binned.withColumn("_b", F.explode(_bins(F.expr(f"_s div {unit}"), F.expr(f"_e div {unit}"), sizes))).drop("_s", "_e")
     used = [r["level"] for r in binned.select(F.col("_b.level").alias("level")).distinct().collect()]  # at most 53
-    held = F.array(*[F.struct(F.lit(x).alias("level"), F.shiftright("_t", x).alias("bin")) for x in sorted(used)]) if used else F.array().cast("array<struct<level:int,bin:bigint>>")
-    asked = moments.where(F.col(at) >= low).withColumn("_t", F.col(at).cast("long") - low).withColumn("_t", F.expr(f"_t div {unit}")).withColumn("_b", F.explode(held)).drop("_t")
+    bins = F.array(*[F.struct(F.lit(x).alias("level"), F.shiftright("_t", x).alias("bin")) for x in sorted(used)]) if used else F.array().cast("array<struct<level:int,bin:bigint>>")
+    asked = moments.where(F.col(at) >= low).withColumn("_t", F.least(F.col(at).cast("long"), F.lit(top - 1)) - low).withColumn("_t", F.expr(f"_t div {unit}")).withColumn("_b", F.explode(bins)).drop("_t")
     flat = lambda df: df.withColumns({"_level": F.col("_b.level"), "_bin": F.col("_b.bin")}).drop("_b")
     return flat(asked).join(flat(binned), [key, "_level", "_bin"]).drop("_level", "_bin")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import ASKED, ROWS, Best
 from .retrieval import top
 
 #: Queries of one pass, a few hundred bytes each.
@@ -48,16 +49,6 @@ def units(column: pa.Array, width: int) -> np.ndarray:
     return x / np.where(n > 0, n, 1.0)[:, None]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` largest scores, smaller ids first."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
-
-
 def _passes(queries: DataFrame) -> Iterator[list]:
     block: list = []
     for r in queries.where("query is not null").select("query_id", "query").toLocalIterator():
@@ -90,18 +81,16 @@ def exact_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         rows = {w: units(pa.array([block[i]["query"] for i in at], pa.list_(pa.float64())), w) for w, at in asked.items()}
 
         def run(batches: Iterator[pa.RecordBatch], asked=asked, rows=rows) -> Iterator[pa.RecordBatch]:
-            best = {i: (np.zeros(0), np.zeros(0, np.int64)) for at in asked.values() for i in at}
+            best = Best(sum(map(len, asked.values())), k)
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                for w, at in asked.items():
-                    scores = np.round(units(batch.column(1), w) @ rows[w].T, 6) + 0.0
-                    for c, q in enumerate(at):
-                        own = _best(scores[:, c], ids, k)
-                        s, x = (np.concatenate(z) for z in zip(best[q], (scores[own, c], ids[own]), strict=True))
-                        keep = _best(s, x, k)
-                        best[q] = s[keep], x[keep]
-            n = [len(s) for s, _ in best.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(best), n), pa.int32()), pa.array(np.concatenate([x for _, x in best.values()])), pa.array(np.concatenate([s for s, _ in best.values()]))], ["query", "vec_id", "score"])
+                for lo in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(lo, ROWS)
+                    ids = part.column(0).to_numpy()
+                    for w, at in asked.items():
+                        x = units(part.column(1), w)
+                        for q in range(0, len(at), ASKED):
+                            best.add(np.round(x @ rows[w][q : q + ASKED].T, 6) + 0.0, ids, np.array(at[q : q + ASKED]))
+            yield best.batch(["query", "vec_id", "score"])
 
         parts.append(_named(slim.mapInArrow(run, _FOUND), block, queries))
     return _gathered(parts, queries, k)
@@ -157,20 +146,17 @@ class Lists:
             asking = {int(c): np.flatnonzero((read == c).any(1)) for c in np.unique(read)}
 
             def run(batches: Iterator[pa.RecordBatch], q=q, near=near, asking=asking) -> Iterator[pa.RecordBatch]:
-                most = AGAIN * k
-                best = {int(i): (np.zeros(0), np.zeros(0, np.int64)) for at in asking.values() for i in at}
+                best = Best(len(q), AGAIN * k)
                 for batch in batches:
-                    for r in batch.to_pylist():
-                        ids, scale = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["scale"], float)
-                        at = asking[r["list"]]
-                        scores = near[at, r["list"]] + (np.frombuffer(r["codes"], np.int8).reshape(len(ids), -1).astype(float) @ q[at].T) * scale[:, None]
-                        for c, i in enumerate(at):
-                            own = _best(scores[:, c], ids, most)
-                            s, x = (np.concatenate(z) for z in zip(best[int(i)], (scores[own, c], ids[own]), strict=True))
-                            keep = _best(s, x, most)
-                            best[int(i)] = s[keep], x[keep]
-                n = [len(s) for s, _ in best.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(best), n), pa.int32()), pa.array(np.concatenate([x for _, x in best.values()])), pa.array(np.concatenate([s for s, _ in best.values()]))], ["query", "vec_id", "score"])
+                    for n, *parts in zip(*(batch.column(x) for x in ("list", "ids", "codes", "scale")), strict=True):
+                        n, (ids, codes, scale) = n.as_py(), (np.frombuffer(x.as_buffer(), t) for x, t in zip(parts, (np.int64, np.int8, float), strict=True))
+                        codes = codes.reshape(len(ids), -1)
+                        for lo in range(0, len(ids), ROWS):
+                            x = codes[lo : lo + ROWS].astype(float) * scale[lo : lo + ROWS, None]
+                            for c in range(0, len(asking[n]), ASKED):
+                                at = asking[n][c : c + ASKED]
+                                best.add(near[at, n] + x @ q[at].T, ids[lo : lo + ROWS], at)
+                yield best.batch(["query", "vec_id", "score"])
 
             found = self._read("codes").where(F.col("list").isin(*asking)).mapInArrow(run, _FOUND)
             some = top(found, "query", [F.desc("score"), F.asc("vec_id")], AGAIN * k).select("query", "vec_id")

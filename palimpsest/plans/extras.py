@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import analytics, graph, log, memory, retrieval, state
-from ..operators.blocks import against
 from . import said
 from . import views as v
 from .behaviour import _STAMP
@@ -52,10 +51,8 @@ def _(s, d):
 SELECT query_id, msg_id, CASE WHEN contains(lower(c.text), whole) THEN 0 ELSE 1 END AS tier, len(list_filter(ws, lambda w: contains(lower(c.text), w)))::INT AS hits FROM corpus c, t WHERE len(list_filter(ws, lambda w: contains(lower(c.text), w))) >= 2""",
 )
 def _(s, d):
-    q = asked(s, d).select("query_id", F.col("text").alias("_w"), text.words(F.col("text")).alias("_ws"))
-    low = against(v.corpus(s, d).select("msg_id", F.lower("text").alias("_t")), q)
-    hits = F.size(F.filter("_ws", lambda w: F.contains(F.col("_t"), w)))
-    return low.select("query_id", "msg_id", F.when(F.contains("_t", "_w"), 0).otherwise(1).alias("tier"), hits.alias("hits")).where("hits >= 2")
+    q = asked(s, d).select("query_id", F.col("text").alias("whole"), text.words(F.col("text")).alias("words"))
+    return retrieval.substring_hits(v.corpus(s, d), q)
 
 
 @query("fact_lines", f"WITH {v.CORPUS}, l AS (SELECT msg_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS ls FROM corpus), f AS (SELECT msg_id, list_filter(ls, lambda x: regexp_matches(x, '(tion|ment|heit)') AND NOT regexp_matches(x, '^(The|Une|Der)') AND length(x) >= 6)[1:10] AS fs FROM l) SELECT msg_id, len(fs)::INT AS n, md5(array_to_string(fs, '|')) AS digest FROM f")

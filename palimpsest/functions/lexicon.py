@@ -99,6 +99,13 @@ FACT_TWO = (
     r"([一-鿿A-Za-z0-9_.@+-]{2,30})(?:住在|位于|使用|用的是|常用|主要用)([^\n，。；;]{2,60})",
     r"(?m)^([一-鿿A-Za-z0-9_.@+-]{2,30})是([^\n，。；;]{2,60})$",
 )
+#: What a text must hold, one word of each group, for the pattern of that place to match: most texts are settled by it.
+FACT_THREE_NEED = (
+    (("的",), ("是",)),
+    (("的",), ("是",)),
+    (("邮箱", "电话", "手机", "地址", "住址", "生日", "名字", "姓名", "邮编", "车牌", "公司", "职位", "网站", "域名", "账户", "账号"), ("是", "为", "：", ":")),
+)
+FACT_TWO_NEED = ((("住在", "位于", "使用", "用的是", "常用", "主要用"),), (("是",),))
 FACT_RELATION = "住在"
 ALIASES = {"我": "user", "本人": "user", "用户": "user", "我们": "user", "我的": "user"}
 

@@ -27,6 +27,8 @@ from ..sources.shared import checkpoint
 
 PIVOTS, SAMPLE, TILE = 32, 2000, 1024
 STEPS = (16, 32, 48)
+#: Pairs that are compared exactly at a time: two tiles have up to a million, with two vectors each.
+EXACT = 1 << 14
 #: What rounding may add to an angle or a cosine.
 SLACK = 1e-7
 _DEALT = "id long, grp string, cell int, angle double, v binary"
@@ -106,7 +108,11 @@ def similar(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> tuple[np.ndarray,
         rest = [np.sqrt(np.maximum((z[:, m:] ** 2).sum(1), 0)) for z in (x, y)]
         left &= x[:, :m] @ y[:, :m].T + rest[0][:, None] * rest[1][None] >= need[:, None] - SLACK
     i, j = np.nonzero(left)
-    return i, j, np.einsum("ij,ij->i", x[i], y[j])
+    s = np.zeros(len(i))
+    for lo in range(0, len(i), EXACT):
+        at = slice(lo, lo + EXACT)
+        s[at] = np.einsum("ij,ij->i", x[i[at]], y[j[at]])
+    return i, j, s
 
 
 _KEY = ["grp", "c1", "t1", "c2", "t2"]
